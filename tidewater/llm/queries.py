@@ -4,18 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, simhash
+from . import backoff, decontaminate, gif, language, mixing, quality, secrets, simhash, toxicity, warc
 from .common import table
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(table(spark, sf_dir, "documents"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digest(table(spark, sf_dir, "documents"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality, op2_backoff, op3_decontaminate, op4_mixing, op5_secrets, op6_gif, op7_toxicity, op8_warc, op9_language, op10_simhash)
+}
 
-ORACLE_SQL = {"op3_decontaminate": decontaminate.ORACLE_SQL}
+#: Models, images, fingerprints, schedules and spans are tested against brute force instead.
+ORACLE_SQL = {"op2_backoff": backoff.ORACLE_SQL, "op3_decontaminate": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
