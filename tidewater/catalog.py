@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "win_12_squeeze_rank"
+from .plans import aggregates, dedup, joins, modelling, ranking, rules, scalars, sequences, sources, streams, windows
+from .plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "aggregates", "dedup", "joins", "modelling", "ranking", "rules", "scalars", "sequences", "sources", "streams", "windows"]
+
+FLAGSHIP = "rnk_1_squeeze_ranking"
