@@ -10,37 +10,38 @@ from pyspark.sql import functions as F
 
 from .scalars import change, finite, round_half_up
 
-BY_TIME = Window.partitionBy("symbol").orderBy("t")
+def by_time() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("t")
 
 
-def frame(a: int, b: int = 0, w: WindowSpec = BY_TIME) -> WindowSpec:
-    return w.rowsBetween(a, b)
+def frame(a: int, b: int = 0, w: WindowSpec | None = None) -> WindowSpec:
+    return (w or by_time()).rowsBetween(a, b)
 
 
-def full(c: Column, n: int, w: WindowSpec = BY_TIME) -> Column:
+def full(c: Column, n: int, w: WindowSpec | None = None) -> Column:
     """Whether the last n rows all have a value."""
     return F.count(c).over(frame(-(n - 1), 0, w)) == n
 
 
-def contiguous(t: Column, n: int, step_ms: int, w: WindowSpec = BY_TIME) -> Column:
+def contiguous(t: Column, n: int, step_ms: int, w: WindowSpec | None = None) -> Column:
     """Whether the last n bars are exactly one step apart.
 
     Times of a series are distinct multiples of the step, so that n of them span n - 1 steps only without a gap.
     """
-    return F.coalesce(t - F.lag(t, n - 1).over(w) == (n - 1) * step_ms, F.lit(False))
+    return F.coalesce(t - F.lag(t, n - 1).over(w or by_time()) == (n - 1) * step_ms, F.lit(False))
 
 
-def true_range(w: WindowSpec = BY_TIME) -> Column:
-    previous = F.lag("c").over(w)
+def true_range(w: WindowSpec | None = None) -> Column:
+    previous = F.lag("c").over(w or by_time())
     return F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - previous), F.abs(F.col("l") - previous))
 
 
-def mean_of(c: str, n: int, w: WindowSpec = BY_TIME) -> Column:
+def mean_of(c: str, n: int, w: WindowSpec | None = None) -> Column:
     """The plain mean of the last n values; null with fewer or a missing one."""
     return F.when(full(F.col(c), n, w), F.avg(c).over(frame(-(n - 1), 0, w)))
 
 
-def midrank(c: str, n: int, w: WindowSpec = BY_TIME) -> Column:
+def midrank(c: str, n: int, w: WindowSpec | None = None) -> Column:
     """100 times the share of the last n values below the current one, ties counting half."""
     x = F.collect_list(c).over(frame(-(n - 1), 0, w))
     v = F.col(c)
@@ -48,20 +49,20 @@ def midrank(c: str, n: int, w: WindowSpec = BY_TIME) -> Column:
     return F.when(F.size(x) == n, 100.0 * (below + 0.5 * same) / n)
 
 
-def share_at_most(c: str, n: int, least: int = 8, w: WindowSpec = BY_TIME) -> Column:
+def share_at_most(c: str, n: int, least: int = 8, w: WindowSpec | None = None) -> Column:
     """Percent of up to n earlier values that are at most the current one, one decimal; at least ``least`` of them."""
     x, v = F.collect_list(c).over(frame(-n, -1, w)), F.col(c)
     return F.when(F.size(x) >= least, round_half_up(100.0 * F.size(F.filter(x, lambda y: y <= v)) / F.size(x), 1))
 
 
-def ema(c: str, period: int, n: int, w: WindowSpec = BY_TIME) -> Column:
+def ema(c: str, period: int, n: int, w: WindowSpec | None = None) -> Column:
     """Exponential mean over the last n values, seeded by the mean of the first ``period`` of them."""
     x = F.collect_list(c).over(frame(-(n - 1), 0, w))
     seed = F.aggregate(F.slice(x, 1, period), F.lit(0.0), lambda a, b: a + b) / period
     return F.when(F.size(x) == n, F.aggregate(F.slice(x, period + 1, max(1, n - period)), seed, lambda e, v: e + 2.0 / (period + 1) * (v - e)))
 
 
-def rsi(c: str, period: int, n: int, w: WindowSpec = BY_TIME) -> Column:
+def rsi(c: str, period: int, n: int, w: WindowSpec | None = None) -> Column:
     """Relative strength over the last n values: means of gains and losses of the first steps, then smoothed ones."""
     x = F.collect_list(c).over(frame(-(n - 1), 0, w))
     steps = F.zip_with(F.slice(x, 2, n - 1), F.slice(x, 1, n - 1), lambda a, b: a - b)
@@ -74,23 +75,23 @@ def rsi(c: str, period: int, n: int, w: WindowSpec = BY_TIME) -> Column:
     return F.when(F.size(x) == n, value)
 
 
-def exact_change(steps: int, step_ms: int, w: WindowSpec = BY_TIME) -> Column:
+def exact_change(steps: int, step_ms: int, w: WindowSpec | None = None) -> Column:
     """Percent change of the close over exactly so many steps."""
-    return F.when(F.col("t") - F.lag("t", steps).over(w) == steps * step_ms, change(F.col("c"), F.lag("c", steps).over(w)))
+    return F.when(F.col("t") - F.lag("t", steps).over(w or by_time()) == steps * step_ms, change(F.col("c"), F.lag("c", steps).over(w or by_time())))
 
 
-def volume_ratio(last: int, base: int, w: WindowSpec = BY_TIME) -> Column:
+def volume_ratio(last: int, base: int, w: WindowSpec | None = None) -> Column:
     """Volume of the last bars against as many of the ``base`` bars before."""
     recent, before = F.sum("v").over(frame(-(last - 1), 0, w)), F.sum("v").over(frame(-(last + base - 1), -last, w)) / (base / last)
     return F.when(full(F.col("v"), last + base, w) & (before > 0), recent / before)
 
 
-def slope(y: str, x: str, n: int, w: WindowSpec = BY_TIME) -> Column:
+def slope(y: str, x: str, n: int, w: WindowSpec | None = None) -> Column:
     """Least-squares slope of y on x over the last n rows."""
     return F.when(full(F.col(y), n, w) & full(F.col(x), n, w), F.regr_slope(y, x).over(frame(-(n - 1), 0, w)))
 
 
-def streak(c: str, n: int, w: WindowSpec = BY_TIME) -> Column:
+def streak(c: str, n: int, w: WindowSpec | None = None) -> Column:
     """How many of the last n values have had the sign of the current one without a break, signed; null if it is missing."""
     x = F.reverse(F.collect_list(F.coalesce(F.signum(finite(F.col(c))), F.lit(9.0))).over(frame(-(n - 1), 0, w)))
     now = F.signum(F.col(c))
@@ -98,7 +99,7 @@ def streak(c: str, n: int, w: WindowSpec = BY_TIME) -> Column:
     return F.when(now.isNull(), None).otherwise((run * now).cast("int"))
 
 
-def run_below(c: str, limit: Column, n: int, w: WindowSpec = BY_TIME) -> Column:
+def run_below(c: str, limit: Column, n: int, w: WindowSpec | None = None) -> Column:
     """How many of the last n values, from the current one back, are below a limit without a break; 0 is a true value."""
     x = F.reverse(F.collect_list(c).over(frame(-(n - 1), 0, w)))
     run = F.aggregate(x, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, v: F.struct((s["n"] + F.when(s["on"] & (v < limit), 1).otherwise(0)).alias("n"), (s["on"] & (v < limit)).alias("on")), lambda s: s["n"])

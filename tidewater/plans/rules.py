@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HOUR_MS, change, round_half_up
-from ..functions.windows import BY_TIME, ema
+from ..functions.windows import by_time, ema
 from ..operators import rules as u
 from . import windows as wq
 from .aggregates import TRADES_SQL, cycle_metrics, trades
@@ -234,6 +234,6 @@ def rul_24(t):
 
 @query("rul_25_momentum_label", f"WITH {wq.BARS4} SELECT symbol, t, CASE WHEN p IS NULL THEN NULL WHEN p >= 1 THEN 1 WHEN p <= -1 THEN -1 ELSE 0 END AS side FROM (SELECT symbol, t, (c / lag(c) OVER (PARTITION BY symbol ORDER BY t) - 1) * 100 AS p FROM bars)")
 def rul_25(t):
-    p = change(col("c"), F.lag("c").over(BY_TIME))
+    p = change(col("c"), F.lag("c").over(by_time()))
     x = wq.h4(t).withColumn("p", p)
     return x.select("symbol", "t", F.when(col("p").isNotNull(), u.sign_at(col("p"), 1)).alias("side"))

@@ -121,7 +121,7 @@ def win_10(t):
 @query("win_11_sell_absorbed", f"""WITH {ATR_SQL} SELECT symbol, t, CASE WHEN t - lag(t, 14) OVER w = 14 * {H4} THEN {r('CASE WHEN v = 0 THEN 0 ELSE greatest(0, (v - tb) / v) END * (1 - least(1, abs(c - lag(c) OVER w) / atr))')} END AS absorbed FROM p WINDOW w AS (PARTITION BY symbol ORDER BY t)""")
 def win_11(t):
     share = F.when(col("v") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (col("v") - col("tb")) / col("v")))
-    held = 1 - F.least(F.lit(1.0), F.abs(col("c") - F.lag("c").over(w.BY_TIME)) / col("atr"))
+    held = 1 - F.least(F.lit(1.0), F.abs(col("c") - F.lag("c").over(w.by_time())) / col("atr"))
     return with_atr(h4(t)).select("symbol", "t", F.when(w.contiguous(col("t"), 15, H4), r6(share * held)).alias("absorbed"))
 
 
@@ -167,7 +167,7 @@ FROM p JOIN market m USING (t) WINDOW w AS (PARTITION BY p.symbol ORDER BY p.t))
 def with_market(t):
     market = b.from_events(t.events, H4, F.lit("ALL")).select("t", col("c").alias("mc"))
     x = with_atr(h4(t)).join(market, "t")
-    lag = lambda c, k: change(col(c), F.lag(c, k).over(w.BY_TIME))
+    lag = lambda c, k: change(col(c), F.lag(c, k).over(w.by_time()))
     return x.withColumns({"ret": lag("c", 1), "mret": lag("mc", 1), "r24": lag("c", 6), "m24": lag("mc", 6)})
 
 
@@ -206,7 +206,7 @@ def win_18(t):
 s AS (SELECT *, CASE WHEN count(lr) OVER q = 48 THEN stddev_samp(lr) OVER q END AS sd FROM x WINDOW q AS (PARTITION BY symbol ORDER BY t ROWS 47 PRECEDING)),
 d AS (SELECT symbol, t, sd FROM s WHERE t % {DAY_MS} = 23 * {HOUR_MS}) SELECT symbol, t, {r('mr')} AS g2 FROM {midrank_sql('sd', 10, 'd')}""")
 def win_19(t):
-    lr = F.when(col("t") - F.lag("t").over(w.BY_TIME) == HOUR_MS, F.log(col("c") / F.lag("c").over(w.BY_TIME)))
+    lr = F.when(col("t") - F.lag("t").over(w.by_time()) == HOUR_MS, F.log(col("c") / F.lag("c").over(w.by_time())))
     x = h1(t).withColumn("lr", lr).withColumn("sd", F.when(w.full(col("lr"), 48), F.stddev_samp("lr").over(w.frame(-47))))
     return x.where(col("t") % DAY_MS == 23 * HOUR_MS).select("symbol", "t", r6(w.midrank("sd", 10)).alias("g2"))
 
@@ -214,8 +214,8 @@ def win_19(t):
 @query("win_24_oi_acceleration", f"""WITH {BARS1}, x AS (SELECT symbol, t, v, (v / lag(v) OVER w - 1) * 100 AS ch FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t))
 SELECT symbol, t, {r('ch - (lag(ch, 1) OVER w + lag(ch, 2) OVER w + lag(ch, 3) OVER w + lag(ch, 4) OVER w) / 4', 3)} AS accel FROM x WINDOW w AS (PARTITION BY symbol ORDER BY t)""")
 def win_24(t):
-    x = h1(t).withColumn("ch", (ratio(col("v"), F.lag("v").over(w.BY_TIME)) - 1) * 100)
-    priors = sum((F.lag("ch", k).over(w.BY_TIME) for k in (1, 2, 3, 4)), F.lit(0.0))
+    x = h1(t).withColumn("ch", (ratio(col("v"), F.lag("v").over(w.by_time())) - 1) * 100)
+    priors = sum((F.lag("ch", k).over(w.by_time()) for k in (1, 2, 3, 4)), F.lit(0.0))
     return x.select("symbol", "t", r6(col("ch") - priors / 4, 3).alias("accel"))
 
 
@@ -232,7 +232,7 @@ o AS (SELECT *, sum(dv) OVER (PARTITION BY symbol, t ORDER BY zrn) AS obv FROM f
 g AS (SELECT symbol, t, (arg_max(c, zrn) / arg_min(c, zrn) - 1) * 100 AS p, arg_max(obv, zrn) / greatest(1e-9, max(obv) - min(obv)) * 100 AS q FROM o GROUP BY 1, 2)
 SELECT symbol, t, p <= 0.3 AND q >= 20 AS diverging, {r('abs(q - p)', 2)} AS magnitude FROM g""")
 def win_26(t):
-    sign = F.signum(col("c") - F.lag("c").over(w.BY_TIME))
+    sign = F.signum(col("c") - F.lag("c").over(w.by_time()))
     x = h1(t).withColumn("dv", F.coalesce(sign * col("v"), F.lit(0.0)))
     x = x.withColumn("cs", F.collect_list("c").over(w.frame(-24))).withColumn("dvs", F.collect_list("dv").over(w.frame(-24))).where(F.size("cs") == 25)
     zero = F.struct(*(F.lit(0.0).alias(k) for k in ("obv", "low", "high")))
@@ -276,7 +276,7 @@ def win_29(t):
     """Stretches of one regime; a missing value ends a stretch and belongs to none."""
     regime = F.when(col("v") < 20, None).when(col("c") <= 15, "low").when(col("c") >= 60, "high").otherwise("mid")
     x = h4(t).withColumn("regime", regime)
-    k = F.row_number().over(w.BY_TIME) - F.row_number().over(Window.partitionBy("symbol", "regime").orderBy("t"))
+    k = F.row_number().over(w.by_time()) - F.row_number().over(Window.partitionBy("symbol", "regime").orderBy("t"))
     runs = x.withColumn("k", k).where("regime is not null").groupBy("symbol", "regime", "k").agg(F.count("*").alias("n"))
     return runs.groupBy("symbol", "regime").agg(F.count("*").alias("runs"), r6(F.median("n")).alias("median_run"), F.max("n").alias("longest"))
 
@@ -286,7 +286,7 @@ SELECT symbol, min(start) AS frozen_from FROM (SELECT symbol, k, min(t) AS start
 def win_30(t):
     """The first stretch of bars without life that is long enough."""
     x = b.from_events(t.events, HOUR_MS).withColumn("still", col("trades") <= 3)
-    k = F.row_number().over(w.BY_TIME) - F.row_number().over(Window.partitionBy("symbol", "still").orderBy("t"))
+    k = F.row_number().over(w.by_time()) - F.row_number().over(Window.partitionBy("symbol", "still").orderBy("t"))
     runs = x.withColumn("k", k).where("still").groupBy("symbol", "k").agg(F.min("t").alias("start"), F.count("*").alias("n"))
     return runs.where("n >= 6").groupBy("symbol").agg(F.min("start").alias("frozen_from"))
 
@@ -310,7 +310,7 @@ def win_33(t):
     high = (col("h") > F.max("h").over(before)) & (col("h") > F.max("h").over(after))
     low = (col("l") < F.min("l").over(before)) & (col("l") < F.min("l").over(after))
     whole = (F.count("h").over(before) == 2) & (F.count("h").over(after) == 2)
-    x = h4(t).select("symbol", "t", F.lead("t", 2).over(w.BY_TIME).alias("confirmed"), high.alias("high"), low.alias("low"), whole.alias("whole"))
+    x = h4(t).select("symbol", "t", F.lead("t", 2).over(w.by_time()).alias("confirmed"), high.alias("high"), low.alias("low"), whole.alias("whole"))
     return x.where("whole and (high or low)").drop("whole")
 
 
@@ -339,7 +339,7 @@ SELECT symbol, t, change, atr_pct, volume, trades, concat_ws(',', CASE WHEN chan
 def win_40(t):
     """Features in fixed order, null where missing, with the list of the missing ones."""
     x = with_atr(h4(t))
-    values = {"change": r6(change(col("c"), F.lag("c").over(w.BY_TIME))), "atr_pct": r6(col("atr_pct")), "volume": r6(F.when(col("v") >= 50, col("v"))), "trades": col("trades").cast("double")}
+    values = {"change": r6(change(col("c"), F.lag("c").over(w.by_time()))), "atr_pct": r6(col("atr_pct")), "volume": r6(F.when(col("v") >= 50, col("v"))), "trades": col("trades").cast("double")}
     x = x.select("symbol", "t", *(values[k].alias(k) for k in FEATURES))
     return x.withColumn("missing", F.concat_ws(",", *(F.when(col(k).isNull(), k) for k in FEATURES)))
 
