@@ -30,11 +30,10 @@ class Zigzag:
         if not (math.isfinite(h) and math.isfinite(l)):
             return None
         if self.direction == 0:
-            grew = False
             if self.high is None or h > self.high[1]:
-                self.high, grew = (j, h), True
+                self.high = (j, h)
             if self.low is None or l < self.low[1]:
-                self.low, grew = (j, l), True
+                self.low = (j, l)
             if self.low[0] > self.high[0]:
                 return self._turn(j, h, l, atr, up=True)
             return self._turn(j, h, l, atr, up=False) if self.high[0] > self.low[0] else None
