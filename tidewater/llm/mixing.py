@@ -5,8 +5,8 @@ frac(i * phi) through the cumulative target shares, so that every stretch of the
 ranked, and its r-th slot gets the r-th block of its documents, shuffled by a hash and repeated once where the target is beyond
 the source's size. The last block of a source is cut at its target, and slots that it is still owed follow the others.
 
-No step brings a source's documents together: running word counts are taken within hash ranges of some ten thousand documents, from
-the sums of the ranges before. The number of slots is a parameter; it bounds what is ranked by source.
+No step brings a source's documents together: running word counts are taken within hash ranges, of which a source of n documents
+has the square root of n, from the sums of the ranges before. The number of slots is a parameter; it bounds what is ranked by source.
 """
 
 from __future__ import annotations
@@ -77,9 +77,9 @@ def schedule(aims: DataFrame, slots: int, block: int) -> DataFrame:
     return wanted.join(drawn, ["rank", "nth"], "left").select("rank", "nth", F.coalesce("slot", F.lit(slots) + F.col("nth")).alias("slot"))
 
 
-def _streams(sizes: DataFrame, aims: DataFrame, docs_in_range: int) -> DataFrame:
+def _streams(sizes: DataFrame, aims: DataFrame) -> DataFrame:
     """Documents with words, with ``at``: the words of their source's shuffled documents before them."""
-    ranges = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / docs_in_range))
+    ranges = F.ceil(F.sqrt("n_docs"))
     keyed = sizes.where("size > 0").join(aims.drop("lo", "hi"), sizes["source"].eqNullSafe(aims["source"])).drop("source")
     keyed = keyed.withColumn("bin", F.floor(F.shiftrightunsigned("h", 11) / float(1 << 53) * ranges))
     sums = keyed.groupBy("rank", "bin").agg(F.sum("size").alias("_t"))
@@ -88,7 +88,7 @@ def _streams(sizes: DataFrame, aims: DataFrame, docs_in_range: int) -> DataFrame
     return keyed.join(before, ["rank", "bin"]).withColumn("at", F.col("_before") + F.sum("size").over(w) - F.col("size")).drop("_before", "bin", "h", "n_docs")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, slots: int = 65_536, docs_in_range: int = 20_000, seed: int = 1) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, slots: int = 65_536, seed: int = 1) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``first_slot`` for every row of ``docs`` (``doc_id``, ``text``, ``source``).
 
     ``taken`` are the words of the document in the mix, repeats counted: at most twice its size, and by source they add up to the
@@ -99,7 +99,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     aims = stored(targets(sizes, weights, share))
     total = aims.agg(F.sum("target")).first()[0] or 0.0
     block = max(1, round(total / slots))
-    streams = stored(_streams(sizes, aims, docs_in_range))
+    streams = stored(_streams(sizes, aims))
     quota = F.round("target").cast("long")
     pieces = streams.withColumn("start", F.explode(F.array(F.col("at"), F.col("at") + F.col("source_size")))).withColumn("end", F.least(F.col("start") + F.col("size"), quota))
     pieces = pieces.where("start < end").withColumn("nth", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
