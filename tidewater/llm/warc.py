@@ -29,8 +29,8 @@ RECORDS = (
 def plan(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """``page_id``, ``url``, ``html``, its UTF-8 size and SHA-1, and ``same_as``: for payloads of ``least_bytes`` and more the largest page of that payload.
 
-    Null html counts as empty. The largest page is found by a grouping on the digest (one row for each digest and task is
-    shuffled), and only (digest, page) pairs are joined back, so neither texts nor the copies of a page meet in one task.
+    Null html counts as empty. The largest page of a digest is a maximum that tasks combine before it is shuffled; what is joined
+    back are the digests that occur more than once, and Spark splits those that hold many pages.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long"), "url", body.alias("html"), F.octet_length(body).cast("long").alias("n"), F.sha1(body.cast("binary")).alias("sha1"))
@@ -67,11 +67,23 @@ def records(planned: DataFrame) -> DataFrame:
     return planned.select(F.explode(F.array(request, main_record, metadata)).alias("value"))
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_per_file: int = 15_000) -> None:
+def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_per_file: int = 3_000) -> None:
     """Archives under ``path``; a file has at most ``records_per_file`` records, so that a task can read it whole."""
     records(plan(pages, least_bytes)).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _unpacked(content: bytes) -> bytes:
+    """An archive's bytes; gzip members, of which there may be one for each record, are unpacked and joined."""
+    if content[:2] != b"\x1f\x8b":
+        return content
+    out = []
+    while content:
+        d = zlib.decompressobj(31)
+        out += [d.decompress(content), d.flush()]
+        content = d.unused_data
+    return b"".join(out)
+
+
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
 
 
@@ -104,7 +116,7 @@ def read(spark, path: str, bodies: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 some: list[dict] = []
-                for record in parse(zlib.decompressobj(47).decompress(content) if content[:2] == b"\x1f\x8b" else content):
+                for record in parse(_unpacked(content)):
                     if not bodies or record["type"] == "request":
                         record["body"] = record["body"] if record["type"] == "metadata" else None
                     some.append(record)
@@ -133,12 +145,9 @@ def assemble(found: DataFrame) -> DataFrame:
 def resolved(captures: DataFrame) -> DataFrame:
     """Captures with ``payload_bytes`` and ``payload_digest`` of the full payload: a revisit's are those of the response it refers to."""
     bodies = captures.where("response.type = 'response'").select(F.col("capture_id").alias("_of"), F.col("response.payload_bytes").alias("_n"), F.col("response.payload_digest").alias("_sha"))
-    joined = captures.join(bodies, F.col("response.refers_to") == F.col("_of"), "left")
-    own = F.col("response.type") == "response"
-    return joined.withColumns({
-        "payload_bytes": F.when(own, F.col("response.payload_bytes")).otherwise(F.col("_n")),
-        "payload_digest": F.when(own, F.col("response.payload_digest")).otherwise(F.col("_sha")),
-    }).drop("_of", "_n", "_sha")
+    # a response is its own reference: no capture is without a key, which would bring all of those to one task
+    joined = captures.join(bodies, F.coalesce("response.refers_to", "capture_id") == F.col("_of"), "left")
+    return joined.withColumnsRenamed({"_n": "payload_bytes", "_sha": "payload_digest"}).drop("_of")
 
 
 def digest(pages: DataFrame) -> DataFrame:
