@@ -83,3 +83,12 @@ def summed(parts: DataFrame, fan_in: int = 8) -> DataFrame:
     schema = "key string, vec binary"
     level = parts.select("key", "vec").repartition(fan_in, "key", F.spark_partition_id() % fan_in).mapInArrow(add, schema)
     return level.repartition(fan_in, "key").mapInArrow(add, schema)
+
+
+def with_text(found: DataFrame, docs: DataFrame, changed: Column, text: Column) -> DataFrame:
+    """The columns of ``docs`` from the struct ``row`` of ``found``, with another text where it changed; ``n_chars``, if there is one, follows."""
+    new = {"text": text}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    old = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    return found.select(*(F.when(changed, new[c]).otherwise(old[c]).alias(c) if c in new else old[c].alias(c) for c in docs.columns))

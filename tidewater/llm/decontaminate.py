@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts
+from .common import texts, with_text
 
 #: Bytes of words (0-9, a-z, all above 0x7F) stay, A-Z are lower-cased, all others become blanks; offsets stay the same.
 WORD_BYTES = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -149,7 +149,7 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, shard_words: int = 2_000_000) -> DataFrame:
-    """All columns of ``docs``, with a struct ``_hits``: ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``cut``, the text without hit words.
+    """``row``, a struct with the columns of ``docs``, and ``hits``: ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``cut``, the text without hit words.
 
     ``docs`` needs ``text``; ``bench`` has ``item_id`` and ``text``. Null and empty texts have no words and no hits; null item
     ids count as an item of the name "None". ``cut`` drops each merged span from its first word's start to its last word's end.
@@ -157,7 +157,8 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, shard_wor
     spark = docs.sparkSession
     # more than one automaton only beyond shard_words; each is shipped once to an executor
     shipped = [spark.sparkContext.broadcast(a) for a in shards(bench, window, shard_words)]
-    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("_hits struct<n_words:long,n_hit:long,items:array<string>,cut:string>").fields])
+    hits_type = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, cut string")
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("hits", hits_type)])
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("cut", pa.string())])
 
     def found(text: bytes | None) -> dict:
@@ -183,22 +184,21 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, shard_wor
             hits = [found(t) for t in texts(batch)]
             for h in hits:
                 h["cut"] = None if h["cut"] is None else h["cut"].decode()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, kind)], [*batch.schema.names, "_hits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, kind)], ["row", "hits"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select(F.struct("*").alias("row"), "text").mapInArrow(run, schema)
 
 
-CONTAMINATED = "_hits.n_hit > 0 and 20 * _hits.n_hit >= _hits.n_words"
+CONTAMINATED = "hits.n_hit > 0 and 20 * hits.n_hit >= hits.n_words"
 
 
 def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    h = contamination(docs.select("doc_id", "text"), bench)
-    return h.select(
-        "doc_id",
-        "_hits.n_words",
-        "_hits.n_hit",
-        F.size("_hits.items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_hits.items", ",").cast("binary"), 256).alias("items_sha256"),
+    return contamination(docs.select("doc_id", "text"), bench).select(
+        "row.doc_id",
+        "hits.n_words",
+        "hits.n_hit",
+        F.size("hits.items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hits.items", ",").cast("binary"), 256).alias("items_sha256"),
         F.expr(CONTAMINATED).alias("contaminated"),
     )
 
@@ -208,12 +208,8 @@ def decontaminated(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
     ``n_chars``, where there is such a column, follows the text.
     """
-    h = contamination(docs, bench).where(f"not ({CONTAMINATED})")
-    hit = F.col("_hits.n_hit") > 0
-    out = {"text": F.when(hit, F.col("_hits.cut")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(hit, F.length("_hits.cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return h.withColumns(out).select(*docs.columns)
+    found = contamination(docs, bench).where(f"not ({CONTAMINATED})")
+    return with_text(found, docs, F.col("hits.n_hit") > 0, F.col("hits.cut"))
 
 
 #: The same by joining word windows.

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import with_text
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -124,14 +126,15 @@ def _random(c: EntropyClass):
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` (``text`` is scanned) with ``_base`` and ``_spans``: arrays of (start, rank, end, kind), sorted.
+    """``row``, a struct with the columns of ``docs``, ``text``, and ``base`` and ``spans``: arrays of (start, rank, end, kind), sorted.
 
     Starts and ends are in code points, ends exclusive. A null text is scanned as empty. Spans of different kinds may overlap.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
+    x = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    text = F.col("text")
     base = F.concat(*(_spans(text, i, k.name, k.pattern, k.group, k.least, k.hint) for i, k in enumerate(BASE)))
     added = F.concat(*(_spans(text, len(BASE) + i, c.name, c.pattern, 0, c.window, c.hint, _random(c)) for i, c in enumerate(CLASSES)))
-    return docs.withColumn("_base", F.array_sort(base)).withColumn("_spans", F.array_sort(F.concat("_base", added)))
+    return x.withColumn("base", F.array_sort(base)).withColumn("spans", F.array_sort(F.concat("base", added)))
 
 
 def _joined(spans: Column) -> Column:
@@ -144,23 +147,20 @@ def _is(kind: str):
 
 def digest(docs: DataFrame) -> DataFrame:
     found = scan(docs.select("doc_id", "text"))
-    n = [F.size(F.filter("_base", _is(k.name))).cast("long").alias(f"n_{k.name}") for k in BASE]
-    return found.select("doc_id", *n, F.sha2(_joined(F.col("_base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("_spans")).alias("spans"))
+    n = [F.size(F.filter("base", _is(k.name))).cast("long").alias(f"n_{k.name}") for k in BASE]
+    return found.select("row.doc_id", *n, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with every span replaced by ``[kind]``, overlapping ones by that of the first; ``n_chars`` follows where there is such a column."""
-    found = scan(docs)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, s: Column) -> Column:
-        before = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
+        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
         parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(before, F.concat(F.lit("["), s["kind"], F.lit("]"))))).otherwise(acc["parts"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
 
-    cut = F.aggregate("_spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    hit = F.size("_spans") > 0
-    found = found.withColumn("text", F.when(hit, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(hit, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return found.select(*docs.columns)
+    rest = lambda acc: F.substring(F.col("text"), acc["at"] + 1, F.length("text"))
+    cut = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), rest(acc)))
+    found = scan(docs).withColumn("cut", F.when(F.size("spans") > 0, cut))
+    return with_text(found, docs, F.col("cut").isNotNull(), F.col("cut"))

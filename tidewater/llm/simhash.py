@@ -93,13 +93,13 @@ def _compared(batch: pa.RecordBatch) -> pa.RecordBatch:
         groups = np.sort(flat[starts[sizes == k][:, None] + np.arange(k)], axis=1)
         if k <= 16:
             for i in range(k - 1):
-                near = np.bitwise_count(groups[:, i + 1 :] ^ groups[:, i : i + 1]) <= 2
+                near = np.bitwise_count((groups[:, i + 1 :] ^ groups[:, i : i + 1]).view(np.uint64)) <= 2  # of signed numbers it counts the absolute value's bits
                 g, j = near.nonzero()
                 a.append(groups[g, i])
                 b.append(groups[g, i + 1 + j])
             continue
         for g in groups:
-            near = np.bitwise_count(g[:, None] ^ g[None, :]) <= 2
+            near = np.bitwise_count((g[:, None] ^ g[None, :]).view(np.uint64)) <= 2
             root = np.arange(k)
             while True:  # the smallest root among the linked, until none changes
                 new = np.where(near, root[None, :], k).min(axis=1)
@@ -172,10 +172,10 @@ def one_of_each(docs: DataFrame, shingle: int = 3, crowd: int = 512) -> DataFram
     Rows whose whole component has null ids stay.
     """
     found = near_duplicates(docs, shingle, crowd)
-    keep = stored(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_keep")).agg((F.count("*") > 1).alias("_again")))
-    kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"))
-    once = kept.where("not _again").select(*docs.columns)
-    again = kept.where("_again").dropDuplicates(["_keep"]).select(*docs.columns)
+    keep = stored(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg((F.count("*") > 1).alias("again")))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long"))
+    kept = rows.join(keep, "doc_id")
+    once, again = kept.where("not again").select("row.*"), kept.where("again").dropDuplicates(["doc_id"]).select("row.*")
     return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
