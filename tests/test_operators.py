@@ -296,3 +296,17 @@ def test_early_score_needs_two_terms(spark):
 def test_verdicts(spark):
     x = spark.createDataFrame([([True, True], [1, 1]), ([True, True], [1, -1]), ([True, False], [1, 1]), ([True, True], [1, 0]), ([True], [1])], "a array<boolean>, d array<int>")
     assert values(x, rules.verdict(F.col("a"), F.col("d"))) == ["aligned up", "conflict", "insufficient", "no consensus", "too few modules"]
+
+
+def test_cycles_are_the_same_for_any_batches(spark):
+    rng = random.Random(9)
+    rows = [(tr, "S", "LONG", rng.random() < 0.5, float(rng.randint(1, 3)), 10.0, None if rng.random() < 0.1 else 1.0, i, i) for i in range(600) for tr in [rng.randint(0, 5)]]
+    df = spark.createDataFrame(rows, "trader long, symbol string, side string, opens boolean, qty double, price double, pnl double, time long, ordinal long")
+    for strict in (True, False):
+        want = [(k, *c) for k in range(6) for c in cycles.walk([(r[7], *r[3:7]) for r in rows if r[0] == k], strict)]
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        try:
+            got = [(r.trader, *tuple(r)[3:]) for r in cycles.cycles(df, strict).collect()]
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert sorted(map(str, got)) == sorted(map(str, want))

@@ -1,6 +1,7 @@
 """Position cycles: from the first opening order to a flat position, rebuilt from a log of orders without ids.
 
-A trader's orders of one symbol and side are one group; each group is walked in order of time.
+Orders are dealt by trader, symbol and side and sorted by time within a task, which walks them one by one: what it holds is the state of one
+position, however many orders a trader has.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
+KEY = ("trader", "symbol", "side")
 CYCLES = "trader long, symbol string, side string, opened long, closed long, turnover double, pnl double, open_notional double, adds long, kind string"
 
 
 @dataclass
-class _State:
+class _Position:
     opened: int
     trusted: bool
     qty: float = 0.0
@@ -24,75 +26,114 @@ class _State:
     adds: int = 0
 
 
-def walk(orders: list[tuple[int, bool, float, float, float | None]], strict: bool) -> Iterator[tuple]:
-    """Cycles of orders (time, opens, quantity, price, pnl) in order of time, each with its kind.
+class Cycles:
+    """Turns orders in order of time into cycles.
 
-    strict: a cycle counts only after a known flat point, the first one is "boundary"; closing more than is held drops the state
+    strict: a cycle counts only after a known flat point, the first one is "boundary"; closing more than is held drops the position
     as "unmatched". Otherwise the first cycle is trusted, and what is beyond the held quantity is clipped and reported.
     """
-    s: _State | None = None
-    flat = not strict
-    for time, opens, qty, price, pnl in orders:
+
+    def __init__(self, strict: bool):
+        self.strict, self.flat, self.now = strict, not strict, None
+
+    def feed(self, time: int, opens: bool, qty: float, price: float, pnl: float | None) -> list[tuple]:
+        s = self.now
         if opens:
-            s = s or _State(time, flat)
+            s = self.now = s or _Position(time, self.flat)
             s.qty += qty
             s.open_notional += qty * price
             s.turnover += qty * price
             s.adds += 1
-            continue
+            return []
+        unmatched = (time, time, 0.0, None, 0.0, 0, "unmatched")
         if s is None:
-            yield (time, time, 0.0, None, 0.0, 0, "unmatched")
-            continue
-        tolerance = max(1e-9, s.qty * 1e-8) if strict else max(1e-10, s.open_notional / max(price, 1e-12) * 1e-9)
+            return [unmatched]
+        tolerance = max(1e-9, s.qty * 1e-8) if self.strict else max(1e-10, s.open_notional / max(price, 1e-12) * 1e-9)
+        out = []
         if qty > s.qty + tolerance:
-            yield (time, time, 0.0, None, 0.0, 0, "unmatched")
-            if strict:
-                s, flat = None, False
-                continue
-        used = qty if strict else min(qty, s.qty)
+            out.append(unmatched)
+            if self.strict:
+                self.now, self.flat = None, False
+                return out
+        used = qty if self.strict else min(qty, s.qty)
         s.qty -= used
         s.turnover += used * price
         s.pnl = None if s.pnl is None or pnl is None else s.pnl + pnl
         if s.qty <= tolerance:
-            yield (s.opened, time, s.turnover, s.pnl, s.open_notional, s.adds, "cycle" if s.trusted else "boundary")
-            s, flat = None, True
-    if s is not None:
-        yield (s.opened, None, s.turnover, s.pnl, s.open_notional, s.adds, "open")
+            out.append((s.opened, time, s.turnover, s.pnl, s.open_notional, s.adds, "cycle" if s.trusted else "boundary"))
+            self.now, self.flat = None, True
+        return out
 
+    def end(self) -> list[tuple]:
+        s = self.now
+        return [(s.opened, None, s.turnover, s.pnl, s.open_notional, s.adds, "open")] if s else []
 
-def cycles(orders: DataFrame, strict: bool = True) -> DataFrame:
-    """Rows of ``CYCLES`` for orders (``trader, symbol, side`` LONG or SHORT, ``opens, qty, price, pnl, time, ordinal``).
 
-    Orders of one time keep the order of ``ordinal``. Orders without a positive quantity and price are left out.
-    """
+class Cost:
+    """What is left of a position at cost: a closing order reduces cost in proportion to quantity."""
 
-    def run(pdf):
-        import pandas as pd
+    def __init__(self):
+        self.qty = self.cost = 0.0
 
-        pdf = pdf.sort_values(["time", "ordinal"])
-        rows = zip(pdf.time.tolist(), pdf.opens.tolist(), pdf.qty.tolist(), pdf.price.tolist(), [None if x != x else x for x in pdf.pnl.tolist()])
-        key = (pdf.trader.iloc[0], pdf.symbol.iloc[0], pdf.side.iloc[0])
-        out = pd.DataFrame([(*key, *c) for c in walk(list(rows), strict)], columns=[f.split()[0] for f in CYCLES.split(", ")])
-        return out.astype({"closed": "Int64"})
+    def feed(self, time: int, opens: bool, qty: float, price: float, pnl: float | None) -> list[tuple]:
+        if opens:
+            self.qty, self.cost = self.qty + qty, self.cost + qty * price
+        elif self.qty > 0:
+            used = min(qty, self.qty)
+            self.qty, self.cost = self.qty - used, self.cost * (1 - used / self.qty)
+            if self.qty <= max(1e-10, used * 1e-9):
+                self.qty = self.cost = 0.0
+        return []
 
-    return orders.where("qty > 0 and price > 0").groupBy("trader", "symbol", "side").applyInPandas(run, CYCLES)
+    def end(self) -> list[tuple]:
+        return [(self.qty, self.cost)]
 
 
-def open_cost(orders: DataFrame) -> DataFrame:
-    """What is left of positions at cost: a closing order reduces cost in proportion to quantity. Rows as for ``cycles``."""
+def walk(orders: list[tuple], strict: bool) -> Iterator[tuple]:
+    """The cycles of one position's orders (time, opens, quantity, price, pnl)."""
+    c = Cycles(strict)
+    for order in orders:
+        yield from c.feed(*order)
+    yield from c.end()
 
-    def run(pdf):
+
+def _walked(orders: DataFrame, start, schema: str) -> DataFrame:
+    """Rows of ``schema``, whose first columns are ``KEY``, that a fresh ``start()`` makes of each key's orders."""
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        qty = cost = 0.0
-        for opens, q, price in pdf.sort_values(["time", "ordinal"])[["opens", "qty", "price"]].itertuples(index=False):
-            if opens:
-                qty, cost = qty + q, cost + q * price
-            elif qty > 0:
-                used = min(q, qty)
-                qty, cost = qty - used, cost * (1 - used / qty)
-                if qty <= max(1e-10, used * 1e-9):
-                    qty = cost = 0.0
-        return pd.DataFrame([(pdf.trader.iloc[0], pdf.symbol.iloc[0], pdf.side.iloc[0], qty, cost)], columns=["trader", "symbol", "side", "qty", "cost"])
-
-    return orders.where("qty > 0 and price > 0").groupBy("trader", "symbol", "side").applyInPandas(run, "trader long, symbol string, side string, qty double, cost double")
+        def table(rows: list[tuple]):
+            out = pd.DataFrame(rows, columns=names)
+            return out.astype({c: "Int64" for c in ("opened", "closed") if c in names})
+
+        key, state = None, None
+        for pdf in batches:
+            rows: list[tuple] = []
+            for *k, time, opens, qty, price, pnl in pdf[[*KEY, "time", "opens", "qty", "price", "pnl"]].itertuples(index=False):
+                if tuple(k) != key:
+                    if state:
+                        rows += [(*key, *x) for x in state.end()]
+                    key, state = tuple(k), start()
+                rows += [(*key, *x) for x in state.feed(time, opens, qty, price, None if pnl != pnl else pnl)]
+            if rows:
+                yield table(rows)
+        if state and (last := state.end()):
+            yield table([(*key, *x) for x in last])
+
+    dealt = orders.where("qty > 0 and price > 0").repartition(*KEY).sortWithinPartitions(*KEY, "time", "ordinal")
+    return dealt.mapInPandas(run, schema)
+
+
+def cycles(orders: DataFrame, strict: bool = True) -> DataFrame:
+    """Rows of ``CYCLES`` for orders (``trader, symbol, side`` LONG or SHORT, ``opens, qty, price, pnl, time, ordinal``).
+
+    Orders of one time keep the order of ``ordinal``. Orders without a positive quantity and price are left out.
+    """
+    return _walked(orders, lambda: Cycles(strict), CYCLES)
+
+
+def open_cost(orders: DataFrame) -> DataFrame:
+    """``trader, symbol, side, qty, cost``: open positions at cost. Rows as for ``cycles``."""
+    return _walked(orders, Cost, "trader long, symbol string, side string, qty double, cost double")
