@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.scalars import HOUR_MS, round_half_up
+from ..functions.scalars import HOUR_MS, round_half_up, to_number
 from ..operators import bars as b
 from ..sources import files as f
 from .registry import bars_sql, query, r
@@ -78,6 +78,24 @@ def snk_1(t):
     return src_5(t).agg(F.count("*").alias("n"))
 
 
+SNAPSHOT = "id string, cutoff long, contracts array<struct<symbol:string,family:string,ticker:struct<last:string,volume:string>,book:struct<bid:string,ask:string>>>"
+
+
+@query("src_6_snapshot_ingest", f"""SELECT p_brand AS id, p_partkey AS symbol, CASE WHEN p_partkey % 7 <> 0 THEN {r('p_retailprice', 4)} END AS last, CASE WHEN p_partkey % 5 <> 0 THEN {r('p_retailprice * 0.999::DOUBLE', 4)} END AS bid FROM part""")
+def src_6(t):
+    """Landed documents of a collector, one for each run, with what each endpoint gave for each contract; absent answers stay null."""
+    path = f.shared_folder(t.spark)
+    text = lambda c, on: F.when(on, c.cast("string"))
+    last, bid = r6(col("p_retailprice"), 4), r6(col("p_retailprice") * 0.999, 4)
+    contract = F.struct(
+        col("p_partkey").cast("string").alias("symbol"), F.lit("UM").alias("family"), F.struct(text(last, col("p_partkey") % 7 != 0).alias("last")).alias("ticker"),
+        F.when(col("p_partkey") % 5 != 0, F.struct(text(bid, F.lit(True)).alias("bid"))).alias("book"),
+    )
+    t.part.groupBy(col("p_brand").alias("id")).agg(F.collect_list(contract).alias("contracts")).write.json(path)  # a run's contracts are one document
+    x = f.ndjson(t.spark, path, SNAPSHOT).select("id", F.explode("contracts").alias("c"))
+    return x.select("id", col("c.symbol").cast("long").alias("symbol"), to_number(col("c.ticker.last")).alias("last"), to_number(col("c.book.bid")).alias("bid"))
+
+
 @query("src_7_page_requests", "SELECT symbol, \"from\", least(\"from\" + 36000000, z) AS until FROM (SELECT symbol, z, unnest(range(a, z, 36000000)) AS \"from\" FROM (SELECT event_type AS symbol, min((epoch_us(ts) // 1000)) // 3600000 * 3600000 AS a, max((epoch_us(ts) // 1000)) // 3600000 * 3600000 AS z FROM events GROUP BY 1))")
 def src_7(t):
     at = F.floor(F.unix_millis(col("ts").cast("timestamp")) / HOUR_MS) * HOUR_MS
