@@ -22,12 +22,14 @@ def weighted_mean(c: Column, w: Column) -> Column:
     return F.coalesce(F.sum(c * w) / F.nullif(F.sum(w), F.lit(0.0)), F.lit(0.0))
 
 
-def floor_quantile(c: Column, p: float) -> Column:
-    """The value at floor(p * n) of the sorted ones, without interpolation.
+def floor_quantile(df: DataFrame, key: str, value: str, p: float) -> DataFrame:
+    """``key`` and ``value``: the value at floor(p * n) of each key's sorted ones, without interpolation.
 
-    Percentiles of Spark interpolate; the exact one is at (k / (n - 1)), where the interpolation has nothing to add.
+    By ranks, so that a large key is sorted with spilling instead of being held as a list.
     """
-    return F.element_at(F.sort_array(F.collect_list(c)), F.least(F.count(c), F.floor(F.count(c) * p) + 1).cast("int"))
+    by = Window.partitionBy(key)
+    x = df.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(by.orderBy(value)).alias("_rn"), F.count("*").over(by).alias("_n"))
+    return x.where(F.col("_rn") == F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1)).select(key, value)
 
 
 def iqr(c: Column) -> Column:

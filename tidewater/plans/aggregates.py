@@ -66,7 +66,7 @@ def agg_7(t):
 
 @query("agg_7b_floor_quantile", "SELECT l_suppkey, list_sort(list(l_extendedprice))[least(count(*), CAST(floor(0.9 * count(*)) AS BIGINT) + 1)] AS p90 FROM lineitem GROUP BY 1")
 def agg_7b(t):
-    return t.lineitem.groupBy("l_suppkey").agg(a.floor_quantile(col("l_extendedprice"), 0.9).alias("p90"))
+    return a.floor_quantile(t.lineitem, "l_suppkey", "l_extendedprice", 0.9).withColumnRenamed("l_extendedprice", "p90")
 
 
 @query("agg_8_iqr", f"SELECT o_custkey, {r('quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25)', 4)} AS iqr FROM orders GROUP BY 1")
