@@ -13,19 +13,13 @@ def top_per(df: DataFrame, key: str, n: int, *order: Column | str) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
-def ranked(df: DataFrame, *order: Column | str, rank: str = "rank", by: tuple[str, ...] = ()) -> DataFrame:
-    """Positions from 1, and the share of rows before (0 for a single row)."""
+def ranked(df: DataFrame, *order: Column | str, by: tuple[str, ...], rank: str = "rank") -> DataFrame:
+    """Positions from 1 within ``by``, and the share of rows before (0 for a single row). For whole tables see ``global_rank``."""
     w, whole = Window.partitionBy(*by).orderBy(*order), Window.partitionBy(*by)
     n = F.count("*").over(whole)
     return df.withColumn(rank, F.row_number().over(w)).withColumn("percentile", F.when(n == 1, 0.0).otherwise((F.col(rank) - 1) / (n - 1)))
 
 
-def equal_bins(df: DataFrame, bins: int, *order: Column | str, name: str = "bin", by: tuple[str, ...] = ()) -> DataFrame:
-    """Bins of equal frequency whose edges are floor(b * n / bins); ``ntile`` would put the remainders first."""
-    rn, n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)), F.count("*").over(Window.partitionBy(*by))
-    return df.withColumn(name, F.floor((rn * bins - 1) / n).cast("int"))
-
-
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank", parts: int = 32) -> DataFrame:
     """Positions from 1 over the whole table, with ``_rows``, the number of rows, and no task that holds all of them.
 
