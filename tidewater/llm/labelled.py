@@ -13,15 +13,19 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_mod(doc_id, 5) == 0, F.lit(False))
 
 
+#: Tasks that share the sample, however many the documents take: each returns a vector of sums.
+TASKS = 32
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> DataFrame:
     """``doc_id``, ``text`` and ``y`` (double) of at most ``sample`` labelled ids that are not held out.
 
     The ids with the lowest hashes are taken, so the sample spreads over the table and reruns agree. An id labelled more than
     once has the mean of its labels. As the ids are at most ``sample``, they can be broadcast: the documents are read where
-    they are, and only the text of the sample is used.
+    they are, and only the text of the sample goes on, to a fixed number of tasks.
     """
     y = F.col(label).cast("double")
     known = labels.where(F.col("doc_id").isNotNull() & y.isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(y).alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")
+    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").repartition(TASKS, "doc_id")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, summed, texts
+from .common import crc_mod, slices, summed, texts
 from .labelled import held_out, training_rows
 
 STATISTICS = (
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
     rows = training_rows(docs, labels, "quality", sample).select("text", "y", (crc_mod(F.col("doc_id"), 5) == 1).alias("calibrates"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             x = pa.array([statistics(t) for t in texts(b)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([x, b.column(1), b.column(2)], ["x", "y", "calibrates"])
 
@@ -130,7 +130,7 @@ def _solved(known: DataFrame, model: QualityModel, ridge: float) -> np.ndarray:
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, n + 1))
-        for batch in batches:
+        for batch in slices(batches):
             x, y = _columns(batch)
             f = model.features(x)
             total += f.T @ np.hstack([f, y[:, None]])
@@ -166,7 +166,7 @@ def scores(docs: DataFrame, model: QualityModel | None) -> DataFrame:
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scored(b, shipped.value))], ["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
@@ -177,7 +177,7 @@ def good_enough(docs: DataFrame, labels: DataFrame, least: float = 0.3) -> DataF
     shipped = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(_scored(b, shipped.value) >= least))
 
     return docs.mapInArrow(run, docs.schema)
