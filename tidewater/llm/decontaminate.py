@@ -4,12 +4,13 @@ The automaton accepts every run of words that some test item contains. It is bui
 tasks, and the words of the documents stream through it: its state gives, at each word, the longest run ending there that
 an item contains. A run of ``window`` words or more hits the document; an item of fewer words counts as a whole.
 
-Test sets are small next to a corpus. Items are taken in shards of at most ``shard_words`` words, so that what is built
-and shipped at once is bounded; a larger test set takes more passes over the documents, whose hits are merged.
+Test sets are small next to a corpus. Items are taken in shards of at most ``shard_words`` words (or of one longer item), so that what
+is built and shipped at once is bounded; a larger test set takes more passes over the documents, which collect the spans.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import texts, with_text
+from .common import stored, with_text
 
 #: Bytes of words (0-9, a-z, all above 0x7F) stay, A-Z are lower-cased, all others become blanks; offsets stay the same.
 WORD_BYTES = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -124,18 +125,18 @@ class SuffixAutomaton:
         return spans, items
 
 
-def shards(bench: DataFrame, window: int, shard_words: int) -> list[SuffixAutomaton]:
+def shards(bench: DataFrame, window: int, shard_words: int) -> Iterator[SuffixAutomaton]:
     """Automata over the items, in order of their ids; null texts have no words and repeated rows count once."""
-    automata, now, n = [], [], 0
+    now, n = [], 0
     rows = bench.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where("text is not null").orderBy("item_id", "text").toLocalIterator()
     for item, text in rows:
         if words := words_of(bytes(text)):
             if now and n + len(words) > shard_words:
-                automata.append(SuffixAutomaton(now, window))
+                yield SuffixAutomaton(now, window)
                 now, n = [], 0
             now.append((str(item), words))
             n += len(words)
-    return [*automata, SuffixAutomaton(now, window)]
+    yield SuffixAutomaton(now, window)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -148,45 +149,54 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, shard_words: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, shard_words: int = 200_000) -> DataFrame:
     """``row``, a struct with the columns of ``docs``, and ``hits``: ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``cut``, the text without hit words.
 
     ``docs`` needs ``text``; ``bench`` has ``item_id`` and ``text``. Null and empty texts have no words and no hits; null item
     ids count as an item of the name "None". ``cut`` drops each merged span from its first word's start to its last word's end.
     """
-    spark = docs.sparkSession
-    # more than one automaton only beyond shard_words; each is shipped once to an executor
-    shipped = [spark.sparkContext.broadcast(a) for a in shards(bench, window, shard_words)]
+    so_far = docs.select(F.struct("*").alias("row"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    automata = shards(bench, window, shard_words)
+    now = next(automata)
+    for following in automata:
+        so_far, now = stored(_pass(so_far, now, last=False)), following
+    return _pass(so_far, now, last=True)
+
+
+def _pass(so_far: DataFrame, automaton: SuffixAutomaton, last: bool) -> DataFrame:
+    """The spans (starts and ends in turn) and items of one automaton, added to those so far; at last, ``hits`` instead of them."""
+    shipped = so_far.sparkSession.sparkContext.broadcast(automaton)
+    row = so_far.schema["row"]
     hits_type = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, cut string")
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("hits", hits_type)])
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("cut", pa.string())])
 
-    def found(text: bytes | None) -> dict:
-        words, spans, items = words_of(text), [], set()
-        for a in shipped:
-            s, of = a.value.hits(words)
-            spans += s
-            items |= of
-        if not spans:
-            return {"n_words": len(words), "n_hit": 0, "items": [], "cut": text}
-        import re
-
-        spans = _merged(spans)
-        at = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(WORD_BYTES))]
-        cut, last = [], 0
-        for a, b in spans:
-            cut.append(text[last : at[a][0]])
-            last = at[b - 1][1]
-        return {"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(items), "cut": b"".join([*cut, text[last:]])}
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits = [found(t) for t in texts(batch)]
-            for h in hits:
-                h["cut"] = None if h["cut"] is None else h["cut"].decode()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, kind)], ["row", "hits"])
-
-    return docs.select(F.struct("*").alias("row"), "text").mapInArrow(run, schema)
+            rows = batch.column(0)
+            found = []
+            for text, spans, items in zip(rows.field("text").cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = words_of(text)
+                more, of = shipped.value.hits(words)
+                found.append((text, words, [*zip(spans[::2], spans[1::2]), *more], of.union(items)))
+            if last:
+                yield pa.RecordBatch.from_arrays([rows, pa.array([_hits(*f) for f in found], kind)], ["row", "hits"])
+            else:
+                spans = [[x for span in f[2] for x in span] for f in found]
+                yield pa.RecordBatch.from_arrays([rows, pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(f[3]) for f in found], pa.list_(pa.string()))], ["row", "spans", "items"])
+
+    return so_far.mapInArrow(run, T.StructType([row, T.StructField("hits", hits_type)]) if last else so_far.schema)
+
+
+def _hits(text: bytes | None, words: list[bytes], spans: list[tuple[int, int]], items: set[str]) -> dict:
+    if not spans:
+        return {"n_words": len(words), "n_hit": 0, "items": [], "cut": None if text is None else text.decode()}
+    spans = _merged(spans)
+    at = [m.span() for m in re.finditer(rb"[^ ]+", text.translate(WORD_BYTES))]
+    cut, end = [], 0
+    for a, b in spans:
+        cut.append(text[end : at[a][0]])
+        end = at[b - 1][1]
+    return {"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(items), "cut": b"".join([*cut, text[end:]]).decode()}
 
 
 CONTAMINATED = "hits.n_hit > 0 and 20 * hits.n_hit >= hits.n_words"
