@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import summed, texts
+from .common import stored, summed, texts
 from .labelled import held_out, training_rows
 
 BITS = 18
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, features: int
 
     The driver fits on what is left of the sample: of each row the buckets among the ``features`` of largest ratio.
     """
-    rows = training_rows(docs, labels, "toxic", sample)
+    rows = stored(training_rows(docs, labels, "toxic", sample))  # read twice
     p, q, n_p, n_q = _counts(rows)
     if not n_p or not n_q:
         return None
