@@ -77,6 +77,15 @@ def _edges(every: np.ndarray, partitions: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(every, np.array(limits, np.uint64)), [len(every)]]).astype(np.int64)
 
 
+def _packed(rising: np.ndarray) -> bytes:
+    """Sorted hashes as the steps between them, all first bytes first: the high ones are mostly zero, and Spark compresses them."""
+    return np.diff(rising, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
+
+
 def backoff_scores(docs: DataFrame, order: int = 2, min_count: int = 2, factor: float = 0.4, chunk_bytes: int = 4 << 20, partition_grams: int = 1_000_000) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_seen`` (words scored with a context) and ``log10_score`` of every row, over whole texts.
 
@@ -94,11 +103,12 @@ def backoff_scores(docs: DataFrame, order: int = 2, min_count: int = 2, factor:
         every, counts, _ = _distinct(position, grams)
         edges = _edges(every, partitions)
         full = np.flatnonzero(np.diff(edges)).tolist()
-        parts = [(every[edges[p] : edges[p + 1]].tobytes(), counts[edges[p] : edges[p + 1]].astype(np.uint32).tobytes()) for p in full]
+        starts = [np.uint64(-(-(p << 64) // partitions)) for p in full]
+        parts = [(_packed(every[edges[p] : edges[p + 1]] - start), counts[edges[p] : edges[p + 1]].astype(np.uint32).tobytes()) for p, start in zip(full, starts)]
         return pa.table({"part": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "grams": pa.array([g for g, _ in parts], pa.binary()), "counts": pa.array([c for _, c in parts], pa.binary())})
 
     def added(t: pa.Table) -> pa.Table:
-        of = [np.frombuffer(g, np.uint64) for g in t.column("grams").to_pylist()]
+        of = [_unpacked(g) for g in t.column("grams").to_pylist()]
         counts = np.concatenate([np.frombuffer(c, np.uint32) for c in t.column("counts").to_pylist()])
         _, inverse = np.unique(np.concatenate(of), return_inverse=True)
         total = np.bincount(inverse, counts)[inverse].astype(np.uint64)
