@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, with_text
+from .common import slices, stored, with_text
 
 #: Bytes of words (0-9, a-z, all above 0x7F) stay, A-Z are lower-cased, all others become blanks; offsets stay the same.
 WORD_BYTES = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -171,7 +171,7 @@ def _pass(so_far: DataFrame, automaton: SuffixAutomaton, last: bool) -> DataFram
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("cut", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):  # the words of all its rows are held
             rows = batch.column(0)
             found = []
             for text, spans, items in zip(rows.field("text").cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
