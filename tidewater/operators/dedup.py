@@ -22,7 +22,8 @@ def clean_posts(posts: DataFrame, now_ms: int, window_ms: int) -> DataFrame:
     """Posts (``id, author, symbol, text, at, duplicate_of, ordinal``) inside the window, without repeats of an id or of an author's text.
 
     Ids are told apart first, then texts: in the order of ``ordinal``. A post that is dropped for its id so never blocks another by its text.
+    Texts are compared whole, by the SHA-256 of what they are without case and runs of blanks.
     """
     text = F.lower(F.regexp_replace(F.btrim("text"), r"\s+", " "))
-    x = posts.withColumn("_text", text).where((F.col("at") <= now_ms) & (F.col("at") >= now_ms - window_ms) & F.col("duplicate_of").isNull() & (F.col("_text") != ""))
+    x = posts.where((F.col("at") <= now_ms) & (F.col("at") >= now_ms - window_ms) & F.col("duplicate_of").isNull() & (text != "")).withColumn("_text", F.sha2(text.cast("binary"), 256))
     return keep_first(keep_first(x, ["id"], "ordinal"), ["author", "symbol", "_text"], "ordinal").drop("_text")
