@@ -2,7 +2,8 @@
 
 Base spans are those of three patterns. The method adds candidate strings (runs of one character class) that have a window of
 high Shannon entropy: a window slides over the string; of the sum of n log2 n over its characters' counts only the terms of the
-leaving and the entering character are changed. Candidates that an allow-list knows as harmless are suppressed.
+leaving and the entering character are changed. What an allow-list knows as harmless is taken out of a candidate first; what is left
+to both sides of it is judged for itself.
 """
 
 from __future__ import annotations
@@ -46,10 +47,11 @@ class EntropyClass:
     hint: str
 
 
-#: Random digits of base 16 reach about 3.3 bits in 24 characters, those of base 64 about 4.2; words of one case stay near 3.4.
+#: Random digits of base 16 reach about 3.3 bits in 24 characters, those of base 32 and 36 about 4, those of base 64 about 4.2; words of one case stay near 3.4.
 CLASSES = (
     EntropyClass("entropy_hex", r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}(?![0-9A-Za-z])", 24, 3.0, ("[0-9]", "[A-Fa-f]"), r"[0-9A-Fa-f]{24}"),
-    EntropyClass("entropy_base64", r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])", 24, 3.9, ("[0-9]", "[A-Z]", "[a-z]"), r"[A-Za-z0-9+/_-]{24}"),
+    EntropyClass("entropy_base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_-])", 24, 3.9, ("[0-9]", "[A-Z]", "[a-z]"), r"[A-Za-z0-9+/_-]{24}"),
+    EntropyClass("entropy_one_case", r"(?<![0-9A-Za-z])(?:[0-9a-z]{24,}|[0-9A-Z]{24,})(?![0-9A-Za-z])", 24, 3.55, ("[0-9]", "[A-Za-z]"), r"[0-9a-z]{24}|[0-9A-Z]{24}"),
 )
 #: Strings of high entropy that are no secrets: alphabets and counting rows, placeholders, paths and file names.
 ALLOWED = r"(?i)abcdefgh|bcdefghi|01234567|12345678|qwertyui|example|placeholder|changeme|x{6}|0{8}|f{8}|/(?:usr|home|var|etc|static|assets|images|wp-content)/"
@@ -116,13 +118,13 @@ def has_random_window(text: Column, window: int, bits: float) -> Column:
 
 
 def _random(c: EntropyClass):
-    def test(found: Column) -> Column:
-        ok = ~found.rlike(ALLOWED)
+    def test(part: Column) -> Column:
+        ok = F.length(part) >= c.window
         for need in c.needs:
-            ok = ok & found.rlike(need)
-        return ok & has_random_window(found, c.window, c.bits)
+            ok = ok & part.rlike(need)
+        return ok & has_random_window(part, c.window, c.bits)
 
-    return test
+    return lambda found: F.exists(F.split(found, ALLOWED, -1), test)
 
 
 def scan(docs: DataFrame) -> DataFrame:
