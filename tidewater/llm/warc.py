@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, stored
 
 LEAST_BYTES = 1000
 _DATE = "2024-01-01T00:00:00Z"
@@ -26,17 +26,37 @@ RECORDS = (
 )
 
 
+def _tag(salt: Column, copy: Column) -> Column:
+    """Tells apart the captures of a ``page_id`` that is null or occurs more than once."""
+    return F.sha1(F.to_json(F.struct("url", "sha1", salt.cast("long").alias("salt"), copy.cast("long").alias("copy"))).cast("binary"))
+
+
 def plan(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """``page_id``, ``url``, ``html``, its UTF-8 size and SHA-1, and ``same_as``: for payloads of ``least_bytes`` and more the largest page of that payload.
+    """``page_id``, ``url``, ``html``, its UTF-8 size and SHA-1, ``tag``, and ``same_as``, ``same_tag``: for payloads of ``least_bytes`` and more the largest page of that payload.
 
     Null html counts as empty. The largest page of a digest is a maximum that tasks combine before it is shuffled; what is joined
     back are the digests that occur more than once, and Spark splits those that hold many pages.
+
+    ``tag`` is null where a page_id occurs once. Other rows, those without an id too, are numbered among their equals, which tasks count before
+    they are shuffled; rows without an id are counted by the task that reads them, so that they stay spread.
     """
     body = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select(F.col("page_id").cast("long"), "url", body.alias("html"), F.octet_length(body).cast("long").alias("n"), F.sha1(body.cast("binary")).alias("sha1"))
-    large = p.where(F.col("n") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("same_as"), F.count("*").alias("copies"))
+    known, nameless = p.where(F.col("page_id").isNotNull()), p.where(F.col("page_id").isNull())
+    # mostly few or none, and then broadcast: stored, the planner knows their number
+    repeated = stored(known.groupBy("page_id").count().where("count > 1").select("page_id"))
+    once = known.join(repeated, "page_id", "left_anti").withColumn("tag", F.lit(None).cast("string"))
+    more = known.join(repeated, "page_id", "left_semi").withColumn("salt", F.lit(0)).unionByName(nameless.withColumn("salt", F.spark_partition_id()))
+    copies = more.groupBy("page_id", "url", "n", "sha1", "salt").agg(F.first("html").alias("html"), F.count("*").alias("copies"))
+    numbered = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("tag", _tag(F.col("salt"), F.col("copy")))
+    every = once.unionByName(numbered.drop("salt", "copies", "copy"))
+    # of the largest page, the first of the rows with the greatest url stands for the payload
+    largest = F.max(F.struct("page_id", "url"))
+    large = p.where(F.col("n") >= least_bytes).groupBy("sha1").agg(largest.alias("x"), F.count("*").alias("copies")).where("copies > 1").select("sha1", F.col("x.page_id").alias("same_as"), "x.url")
+    large = large.join(repeated.withColumn("again", F.lit(True)), F.col("same_as") == F.col("page_id"), "left")
+    large = large.select("sha1", "same_as", F.when(F.col("again"), _tag(F.lit(0), F.lit(1))).alias("same_tag"))
     # payloads that occur once need no join: only the digests of the others are kept
-    return p.join(large.where("copies > 1").drop("copies"), "sha1", "left")
+    return every.join(large, "sha1", "left")
 
 
 def _record(kind: Column, record_id: Column, headers: list[Column], block: Column, content_type: str) -> Column:
@@ -45,25 +65,26 @@ def _record(kind: Column, record_id: Column, headers: list[Column], block: Colum
     return F.concat(F.concat_ws("\r\n", *lines), F.lit("\r\n\r\n"), block, F.lit("\r\n\r"))  # and the sink's "\n"
 
 
-def _urn(page: Column, part: str) -> Column:
-    return F.concat(F.lit("urn:page:"), F.coalesce(page.cast("string"), F.lit("null")), F.lit(f":{part}"))
+def _urn(page: Column, tag: Column, part: str) -> Column:
+    return F.concat(F.lit("urn:page:"), F.concat_ws(":", F.coalesce(page.cast("string"), F.lit("null")), tag, F.lit(part)))
 
 
 def records(planned: DataFrame) -> DataFrame:
-    """``value``: the text of each record, three for each page."""
-    page, main = F.col("page_id"), _urn(F.col("page_id"), "response")
+    """``value``: the text of each record, three for each row."""
+    page, tag = F.col("page_id"), F.col("tag")
+    main = _urn(page, tag, "response")
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
     uri = F.concat(F.lit("WARC-Target-URI: "), url)
     with_main = F.concat(F.lit("WARC-Concurrent-To: <"), main, F.lit(">"))
     revisit = F.coalesce(F.col("same_as") != page, F.lit(False))
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1"))
-    refers = F.when(revisit, F.concat(F.lit("WARC-Refers-To: <"), _urn(F.col("same_as"), "response"), F.lit(">")))
+    refers = F.when(revisit, F.concat(F.lit("WARC-Refers-To: <"), _urn(F.col("same_as"), F.col("same_tag"), "response"), F.lit(">")))
     profile = F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))
     block = F.when(revisit, F.lit(head)).otherwise(F.concat(F.lit(head), "html"))
     main_record = _record(F.when(revisit, F.lit("revisit")).otherwise(F.lit("response")), main, [uri, digest, refers, profile], block, "application/http;msgtype=response")
-    request = _record(F.lit("request"), _urn(page, "request"), [uri, with_main], F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1\r\n\r\n")), "application/http;msgtype=request")
-    metadata = _record(F.lit("metadata"), _urn(page, "metadata"), [uri, with_main], F.concat(F.lit("payloadBytes: "), F.col("n").cast("string"), F.lit("\r\n")), "application/warc-fields")
+    request = _record(F.lit("request"), _urn(page, tag, "request"), [uri, with_main], F.concat(F.lit("GET "), url, F.lit(" HTTP/1.1\r\n\r\n")), "application/http;msgtype=request")
+    metadata = _record(F.lit("metadata"), _urn(page, tag, "metadata"), [uri, with_main], F.concat(F.lit("payloadBytes: "), F.col("n").cast("string"), F.lit("\r\n")), "application/warc-fields")
     return planned.select(F.explode(F.array(request, main_record, metadata)).alias("value"))
 
 
@@ -153,7 +174,7 @@ def resolved(captures: DataFrame) -> DataFrame:
 def digest(pages: DataFrame) -> DataFrame:
     """What is read back from the archives of ``pages``, by page.
 
-    Pages are told apart by ``page_id``, which has to be unique; rows that repeat one come back as one capture. Null and empty
+    Every row is a capture of its own: rows that repeat a ``page_id`` or have none come back as often as they occur. Null and empty
     html are responses of 0 bytes; a null ``page_id`` comes back as null. An empty table gives an empty result.
     """
     spark, path = pages.sparkSession, shared_folder(pages.sparkSession)
