@@ -147,9 +147,9 @@ def backoff_scores(docs: DataFrame, order: int = 2, min_count: int = 2, factor:
     return out.select("doc_id", "n_words", "n_seen", log10_score.alias("log10_score"))
 
 
-def digest(docs: DataFrame) -> DataFrame:
+def digest(docs: DataFrame, order: int = 2) -> DataFrame:
     """Scores by document, and for each word on average, rounded to six digits."""
-    s = backoff_scores(docs)
+    s = backoff_scores(docs, order)
     each = F.when(F.col("n_words") > 0, F.round(F.col("log10_score") / F.col("n_words"), 6)).otherwise(0.0)
     return s.select("doc_id", "n_words", "n_seen", F.round("log10_score", 4).alias("log10_score"), each.alias("log10_per_word"))
 
@@ -172,3 +172,25 @@ SELECT doc_id, len(w) AS n_words, coalesce(g.seen, 0) AS n_seen, round(coalesce(
        CASE WHEN len(w) > 0 THEN round(g.l / len(w), 6) ELSE 0.0 END AS log10_per_word
 FROM d LEFT JOIN (SELECT rid, CAST(count(*) FILTER (seen) AS BIGINT) AS seen, sum(l) AS l FROM s GROUP BY rid) g USING (rid)
 """
+
+#: The same for three orders.
+TRIGRAM_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+t AS (SELECT rid, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a FROM (SELECT rid, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+one AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+two AS (SELECT b, c, count(*) AS n FROM t WHERE b IS NOT NULL GROUP BY b, c),
+three AS (SELECT a, b, c, count(*) AS n FROM t WHERE a IS NOT NULL GROUP BY a, b, c HAVING count(*) >= 2),
+s AS (
+  SELECT rid, three.n IS NOT NULL OR coalesce(bc.n >= 2, false) AS seen,
+         CASE WHEN three.n IS NOT NULL THEN log10(three.n) - log10(ab.n)
+              WHEN bc.n >= 2 THEN log10(bc.n) - log10(p.n) + CASE WHEN t.a IS NOT NULL THEN log10(0.4) ELSE 0 END
+              ELSE log10(o.n) - log10((SELECT count(*) FROM t)) + CASE WHEN t.a IS NOT NULL THEN 2 WHEN t.b IS NOT NULL THEN 1 ELSE 0 END * log10(0.4) END AS l
+  FROM t JOIN one o ON t.c = o.c LEFT JOIN one p ON t.b = p.c LEFT JOIN two bc ON t.b = bc.b AND t.c = bc.c
+  LEFT JOIN two ab ON t.a = ab.b AND t.b = ab.c LEFT JOIN three ON t.a = three.a AND t.b = three.b AND t.c = three.c)
+SELECT doc_id, len(w) AS n_words, coalesce(g.seen, 0) AS n_seen, round(coalesce(g.l, 0), 4) AS log10_score,
+       CASE WHEN len(w) > 0 THEN round(g.l / len(w), 6) ELSE 0.0 END AS log10_per_word
+FROM d LEFT JOIN (SELECT rid, CAST(count(*) FILTER (seen) AS BIGINT) AS seen, sum(l) AS l FROM s GROUP BY rid) g USING (rid)
+"""

@@ -16,6 +16,10 @@ def op2_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_backoff_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.digest(table(spark, sf_dir, "documents"), order=3)
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,8 +54,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_backoff, op3_decontaminate, op4_mixing, op5_secrets, op6_gif, op7_toxicity, op8_warc, op9_language, op10_simhash)
+    for f in (op1_quality, op2_backoff, op2_backoff_trigrams, op3_decontaminate, op4_mixing, op5_secrets, op6_gif, op7_toxicity, op8_warc, op9_language, op10_simhash)
 }
 
 #: Models, images, fingerprints, schedules and spans are tested against brute force instead.
-ORACLE_SQL = {"op2_backoff": backoff.ORACLE_SQL, "op3_decontaminate": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op2_backoff": backoff.ORACLE_SQL, "op2_backoff_trigrams": backoff.TRIGRAM_SQL, "op3_decontaminate": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
