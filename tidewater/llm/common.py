@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,8 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share; a temporary one where that is unset (tests)."""
+    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where that is unset a temporary folder serves a local master (tests); on a cluster it would be a folder of one machine, so that is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(base or tempfile.mkdtemp(prefix='spark-tidewater-')).rstrip('/')}/tidewater-{uuid.uuid4().hex}"
 
 
@@ -39,6 +45,24 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def rows_in(df: DataFrame, each: int) -> int:
+    """How many partitions of about ``each`` rows a ``stored`` table fills (its files know their number of rows)."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // each))
+
+
+def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` stored with an id for each row, repeated ones too, that stays the same whenever the table is read."""
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``docs`` is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id's decimal text, modulo n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n

@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, per_batch, stored, texts
+from .common import forget, per_batch, rows_in, stored, texts
 
 #: Shingles whose bits are unpacked at once, 64 bytes for each.
 BLOCK = 50_000
+#: Fingerprints that one task replicates, to up to 32 anchors each.
+TASK_PRINTS = 20_000
 
 
 def _print_of(text: bytes | None, size: int) -> int:
@@ -49,16 +51,16 @@ def _print_of(text: bytes | None, size: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id`` and ``fp`` (long) of every row; a null or blank text has fingerprint zero.
+    """``doc_id``, ``fp`` (long) and ``h``, a hash of the text, of every row; a null or blank text has fingerprint zero.
 
     A-Z are lower-cased, words are runs of anything but 0x20 and 0x09-0x0D, a text of fewer words than a shingle is one
     shingle, repeats count, and a bit is set if it is set in over half of the shingles' XXH64 (seed 42).
     """
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_print_of(t, shingle) for t in texts(batch)], pa.int64())], ["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_print_of(t, shingle) for t in texts(batch)], pa.int64()), batch.column(2)], ["doc_id", "fp", "h"])
 
-    return per_batch(docs.select(F.col("doc_id").cast("long"), "text"), f, "doc_id long, fp long")
+    return per_batch(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")), f, "doc_id long, fp long, h long")
 
 
 def _anchors(fp: Column, half: int) -> Column:
@@ -114,11 +116,12 @@ def _compared(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def links(prints: DataFrame, crowd: int = 512) -> DataFrame:
-    """Links ``a``, ``b`` between distinct fingerprints ``fp``, each at most two bits apart, that connect all that are linked.
+    """Pairs ``a``, ``b`` of distinct fingerprints ``fp`` that connect exactly those that links of two bits or fewer connect.
 
-    Sets that are linked within an anchor are given as stars, not as all their pairs.
+    A set that is connected within an anchor or a point is given as a star around its smallest member, not as all its pairs, so the two of
+    a pair can be further apart than two bits.
     """
-    at = replicated(prints)
+    at = replicated(prints.repartition(rows_in(prints, TASK_PRINTS)))
     crowded = stored(at.groupBy("anchor").count().where(F.col("count") > crowd).select("anchor"))
     calm = at.join(crowded, "anchor", "left_anti").groupBy("anchor").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     found = per_batch(calm.select("fps"), _compared, "a long, b long")
@@ -130,15 +133,15 @@ def links(prints: DataFrame, crowd: int = 512) -> DataFrame:
     return found.unionByName(hubs).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node that it is connected to, for all nodes of ``edges`` (``a``, ``b``).
 
-    Each round takes the smallest root among the neighbours and then the root's root, so long chains shorten fast; every
-    round is written to the shared folder, and the driver only learns how many roots changed.
+    Each round takes the smallest root among the neighbours and then the root's root, so long chains shorten fast; rounds end when no root
+    changes, as they must: roots only get smaller. Every round is written to the shared folder, and the driver only learns whether one changed.
     """
     both = stored(edges.union(edges.select("b", "a")).toDF("node", "other").distinct())
     roots = stored(both.groupBy("node").agg(F.min("other").alias("low")).select("node", F.least("node", "low").alias("root")))
-    for _ in range(rounds):
+    while True:
         near = both.join(roots.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("root").alias("low"))
         hooked = roots.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "low").alias("via"))
         jump = roots.select(F.col("node").alias("via"), F.col("root").alias("next"))
@@ -147,8 +150,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         forget(roots)
         roots = new.select("node", "root")
         if not changed:
+            forget(both)
             return roots
-    raise RuntimeError(f"components are still joining after {rounds} rounds")
+
+
+def _grouped(docs: DataFrame, shingle: int, crowd: int) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of all rows, and for each distinct one ``fp`` its ``root``, the smallest of its component, and the least id there."""
+    prints = stored(fingerprints(docs, shingle))
+    merged = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = components(links(merged.select("fp"), crowd)).withColumnRenamed("node", "fp")
+    return prints, merged.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = 512) -> DataFrame:
@@ -156,30 +167,35 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, crowd: int = 512) -> Data
 
     ``component_id`` is the smallest ``doc_id`` that can be reached over links, its own included. Null ids are kept and
     never win unless all of a component are null (then null). Blank and null texts share fingerprint zero and are linked
-    like any other. Repeated rows stay repeated. An empty table gives an empty result.
+    like any other. Repeated rows stay repeated. Texts are read whole, however long. An empty table gives an empty result.
     """
-    prints = stored(fingerprints(docs, shingle))
-    merged = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = components(links(merged.select("fp"), crowd)).withColumnRenamed("node", "fp")
-    rooted = merged.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    prints, rooted = _grouped(docs, shingle, crowd)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, crowd: int = 512) -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each component the row of the smallest id, once even if it repeats.
+    """The rows of ``docs`` without near-duplicates: of each component exactly one row.
 
-    Rows whose whole component has null ids stay.
+    It is that of the smallest id; a null id comes after all others, so of a component without ids one row stays too. Rows that share an id
+    but not a text are documents of their own: each is judged within its own component, and among rows of one id in one component the least hash of
+    the text decides. Of rows that repeat both, the one with the least hash of the whole row stays, so that reruns agree. Columns of any
+    name are kept, blank and null texts are near-duplicates of each other, and an empty table gives an empty result.
     """
-    found = near_duplicates(docs, shingle, crowd)
-    keep = stored(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg((F.count("*") > 1).alias("again")))
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long"))
-    # one plan for all sizes: both sides shuffled by id, and the ids, a hundredth of the texts, hashed; texts are not sorted
-    kept = rows.join(keep.hint("shuffle_hash"), "doc_id")
-    once, again = kept.where("not again").select("row.*"), kept.where("again").dropDuplicates(["doc_id"]).select("row.*")
-    return once.unionByName(again).unionByName(docs.where(F.col("doc_id").isNull()))
+    prints, rooted = _grouped(docs, shingle, crowd)
+    # brought to one row for each fingerprint before the join, so that a large group of copies is many partial minima and no large key
+    first_of = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h", F.col("count").alias("n"))).alias("x")
+    of_print = prints.groupBy("fp", "doc_id", "h").count().groupBy("fp").agg(first_of)
+    first = of_print.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("x").alias("x"))
+    keep = stored(first.select(F.coalesce("x.doc_id", F.lit(0)).alias("_id"), F.col("x.nameless").alias("_nameless"), F.col("x.h").alias("_h"), (F.col("x.n") > 1).alias("again")))
+    row = F.struct("*")
+    rows = docs.select(row.alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_nameless"), F.xxhash64("text").alias("_h"))
+    # one plan for all sizes: both sides shuffled by key, and the keys, a hundredth of the texts, hashed; texts are not sorted
+    kept = rows.join(keep.hint("shuffle_hash"), ["_id", "_nameless", "_h"])
+    once, again = kept.where("not again"), kept.where("again").groupBy("_id", "_nameless", "_h").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.select("row.*").unionByName(again.select("row.*"))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """``doc_id``, the fingerprint as 16 hex digits, ``component_id``."""
+    """``doc_id``, the fingerprint as 16 hex digits and ``component_id``, for each row of what ``near_duplicates`` found."""
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
