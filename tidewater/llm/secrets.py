@@ -8,6 +8,7 @@ to both sides of it is judged for itself.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -57,24 +58,43 @@ CLASSES = (
 ALLOWED = r"(?i)abcdefgh|bcdefghi|01234567|12345678|qwertyui|example|placeholder|changeme|x{6}|0{8}|f{8}|/(?:usr|home|var|etc|static|assets|images|wp-content)/"
 
 
+#: Matches and characters that are folded at a time: what a fold appends to stays short.
+PART = 256
+
+
+def _given(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _parts(items: Column, size: int = PART) -> Column:
+    """An array cut into arrays of ``size`` items."""
+    firsts = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.lit(size)))
+    return F.transform(F.coalesce(firsts, F.array().cast("array<int>")), lambda i: F.slice(items, i, F.lit(size)))
+
+
 def _matches(text: Column, pattern: str, group: int) -> Column:
     """array<struct<start, end, found, size>> of the matches of a pattern, left to right, in code points.
 
     What lies between the matches comes from split, what they are from regexp_extract_all, so each starts where the
-    lengths before it add up to.
+    lengths before it add up to. They are added up in parts, so that the time is in proportion to the number of matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     between = F.slice(F.split(text, pattern, -1), 1, F.greatest(F.size(found), F.lit(1)))
-    zipped = F.arrays_zip(between.alias("gap"), found.alias("found"), sized.alias("sized"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string,size:int>>").alias("spans"))
+    zipped = F.arrays_zip(between.alias("gap"), found.alias("found"))
+    spans = "array<struct<start:int,end:int,found:string,size:int>>"
+    sized = lambda m: F.length(F.regexp_extract(m["found"], pattern, group) if group else m["found"])
 
     def step(acc: Column, m: Column) -> Column:
         a = acc["at"] + F.length(m["gap"])
         b = a + F.coalesce(F.length(m["found"]), F.lit(0))
-        return F.struct(b.alias("at"), F.concat(acc["spans"], F.array(F.struct(a.alias("start"), b.alias("end"), m["found"].alias("found"), F.length(m["sized"]).alias("size")))).alias("spans"))
+        return F.struct(b.alias("at"), F.concat(acc["spans"], F.array(F.struct(a.alias("start"), b.alias("end"), m["found"].alias("found"), sized(m).alias("size")))).alias("spans"))
+
+    def part(acc: Column, ms: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(spans).alias("spans"))
+        return _given(F.aggregate(ms, start, step), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["parts"], F.array(x["spans"])).alias("parts")))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["spans"])
+    return _given(zipped, lambda z: F.aggregate(_parts(z), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{spans}>").alias("parts")), part, lambda acc: F.flatten(acc["parts"])))
 
 
 _NO_SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -86,35 +106,45 @@ def _spans(text: Column, rank: int, name: str, pattern: str, group: int, least:
     return F.when(text.rlike(hint), spans).otherwise(F.array().cast(_NO_SPANS)).cast(_NO_SPANS)
 
 
-def _term(n: Column) -> Column:
-    return F.when(n > 0, n * F.log2(n)).otherwise(0.0)
-
-
-def _count(text: Column, char: Column) -> Column:
-    return (F.length(text) - F.length(F.replace(text, char, F.lit("")))).cast("double")
+#: Where each character's count is kept in ``counts``; one position more is for all other characters.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 
 
 def has_random_window(text: Column, window: int, bits: float) -> Column:
-    """Whether some ``window`` characters in a row have an entropy of ``bits`` or more (false for shorter strings).
+    """Whether some ``window`` (at most 90) characters in a row have an entropy of ``bits`` or more; false for shorter strings.
 
-    entropy = log2(w) - S / w with S the sum of n log2 n, which the first window gets by counting each character. A step takes
-    the leaving character's term for one less and the entering one's for one more, counted in the w - 1 that both windows share.
+    One fold over the characters carries the window's characters, their counts and S, the sum of n log2 n over the counts: entropy is
+    log2(w) - S / w. An entering and a leaving character change one count and one term each. The counts are a string with a character
+    for each of the alphabet, "!" and n characters further for a count of n. Characters are read in parts, so that time grows
+    with the length and memory stays bounded.
     """
-    w = float(window)
-    first = F.substring(text, 1, window)
-    whole = F.aggregate(F.array_distinct(F.split(first, "")), F.lit(0.0), lambda s, c: s + _term(_count(first, c)))
-    most = F.lit(w) * (F.log2(F.lit(w)) - F.lit(bits))  # the largest S that is random enough
-
-    def step(acc: Column, i: Column) -> Column:
-        shared = F.substring(text, i + 1, F.lit(window - 1))
-        out, new = F.substring(text, i, F.lit(1)), F.substring(text, i + window, F.lit(1))
-        n_out, n_new = _count(shared, out), _count(shared, new)
-        s = acc["s"] - _term(n_out + 1) + _term(n_out) + _term(n_new + 1) - _term(n_new)
-        return F.struct(s.alias("s"), F.least(acc["low"], s).alias("low"))
-
-    steps = F.when(F.length(text) > window, F.sequence(F.lit(1), F.length(text) - window)).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(steps, F.struct(whole.alias("s"), whole.alias("low")), step, lambda acc: acc["low"])
-    return (F.length(text) >= window) & (low <= most + 1e-9)
+    most = window * (math.log2(window) - bits) + 1e-9  # the largest S that is random enough
+    # by count (and one), what one more adds to S
+    rise = F.array(*(F.lit((n + 1) * math.log2(n + 1) - (n * math.log2(n) if n else 0.0)) for n in range(window + 1)))
+    place = lambda c: F.coalesce(F.nullif(F.instr(F.lit(ALPHABET), c), F.lit(0)), F.lit(len(ALPHABET) + 1))
+    code = lambda counts, at: F.ascii(F.substring(counts, at, F.lit(1)))
+    put = lambda counts, at, code: F.overlay(counts, F.char(code), at, F.lit(1))
+
+    def step(acc: Column, c: Column) -> Column:
+        """A character enters and, if the window is full, its first one leaves; as long as it is not, nothing is judged."""
+        full = F.length(acc["held"]) >= window
+        gone = F.substring(acc["held"], F.lit(1), F.lit(1))
+        without = F.when(full, _given(place(gone), lambda at: _given(code(acc["counts"], at), lambda n: F.struct(put(acc["counts"], at, n - 1).alias("counts"), (acc["s"] - F.get(rise, n - 34)).alias("s")))))
+        without = F.coalesce(without, F.struct(acc["counts"].alias("counts"), acc["s"].alias("s")))
+
+        def entered(x: Column) -> Column:
+            held = F.concat(F.when(full, F.substring(acc["held"], F.lit(2), F.lit(window))).otherwise(acc["held"]), c)
+            return _given(place(c), lambda at: _given(code(x["counts"], at), lambda n: F.struct(held.alias("held"), put(x["counts"], at, n + 1).alias("counts"), (x["s"] + F.get(rise, n - 33)).alias("s"))))
+
+        judged = lambda x: F.struct(x["held"].alias("held"), x["counts"].alias("counts"), x["s"].alias("s"), ((F.length(x["held"]) >= window) & (x["s"] <= most)).alias("found"))
+        same = full & (gone == c)  # one of it leaves and one enters
+        turned = F.struct(F.concat(F.substring(acc["held"], F.lit(2), F.lit(window)), c).alias("held"), acc["counts"].alias("counts"), acc["s"].alias("s"), acc["found"].alias("found"))
+        return F.when(acc["found"], acc).when(same, turned).otherwise(_given(_given(without, entered), judged))
+
+    start = F.struct(F.lit("").alias("held"), F.lit("!" * (len(ALPHABET) + 1)).alias("counts"), F.lit(0.0).alias("s"), F.lit(False).alias("found"))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    piece = lambda acc, p: F.when(acc["found"], acc).otherwise(F.aggregate(F.split(p, ""), acc, step))
+    return (F.length(text) >= window) & F.aggregate(pieces, start, piece, lambda acc: acc["found"])
 
 
 def _random(c: EntropyClass):
@@ -130,7 +160,9 @@ def _random(c: EntropyClass):
 def scan(docs: DataFrame) -> DataFrame:
     """``row``, a struct with the columns of ``docs``, ``text``, and ``base`` and ``spans``: arrays of (start, rank, end, kind), sorted.
 
-    Starts and ends are in code points, ends exclusive. A null text is scanned as empty. Spans of different kinds may overlap.
+    Starts and ends are in code points, ends exclusive. A null text is scanned as empty, a text of any length as a whole, in time that grows
+    with it. Spans of different kinds may overlap. Spans of one start are listed by kind. Repeated rows come back as often as they occur,
+    columns of any name stay inside ``row``, and an empty table gives an empty result.
     """
     x = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     text = F.col("text")
@@ -148,21 +180,42 @@ def _is(kind: str):
 
 
 def digest(docs: DataFrame) -> DataFrame:
+    """``doc_id``, the numbers of base spans by kind, the hash of their list, and all spans, for each row of ``docs``."""
     found = scan(docs.select("doc_id", "text"))
     n = [F.size(F.filter("base", _is(k.name))).cast("long").alias(f"n_{k.name}") for k in BASE]
     return found.select("row.doc_id", *n, F.sha2(_joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by ``[kind]``, overlapping ones by that of the first; ``n_chars`` follows where there is such a column."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    """``docs`` with every span replaced by ``[kind]``, overlapping ones by that of the first; ``n_chars`` follows where there is such a column.
+
+    A null text stays null and a text without spans as it is; rows and columns are otherwise those of ``docs``. Texts are read in parts of ``PART``
+    characters, so that what lies between two spans is found without reading the text from its start again.
+    """
+    kept = "array<struct<from:int,start:int,kind:string>>"
 
     def step(acc: Column, s: Column) -> Column:
-        before = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        parts = F.when(s["start"] >= acc["at"], F.concat(acc["parts"], F.array(before, F.concat(F.lit("["), s["kind"], F.lit("]"))))).otherwise(acc["parts"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), parts.alias("parts"))
+        new = F.struct(acc["at"].alias("from"), s["start"].alias("start"), s["kind"].alias("kind"))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["kept"], F.array(new))).otherwise(acc["kept"]).alias("kept"))
+
+    def part(acc: Column, some: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(kept).alias("kept"))
+        return _given(F.aggregate(some, start, step), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["parts"], F.array(x["kept"])).alias("parts")))
+
+    def between(pieces: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PART).cast("int")
+        whole = F.array_join(F.slice(pieces, first + 1, F.floor((b - 1) / PART).cast("int") - first + 1), "")
+        return F.when(b > a, F.substring(whole, a % PART + 1, b - a)).otherwise("")
+
+    def cut(pieces: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kept}>").alias("parts"))
+
+        def put_together(x: Column) -> Column:
+            each = F.transform(F.flatten(x["parts"]), lambda k: F.concat(between(pieces, k["from"], k["start"]), F.lit("["), k["kind"], F.lit("]")))
+            return F.concat(F.array_join(each, ""), between(pieces, x["at"], F.length("text")))
+
+        return _given(F.aggregate(_parts(F.col("spans")), start, part), put_together)
 
-    rest = lambda acc: F.substring(F.col("text"), acc["at"] + 1, F.length("text"))
-    cut = F.aggregate("spans", start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), rest(acc)))
-    found = scan(docs).withColumn("cut", F.when(F.size("spans") > 0, cut))
+    pieces = F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+    found = scan(docs).withColumn("cut", F.when(F.size("spans") > 0, _given(pieces, cut)))
     return with_text(found, docs, F.col("cut").isNotNull(), F.col("cut"))
