@@ -4,21 +4,23 @@ The automaton accepts every run of words that some test item contains. It is bui
 tasks, and the words of the documents stream through it: its state gives, at each word, the longest run ending there that
 an item contains. A run of ``window`` words or more hits the document; an item of fewer words counts as a whole.
 
-Test sets are small next to a corpus. Items are taken in shards of at most ``shard_words`` words (or of one longer item), so that what
-is built and shipped at once is bounded; a larger test set takes more passes over the documents, which collect the spans.
+Test sets are small next to a corpus. Items are taken in shards of at most ``shard_words`` words, a longer item in pieces that
+overlap by a window less one word, so that what is built and shipped at once is bounded. A test set of one shard takes one pass over the
+documents. For a larger one every row gets an id, each shard's pass writes the ids, spans and items of the rows that it hits and no texts,
+and one join brings what was found to the texts.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, with_text
+from .common import forget, free_name, slices, stored, with_row_ids, with_text
 
 #: Bytes of words (0-9, a-z, all above 0x7F) stay, A-Z are lower-cased, all others become blanks; offsets stay the same.
 WORD_BYTES = bytes(b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -31,7 +33,7 @@ def words_of(text: bytes | None) -> list[bytes]:
 class SuffixAutomaton:
     """Of several sequences of words; ``found[state]`` lists (length, items) of the runs that count as hits."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.go: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -39,7 +41,7 @@ class SuffixAutomaton:
             last = 0
             for w in words:
                 last = self._extend(last, w)
-        self.found: list[dict[int, set[str]]] = [{} for _ in self.go]
+        self.found: list[dict[int, set[str | None]]] = [{} for _ in self.go]
         for item, words in items:
             for state, size in self._runs(words, min(window, len(words))):
                 self.found[state].setdefault(size, set()).add(item)
@@ -126,16 +128,22 @@ class SuffixAutomaton:
 
 
 def shards(bench: DataFrame, window: int, shard_words: int) -> Iterator[SuffixAutomaton]:
-    """Automata over the items, in order of their ids; null texts have no words and repeated rows count once."""
+    """Automata over the items, in order of their ids; null texts have no words and repeated rows count once.
+
+    An item with more words than a shard is cut to pieces of a shard each that overlap by a window less one word, so each window is in one of them.
+    """
     now, n = [], 0
-    rows = bench.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where("text is not null").orderBy("item_id", "text").toLocalIterator()
+    size = max(shard_words, 2 * window)
+    rows = bench.select(F.col("item_id").cast("string"), F.col("text").cast("binary")).where("text is not null").distinct().orderBy("item_id", "text").toLocalIterator()
     for item, text in rows:
-        if words := words_of(bytes(text)):
-            if now and n + len(words) > shard_words:
+        words = words_of(bytes(text))
+        for i in range(0, max(1, len(words) - window + 1), size - window + 1) if words else ():
+            piece = words[i : i + size]
+            if now and n + len(piece) > shard_words:
                 yield SuffixAutomaton(now, window)
                 now, n = [], 0
-            now.append((str(item), words))
-            n += len(words)
+            now.append((item, piece))
+            n += len(piece)
     yield SuffixAutomaton(now, window)
 
 
@@ -149,45 +157,72 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_HITS = "n_words long, n_hit long, items array<string>, cut string"
+_HITS_TYPE = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("cut", pa.string())])
+
+
 def contamination(docs: DataFrame, bench: DataFrame, window: int = 13, shard_words: int = 200_000) -> DataFrame:
     """``row``, a struct with the columns of ``docs``, and ``hits``: ``n_words``, ``n_hit``, ``items`` (sorted ids) and ``cut``, the text without hit words.
 
-    ``docs`` needs ``text``; ``bench`` has ``item_id`` and ``text``. Null and empty texts have no words and no hits; null item
-    ids count as an item of the name "None". ``cut`` drops each merged span from its first word's start to its last word's end.
+    ``docs`` needs ``text``; ``bench`` has ``item_id`` and ``text``. Null and empty texts have no words and no hits, and texts are read whole.
+    Items without an id hit words like any other, but there is no id of theirs to list. Items of one text are each listed. ``cut`` drops each merged
+    span from its first word's start to its last word's end. Repeated rows come back as often as they occur, columns of any name
+    stay inside ``row``, and an empty table, of documents or of items, gives no rows or no hits.
     """
-    so_far = docs.select(F.struct("*").alias("row"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
     automata = shards(bench, window, shard_words)
-    now = next(automata)
-    for following in automata:
-        so_far, now = stored(_pass(so_far, now, last=False)), following
-    return _pass(so_far, now, last=True)
+    now, following = next(automata), next(automata, None)
+    if following is None:
+        return _judged(docs.select(F.struct("*").alias("row")), now)
+    key = free_name(docs, "row_id")
+    keyed = with_row_ids(docs, key)
+    found = []
+    while now is not None:
+        found.append(stored(_spans(keyed.select(F.col(key).alias("key"), "text"), now)))
+        now, following = following, next(automata, None) if following is not None else None
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    # a row of it for each shard that hits the document
+    by_row = stored(every.groupBy("key").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")))
+    for f in found:
+        forget(f)
+    joined = keyed.join(by_row, keyed[key] == by_row["key"], "left")
+    return _judged(joined.select(F.struct(*(keyed[f"`{c}`"] for c in docs.columns)).alias("row"), "spans", "items"), None)
+
+
+def _spans(keyed: DataFrame, automaton: SuffixAutomaton) -> DataFrame:
+    """``key``, ``spans`` (starts and ends in turn) and ``items`` of the rows that the automaton hits."""
+    shipped = keyed.sparkSession.sparkContext.broadcast(automaton)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, *shipped.value.hits(words_of(t))) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist())]
+            found = [(k, [x for span in spans for x in span], sorted(i for i in items if i is not None)) for k, spans, items in found if spans]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k for k, _, _ in found], pa.int64()), pa.array([s for _, s, _ in found], pa.list_(pa.int32())), pa.array([i for _, _, i in found], pa.list_(pa.string()))], ["key", "spans", "items"]
+            )
+
+    return keyed.mapInArrow(run, "key long, spans array<int>, items array<string>")
 
-def _pass(so_far: DataFrame, automaton: SuffixAutomaton, last: bool) -> DataFrame:
-    """The spans (starts and ends in turn) and items of one automaton, added to those so far; at last, ``hits`` instead of them."""
-    shipped = so_far.sparkSession.sparkContext.broadcast(automaton)
-    row = so_far.schema["row"]
-    hits_type = T.StructType.fromDDL("n_words long, n_hit long, items array<string>, cut string")
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("cut", pa.string())])
+
+def _judged(rows: DataFrame, automaton: SuffixAutomaton | None) -> DataFrame:
+    """``row`` and ``hits``, from what the automaton finds, or without one from ``spans`` and ``items`` beside ``row``."""
+    shipped = rows.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):  # the words of all its rows are held
-            rows = batch.column(0)
-            found = []
-            for text, spans, items in zip(rows.field("text").cast(pa.binary()).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            row, found = batch.column(0), []
+            known = [c.to_pylist() for c in batch.columns[1:]] or [[None] * len(row)] * 2
+            for text, spans, items in zip(row.field("text").cast(pa.binary()).to_pylist(), *known):
                 words = words_of(text)
-                more, of = shipped.value.hits(words)
-                found.append((text, words, [*zip(spans[::2], spans[1::2]), *more], of.union(items)))
-            if last:
-                yield pa.RecordBatch.from_arrays([rows, pa.array([_hits(*f) for f in found], kind)], ["row", "hits"])
-            else:
-                spans = [[x for span in f[2] for x in span] for f in found]
-                yield pa.RecordBatch.from_arrays([rows, pa.array(spans, pa.list_(pa.int32())), pa.array([sorted(f[3]) for f in found], pa.list_(pa.string()))], ["row", "spans", "items"])
+                spans, items = shipped.value.hits(words) if shipped.value else ([*zip((spans or [])[::2], (spans or [])[1::2])], items or [])
+                found.append(_hits(text, words, spans, items))
+            yield pa.RecordBatch.from_arrays([row, pa.array(found, _HITS_TYPE)], ["row", "hits"])
 
-    return so_far.mapInArrow(run, T.StructType([row, T.StructField("hits", hits_type)]) if last else so_far.schema)
+    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("hits", T.StructType.fromDDL(_HITS))]))
 
 
-def _hits(text: bytes | None, words: list[bytes], spans: list[tuple[int, int]], items: set[str]) -> dict:
+def _hits(text: bytes | None, words: list[bytes], spans: list[tuple[int, int]], items: Iterable[str | None]) -> dict:
     if not spans:
         return {"n_words": len(words), "n_hit": 0, "items": [], "cut": None if text is None else text.decode()}
     spans = _merged(spans)
@@ -196,13 +231,14 @@ def _hits(text: bytes | None, words: list[bytes], spans: list[tuple[int, int]],
     for a, b in spans:
         cut.append(text[end : at[a][0]])
         end = at[b - 1][1]
-    return {"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(items), "cut": b"".join([*cut, text[end:]]).decode()}
+    return {"n_words": len(words), "n_hit": sum(b - a for a, b in spans), "items": sorted(i for i in items if i is not None), "cut": b"".join([*cut, text[end:]]).decode()}
 
 
 CONTAMINATED = "hits.n_hit > 0 and 20 * hits.n_hit >= hits.n_words"
 
 
 def digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """For each row of ``docs`` its words, those inside windows of items, and the items: their number, the hash of their ids, and the verdict."""
     return contamination(docs.select("doc_id", "text"), bench).select(
         "row.doc_id",
         "hits.n_words",
