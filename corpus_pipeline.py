@@ -11,28 +11,37 @@ from tidewater.llm.common import stored, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more; the classifier learns from ``labels``."""
+    """Documents that score 0.3 or more; the classifier learns from ``labels`` as far as these have a text in ``docs``.
+
+    Null and empty texts are scored like any other, repeated rows are judged alike, and without labels all stay.
+    """
     return quality.good_enough(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
+    """Of each group of near-duplicates one document, that with the smallest id; null ids come last, and blank texts are one group.
+
+    Documents that share an id but are no near-duplicates all stay.
+    """
     return simhash.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that ``benchmark`` covers to a twentieth or more go; shorter matches are cut out of the others."""
+    """Documents that ``benchmark`` covers to a twentieth or more go; shorter matches are cut out of the others. Null texts have none."""
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by their kind."""
+    """All documents, with secrets replaced by their kind; null texts stay null."""
     return secrets.redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document that it takes words from, how many, and the first slot that does."""
-    return mixing.mix(docs).where("taken > 0")
+    """The mixed corpus: the documents that the mix takes words from, with their text, how many words it takes and the first slot that does.
+
+    Documents without words are not part of it. A null source is one of its own.
+    """
+    return mixing.mixed(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
