@@ -2,8 +2,8 @@
 
 cos(w.x + b) with Gaussian w and uniform b has the Gaussian kernel as its expected product, so a linear fit on D such features
 approximates kernel ridge regression. The normal equations are sums over rows: each task adds up its own, two levels of sums
-follow, and the driver solves a system of D + 1 unknowns, however many rows there are. A part of the training rows is
-kept from that fit, and a monotone function from raw scores to probabilities is fitted on it.
+follow, and the driver solves a system of D + 1 unknowns, however many rows there are. Sums are kept by fold, so that each row also gets
+a score from a fit that left its fold out; a monotone function from those raw scores to probabilities is fitted on all of them.
 """
 
 from __future__ import annotations
@@ -91,19 +91,20 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
     return np.array([a / w for a, _, w in blocks]), np.array([b / w for _, b, w in blocks])
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 256, ridge: float = 1e-3, seed: int = 7, bins: int = 400) -> QualityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 256, ridge: float = 1e-3, seed: int = 7) -> QualityModel | None:
     """A model of ``labels.quality`` from at most ``sample`` labelled rows that are not held out; None if there is none.
 
-    A quarter of them (crc32 of the id modulo 5 is 1) calibrates; where that has fewer than 40 rows, all rows do.
+    Folds are by crc32 of the id modulo 5, of which 0 is held out. Null and empty texts are learnt from like any other, and repeated rows count as
+    often as they occur.
     """
-    rows = training_rows(docs, labels, "quality", sample).select("text", "y", (crc_mod(F.col("doc_id"), 5) == 1).alias("calibrates"))
+    rows = training_rows(docs, labels, "quality", sample).select("text", "y", crc_mod(F.col("doc_id"), 5).cast("string").alias("fold"))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             x = pa.array([statistics(t) for t in texts(b)], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([x, b.column(1), b.column(2)], ["x", "y", "calibrates"])
+            yield pa.RecordBatch.from_arrays([x, b.column(1), b.column(2)], ["x", "y", "fold"])
 
-    known = rows.mapInArrow(measured, "x array<double>, y double, calibrates boolean").persist()
+    known = rows.mapInArrow(measured, "x array<double>, y double, fold string").persist()
     try:
         d = len(STATISTICS)
         sums = known.agg(F.count("*"), *(F.avg(F.col("x")[i]) for i in range(d)), *(F.stddev_pop(F.col("x")[i]) for i in range(d))).first()
@@ -112,9 +113,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int
         mean, sd = np.array(sums[1 : d + 1]), np.array(sums[d + 1 :])
         rng = np.random.default_rng(seed)
         model = QualityModel(mean, np.where(sd > 1e-9, sd, 1.0), rng.normal(0, 1 / math.sqrt(d), (d, features)) * 1.5, rng.uniform(0, 2 * math.pi, features), np.zeros(0), np.zeros(0), np.zeros(0))
-        few = known.where("calibrates").limit(40).count() < 40
-        model.coef = _solved(known if few else known.where("not calibrates"), model, ridge)
-        model.at, model.probability = _calibrated(known if few else known.where("calibrates"), model, bins)
+        equations = _equations(known, model)
+        total = sum(equations.values())
+        model.coef = _solved(total, ridge)
+        model.at, model.probability = _calibrated(known, model, {fold: _solved(total - of, ridge) for fold, of in equations.items()})
         return model
     finally:
         known.unpersist()
@@ -124,36 +126,44 @@ def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS)), batch.column(1).to_numpy(zero_copy_only=False)
 
 
-def _solved(known: DataFrame, model: QualityModel, ridge: float) -> np.ndarray:
-    """Coefficients from the sums of the products of features with each other and with the label."""
+def _equations(known: DataFrame, model: QualityModel) -> dict[str, np.ndarray]:
+    """By fold the sums of the products of features with each other and with the label."""
     n = len(model.b) + 1
 
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((n, n + 1))
+        total: dict[str, np.ndarray] = {}
         for batch in slices(batches):
             x, y = _columns(batch)
-            f = model.features(x)
-            total += f.T @ np.hstack([f, y[:, None]])
-        yield pa.RecordBatch.from_arrays([pa.array(["sum"]), pa.array([total.tobytes()], pa.binary())], ["key", "vec"])
+            f, fold = model.features(x), np.array(batch.column(2).to_pylist())
+            for k in np.unique(fold):
+                of = fold == k
+                total[k] = total.get(k, 0) + f[of].T @ np.hstack([f[of], y[of, None]])
+        yield pa.RecordBatch.from_arrays([pa.array([*map(str, total)], pa.string()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["key", "vec"])
 
-    got = summed(known.select("x", "y").mapInArrow(products, "key string, vec binary")).collect()
-    total = np.frombuffer(got[0].vec).reshape(n, n + 1)
+    return {r.key: np.frombuffer(r.vec).reshape(n, n + 1) for r in summed(known.mapInArrow(products, "key string, vec binary")).collect()}
+
+
+def _solved(total: np.ndarray, ridge: float) -> np.ndarray:
+    n = len(total)
     penalty = np.eye(n) * ridge * max(1.0, total[0, 0])
     penalty[0, 0] = 1e-9
     return np.linalg.solve(total[:, :n] + penalty, total[:, n])
 
 
-def _calibrated(known: DataFrame, model: QualityModel, bins: int) -> tuple[np.ndarray, np.ndarray]:
-    """An isotonic fit over counts by bin of the raw score."""
+def _calibrated(known: DataFrame, model: QualityModel, without: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The isotonic fit over all rows' raw scores, each by the coefficients that its fold had no part in; rows are at most the sample."""
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = _columns(batch)
-            yield pa.RecordBatch.from_arrays([pa.array(model.raw(x)), pa.array(y)], ["raw", "y"])
+            f, fold, score = model.features(x), np.array(batch.column(2).to_pylist()), np.zeros(len(y))
+            for k in np.unique(fold):
+                score[fold == k] = f[fold == k] @ without[str(k)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(score, 9)), pa.array(y)], ["raw", "y"])
 
-    scored = known.select("x", "y").mapInArrow(raw, "raw double, y double").withColumn("bin", F.floor(F.greatest(F.lit(-1.0), F.least(F.lit(2.0), "raw")) * bins))
-    got = scored.groupBy("bin").agg(F.avg("raw").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("bin").collect()
-    return isotonic(np.array([r.x for r in got]), np.array([r.y for r in got]), np.array([r.n for r in got], float))
+    scored = known.mapInArrow(raw, "raw double, y double")
+    got = scored.groupBy("raw").agg(F.avg("y").alias("y"), F.count("*").alias("n")).orderBy("raw").collect()
+    return isotonic(np.array([r.raw for r in got]), np.array([r.y for r in got]), np.array([r.n for r in got], float))
 
 
 def _scored(batch: pa.RecordBatch, model: QualityModel | None) -> np.ndarray:
@@ -162,7 +172,10 @@ def _scored(batch: pa.RecordBatch, model: QualityModel | None) -> np.ndarray:
 
 
 def scores(docs: DataFrame, model: QualityModel | None) -> DataFrame:
-    """``doc_id`` and ``score`` of every row; null and empty texts are scored by their (zero) statistics; 0.5 without a model."""
+    """``doc_id`` and ``score`` of every row, over whole texts; null and empty texts are scored by their (zero) statistics; 0.5 without a model.
+
+    Equal texts have equal scores, repeated rows come back as often as they occur, and an empty table gives an empty result.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
