@@ -2,8 +2,8 @@
 
 A document's features are the distinct n-grams of its words, hashed into buckets. Task-wise counts of the documents of each class
 that have a bucket are summed into the log-count ratio r = log((p + a) / |p + a|) - log((q + a) / |q + a|). A logistic
-regression is fitted on presence times r, over the buckets whose ratios are largest; what it multiplies out to is one weight
-for each bucket, so that scoring a text is a sum of looked-up weights.
+regression is fitted on presence times r, over the buckets on which the classes differ most, by sums of losses and gradients from the tasks; what
+it multiplies out to is one weight for each bucket, so that scoring a text is a sum of looked-up weights.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, summed, texts
-from .labelled import held_out, training_rows
+from .common import forget, stored, summed, texts
+from .labelled import TASKS, held_out, training_rows
 
 BITS = 18
 #: A-Z are lower-cased; other ASCII than letters and digits is a blank; bytes above 0x7F stay.
@@ -68,10 +68,11 @@ def _counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
     return total[1, :size], total[0, :size], total[1, size], total[0, size]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, features: int = 8_192, l2: float = 1.0, rounds: int = 300) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, features: int = 8_192, min_count: int = 3, l2: float = 1.0, rounds: int = 40) -> ToxicityModel | None:
     """A model of ``labels.toxic`` from at most ``sample`` labelled rows that are not held out; None if a class is missing.
 
-    The driver fits on what is left of the sample: of each row the buckets among the ``features`` of largest ratio.
+    The weights are those of the ``features`` buckets on which the classes differ most for their standard error, among those that ``min_count``
+    texts have. An id whose labels disagree counts as toxic from a mean of a half.
     """
     rows = stored(training_rows(docs, labels, "toxic", sample))  # read twice
     p, q, n_p, n_q = _counts(rows)
@@ -81,8 +82,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, features: int
     # how far the classes differ in standard errors: rare buckets with chance ratios stay out
     share = (p + q) / (n_p + n_q)
     far = np.abs(p / n_p - q / n_q) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_p + 1 / n_q))
-    far[p + q < 3] = 0
-    chosen = np.sort(np.argsort(-far, kind="stable")[:features])
+    frequent = np.flatnonzero(p + q >= min_count)
+    chosen = np.sort(frequent[np.argsort(-far[frequent], kind="stable")[:features]])
     index = np.full(1 << BITS, -1, np.int32)
     index[chosen] = np.arange(len(chosen))
     shipped = docs.sparkSession.sparkContext.broadcast(index)
@@ -92,42 +93,89 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, features: int
             of = [shipped.value[ngrams(t)] for t in texts(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[x >= 0].astype(np.int32).tobytes() for x in of], pa.binary()), batch.column(2)], ["doc_id", "f", "y"])
 
-    got = rows.select("doc_id", "text", "y").mapInArrow(kept, "doc_id long, f binary, y double").toPandas().sort_values(["doc_id", "f"])
-    each = [np.frombuffer(f, np.int32) for f in got.f]
-    weight, bias = _logistic(each, (got.y.to_numpy() >= 0.5).astype(float), r[chosen], l2, rounds)
+    left = rows.select("doc_id", "text", "y").mapInArrow(kept, "doc_id long, f binary, y double").repartition(TASKS, "doc_id").sortWithinPartitions("doc_id", "f").persist()
+    try:
+        weight, bias = _logistic(left.select("f", "y"), r[chosen], float(np.log(n_p / n_q)), l2, rounds)
+    finally:
+        left.unpersist()
+        forget(rows)
     full = np.zeros(1 << BITS)
     full[chosen] = weight * r[chosen]
     return ToxicityModel(full, bias)
 
 
-def _logistic(each: list[np.ndarray], y: np.ndarray, r: np.ndarray, l2: float, rounds: int) -> tuple[np.ndarray, float]:
-    """Accelerated gradient steps on the penalised log loss of presence times r."""
-    n, row = len(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
-    col = np.concatenate(each) if len(row) else np.zeros(0, np.int32)
-    value = r[col]
-    w, bias = np.zeros(len(r)), float(np.log(y.mean() / (1 - y.mean())))
-    # the largest curvature by a few power steps
-    v = np.ones(len(r)) / np.sqrt(max(1, len(r)))
-    top = 1.0
-    for _ in range(15):
-        u = np.bincount(col, value * np.bincount(row, value * v[col], n)[row], len(r))
-        top = max(1e-9, float(np.linalg.norm(u)))
-        v = u / top
-    step, bias_step = 1 / (0.25 * top * 1.1 + l2), 4 / n
-    ahead, ahead_bias, t = w, bias, 1.0
+#: Sums over rows are sent as multiples of this, so that they don't depend on the order in which tasks end.
+_GRAIN = 2.0**-30
+
+
+def _loss(rows: DataFrame, r: np.ndarray, w: np.ndarray, l2: float) -> tuple[float, np.ndarray]:
+    """The penalised log loss of presence times r at the weights ``w`` (the bias last, without penalty), and its gradient: sums from the tasks."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(w) + 1)
+        for batch in batches:
+            each = [np.frombuffer(f, np.int32) for f in batch.column(0).to_pylist()]
+            y = (batch.column(1).to_numpy() >= 0.5).astype(float)
+            row, col = np.repeat(np.arange(len(each)), [len(x) for x in each]), np.concatenate([np.zeros(0, np.int32), *each])
+            z = np.bincount(row, r[col] * w[col], len(each)) + w[-1]
+            miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+            total[:-2] += np.bincount(col, r[col] * miss[row], len(r))
+            total[-2] += miss.sum()
+            total[-1] += (np.logaddexp(0, z) - y * z).sum()
+        yield pa.RecordBatch.from_arrays([pa.array(["sum"]), pa.array([np.rint(total / _GRAIN).tobytes()], pa.binary())], ["key", "vec"])
+
+    total = np.frombuffer(summed(rows.mapInArrow(part, "key string, vec binary")).first().vec) * _GRAIN
+    penalised = np.append(w[:-1], 0.0)
+    return float(total[-1] + l2 / 2 * (penalised**2).sum()), total[:-1] + l2 * penalised
+
+
+def _logistic(rows: DataFrame, r: np.ndarray, bias: float, l2: float, rounds: int, memory: int = 10, tolerance: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias of least penalised loss, by steps along the gradient as the last ``memory`` steps have shown its curvature.
+
+    Each round is a pass over the sample where it lies; the driver holds vectors of the features' number.
+    """
+    w = np.append(np.zeros(len(r)), bias)
+    loss, gradient = _loss(rows, r, w, l2)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
-        z = np.bincount(row, value * ahead[col], n) + ahead_bias
-        miss = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-        new = ahead - step * (np.bincount(col, value * miss[row], len(r)) + l2 * ahead)
-        new_bias = ahead_bias - bias_step * miss.sum()
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead, ahead_bias = new + (t - 1) / t_new * (new - w), new_bias
-        w, bias, t = new, new_bias, t_new
-    return w, float(bias)
+        direction, back = -gradient, []
+        for s, g in reversed(steps):
+            a = s @ direction / (s @ g)
+            back.append(a)
+            direction = direction - a * g
+        if steps:
+            s, g = steps[-1]
+            direction = direction * (s @ g) / (g @ g)
+        else:
+            direction = direction / max(1.0, float(np.linalg.norm(gradient)))
+        for (s, g), a in zip(steps, reversed(back)):
+            direction = direction + (a - g @ direction / (s @ g)) * s
+        slope, size = float(gradient @ direction), 1.0
+        if slope >= 0:
+            break
+        while True:
+            new = w + size * direction
+            new_loss, new_gradient = _loss(rows, r, new, l2)
+            if new_loss <= loss + 1e-4 * size * slope or size < 1e-4:
+                break
+            size /= 2
+        gain = loss - new_loss
+        if gain <= 0:
+            break
+        s, g = new - w, new_gradient - gradient
+        if s @ g > 1e-12:
+            steps = [*steps, (s, g)][-memory:]
+        w, loss, gradient = new, new_loss, new_gradient
+        if gain < tolerance * max(1.0, loss):
+            break
+    return w[:-1], float(w[-1])
 
 
 def scores(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
-    """``doc_id`` and ``score`` of every row, over whole texts; null and empty ones have no n-grams; 0 without a model."""
+    """``doc_id`` and ``score`` of every row, over whole texts; null and empty ones have no n-grams but blanks; 0 without a model.
+
+    Equal texts have equal scores, repeated rows come back as often as they occur, and an empty table gives an empty result.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
