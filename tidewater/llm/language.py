@@ -33,15 +33,9 @@ def ngrams(text: bytes) -> np.ndarray:
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
-    """A row of +1 and -1 for each of n languages.
-
-    Up to 7 languages all 2**(n-1) - 1 ways to split them are taken; beyond, 20 log2(n) random columns, the best of 50 draws by
-    the smallest distance between codewords.
-    """
+    """A row of +1 and -1 for each of n languages: 20 log2(n) random columns, the best of 50 draws by the smallest distance between codewords."""
     if n == 1:
         return np.ones((1, 1), int)
-    if n <= 7:
-        return np.array([[1 if i == 0 else -1 if c >> (i - 1) & 1 else 1 for c in range(1, 1 << (n - 1))] for i in range(n)])
     rng, bits = np.random.default_rng(seed), int(20 * np.ceil(np.log2(n)))
     draws = [rng.choice([-1, 1], (n, bits)) for _ in range(50)]
     draws = [m[:, np.abs(m.sum(axis=0)) < n] for m in draws]  # a bit that all share tells nothing
@@ -67,19 +61,26 @@ class LanguageModel:
         return p.argmax(axis=1), p.max(axis=1), (order[:, -1] - order[:, -2] < 0.2) if p.shape[1] > 1 else np.zeros(len(p), bool)
 
 
-def fit(docs: DataFrame, alpha: float = 0.5) -> LanguageModel | None:
+def fit(docs: DataFrame, alpha: float = 0.5, most: int = 128) -> LanguageModel | None:
     """From all rows with a text and a ``lang``, but for those whose crc32 modulo 3 is 1; None if there are none.
 
-    Rows with a null id are learnt from. Languages are taken in the order of their names' bytes.
+    Rows with a null id are learnt from, those with a null ``lang`` are not, and repeated rows count as often as they occur. Of a column with more values
+    than a table of counts should have, the ``most`` frequent ones are learnt, in the order of their names' bytes among equals. Languages are taken
+    in the order of their names' bytes.
     """
-    rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(True))).select("lang", "text")
+    rows = docs.where(F.col("lang").isNotNull() & F.coalesce(crc_mod(F.col("doc_id"), 3) != 1, F.lit(True))).select("lang", "text")
+    chosen = [r.lang for r in rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(most).collect()]
+    if not chosen:
+        return None
+    rows = rows.where(F.col("text").isNotNull() & F.col("lang").isin(chosen))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), texts(batch)):
-                into = counts.setdefault(lang, np.zeros(BUCKETS))
-                into += np.bincount(ngrams(text), minlength=BUCKETS)
+                if lang not in counts:
+                    counts[lang] = np.zeros(BUCKETS)
+                counts[lang] += np.bincount(ngrams(text), minlength=BUCKETS)
         for lang in sorted(counts):
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([counts[lang].tobytes()], pa.binary())], ["key", "vec"])
 
@@ -99,7 +100,8 @@ def fit(docs: DataFrame, alpha: float = 0.5) -> LanguageModel | None:
 def identify(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score`` and ``ambiguous`` of every row.
 
-    A text that is null or has no letter (Unicode category L) is ``und`` with score 0, as is any where nothing was learnt.
+    A text that is null or has no letter (Unicode category L) is ``und`` with score 0, as is any where nothing was learnt. Of languages
+    with equal losses the first by name is taken, and the result is flagged. Texts are read whole; an empty table gives an empty result.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
