@@ -23,6 +23,8 @@ from .common import texts
 
 WIDTH, UNIT = 64, 64
 MAX_ROWS = 65_535  # a GIF's height has 16 bits
+#: Pixels that a canvas or a frame may have: a header can claim 65,535 x 65,535, which no reader should set aside room for.
+MAX_PIXELS = 1 << 26
 GREY = bytes(x for v in range(256) for x in (v, v, v))
 
 
@@ -157,6 +159,8 @@ def _decoded(media: bytes) -> Iterator[Frame]:
     if media[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", media, 6)
+    if width * height > MAX_PIXELS:
+        raise ValueError(f"a canvas of {width} x {height}")
     at, palette = 13, None
     if flags & 0x80:
         size = 3 * (2 << (flags & 7))
@@ -182,6 +186,8 @@ def _decoded(media: bytes) -> Iterator[Frame]:
         if kind != 0x2C:
             raise ValueError(f"unknown block {kind:#x}")
         left, top, w, h, f = struct.unpack_from("<HHHHB", media, at + 1)
+        if w * h > MAX_PIXELS:
+            raise ValueError(f"a frame of {w} x {h}")
         at, colours = at + 10, palette
         if f & 0x80:
             size = 3 * (2 << (f & 7))
@@ -217,7 +223,8 @@ def histogram(canvas: np.ndarray, bins: int = 8) -> list[int]:
     return [int(n) for c in range(3) for n in np.bincount((canvas[..., c].reshape(-1).astype(np.int64) * bins) >> 8, minlength=bins)]
 
 
-FRAMES = "array<struct<at_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,histogram:array<int>>>"
+FRAMES = "array<struct<at_ms:long,delay_ms:int,left:int,top:int,width:int,height:int,disposal:int,histogram:array<int>%s>>"
+PIXELS = ",canvas_width:int,canvas_height:int,pixels:binary"
 
 
 def store(docs: DataFrame) -> DataFrame:
@@ -244,28 +251,39 @@ def _few(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple[pa.Array, lis
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """``doc_id`` and the nested ``frames`` of every image, each with its time, place and the histogram of the canvas shown."""
-    return media.select("doc_id", "media").mapInArrow(lambda it: _read(it, False), f"doc_id long, frames {FRAMES}")
+    """``doc_id`` and the nested ``frames`` of every image (``doc_id``, ``media``).
+
+    Each frame has its time, its place, the histogram of the canvas shown, and that canvas: ``pixels``, red, green and blue by row, of
+    ``canvas_width`` x ``canvas_height``. Null media have no frames (null); damaged ones raise. Repeated rows come back as often as they occur.
+    """
+    return media.select("doc_id", "media").mapInArrow(lambda it: _read(it, False), f"doc_id long, frames {FRAMES % PIXELS}")
 
 
 def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
+    """What is in each image: for a payload its size and digests, else the pixels."""
     import itertools
 
-    kind = pa.list_(pa.struct([("at_ms", pa.int64()), *((k, pa.int32()) for k in ("delay_ms", "left", "top", "width", "height", "disposal")), ("histogram", pa.list_(pa.int32()))]))
+    numbers = ("delay_ms", "left", "top", "width", "height", "disposal")
+    pixels = [] if payload else [("canvas_width", pa.int32()), ("canvas_height", pa.int32()), ("pixels", pa.binary())]
+    kind = pa.list_(pa.struct([("at_ms", pa.int64()), *((k, pa.int32()) for k in numbers), ("histogram", pa.list_(pa.int32())), *pixels]))
+    step = 500 if payload else 8
     for whole in batches:
-        for batch in (whole.slice(i, 500) for i in range(0, whole.num_rows, 500)):
+        for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
             rows, digests = [], []
             for media in batch.column(batch.schema.get_field_index("media")).to_pylist():
                 of, data = [], []
-                for f in decode(media):
-                    of.append({"delay_ms": f.delay_ms, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "histogram": histogram(f.canvas)})
+                for f in decode(media) if media is not None else ():
+                    of.append({"histogram": histogram(f.canvas)} | {k: getattr(f, k) for k in numbers})
                     if payload:
                         data.append(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
+                    else:
+                        of[-1] |= {"canvas_width": f.canvas.shape[1], "canvas_height": f.canvas.shape[0], "pixels": f.canvas.tobytes()}
                 for f, t in zip(of, itertools.accumulate((f["delay_ms"] for f in of), initial=0)):
                     f["at_ms"] = t
-                rows.append(of)
+                rows.append(of if media is not None else None)
                 got = b"".join(data)
-                digests.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()))
+                if payload:
+                    digests.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *([batch.column(1), *map(pa.array, zip(*digests))] if payload else []), pa.array(rows, kind)],
                 ["doc_id", *(["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"] if payload else []), "frames"],
@@ -273,8 +291,12 @@ def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Recor
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """What is read back from the stored images, by document; ``feature`` has the frames, the play time and the summed grey histogram."""
-    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames {FRAMES}"
+    """What is read back from the stored images, for each row of ``docs``; ``feature`` has the frames, the play time and the summed grey histogram.
+
+    Null and empty texts are 64 zero bytes, texts are stored whole, repeated rows come back as often as they occur, and an empty table gives an
+    empty result.
+    """
+    schema = f"doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, frames {FRAMES % ''}"
     read = store(docs).mapInArrow(lambda it: _read(it, True), schema)
     grey = F.aggregate(
         "frames", F.array(*[F.lit(0)] * 8), lambda acc, f: F.zip_with(acc, F.slice(f["histogram"], 1, 8), lambda a, b: a + b)
