@@ -7,7 +7,10 @@ The tables are keyed by the n-gram's 64-bit hash and partitioned by it. Document
 each chunk and partition one row is shuffled, with the chunk's distinct n-grams there and how often it has them. A partition adds them
 up and answers every row with the corpus counts of its n-grams, and a join brings the answers back to the chunk, where the
 scores of its documents are summed. A frequent n-gram is thus one entry for each chunk, however often it occurs, and rows are a few
-kilobytes instead of one for each word. Chunks and partitions are as many as keep both at a fixed size.
+kilobytes instead of one for each word. Chunks and partitions are as many as keep both at a fixed size; a partition is what its first bits
+of the hash say, so a chunk finds its own in one look over its n-grams, however many there are.
+
+Counts are exact but for n-grams, of whatever length, that share all 64 bits of their hash.
 """
 
 from __future__ import annotations
@@ -71,10 +74,11 @@ def _distinct(position: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray
     return every, counts, at
 
 
-def _edges(every: np.ndarray, partitions: int) -> np.ndarray:
-    """Where each partition begins among sorted hashes; partitions are equal ranges of them."""
-    limits = [np.uint64(-(-(i << 64) // partitions)) for i in range(1, partitions)]
-    return np.concatenate([[0], np.searchsorted(every, np.array(limits, np.uint64)), [len(every)]]).astype(np.int64)
+def _parts(every: np.ndarray, bits: int) -> tuple[np.ndarray, list[int]]:
+    """The partitions among sorted hashes, by their first ``bits`` bits, and where each begins, with the end of the last; only those that have any."""
+    part = every >> np.uint64(64 - bits) if bits else np.zeros(len(every), np.uint64)
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(every)] if len(every) else [0]
+    return part[edges[:-1]], edges
 
 
 def _packed(rising: np.ndarray) -> bytes:
@@ -94,18 +98,16 @@ def backoff_scores(docs: DataFrame, order: int = 2, min_count: int = 2, factor:
     """
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(n_bytes / chunk_bytes))
-    partitions = max(1, math.ceil(order * n_bytes / 7 / partition_grams))
+    bits = max(0, math.ceil(math.log2(max(1.0, order * n_bytes / 7 / partition_grams))))  # one number of partitions for the job
     dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
 
     def counted(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
         _, position, grams = _grams(t.column("text"), order)
         every, counts, _ = _distinct(position, grams)
-        edges = _edges(every, partitions)
-        full = np.flatnonzero(np.diff(edges)).tolist()
-        starts = [np.uint64(-(-(p << 64) // partitions)) for p in full]
-        parts = [(_packed(every[edges[p] : edges[p + 1]] - start), counts[edges[p] : edges[p + 1]].astype(np.uint32).tobytes()) for p, start in zip(full, starts)]
-        return pa.table({"part": pa.array(full, pa.int32()), "chunk": pa.array([chunk] * len(full), pa.int64()), "grams": pa.array([g for g, _ in parts], pa.binary()), "counts": pa.array([c for _, c in parts], pa.binary())})
+        full, edges = _parts(every, bits)
+        parts = [(_packed(every[a:b] - (p << np.uint64(64 - bits) if bits else p)), counts[a:b].astype(np.uint32).tobytes()) for p, a, b in zip(full, edges, edges[1:])]
+        return pa.table({"part": pa.array(full.astype(np.int64)), "chunk": pa.array([chunk] * len(full), pa.int64()), "grams": pa.array([g for g, _ in parts], pa.binary()), "counts": pa.array([c for _, c in parts], pa.binary())})
 
     def added(t: pa.Table) -> pa.Table:
         of = [_unpacked(g) for g in t.column("grams").to_pylist()]
@@ -138,8 +140,8 @@ def backoff_scores(docs: DataFrame, order: int = 2, min_count: int = 2, factor:
             "log": pa.array(np.bincount(doc, log, len(n))),
         })
 
-    rows = dealt.groupBy("chunk").applyInArrow(counted, "part int, chunk long, grams binary, counts binary")
-    answers = rows.groupBy("part").applyInArrow(added, "chunk long, part int, width int, totals binary")
+    rows = dealt.groupBy("chunk").applyInArrow(counted, "part long, chunk long, grams binary, counts binary")
+    answers = rows.groupBy("part").applyInArrow(added, "chunk long, part long, width int, totals binary")
     out = stored(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, n_words long, n_seen long, log double"))
     words = out.agg(F.sum("n_words")).first()[0] or 1
     # words without a context were left undivided
