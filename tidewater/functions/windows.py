@@ -1,6 +1,7 @@
 """Expressions over the bars of one symbol in order of time.
 
-All need exact windows: where the frame is short, has a gap or a missing value, the result is null.
+All need exact windows: where the frame is short or a value in it is missing, null or not finite, the result is null. With ``step_ms`` the bars of the
+frame must be one step apart too, or a gap gives null; without it the rows are taken as they follow each other.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ def frame(a: int, b: int = 0, w: WindowSpec | None = None) -> WindowSpec:
     return (w or by_time()).rowsBetween(a, b)
 
 
-def full(c: Column, n: int, w: WindowSpec | None = None) -> Column:
-    """Whether the last n rows all have a value."""
-    return F.count(c).over(frame(-(n - 1), 0, w)) == n
+def full(c: Column, n: int, w: WindowSpec | None = None, step_ms: int | None = None) -> Column:
+    """Whether the last n rows all have a finite value and, with a step, no gap."""
+    every = F.count(finite(c)).over(frame(-(n - 1), 0, w)) == n
+    return every if step_ms is None else every & contiguous(F.col("t"), n, step_ms, w)
 
 
 def contiguous(t: Column, n: int, step_ms: int, w: WindowSpec | None = None) -> Column:
@@ -36,17 +38,17 @@ def true_range(w: WindowSpec | None = None) -> Column:
     return F.greatest(F.col("h") - F.col("l"), F.abs(F.col("h") - previous), F.abs(F.col("l") - previous))
 
 
-def mean_of(c: str, n: int, w: WindowSpec | None = None) -> Column:
-    """The plain mean of the last n values; null with fewer or a missing one."""
-    return F.when(full(F.col(c), n, w), F.avg(c).over(frame(-(n - 1), 0, w)))
+def mean_of(c: str, n: int, w: WindowSpec | None = None, step_ms: int | None = None) -> Column:
+    """The plain mean of the last n values."""
+    return F.when(full(F.col(c), n, w, step_ms), F.avg(c).over(frame(-(n - 1), 0, w)))
 
 
-def midrank(c: str, n: int, w: WindowSpec | None = None) -> Column:
+def midrank(c: str, n: int, w: WindowSpec | None = None, step_ms: int | None = None) -> Column:
     """100 times the share of the last n values below the current one, ties counting half."""
-    x = F.collect_list(c).over(frame(-(n - 1), 0, w))
+    x = F.collect_list(finite(F.col(c))).over(frame(-(n - 1), 0, w))
     v = F.col(c)
     below, same = F.size(F.filter(x, lambda y: y < v)), F.size(F.filter(x, lambda y: y == v))
-    return F.when(F.size(x) == n, 100.0 * (below + 0.5 * same) / n)
+    return F.when(full(F.col(c), n, w, step_ms), 100.0 * (below + 0.5 * same) / n)
 
 
 def share_at_most(c: str, n: int, least: int = 8, w: WindowSpec | None = None) -> Column:
@@ -55,16 +57,16 @@ def share_at_most(c: str, n: int, least: int = 8, w: WindowSpec | None = None) -
     return F.when(F.size(x) >= least, round_half_up(100.0 * F.size(F.filter(x, lambda y: y <= v)) / F.size(x), 1))
 
 
-def ema(c: str, period: int, n: int, w: WindowSpec | None = None) -> Column:
+def ema(c: str, period: int, n: int, w: WindowSpec | None = None, step_ms: int | None = None) -> Column:
     """Exponential mean over the last n values, seeded by the mean of the first ``period`` of them."""
-    x = F.collect_list(c).over(frame(-(n - 1), 0, w))
+    x = F.collect_list(finite(F.col(c))).over(frame(-(n - 1), 0, w))
     seed = F.aggregate(F.slice(x, 1, period), F.lit(0.0), lambda a, b: a + b) / period
-    return F.when(F.size(x) == n, F.aggregate(F.slice(x, period + 1, max(1, n - period)), seed, lambda e, v: e + 2.0 / (period + 1) * (v - e)))
+    return F.when(full(F.col(c), n, w, step_ms), F.aggregate(F.slice(x, period + 1, max(1, n - period)), seed, lambda e, v: e + 2.0 / (period + 1) * (v - e)))
 
 
-def rsi(c: str, period: int, n: int, w: WindowSpec | None = None) -> Column:
+def rsi(c: str, period: int, n: int, w: WindowSpec | None = None, step_ms: int | None = None) -> Column:
     """Relative strength over the last n values: means of gains and losses of the first steps, then smoothed ones."""
-    x = F.collect_list(c).over(frame(-(n - 1), 0, w))
+    x = F.collect_list(finite(F.col(c))).over(frame(-(n - 1), 0, w))
     steps = F.zip_with(F.slice(x, 2, n - 1), F.slice(x, 1, n - 1), lambda a, b: a - b)
     start = F.struct(F.lit(0.0).alias("gain"), F.lit(0.0).alias("loss"))
     up, down = (lambda d: F.greatest(d, F.lit(0.0))), (lambda d: F.greatest(-d, F.lit(0.0)))
@@ -72,7 +74,7 @@ def rsi(c: str, period: int, n: int, w: WindowSpec | None = None) -> Column:
     smooth = lambda old, new: (old * (period - 1) + new) / period
     end = F.aggregate(F.slice(steps, period + 1, max(1, n - 1 - period)), seed, lambda s, d: F.struct(smooth(s["gain"], up(d)).alias("gain"), smooth(s["loss"], down(d)).alias("loss")))
     value = F.when(end["loss"] == 0, F.when(end["gain"] == 0, 50.0).otherwise(100.0)).otherwise(100.0 - 100.0 / (1.0 + end["gain"] / end["loss"]))
-    return F.when(F.size(x) == n, value)
+    return F.when(full(F.col(c), n, w, step_ms), value)
 
 
 def exact_change(steps: int, step_ms: int, w: WindowSpec | None = None) -> Column:
@@ -80,15 +82,15 @@ def exact_change(steps: int, step_ms: int, w: WindowSpec | None = None) -> Colum
     return F.when(F.col("t") - F.lag("t", steps).over(w or by_time()) == steps * step_ms, change(F.col("c"), F.lag("c", steps).over(w or by_time())))
 
 
-def volume_ratio(last: int, base: int, w: WindowSpec | None = None) -> Column:
+def volume_ratio(last: int, base: int, w: WindowSpec | None = None, step_ms: int | None = None) -> Column:
     """Volume of the last bars against as many of the ``base`` bars before."""
     recent, before = F.sum("v").over(frame(-(last - 1), 0, w)), F.sum("v").over(frame(-(last + base - 1), -last, w)) / (base / last)
-    return F.when(full(F.col("v"), last + base, w) & (before > 0), recent / before)
+    return F.when(full(F.col("v"), last + base, w, step_ms) & (before > 0), recent / before)
 
 
-def slope(y: str, x: str, n: int, w: WindowSpec | None = None) -> Column:
+def slope(y: str, x: str, n: int, w: WindowSpec | None = None, step_ms: int | None = None) -> Column:
     """Least-squares slope of y on x over the last n rows."""
-    return F.when(full(F.col(y), n, w) & full(F.col(x), n, w), F.regr_slope(y, x).over(frame(-(n - 1), 0, w)))
+    return F.when(full(F.col(y), n, w, step_ms) & full(F.col(x), n, w), F.regr_slope(y, x).over(frame(-(n - 1), 0, w)))
 
 
 def streak(c: str, n: int, w: WindowSpec | None = None) -> Column:
@@ -103,4 +105,4 @@ def run_below(c: str, limit: Column, n: int, w: WindowSpec | None = None) -> Col
     """How many of the last n values, from the current one back, are below a limit without a break; 0 is a true value."""
     x = F.reverse(F.collect_list(c).over(frame(-(n - 1), 0, w)))
     run = F.aggregate(x, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, v: F.struct((s["n"] + F.when(s["on"] & (v < limit), 1).otherwise(0)).alias("n"), (s["on"] & (v < limit)).alias("on")), lambda s: s["n"])
-    return F.when(limit.isNotNull() & (F.size(x) == n), run)
+    return F.when(limit.isNotNull() & full(F.col(c), n, w), run)

@@ -32,8 +32,30 @@ def floor_quantile(df: DataFrame, key: str, value: str, p: float) -> DataFrame:
     return x.where(F.col("_rn") == F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1)).select(key, value)
 
 
-def iqr(c: Column) -> Column:
-    return F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))
+def quantiles(df: DataFrame, key: str, value: str, **at: float) -> DataFrame:
+    """``key`` and for each name in ``at`` the quantile there of the key's values, interpolated between neighbours; keys without a value are out.
+
+    By ranks: of a large key the values are sorted, with spilling, and two of them kept for each quantile, where ``percentile`` would hold all.
+    """
+    by = Window.partitionBy(key)
+    x = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(key, F.col(value).cast("double").alias("_v"))
+    x = x.select(key, "_v", F.row_number().over(by.orderBy("_v")).alias("_rn"), F.count("*").over(by).alias("_n"))
+    return x.groupBy(key).agg(*(_between(F.col("_v"), F.col("_rn"), F.col("_n"), p).alias(name) for name, p in at.items()))
+
+
+def _between(v: Column, rn: Column, n: Column, p: float) -> Column:
+    h = (n - 1) * F.lit(p)
+    low, high = F.floor(h), F.ceil(h)
+    a, b = F.max(F.when(rn == low + 1, v)), F.max(F.when(rn == high + 1, v))
+    return a + (b - a) * F.max(h - low)
+
+
+def global_quantile(df: DataFrame, value: str, p: float, *tie: str) -> DataFrame:
+    """One row with ``value``: the interpolated quantile of a whole table, by ranks over ranges; null for an empty table."""
+    from .ranking import global_rank
+
+    x = global_rank(df.where(F.col(value).isNotNull()), [F.col(value), *map(F.col, tie)], "_rn")
+    return x.agg(_between(F.col(value), F.col("_rn"), F.col("_rows"), p).alias(value))
 
 
 def modal_gap(df: DataFrame, key: str, time: str) -> DataFrame:

@@ -74,3 +74,35 @@ def series_facts(bars: DataFrame, step_ms: int, end_ms: int) -> DataFrame:
     return x.groupBy("symbol").agg(
         F.count("*").alias("bars"), F.count_if("gap").alias("gaps"), F.count_if(bad).alias("bad"), ((end_ms - F.max("t")) / step_ms).cast("long").alias("short_of_end")
     )
+
+
+#: Bars without a trade in a row that show that a contract is dead. Fixed value.
+FROZEN_RUN = 24
+
+
+def trimmed(bars: DataFrame, step_ms: int, min_run: int = FROZEN_RUN, keep_partial_last: bool = False) -> DataFrame:
+    """By symbol what is left of a contract that was taken off (``symbol, t, o, h, l, c, v, trades, delivery``), and why the rest is not.
+
+    A frozen bar has no volume and no trade, and one price. Bars are cut at the first of the delivery (null: none) and the first ``min_run`` frozen bars in a
+    row; frozen bars at the very end of what is left go too, those before a live bar stay. With ``keep_partial_last`` the bar that the delivery falls
+    into is kept, and named, because it ends the path of a label; no decision may be taken on it.
+    """
+    series, by = Window.partitionBy("symbol"), Window.partitionBy("symbol").orderBy("t")
+    frozen = (F.col("v") == 0) & (F.col("trades") == 0) & (F.col("o") == F.col("h")) & (F.col("h") == F.col("l")) & (F.col("l") == F.col("c"))
+    x = bars.withColumn("frozen", F.coalesce(frozen, F.lit(False))).withColumn("i", F.row_number().over(by) - 1)
+    x = x.withColumn("g", F.col("i") - F.row_number().over(Window.partitionBy("symbol", "frozen").orderBy("t")))
+    x = x.withColumn("run", F.count("*").over(Window.partitionBy("symbol", "frozen", "g"))).withColumn("n", F.count("*").over(series))
+    before = F.col("t") < F.col("delivery") if keep_partial_last else F.col("t") + step_ms <= F.col("delivery")
+    x = x.withColumn("del", F.count_if(F.coalesce(before, F.lit(True))).over(series))
+    x = x.withColumn("sig", F.coalesce(F.min(F.when(F.col("frozen") & (F.col("run") >= min_run), F.col("i"))).over(series), F.col("n")))
+    x = x.withColumn("first", F.least("del", "sig"))
+    x = x.withColumn("cut", F.coalesce(F.max(F.when(~F.col("frozen") & (F.col("i") < F.col("first")), F.col("i") + 1)).over(series), F.lit(0)))
+    why = F.when(F.col("del") == F.col("sig"), "both").when(F.col("del") < F.col("sig"), "delivery").otherwise("signature")
+    trailing = F.col("cut") < F.col("first")
+    cut_by = F.when(F.col("first") == F.col("n"), F.when(trailing, "trailing")).otherwise(F.concat(why, F.when(trailing, "+trailing").otherwise("")))
+    partial = F.when((F.col("i") == F.col("cut") - 1) & (F.col("t") + step_ms > F.col("delivery")), F.col("t")) if keep_partial_last else F.lit(None).cast("long")
+    one = lambda c: F.max(c)  # noqa: E731 - the same on all rows of a symbol
+    return x.groupBy("symbol").agg(
+        one("cut").cast("long").alias("kept"), one(cut_by).alias("cut_by"), F.max(F.when(F.col("i") == F.col("cut"), F.col("t"))).alias("cut_at"), one(F.col("n") - F.col("del")).alias("by_delivery"), one(F.col("n") - F.col("sig")).alias("by_signature"),
+        one(F.col("first") - F.col("cut")).cast("long").alias("by_trailing"), F.count_if(F.col("frozen") & (F.col("i") < F.col("cut"))).alias("still_inside"), F.max(partial).alias("partial_last"),
+    )

@@ -93,6 +93,11 @@ def gate(checks: dict[str, Column]) -> tuple[Column, Column, Column]:
     return n == len(ok), F.floor(n * 100 / len(ok) + 0.5).cast("int"), failed
 
 
+def effective_pool(quality: Column, now: Column, observed: Column, history: Column, error: Column, fresh_ms: int = 48 * 3_600_000) -> Column:
+    """"quality" only while both evidence times are fresh and no update failed; "ordinary" otherwise, and for anything unknown."""
+    return F.when(quality & (now - observed <= fresh_ms) & (now - history <= fresh_ms) & ~F.coalesce(error, F.lit(False)), "quality").otherwise("ordinary")
+
+
 def capped_composite(public: Column, risk: Column) -> tuple[Column, Column]:
     score = F.when(risk.isNull(), F.least(public, F.lit(89.0))).when(risk >= 60, F.least(public, F.lit(49.0))).otherwise(round_half_up(public * 0.7 + (100 - risk) * 0.3, 1))
     return score, F.when(risk.isNull(), "pending").when(risk >= 60, "flagged").otherwise("verified")

@@ -56,12 +56,13 @@ def agg_5(t):
 
 @query("agg_6_median", f"SELECT l_suppkey, {r('median(l_quantity)')} AS q FROM lineitem GROUP BY 1")
 def agg_6(t):
-    return t.lineitem.groupBy("l_suppkey").agg(r6(F.median("l_quantity")).alias("q"))
+    return a.quantiles(t.lineitem, "l_suppkey", "l_quantity", q=0.5).withColumn("q", r6(col("q")))
 
 
 @query("agg_7_quantile", f"SELECT l_suppkey, {r('quantile_cont(l_extendedprice, 0.1)', 4)} AS p10, {r('quantile_cont(l_extendedprice, 0.9)', 4)} AS p90 FROM lineitem GROUP BY 1")
 def agg_7(t):
-    return t.lineitem.groupBy("l_suppkey").agg(*(r6(F.percentile("l_extendedprice", F.lit(p)), 4).alias(n) for n, p in (("p10", 0.1), ("p90", 0.9))))
+    x = a.quantiles(t.lineitem, "l_suppkey", "l_extendedprice", p10=0.1, p90=0.9)
+    return x.select("l_suppkey", *(r6(col(c), 4).alias(c) for c in ("p10", "p90")))
 
 
 @query("agg_7b_floor_quantile", "SELECT l_suppkey, list_sort(list(l_extendedprice))[least(count(*), CAST(floor(0.9 * count(*)) AS BIGINT) + 1)] AS p90 FROM lineitem GROUP BY 1")
@@ -71,7 +72,12 @@ def agg_7b(t):
 
 @query("agg_8_iqr", f"SELECT o_custkey, {r('quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25)', 4)} AS iqr FROM orders GROUP BY 1")
 def agg_8(t):
-    return t.orders.groupBy("o_custkey").agg(r6(a.iqr(col("o_totalprice")), 4).alias("iqr"))
+    return spreads(t).select("o_custkey", r6(col("q"), 4).alias("iqr"))
+
+
+def spreads(t):
+    """The distance of each customer's upper from the lower quartile."""
+    return a.quantiles(t.orders, "o_custkey", "o_totalprice", low=0.25, high=0.75).select("o_custkey", (col("high") - col("low")).alias("q"))
 
 
 @query("agg_9_slope", f"SELECT l_suppkey, {r('regr_slope(l_extendedprice, l_quantity)', 3)} AS slope FROM lineitem GROUP BY 1")
@@ -187,55 +193,6 @@ def agg_24(t):
     return x.select("address", r6(col("long")).alias("long"), r6(col("short")).alias("short"), r6((col("long") - col("short")) / col("total") * 100, 4).alias("net_pct"), r6(col("lev") / col("total"), 4).alias("leverage"))
 
 
-#: Orders as closed trades: profit by priority, duration by key.
-TRADES_SQL = "trades AS (SELECT o_custkey AS id, o_orderkey, o_totalprice * (CASE WHEN o_orderkey % 3 = 0 THEN -0.01 ELSE 0.01 END) * (1 + o_orderkey % 5) AS pnl, o_totalprice AS notional, CAST(o_orderkey % 700 AS DOUBLE) AS hold FROM orders)"
-
-
-def trades(t):
-    return t.orders.select(col("o_custkey").alias("id"), "o_orderkey", (col("o_totalprice") * F.when(col("o_orderkey") % 3 == 0, -0.01).otherwise(0.01) * (1 + col("o_orderkey") % 5)).alias("pnl"), col("o_totalprice").alias("notional"), (col("o_orderkey") % 700).cast("double").alias("hold"))
-
-
-@query("agg_25_cycle_metrics", f"""WITH {TRADES_SQL} SELECT id, count(*) AS n, {r('avg(CASE WHEN pnl > 0 THEN 100.0::DOUBLE ELSE 0 END)', 4)} AS win_rate, {r('sum(greatest(pnl, 0)) / nullif(-sum(least(pnl, 0)), 0)', 4)} AS profit_factor, {r('max(pnl) FILTER (pnl > 0) / nullif(sum(greatest(pnl, 0)), 0) * 100', 4)} AS top_pct,
-{r('avg(CASE WHEN hold < 60 THEN 100.0::DOUBLE ELSE 0 END)', 4)} AS under60, {r('avg(CASE WHEN hold < 300 THEN 100.0::DOUBLE ELSE 0 END)', 4)} AS under300, {r('avg(CASE WHEN abs(pnl / notional) <= 0.01 THEN 100.0::DOUBLE ELSE 0 END)', 4)} AS near_zero, {r('median(hold)')} AS median_hold FROM trades GROUP BY 1""")
-def agg_25(t):
-    return cycle_metrics(trades(t))
-
-
-def cycle_metrics(x):
-    share = lambda c: r6(F.avg(F.when(c, 100.0).otherwise(0.0)), 4)
-    gain, loss = F.sum(F.greatest("pnl", F.lit(0.0))), -F.sum(F.least("pnl", F.lit(0.0)))
-    return x.groupBy("id").agg(
-        F.count("*").alias("n"), share(col("pnl") > 0).alias("win_rate"), r6(gain / F.nullif(loss, F.lit(0.0)), 4).alias("profit_factor"), r6(F.max(F.when(col("pnl") > 0, col("pnl"))) / F.nullif(gain, F.lit(0.0)) * 100, 4).alias("top_pct"),
-        share(col("hold") < 60).alias("under60"), share(col("hold") < 300).alias("under300"), share(F.abs(col("pnl") / col("notional")) <= 0.01).alias("near_zero"), r6(F.median("hold")).alias("median_hold"),
-    )
-
-
-@query("agg_26_holding_risk", f"""WITH {TRADES_SQL}, m AS (SELECT id, count(*) AS n, avg(CASE WHEN hold <= 60 THEN 1.0::DOUBLE ELSE 0 END) AS u60, avg(CASE WHEN hold <= 300 THEN 1.0::DOUBLE ELSE 0 END) AS u300, sum(notional) / 50000 / 30 AS turnover, floor(median(hold) + 0.5) AS med,
-  CASE WHEN sum(greatest(pnl, 0)) > 0 THEN sum(notional) * 0.001 / sum(greatest(pnl, 0)) ELSE 1 END AS fee FROM trades GROUP BY 1)
-SELECT id, {r('100 * (0.22 * least(1, u60 / 0.3) + 0.18 * least(1, u300 / 0.45) + 0.16 * least(1, turnover / 20) + 0.14 * least(1, fee / 0.35) + 0.14 * least(1, greatest(0, 0.5 - med / 3600) / 0.5))', 1)} AS risk, {r('least(1, n / 100.0::DOUBLE)', 2)} AS confidence FROM m""")
-def agg_26(t):
-    """How much trading looks inflated: weighted shares of thresholds, and the confidence of the sample."""
-    s = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    gain = F.sum(F.greatest("pnl", F.lit(0.0)))
-    m = trades(t).groupBy("id").agg(
-        F.count("*").alias("n"), s(col("hold") <= 60).alias("u60"), s(col("hold") <= 300).alias("u300"), (F.sum("notional") / 50_000 / 30).alias("turnover"),
-        F.floor(F.median("hold") + 0.5).alias("med"), F.when(gain > 0, F.sum("notional") * 0.001 / gain).otherwise(1.0).alias("fee"),
-    )
-    part = lambda c, top: clamp(c / top)
-    risk = 100 * (0.22 * part(col("u60"), 0.3) + 0.18 * part(col("u300"), 0.45) + 0.16 * part(col("turnover"), 20) + 0.14 * part(col("fee"), 0.35) + 0.14 * part(F.greatest(F.lit(0.0), 0.5 - col("med") / 3600), 0.5))
-    return m.select("id", r6(risk, 1).alias("risk"), r6(F.least(F.lit(1.0), col("n") / 100), 2).alias("confidence"))
-
-
-@query("agg_27_trader_metrics", f"""WITH {TRADES_SQL} SELECT id, {r('quantile_cont(hold, 0.25)')} AS hold_q1, {r('quantile_cont(hold, 0.75)')} AS hold_q3, {r('sum(notional) / 100000', 4)} AS turnover, {r('max(notional) / sum(notional)', 5)} AS concentration,
-CASE WHEN avg(CASE WHEN hold < 60 THEN 100 ELSE 0 END) >= 50 THEN 'high' WHEN avg(CASE WHEN hold < 60 THEN 100 ELSE 0 END) >= 25 THEN 'medium' ELSE 'low' END AS level FROM trades GROUP BY 1""")
-def agg_27(t):
-    risk = F.avg(F.when(col("hold") < 60, 100.0).otherwise(0.0))
-    return trades(t).groupBy("id").agg(
-        r6(F.percentile("hold", F.lit(0.25))).alias("hold_q1"), r6(F.percentile("hold", F.lit(0.75))).alias("hold_q3"), r6(F.sum("notional") / 100_000, 4).alias("turnover"),
-        r6(F.max("notional") / F.sum("notional"), 5).alias("concentration"), F.when(risk >= 50, "high").when(risk >= 25, "medium").otherwise("low").alias("level"),
-    )
-
-
 HEAT_SQL = f"""{CLEAN_SQL}, hp AS (SELECT *, CASE WHEN id % 5 = 0 THEN 0.3 ELSE 1.0 END::DOUBLE AS wt FROM clean)"""
 
 
@@ -318,8 +275,7 @@ def agg_35(t):
 @query("agg_36_scale_floor", f"WITH i AS (SELECT quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS q FROM orders GROUP BY o_custkey) SELECT {r('quantile_cont(q, 0.1)', 4)} AS floor FROM i WHERE q > 0")
 def agg_36(t):
     """The tenth percentile of the spreads that are not zero."""
-    i = t.orders.groupBy("o_custkey").agg(a.iqr(col("o_totalprice")).alias("q")).where("q > 0")
-    return i.agg(r6(F.percentile("q", F.lit(0.1)), 4).alias("floor"))
+    return a.global_quantile(spreads(t).where("q > 0"), "q", 0.1, "o_custkey").select(r6(col("q"), 4).alias("floor"))
 
 
 @query("agg_37_series_facts", f"""WITH {bars_sql(HOUR_MS)}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS gap FROM bars)

@@ -70,7 +70,7 @@ FROM m WINDOW w AS (PARTITION BY t ORDER BY floor(mr * 1e6 + 0.5), symbol)"""
 @query("rnk_1_squeeze_ranking", SQUEEZE_SQL)
 def rnk_1(t):
     """Symbols by how tight their range is against their own past, at each time: the tightest is first."""
-    x = wq.win_12(t).where("squeeze is not null")
+    x = wq.with_atr(wq.h4(t)).select("symbol", "t", r6(wq.w.midrank("atr_pct", wq.RANK)).alias("squeeze")).where("squeeze is not null")
     x = k.ranked(x, "squeeze", "symbol", by=("t",))
     return x.select("symbol", "t", "squeeze", col("rank").cast("long"), r6(col("percentile")).alias("percentile"))
 

@@ -40,10 +40,11 @@ def r(expr: str, digits: int = 6) -> str:
 K = "CAST(regexp_extract(props, '[0-9]+') AS INT)"
 
 
-def bars_sql(step_ms: int, every: bool = False, name: str = "bars") -> str:
-    """A common table expression with the bars that ``operators.bars.from_events`` makes."""
+def bars_sql(step_ms: int, every: bool = False, name: str = "bars", market: bool = False) -> str:
+    """A common table expression with the bars that ``operators.bars.from_events`` makes: by event type, or of all (``every``), or both (``market``)."""
     symbol = "'ALL'" if every else "event_type"
+    source = "(SELECT * FROM events UNION ALL SELECT * REPLACE ('ALL' AS event_type) FROM events)" if market else "events"
     return f"""{name} AS (
       SELECT {symbol} AS symbol, (epoch_us(ts) // 1000) // {step_ms} * {step_ms} AS t, first(value ORDER BY ts, event_id) AS o, max(value) AS h, min(value) AS l,
              last(value ORDER BY ts, event_id) AS c, sum(value) AS v, sum(CASE WHEN {K} >= 50 THEN value ELSE 0 END) AS tb, count(*) AS trades
-      FROM events GROUP BY 1, 2)"""
+      FROM {source} GROUP BY 1, 2)"""

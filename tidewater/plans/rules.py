@@ -8,7 +8,6 @@ from ..functions.scalars import HOUR_MS, change, round_half_up
 from ..functions.windows import by_time, ema
 from ..operators import rules as u
 from . import windows as wq
-from .aggregates import TRADES_SQL, cycle_metrics, trades
 from .joins import snapshot, snapshot_sql
 from .registry import query, r
 
@@ -82,38 +81,6 @@ def rul_6(t):
     return x.select(*KEY, bias.alias("bias"), state.alias("state"))
 
 
-@query("rul_7_trader_gates", f"""WITH {TRADES_SQL}, m AS (SELECT id, count(*) AS n, sum(greatest(pnl, 0)) / nullif(-sum(least(pnl, 0)), 0) AS pf, median(hold) AS med, avg(CASE WHEN hold < 300 THEN 100.0 ELSE 0 END) AS u300 FROM trades GROUP BY 1)
-SELECT id, n >= 8 AND coalesce(pf >= 1.2, false) AND med >= 300 AND u300 <= 60 AS eligible, CAST(floor(((n >= 8)::INT + coalesce(pf >= 1.2, false)::INT + (med >= 300)::INT + (u300 <= 60)::INT) * 100 / 4.0::DOUBLE + 0.5) AS INT) AS score,
-concat_ws(',', CASE WHEN NOT n >= 8 THEN 'sample' END, CASE WHEN NOT coalesce(pf >= 1.2, false) THEN 'profit' END, CASE WHEN NOT med >= 300 THEN 'holding' END, CASE WHEN NOT u300 <= 60 THEN 'short' END) AS failed FROM m""")
-def rul_7(t):
-    ok, score, failed = u.gate({"sample": col("n") >= 8, "profit": col("profit_factor") >= 1.2, "holding": col("median_hold") >= 300, "short": col("under300") <= 60})
-    return cycle_metrics(trades(t)).select("id", ok.alias("eligible"), score.alias("score"), F.array_join(failed, ",").alias("failed"))
-
-
-@query("rul_8_anomaly_flags", f"""WITH {TRADES_SQL}, m AS (SELECT id, count(*) AS n, avg(CASE WHEN hold < 60 THEN 100.0 ELSE 0 END) AS u60, avg(CASE WHEN hold < 300 THEN 100.0 ELSE 0 END) AS u300, avg(CASE WHEN pnl > 0 THEN 100.0 ELSE 0 END) AS win FROM trades GROUP BY 1)
-SELECT id, CASE WHEN n >= 10 THEN concat_ws(',', CASE WHEN u60 >= 30 THEN 'ultra' END, CASE WHEN u300 >= 60 THEN 'short' END, CASE WHEN win >= 25 THEN 'reopen' END) ELSE '' END AS flags,
-CASE WHEN n >= 10 THEN (u60 >= 30)::INT * 25 + (u300 >= 60)::INT * 15 + (win >= 25)::INT * 20 ELSE 0 END AS points FROM m""")
-def rul_8(t):
-    none = F.lit(None).cast("double")
-    flags = u.anomaly_flags(col("n"), {"under60": col("under60"), "under300": col("under300"), "reopen": col("win_rate"), "reverse": none}, none, none)
-    x = cycle_metrics(trades(t)).withColumn("f", flags)
-    return x.select("id", F.array_join("f", ",").alias("flags"), u.anomaly_score(col("f")).alias("points"))
-
-
-@query("rul_9_entity_gates", f"""WITH {snapshot_sql('p', 20)}, e AS (SELECT address, sum(notional) AS v, count(*) AS n, max(notional) AS top FROM p GROUP BY 1) SELECT address, v >= 150 AND n > 0 AND top > 60 AND (address % 4 <> 0 OR address % 8 = 0) AS eligible FROM e""")
-def rul_9(t):
-    e = snapshot(t, 20).groupBy("address").agg(F.sum("notional").alias("v"), F.count("*").alias("n"), F.max("notional").alias("top"))
-    closed = F.when(col("address") % 4 == 0, col("address") % 8 != 0)  # unknown for others, which is not a failure
-    ok, _, _ = u.gate({"scale": col("v") >= 150, "active": col("n") > 0, "pnl": col("top") > 60, "open": ~F.coalesce(closed, F.lit(False))})
-    return e.select("address", ok.alias("eligible"))
-
-
-@query("rul_10_effective_pool", f"SELECT event_id, CASE WHEN value > 20 AND 1706400000000 - (epoch_us(ts) // 1000) <= 48 * {HOUR_MS} AND event_type <> 'error' THEN 'quality' ELSE 'ordinary' END AS pool FROM events")
-def rul_10(t):
-    age = 1_706_400_000_000 - F.unix_millis(col("ts").cast("timestamp"))
-    return t.events.select("event_id", F.when((col("value") > 20) & (age <= 48 * HOUR_MS) & (col("event_type") != "error"), "quality").otherwise("ordinary").alias("pool"))
-
-
 NOW = 1_706_400_000_000
 EVIDENCE_SQL = f"""p AS (SELECT l_orderkey AS k, l_linenumber AS n, {NOW} - l_orderkey % 20 * {HOUR_MS} AS posted, CASE WHEN l_partkey % 9 <> 0 THEN {NOW} - l_orderkey % 20 * {HOUR_MS} - CAST(l_quantity - 10 AS BIGINT) * {HOUR_MS} END AS opened, CASE WHEN l_partkey % 13 <> 0 THEN {NOW} - l_suppkey % 9 * {HOUR_MS} END AS observed,
 CASE WHEN l_suppkey % 7 <> 0 THEN {NOW} - l_orderkey % 20 * {HOUR_MS} - l_linenumber * {HOUR_MS} END AS before, CASE WHEN l_partkey % 11 <> 0 THEN l_partkey END AS evidence_id, l_suppkey % 10 <> 0 AS same_author, CASE WHEN l_linestatus = 'O' THEN 'verified' ELSE CASE WHEN l_linenumber = 1 THEN 'screenshot' ELSE 'verified' END END AS grade,
@@ -156,15 +123,6 @@ def rul_14(t):
     return coin(t).where("cap is not null").select(*KEY, heat.alias("heat"), feel.alias("sentiment"), F.when(feel >= 65, "up").when(feel <= 35, "down").otherwise("neutral").alias("label"))
 
 
-@query("rul_15_trader_score", f"""WITH {TRADES_SQL}, m AS (SELECT id, count(*) AS n, avg(CASE WHEN pnl > 0 THEN 1.0::DOUBLE ELSE 0 END) AS win, sum(pnl) AS pnl, max(abs(pnl)) / sum(notional) AS dd FROM trades GROUP BY 1)
-SELECT id, {r('100 * (least(1, greatest(0, ln(1 + greatest(0, pnl / 100)) / ln(301))) * 0.4 + (1 - least(1, dd / 0.5)) * 0.3 + win * 0.3)', 3)} AS score, n >= 8 AND win >= 0.5 AS eligible FROM m""")
-def rul_15(t):
-    m = trades(t).groupBy("id").agg(F.count("*").alias("n"), F.avg(F.when(col("pnl") > 0, 1.0).otherwise(0.0)).alias("win"), F.sum("pnl").alias("pnl"), (F.max(F.abs("pnl")) / F.sum("notional")).alias("dd"))
-    gain = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log1p(F.greatest(F.lit(0.0), col("pnl") / 100)) / F.log(F.lit(301.0))))
-    score = 100 * (gain * 0.4 + (1 - F.least(F.lit(1.0), col("dd") / 0.5)) * 0.3 + col("win") * 0.3)
-    return m.select("id", r6(score, 3).alias("score"), ((col("n") >= 8) & (col("win") >= 0.5)).alias("eligible"))
-
-
 @query("rul_16_fusion", f"""WITH {COIN_SQL}, x AS (SELECT l_orderkey, l_linenumber, rsi AS heat, 50 + net AS sq, l_orderkey % 101 AS smart, l_orderkey % 61 AS conf, (rsi * 0.25 + (50 + net) * 0.20 + CAST(l_orderkey % 101 AS DOUBLE) * 0.40 + 7.5) AS score FROM coin)
 SELECT l_orderkey, l_linenumber, {r('score * (0.55::DOUBLE + 0.45::DOUBLE * conf / 100)', 4)} AS decision, CASE WHEN conf < 20 AND heat >= 55 THEN 'hot without smart money' WHEN heat >= 55 AND sq >= 55 AND smart >= 60 AND conf >= 30 THEN 'resonance' WHEN heat >= 55 AND smart <= 40 AND conf >= 30 THEN 'hot but smart money short' WHEN heat >= 55 AND sq >= 60 AND smart < 55 AND conf >= 25 THEN 'unconfirmed'
 WHEN heat >= 50 AND sq <= 40 AND smart >= 60 AND conf >= 30 THEN 'contrarian' WHEN smart >= 60 AND conf >= 30 AND heat < 55 THEN 'early' WHEN {r('score')} >= 60 AND smart >= 55 AND conf >= 25 THEN 'confirmed' WHEN smart <= 45 AND conf >= 30 THEN 'smart money short' ELSE 'no conclusion' END AS conclusion FROM x""")

@@ -230,12 +230,6 @@ def flt_11(t):
     return t.part.where((col("p_size") >= 10) & F.array_contains(F.split("p_type", " "), "PROMO") & F.lower("p_name").contains("e")).select("p_partkey", "p_name")
 
 
-@query("flt_12_candidates", "SELECT c_custkey FROM customer WHERE c_acctbal >= 5000 AND c_custkey NOT IN (SELECT s_suppkey FROM supplier) AND EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-def flt_12(t):
-    rich = t.customer.where("c_acctbal >= 5000").join(t.supplier, col("c_custkey") == col("s_suppkey"), "left_anti")
-    return rich.join(t.orders, col("c_custkey") == col("o_custkey"), "left_semi").select("c_custkey")
-
-
 @query("flt_13_decision_eligible", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, l_quantity, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS last FROM lineitem) WHERE NOT (l_linenumber = last AND l_quantity < 10)")
 def flt_13(t):
     """All bars but the last one of a series if that is partial."""
@@ -245,15 +239,6 @@ def flt_13(t):
     return t.lineitem.withColumn("last", last).where(~((col("l_linenumber") == col("last")) & (col("l_quantity") < 10))).select(*LINE)
 
 
-@query("flt_14_trader_quality", """SELECT user_id FROM (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN value ELSE 0 END) - sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) AS pnl, max((epoch_us(ts) // 1000)) - min((epoch_us(ts) // 1000)) AS age, max(value) AS aum FROM events GROUP BY 1)
-WHERE pnl > 0 AND age >= 7 * 86400000 AND aum >= 50""")
-def flt_14(t):
-    of = lambda kind: F.sum(F.when(col("event_type") == kind, col("value")).otherwise(0.0))
-    at = F.unix_millis(col("ts").cast("timestamp"))
-    x = t.events.groupBy("user_id").agg((of("purchase") - of("error")).alias("pnl"), (F.max(at) - F.min(at)).alias("age"), F.max("value").alias("aum"))
-    return x.where((col("pnl") > 0) & (col("age") >= 7 * s.DAY_MS) & (col("aum") >= 50)).select("user_id")
-
-
 # --- text, dates, maths, arrays
 
 

@@ -148,23 +148,3 @@ def win_45(t):
 @query("win_48_open_cost")
 def win_48(t):
     return cy.open_cost(orders(t)).select("trader", "symbol", "side", r6(col("qty")).alias("qty"), r6(col("cost")).alias("cost"))
-
-
-@query("win_46_order_relations", f"""WITH o AS (SELECT user_id, event_type, (epoch_us(ts) // 1000) AS ms, {K} AS qty, lag((epoch_us(ts) // 1000)) OVER w AS pms, lag({K}) OVER w AS pq FROM events WHERE event_type IN ('purchase', 'error') AND {K} > 0 WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
-SELECT user_id, count(*) FILTER (ms - pms <= 36000000) AS comparable, count(*) FILTER (ms - pms <= 36000000 AND abs(qty / pq - 1) <= 0.1) AS repeated FROM o GROUP BY 1""")
-def win_46(t):
-    """Orders soon after one of the same kind, and those that repeat its quantity."""
-    w = Window.partitionBy("trader", "opens").orderBy("time", "ordinal")
-    x = orders(t).where("qty > 0").withColumns({"soon": col("time") - F.lag("time").over(w) <= 36_000_000, "same": F.abs(col("qty") / F.lag("qty").over(w) - 1) <= 0.1})
-    return x.groupBy(col("trader").alias("user_id")).agg(F.count_if("soon").alias("comparable"), F.count_if(col("soon") & col("same")).alias("repeated"))
-
-
-@query("win_47_reversals", """WITH o AS (SELECT user_id, event_type, (epoch_us(ts) // 1000) AS ms, lag(event_type) OVER w AS pt, lag((epoch_us(ts) // 1000)) OVER w AS pms FROM events WHERE event_type IN ('purchase', 'error') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-SELECT user_id, count(*) FILTER (pt <> event_type AND ms - pms <= 7200000) AS reversals, count(*) AS n FROM o GROUP BY 1""")
-def win_47(t):
-    w = Window.partitionBy("trader").orderBy("time", "ordinal")
-    turned = (F.lag("opens").over(w) != col("opens")) & (col("time") - F.lag("time").over(w) <= 7_200_000)
-    x = orders(t).withColumn("turned", turned)
-    return x.groupBy(col("trader").alias("user_id")).agg(F.count_if("turned").alias("reversals"), F.count("*").alias("n"))
-
-

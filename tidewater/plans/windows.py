@@ -13,8 +13,8 @@ from .registry import bars_sql, query, r
 H4 = 4 * HOUR_MS
 col = F.col
 r6 = round_half_up
-#: Frames of the production rules are longer than the series of the small tables; these are what the queries use.
-RANK, MONTH = 48, 60
+#: Bars of the trailing windows: two weeks of hours, with the bars that the mean range before them needs, and what four-hour rankings use.
+TRAIL, NEED, RANK = 336, 349, 48
 
 
 def h4(t):
@@ -22,26 +22,52 @@ def h4(t):
 
 
 def h1(t):
-    return b.from_events(t.events, HOUR_MS, F.lit("ALL"))
+    """Hourly bars of each type of event and, as the symbol ALL, of the market."""
+    return b.from_events(t.events, HOUR_MS, F.explode(F.array("event_type", F.lit("ALL"))))
 
 
-BARS4, BARS1 = bars_sql(H4), bars_sql(HOUR_MS, every=True)
+BARS4, BARS1 = bars_sql(H4), bars_sql(HOUR_MS, market=True)
 TR = "greatest(h - l, coalesce(abs(h - lag(c) OVER w), h - l), coalesce(abs(l - lag(c) OVER w), h - l))"
-ATR_SQL = f"""{BARS4}, tr AS (SELECT *, {TR} AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)),
-a AS (SELECT *, CASE WHEN count(*) OVER w14 = 14 THEN avg(tr) OVER w14 END AS atr FROM tr WINDOW w14 AS (PARTITION BY symbol ORDER BY t ROWS 13 PRECEDING)),
+
+
+def atr_sql(bars: str, step: int | None = None) -> str:
+    """Bars with their mean true range; with a step, none where the 14 bars have a gap."""
+    gap = f" AND t - lag(t, 13) OVER w1 = {13 * step}" if step else ""
+    return f"""{bars}, tr AS (SELECT *, {TR} AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+a AS (SELECT *, CASE WHEN count(*) OVER w14 = 14{gap} THEN avg(tr) OVER w14 END AS atr FROM tr WINDOW w14 AS (PARTITION BY symbol ORDER BY t ROWS 13 PRECEDING), w1 AS (PARTITION BY symbol ORDER BY t)),
 p AS (SELECT *, atr / c * 100 AS atr_pct FROM a)"""
 
 
-def with_atr(bars, n=14):
-    x = bars.withColumn("tr", w.true_range()).withColumn("atr", w.mean_of("tr", n))
+ATR_SQL, ATR1_SQL = atr_sql(BARS4), atr_sql(BARS1, HOUR_MS)
+#: Hourly bars with whether the 349 of the longest window have no gap.
+WHOLE_SQL = f"{ATR1_SQL}, q AS (SELECT *, coalesce(t - lag(t, {NEED - 1}) OVER (PARTITION BY symbol ORDER BY t) = {(NEED - 1) * HOUR_MS}, false) AS whole FROM p)"
+
+
+def with_atr(bars, n=14, step=None):
+    x = bars.withColumn("tr", w.true_range()).withColumn("atr", w.mean_of("tr", n, step_ms=step))
     return x.withColumn("atr_pct", col("atr") / col("c") * 100)
 
 
-def midrank_sql(c: str, n: int, source: str) -> str:
+def hourly(t):
+    return with_atr(h1(t), step=HOUR_MS).withColumn("whole", w.contiguous(col("t"), NEED, HOUR_MS))
+
+
+def midrank_sql(c: str, n: int, source: str, step: int | None = None, by: str = "symbol") -> str:
     """A mid-rank by joining each row to the rows of its frame."""
-    return f"""(SELECT x.symbol, x.t, CASE WHEN count(y.{c}) = {n} AND count(y.rn) = {n} THEN 100.0::DOUBLE * (count(*) FILTER (y.{c} < x.{c}) + 0.5 * count(*) FILTER (y.{c} = x.{c})) / {n} END AS mr
-      FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM {source}) x JOIN (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM {source}) y
-        ON x.symbol = y.symbol AND y.rn BETWEEN x.rn - {n - 1} AND x.rn GROUP BY 1, 2)"""
+    gap = f" AND max(y.t) - min(y.t) = {step * (n - 1)}" if step else ""
+    keys = by.split(", ")
+    return f"""(SELECT x.symbol, x.t, CASE WHEN count(y.{c}) = {n} AND count(y.rn) = {n}{gap} THEN 100.0::DOUBLE * (count(*) FILTER (y.{c} < x.{c}) + 0.5 * count(*) FILTER (y.{c} = x.{c})) / {n} END AS mr
+      FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY t) AS rn FROM {source}) x JOIN (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY t) AS rn FROM {source}) y
+        ON {" AND ".join(f"x.{k} = y.{k}" for k in keys)} AND y.rn BETWEEN x.rn - {n - 1} AND x.rn GROUP BY 1, 2)"""
+
+
+def at_both(sql) -> str:
+    """The SQL for hourly and for four-hour bars, one after the other."""
+    return " UNION ALL ".join(f"SELECT * FROM ({sql(step)})" for step in (HOUR_MS, H4))
+
+
+def both(f):
+    return f(HOUR_MS).unionByName(f(H4))
 
 
 @query("flt_1_bars", f"WITH {BARS4} SELECT symbol, t, o, h, l, c, {r('v')} AS v, {r('tb')} AS tb, trades FROM bars")
@@ -64,9 +90,9 @@ def win_2(t):
     return with_atr(h4(t)).select("symbol", "t", r6(col("atr")).alias("atr"))
 
 
-@query("win_3_midrank", f"WITH {BARS4} SELECT symbol, t, {r('mr')} AS midrank FROM {midrank_sql('c', RANK, 'bars')}")
+@query("win_3_midrank", f"WITH {BARS1} SELECT symbol, t, {r('mr')} AS midrank FROM {midrank_sql('c', TRAIL, 'bars', HOUR_MS)}")
 def win_3(t):
-    return h4(t).select("symbol", "t", r6(w.midrank("c", RANK)).alias("midrank"))
+    return h1(t).select("symbol", "t", r6(w.midrank("c", TRAIL, step_ms=HOUR_MS)).alias("midrank"))
 
 
 @query("win_4_share_at_most", f"""WITH {BARS4}, x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM bars)
@@ -77,21 +103,21 @@ def win_4(t):
 
 
 def fold_sql(n: int, source: str = "bars", c: str = "c") -> str:
-    return f"(SELECT symbol, t, list({c}) OVER (PARTITION BY symbol ORDER BY t ROWS {n - 1} PRECEDING) AS x FROM {source})"
+    return f"(SELECT symbol, t, list({c}) OVER (PARTITION BY symbol ORDER BY t ROWS {n - 1} PRECEDING) AS x, min(t) OVER (PARTITION BY symbol ORDER BY t ROWS {n - 1} PRECEDING) AS first FROM {source})"
 
 
-@query("win_5_ema", f"""WITH {BARS4} SELECT symbol, t, CASE WHEN len(x) = 40 THEN {r('list_reduce(list_concat([list_avg(x[1:10])], x[11:40]), lambda e, v: e + 2.0::DOUBLE / 11 * (v - e))')} END AS ema FROM {fold_sql(40)}""")
+@query("win_5_ema", f"""WITH {BARS1} SELECT symbol, t, CASE WHEN len(x) = 360 AND t - first = {359 * HOUR_MS} THEN {r('list_reduce(list_concat([list_avg(x[1:60])], x[61:360]), lambda e, v: e + 2.0::DOUBLE / 61 * (v - e))')} END AS ema FROM {fold_sql(360)}""")
 def win_5(t):
-    return h4(t).select("symbol", "t", r6(w.ema("c", 10, 40)).alias("ema"))
+    return h1(t).select("symbol", "t", r6(w.ema("c", 60, 360, step_ms=HOUR_MS)).alias("ema"))
 
 
-@query("win_6_rsi", f"""WITH RECURSIVE {BARS4}, d AS (SELECT symbol, t, row_number() OVER w AS rn, c - lag(c) OVER w AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)),
-k AS (SELECT x.symbol, x.t, y.rn - x.rn + 29 AS i, greatest(y.d, 0) AS g, greatest(-y.d, 0) AS l FROM d x JOIN d y ON x.symbol = y.symbol AND y.rn BETWEEN x.rn - 28 AND x.rn WHERE x.rn >= 30),
+@query("win_6_rsi", f"""WITH RECURSIVE {BARS4}, d AS (SELECT symbol, t, row_number() OVER w AS rn, lag(t, 29) OVER w AS t30, c - lag(c) OVER w AS d FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+k AS (SELECT x.symbol, x.t, y.rn - x.rn + 29 AS i, greatest(y.d, 0) AS g, greatest(-y.d, 0) AS l FROM d x JOIN d y ON x.symbol = y.symbol AND y.rn BETWEEN x.rn - 28 AND x.rn WHERE x.rn >= 30 AND x.t - x.t30 = {29 * H4}),
 s AS (SELECT symbol, t, 14 AS i, sum(g) / 14 AS g, sum(l) / 14 AS l FROM k WHERE i <= 14 GROUP BY 1, 2
       UNION ALL SELECT s.symbol, s.t, s.i + 1, (s.g * 13 + k.g) / 14, (s.l * 13 + k.l) / 14 FROM s JOIN k ON s.symbol = k.symbol AND s.t = k.t AND k.i = s.i + 1)
 SELECT b.symbol, b.t, {r('CASE WHEN s.l = 0 THEN CASE WHEN s.g = 0 THEN 50 ELSE 100 END ELSE 100 - 100 / (1 + s.g / s.l) END', 5)} AS rsi FROM bars b LEFT JOIN s ON b.symbol = s.symbol AND b.t = s.t AND s.i = 29""")
 def win_6(t):
-    return h4(t).select("symbol", "t", r6(w.rsi("c", 14, 30), 5).alias("rsi"))
+    return h4(t).select("symbol", "t", r6(w.rsi("c", 14, 30, step_ms=H4), 5).alias("rsi"))
 
 
 @query("win_7_exact_return", f"WITH {BARS1} SELECT symbol, t, CASE WHEN t - lag(t, 24) OVER w = 24 * {HOUR_MS} AND lag(c, 24) OVER w > 0 THEN {r('(c / lag(c, 24) OVER w - 1) * 100')} END AS ret FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)")
@@ -99,64 +125,91 @@ def win_7(t):
     return h1(t).select("symbol", "t", r6(w.exact_change(24, HOUR_MS)).alias("ret"))
 
 
-@query("win_8_price_changes", f"""WITH {BARS1} SELECT symbol, t, CASE WHEN t - lag(t, 1) OVER w = {HOUR_MS} THEN {r('(c / lag(c, 1) OVER w - 1) * 100')} END AS h1,
-CASE WHEN t - lag(t, 4) OVER w = 4 * {HOUR_MS} THEN {r('(c / lag(c, 4) OVER w - 1) * 100')} END AS h4 FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)""")
+#: The end of the series that price changes are of: all its bars must be there.
+CUTOFF = 1_706_659_200_000
+
+
+@query("win_8_price_changes", f"""WITH {BARS1}, x AS (SELECT *, lag(t) OVER w AS before FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+y AS (SELECT *, bool_and(before IS NULL OR t - before = {HOUR_MS}) OVER (PARTITION BY symbol) AND max(t) OVER (PARTITION BY symbol) = {CUTOFF - HOUR_MS} AS ok FROM x)
+SELECT symbol, t, {", ".join(f"CASE WHEN ok THEN {r(f'(c / lag(c, {k}) OVER w - 1) * 100')} END AS h{k}" for k in (1, 4, 24))} FROM y WINDOW w AS (PARTITION BY symbol ORDER BY t)""")
 def win_8(t):
-    return h1(t).select("symbol", "t", *(r6(w.exact_change(k, HOUR_MS)).alias(f"h{k}") for k in (1, 4)))
+    """Changes over an hour, four and a day, of series without a gap up to the cutoff."""
+    series = Window.partitionBy("symbol")
+    x = h1(t).withColumn("step", col("t") - F.lag("t").over(w.by_time()))
+    x = x.withColumn("ok", F.bool_and(F.coalesce(col("step") == HOUR_MS, F.lit(True))).over(series) & (F.max("t").over(series) == CUTOFF - HOUR_MS))
+    return x.select("symbol", "t", *(F.when(col("ok"), r6(w.exact_change(k, HOUR_MS))).alias(f"h{k}") for k in (1, 4, 24)))
 
 
 @query("win_9_volume_ratio", f"""WITH {BARS1}, x AS (SELECT symbol, t, sum(v) OVER (PARTITION BY symbol ORDER BY t ROWS 3 PRECEDING) AS a, sum(v) OVER (PARTITION BY symbol ORDER BY t ROWS BETWEEN 27 PRECEDING AND 4 PRECEDING) / 6 AS b,
-count(v) OVER (PARTITION BY symbol ORDER BY t ROWS 27 PRECEDING) AS n FROM bars) SELECT symbol, t, CASE WHEN n = 28 AND b > 0 THEN {r('a / b')} END AS ratio FROM x""")
+count(v) OVER (PARTITION BY symbol ORDER BY t ROWS 27 PRECEDING) AS n, t - lag(t, 27) OVER (PARTITION BY symbol ORDER BY t) = {27 * HOUR_MS} AS whole FROM bars) SELECT symbol, t, CASE WHEN n = 28 AND whole AND b > 0 THEN {r('a / b')} END AS ratio FROM x""")
 def win_9(t):
-    return h1(t).select("symbol", "t", r6(w.volume_ratio(4, 24)).alias("ratio"))
+    return h1(t).select("symbol", "t", r6(w.volume_ratio(4, 24, step_ms=HOUR_MS)).alias("ratio"))
 
 
-@query("win_10_effort_result", f"""WITH {ATR_SQL}, e AS (SELECT symbol, t, v, CASE WHEN atr > 0 THEN (h - l) / atr END AS span FROM p)
-SELECT symbol, t, {r('v.mr - s.mr')} AS effort FROM {midrank_sql('v', RANK, 'e')} v JOIN {midrank_sql('span', RANK, 'e')} s USING (symbol, t)""")
+@query("win_10_effort_result", f"""WITH {WHOLE_SQL}, e AS (SELECT symbol, t, v, whole, CASE WHEN atr > 0 THEN (h - l) / atr END AS span FROM q)
+SELECT symbol, t, CASE WHEN whole THEN {r('v.mr - s.mr')} END AS effort FROM e JOIN {midrank_sql('v', TRAIL, 'e')} v USING (symbol, t) JOIN {midrank_sql('span', TRAIL, 'e')} s USING (symbol, t)""")
 def win_10(t):
-    x = with_atr(h4(t)).withColumn("span", F.when(col("atr") > 0, (col("h") - col("l")) / col("atr")))
-    return x.select("symbol", "t", r6(w.midrank("v", RANK) - w.midrank("span", RANK)).alias("effort"))
+    x = hourly(t).withColumn("span", F.when(col("atr") > 0, (col("h") - col("l")) / col("atr")))
+    return x.select("symbol", "t", F.when(col("whole"), r6(w.midrank("v", TRAIL) - w.midrank("span", TRAIL))).alias("effort"))
 
 
-@query("win_11_sell_absorbed", f"""WITH {ATR_SQL} SELECT symbol, t, CASE WHEN t - lag(t, 14) OVER w = 14 * {H4} THEN {r('CASE WHEN v = 0 THEN 0 ELSE greatest(0, (v - tb) / v) END * (1 - least(1, abs(c - lag(c) OVER w) / atr))')} END AS absorbed FROM p WINDOW w AS (PARTITION BY symbol ORDER BY t)""")
+@query("win_11_sell_absorbed", f"""WITH {ATR1_SQL} SELECT symbol, t, CASE WHEN t - lag(t, 14) OVER w = 14 * {HOUR_MS} THEN {r('CASE WHEN v = 0 THEN 0 ELSE greatest(0, (v - tb) / v) END * (1 - least(1, abs(c - lag(c) OVER w) / atr))')} END AS absorbed FROM p WINDOW w AS (PARTITION BY symbol ORDER BY t)""")
 def win_11(t):
     share = F.when(col("v") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (col("v") - col("tb")) / col("v")))
     held = 1 - F.least(F.lit(1.0), F.abs(col("c") - F.lag("c").over(w.by_time())) / col("atr"))
-    return with_atr(h4(t)).select("symbol", "t", F.when(w.contiguous(col("t"), 15, H4), r6(share * held)).alias("absorbed"))
+    return hourly(t).select("symbol", "t", F.when(w.contiguous(col("t"), 15, HOUR_MS), r6(share * held)).alias("absorbed"))
 
 
-@query("win_12_squeeze", f"WITH {ATR_SQL} SELECT symbol, t, {r('mr')} AS squeeze FROM {midrank_sql('atr_pct', RANK, 'p')}")
+@query("win_12_squeeze", f"WITH {WHOLE_SQL} SELECT symbol, t, CASE WHEN whole THEN {r('mr')} END AS squeeze FROM q JOIN {midrank_sql('atr_pct', TRAIL, 'q')} USING (symbol, t)")
 def win_12(t):
-    return with_atr(h4(t)).select("symbol", "t", r6(w.midrank("atr_pct", RANK)).alias("squeeze"))
+    return hourly(t).select("symbol", "t", F.when(col("whole"), r6(w.midrank("atr_pct", TRAIL))).alias("squeeze"))
 
 
-@query("win_13_volume_dry_up", f"""WITH {BARS4}, x AS (SELECT *, t // {HOUR_MS} % 24 AS slot, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM bars),
-f AS (SELECT x.symbol, x.t, y.t AS yt, y.v, y.slot FROM x JOIN x y ON x.symbol = y.symbol AND y.rn BETWEEN x.rn - {RANK - 1} AND x.rn WHERE x.rn >= {RANK}),
-m AS (SELECT *, v / nullif(quantile_cont(v, 0.5) OVER (PARTITION BY symbol, t, slot), 0) AS q FROM f), n AS (SELECT *, max(CASE WHEN yt = t THEN q END) OVER (PARTITION BY symbol, t) AS now FROM m)
-SELECT symbol, t, {r(f'100.0::DOUBLE * (count(*) FILTER (q < now) + 0.5 * count(*) FILTER (q = now)) / {RANK}')} AS dry FROM n GROUP BY 1, 2""")
+@query("win_13_volume_dry_up", f"""WITH {WHOLE_SQL}, x AS (SELECT *, t // {HOUR_MS} % 24 AS slot, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM q),
+f AS (SELECT x.symbol, x.t, y.t AS yt, y.v, y.slot FROM x JOIN x y ON x.symbol = y.symbol AND y.rn BETWEEN x.rn - {TRAIL - 1} AND x.rn WHERE x.whole),
+m AS (SELECT *, CASE WHEN count(*) OVER s >= 8 AND quantile_cont(v, 0.5) OVER s > 0 THEN v / quantile_cont(v, 0.5) OVER s END AS q FROM f WINDOW s AS (PARTITION BY symbol, t, slot)), n AS (SELECT *, max(CASE WHEN yt = t THEN q END) OVER (PARTITION BY symbol, t) AS now FROM m),
+d AS (SELECT symbol, t, CASE WHEN count(q) = {TRAIL} THEN {r(f'100.0::DOUBLE * (count(*) FILTER (q < now) + 0.5 * count(*) FILTER (q = now)) / {TRAIL}')} END AS dry FROM n GROUP BY 1, 2)
+SELECT symbol, t, dry FROM q LEFT JOIN d USING (symbol, t)""")
 def win_13(t):
-    """Volume against the median of its hour of day within the window, mid-ranked there; hours are fixed per window."""
-    n = RANK
-    x = h4(t).withColumn("x", F.collect_list(F.struct(utc_hour(col("t")).alias("slot"), "v")).over(w.frame(-(n - 1))))
-    by_slot = lambda s: F.array_sort(F.transform(F.filter("x", lambda e: e["slot"] == s), lambda e: e["v"]))
+    """Volume against the median of its hour of day within the window (8 samples at least, above 0), mid-ranked there; hours are fixed per window."""
+    return hourly(t).withColumn("q", dry_up_ratios()).select("symbol", "t", r6(dry_up(col("q"))).alias("dry"))
+
+
+def dry_up_ratios():
+    """The window's volumes over the median of their hour of day; null without the whole window."""
+    x = F.collect_list(F.struct(utc_hour(col("t")).alias("slot"), w.finite(col("v")).alias("v"))).over(w.frame(-(TRAIL - 1)))
 
     def median(a):
         k = F.size(a)
-        return (F.element_at(a, F.floor((k + 1) / 2).cast("int")) + F.element_at(a, F.floor((k + 2) / 2).cast("int"))) / 2
+        m = (F.element_at(a, F.floor((k + 1) / 2).cast("int")) + F.element_at(a, F.floor((k + 2) / 2).cast("int"))) / 2
+        return F.when((k >= 8) & (m > 0), m)
 
-    x = x.where(F.size("x") == n).withColumn("q", F.transform("x", lambda e: e["v"] / F.nullif(median(by_slot(e["slot"])), F.lit(0.0))))
-    now = F.element_at("q", -1)
-    below, same = F.size(F.filter("q", lambda y: y < now)), F.size(F.filter("q", lambda y: y == now))
-    return x.select("symbol", "t", r6(100.0 * (below + 0.5 * same) / n).alias("dry"))
+    by_slot = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda s: F.array_sort(F.transform(F.filter(x, lambda e: e["slot"] == s), lambda e: e["v"])))
+    medians = F.transform(by_slot, lambda a: F.when(F.size(a) > 0, median(a)))
+    return F.when(col("whole") & w.full(col("v"), TRAIL), F.element_at(F.transform(F.array(medians), lambda m: F.transform(x, lambda e: e["v"] / F.get(m, e["slot"].cast("int")))), 1))
 
 
-@query("win_14_compression_run", f"""WITH {ATR_SQL}, x AS (SELECT symbol, t, atr_pct, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM p),
-m AS (SELECT x.symbol, x.t, x.rn, median(y.atr_pct) AS m, count(y.atr_pct) AS n FROM x JOIN x y ON x.symbol = y.symbol AND y.rn BETWEEN x.rn - {RANK - 1} AND x.rn GROUP BY 1, 2, 3)
-SELECT m.symbol, m.t, CASE WHEN any_value(n) = {RANK} THEN CAST(least({RANK}, any_value(m.rn) - coalesce(max(y.rn) FILTER (y.atr_pct >= m.m), any_value(m.rn) - {RANK})) AS INT) END AS run
-FROM m JOIN x y ON m.symbol = y.symbol AND y.rn BETWEEN m.rn - {RANK - 1} AND m.rn GROUP BY 1, 2""")
+def dry_up(q):
+    now = F.try_element_at(q, F.lit(-1))
+    below, same = F.size(F.filter(q, lambda y: y < now)), F.size(F.filter(q, lambda y: y == now))
+    return F.when(q.isNotNull() & F.forall(q, lambda y: y.isNotNull()), 100.0 * (below + 0.5 * same) / TRAIL)
+
+
+#: The longest run that is counted.
+RUN = 168
+
+
+@query("win_14_compression_run", f"""WITH {WHOLE_SQL}, x AS (SELECT symbol, t, atr_pct, whole, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM q),
+m AS (SELECT x.symbol, x.t, x.rn, median(y.atr_pct) AS m FROM x JOIN x y ON x.symbol = y.symbol AND y.rn BETWEEN x.rn - {TRAIL - 1} AND x.rn WHERE x.whole GROUP BY 1, 2, 3),
+k AS (SELECT m.symbol, m.t, CAST(any_value(m.rn) - coalesce(max(y.rn) FILTER (y.atr_pct >= m.m), any_value(m.rn) - {RUN}) AS INT) AS run FROM m JOIN x y ON m.symbol = y.symbol AND y.rn BETWEEN m.rn - {RUN - 1} AND m.rn GROUP BY 1, 2)
+SELECT symbol, t, run FROM q LEFT JOIN k USING (symbol, t)""")
 def win_14(t):
-    x = with_atr(h4(t)).withColumn("m", F.when(w.full(col("atr_pct"), RANK), F.percentile("atr_pct", F.lit(0.5)).over(w.frame(-(RANK - 1)))))
-    return x.select("symbol", "t", w.run_below("atr_pct", col("m"), RANK).alias("run"))
+    """Bars back from the current one whose range is below the median of the window, 168 at most."""
+    return hourly(t).withColumn("m", compression_limit()).select("symbol", "t", w.run_below("atr_pct", col("m"), RUN).alias("run"))
+
+
+def compression_limit():
+    return F.when(col("whole") & w.full(col("atr_pct"), TRAIL), F.percentile("atr_pct", F.lit(0.5)).over(w.frame(-(TRAIL - 1))))
 
 
 BENCH = f"{ATR_SQL}, {bars_sql(H4, every=True, name='market')}"
@@ -171,52 +224,135 @@ def with_market(t):
     return x.withColumns({"ret": lag("c", 1), "mret": lag("mc", 1), "r24": lag("c", 6), "m24": lag("mc", 6)})
 
 
-@query("win_15_relative_to_benchmark", f"""WITH {RETS}, be AS (SELECT *, CASE WHEN count(ret) OVER q = 42 THEN least(3, greatest(0, regr_slope(ret, mret) OVER q)) END AS beta FROM rr WINDOW q AS (PARTITION BY symbol ORDER BY t ROWS 41 PRECEDING))
-SELECT symbol, t, {r('(r24 - beta * m24) / (atr_pct * sqrt(6))', 5)} AS e1 FROM be""")
+def bench_sql(step: int) -> str:
+    """Bars with the benchmark's at the same time, changes over a step and over exactly a day, and whether the week of a slope has no gap."""
+    k, nb = DAY_MS // step, 7 * DAY_MS // step
+    return f"""{atr_sql(bars_sql(step), step)}, {bars_sql(step, every=True, name='market')}, j AS (SELECT p.symbol, p.t, p.c, p.atr_pct, m.c AS mc FROM p JOIN market m ON p.t = m.t),
+rr AS (SELECT *, (c / lag(c) OVER w - 1) * 100 AS ret, (mc / lag(mc) OVER w - 1) * 100 AS mret, t - lag(t, {nb}) OVER w = {nb * step} AS whole,
+  CASE WHEN t - lag(t, {k}) OVER w = {DAY_MS} THEN (c / lag(c, {k}) OVER w - 1) * 100 END AS r24, CASE WHEN t - lag(t, {k}) OVER w = {DAY_MS} THEN (mc / lag(mc, {k}) OVER w - 1) * 100 END AS m24 FROM j WINDOW w AS (PARTITION BY symbol ORDER BY t))"""
+
+
+def with_benchmark(t, step):
+    """The same; a benchmark bar that is missing leaves a gap."""
+    market = b.from_events(t.events, step, F.lit("ALL")).select("t", col("c").alias("mc"))
+    x = with_atr(b.from_events(t.events, step), step=step).join(market, "t")
+    by, k, nb = w.by_time(), DAY_MS // step, 7 * DAY_MS // step
+    a_day = col("t") - F.lag("t", k).over(by) == DAY_MS
+    back = lambda c, n: change(col(c), F.lag(c, n).over(by))
+    return x.withColumns({"ret": back("c", 1), "mret": back("mc", 1), "r24": F.when(a_day, back("c", k)), "m24": F.when(a_day, back("mc", k)), "whole": w.contiguous(col("t"), nb + 1, step)})
+
+
+def daily_range(step):
+    return col("atr_pct") * F.sqrt(F.lit(float(DAY_MS // step)))
+
+
+def beta_of(step):
+    nb = 7 * DAY_MS // step
+    return F.when(col("whole"), F.least(F.lit(3.0), F.greatest(F.lit(0.0), w.slope("ret", "mret", nb))))
+
+
+def _e1_sql(step):
+    nb = 7 * DAY_MS // step
+    return f"""WITH {bench_sql(step)}, be AS (SELECT *, CASE WHEN whole THEN least(3, greatest(0, regr_slope(ret, mret) OVER q)) END AS beta FROM rr WINDOW q AS (PARTITION BY symbol ORDER BY t ROWS {nb - 1} PRECEDING))
+SELECT {step // HOUR_MS} AS hours, symbol, t, {r(f'(r24 - beta * m24) / (atr_pct * sqrt({DAY_MS // step}))', 5)} AS e1 FROM be"""
+
+
+@query("win_15_relative_to_benchmark", at_both(_e1_sql))
 def win_15(t):
-    beta = F.least(F.lit(3.0), F.greatest(F.lit(0.0), w.slope("ret", "mret", 42)))
-    x = with_market(t).withColumn("beta", F.when(w.full(col("ret"), 42), beta))
-    return x.select("symbol", "t", r6((col("r24") - col("beta") * col("m24")) / (col("atr_pct") * F.sqrt(F.lit(6.0))), 5).alias("e1"))
+    """A day's change beyond beta times the benchmark's, in daily ranges; beta is the slope over a week's changes, between 0 and 3."""
+
+    def of(step):
+        x = with_benchmark(t, step).withColumn("beta", beta_of(step))
+        return x.select(F.lit(step // HOUR_MS).alias("hours"), "symbol", "t", r6((col("r24") - col("beta") * col("m24")) / daily_range(step), 5).alias("e1"))
+
+    return both(of)
+
+
+#: Symbols that a cross-section needs: a fiftieth of a market has fifty, the tables five.
+LEAST = 3
+
 
+def _e2_sql(step):
+    return f"""WITH {bench_sql(step)}, m AS (SELECT t, median(r24) AS m, count(r24) AS n FROM rr GROUP BY 1) SELECT {step // HOUR_MS} AS hours, symbol, t, CASE WHEN n >= {LEAST} THEN {r(f'(r24 - m) / (atr_pct * sqrt({DAY_MS // step}))', 5)} END AS e2 FROM rr JOIN m USING (t)"""
 
-@query("win_16_minus_cross_median", f"""WITH {RETS}, m AS (SELECT t, median(r24) AS m, count(r24) AS n FROM rr GROUP BY 1) SELECT symbol, t, CASE WHEN n >= 3 THEN {r('(r24 - m) / (atr_pct * sqrt(6))', 5)} END AS e2 FROM rr JOIN m USING (t)""")
+
+@query("win_16_minus_cross_median", at_both(_e2_sql))
 def win_16(t):
-    x = with_market(t)
-    m = x.groupBy("t").agg(F.median("r24").alias("m"), F.count("r24").alias("n"))
-    return x.join(m, "t").select("symbol", "t", F.when(col("n") >= 3, r6((col("r24") - col("m")) / (col("atr_pct") * F.sqrt(F.lit(6.0))), 5)).alias("e2"))
+    def of(step):
+        x = with_benchmark(t, step)
+        m = x.groupBy("t").agg(F.median("r24").alias("m"), F.count("r24").alias("n"))
+        return x.join(m, "t").select(F.lit(step // HOUR_MS).alias("hours"), "symbol", "t", F.when(col("n") >= LEAST, r6((col("r24") - col("m")) / daily_range(step), 5)).alias("e2"))
+
+    return both(of)
+
+
+def _e3_sql(step):
+    return f"""WITH {bench_sql(step)} SELECT {step // HOUR_MS} AS hours, symbol, t, CASE WHEN n >= {LEAST} THEN {r('100.0::DOUBLE * (rk - 1 + 0.5 * ties) / n')} END AS e3
+FROM (SELECT symbol, t, rank() OVER (PARTITION BY t ORDER BY r24) AS rk, count(*) OVER (PARTITION BY t, r24) AS ties, count(*) OVER (PARTITION BY t) AS n FROM rr WHERE r24 IS NOT NULL)"""
 
 
-@query("win_17_cross_midrank", f"""WITH {RETS} SELECT symbol, t, CASE WHEN n >= 3 THEN {r('100.0::DOUBLE * (rk - 1 + 0.5 * ties) / n')} END AS e3
-FROM (SELECT symbol, t, rank() OVER (PARTITION BY t ORDER BY r24) AS rk, count(*) OVER (PARTITION BY t, r24) AS ties, count(*) OVER (PARTITION BY t) AS n FROM rr WHERE r24 IS NOT NULL)""")
+@query("win_17_cross_midrank", at_both(_e3_sql))
 def win_17(t):
-    at = Window.partitionBy("t")
-    x = with_market(t).where("r24 is not null")
-    x = x.select("symbol", "t", F.rank().over(at.orderBy("r24")).alias("rk"), F.count("*").over(Window.partitionBy("t", "r24")).alias("ties"), F.count("*").over(at).alias("n"))
-    return x.select("symbol", "t", F.when(col("n") >= 3, r6(100.0 * (col("rk") - 1 + 0.5 * col("ties")) / col("n"))).alias("e3"))
+    def of(step):
+        at = Window.partitionBy("t")
+        x = with_benchmark(t, step).where("r24 is not null")
+        x = x.select("symbol", "t", F.rank().over(at.orderBy("r24")).alias("rk"), F.count("*").over(Window.partitionBy("t", "r24")).alias("ties"), F.count("*").over(at).alias("n"))
+        return x.select(F.lit(step // HOUR_MS).alias("hours"), "symbol", "t", F.when(col("n") >= LEAST, r6(100.0 * (col("rk") - 1 + 0.5 * col("ties")) / col("n"))).alias("e3"))
+
+    return both(of)
+
+
+#: Period and length of the exponential mean, by step: 60 hours within 360, and of four-hour bars what the tables hold.
+EMA = {HOUR_MS: (60, 360), H4: (10, 40)}
 
 
-@query("win_18_breadth", f"""WITH {BARS4}, e AS (SELECT symbol, t, x[len(x)] AS c, list_reduce(list_concat([list_avg(x[1:10])], x[11:40]), lambda e, v: e + 2.0::DOUBLE / 11 * (v - e)) AS ema FROM {fold_sql(40)} WHERE len(x) = 40)
-SELECT t, {r('avg(CASE WHEN c > ema THEN 1.0::DOUBLE ELSE 0 END)')} AS breadth, count(*) AS n FROM e GROUP BY 1 HAVING count(*) >= 3""")
+def _g1_sql(step):
+    k, n = EMA[step]
+    return f"""WITH {bars_sql(step)}, e AS (SELECT symbol, t, x[len(x)] AS c, list_reduce(list_concat([list_avg(x[1:{k}])], x[{k + 1}:{n}]), lambda e, v: e + 2.0::DOUBLE / {k + 1} * (v - e)) AS ema FROM {fold_sql(n)} WHERE len(x) = {n} AND t - first = {(n - 1) * step})
+SELECT {step // HOUR_MS} AS hours, t, {r('avg(CASE WHEN c > ema THEN 1.0::DOUBLE ELSE 0 END)')} AS breadth, count(*) AS n FROM e GROUP BY 2 HAVING count(*) >= {LEAST}"""
+
+
+@query("win_18_breadth", at_both(_g1_sql))
 def win_18(t):
-    x = h4(t).select("t", "c", w.ema("c", 10, 40).alias("ema")).where("ema is not null")
-    return x.groupBy("t").agg(r6(F.avg(F.when(col("c") > col("ema"), 1.0).otherwise(0.0))).alias("breadth"), F.count("*").alias("n")).where("n >= 3")
+    """The share of symbols above their own mean, of those with the mean's whole window."""
+
+    def of(step):
+        x = b.from_events(t.events, step).select("t", "c", w.ema("c", *EMA[step], step_ms=step).alias("ema")).where("ema is not null")
+        g = x.groupBy("t").agg(r6(F.avg(F.when(col("c") > col("ema"), 1.0).otherwise(0.0))).alias("breadth"), F.count("*").alias("n")).where(col("n") >= LEAST)
+        return g.select(F.lit(step // HOUR_MS).alias("hours"), "t", "breadth", "n")
+
+    return both(of)
+
+
+#: Returns of a volatility and daily samples of its rank: a month and a year, and what a month of bars holds.
+REGIMES = {"g2": (720, 365), "g2_short": (168, 10)}
+
 
+def _g2_sql():
+    sds = ", ".join(f"CASE WHEN count(lr) OVER q{n} = {n} THEN stddev_samp(lr) OVER q{n} END AS sd{n}" for n, _ in REGIMES.values())
+    frames = ", ".join(f"q{n} AS (PARTITION BY symbol ORDER BY t ROWS {n - 1} PRECEDING)" for n, _ in REGIMES.values())
+    ranks = " JOIN ".join(f"(SELECT symbol, t, {r('mr')} AS {name} FROM {midrank_sql(f'sd{n}', days, 's', DAY_MS, 'symbol, slot')}) USING (symbol, t)" for name, (n, days) in REGIMES.items())
+    return f"""WITH {BARS1}, x AS (SELECT symbol, t, t // {HOUR_MS} % 24 AS slot, CASE WHEN t - lag(t) OVER w = {HOUR_MS} THEN ln(c / lag(c) OVER w) END AS lr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+s AS (SELECT symbol, t, slot, {sds} FROM x WINDOW {frames}) SELECT symbol, t, g2, g2_short FROM s JOIN {ranks}"""
 
-@query("win_19_volatility_regime", f"""WITH {BARS1}, x AS (SELECT symbol, t, row_number() OVER w AS rn, CASE WHEN t - lag(t) OVER w = {HOUR_MS} THEN ln(c / lag(c) OVER w) END AS lr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)),
-s AS (SELECT *, CASE WHEN count(lr) OVER q = 48 THEN stddev_samp(lr) OVER q END AS sd FROM x WINDOW q AS (PARTITION BY symbol ORDER BY t ROWS 47 PRECEDING)),
-d AS (SELECT symbol, t, sd FROM s WHERE t % {DAY_MS} = 23 * {HOUR_MS}) SELECT symbol, t, {r('mr')} AS g2 FROM {midrank_sql('sd', 10, 'd')}""")
+
+@query("win_19_volatility_regime", _g2_sql())
 def win_19(t):
+    """The rank of the volatility of hourly returns among its values at the same hour of the days before."""
     lr = F.when(col("t") - F.lag("t").over(w.by_time()) == HOUR_MS, F.log(col("c") / F.lag("c").over(w.by_time())))
-    x = h1(t).withColumn("lr", lr).withColumn("sd", F.when(w.full(col("lr"), 48), F.stddev_samp("lr").over(w.frame(-47))))
-    return x.where(col("t") % DAY_MS == 23 * HOUR_MS).select("symbol", "t", r6(w.midrank("sd", 10)).alias("g2"))
+    x = h1(t).withColumn("lr", lr).withColumn("slot", utc_hour(col("t")))
+    x = x.withColumns({f"sd{n}": F.when(w.full(col("lr"), n), F.stddev_samp("lr").over(w.frame(-(n - 1)))) for n, _ in REGIMES.values()})
+    same_hour = Window.partitionBy("symbol", "slot").orderBy("t")
+    return x.select("symbol", "t", *(r6(w.midrank(f"sd{n}", days, same_hour, DAY_MS)).alias(name) for name, (n, days) in REGIMES.items()))
 
 
-@query("win_24_oi_acceleration", f"""WITH {BARS1}, x AS (SELECT symbol, t, v, (v / lag(v) OVER w - 1) * 100 AS ch FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t))
-SELECT symbol, t, {r('ch - (lag(ch, 1) OVER w + lag(ch, 2) OVER w + lag(ch, 3) OVER w + lag(ch, 4) OVER w) / 4', 3)} AS accel FROM x WINDOW w AS (PARTITION BY symbol ORDER BY t)""")
+@query("win_24_oi_acceleration", f"""WITH {BARS1}, x AS (SELECT symbol, t, v, (v / lag(v) OVER w - 1) * 100 AS ch, t - lag(t, 5) OVER w = {5 * HOUR_MS} AS whole FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t))
+SELECT symbol, t, CASE WHEN whole THEN {r('ch - (lag(ch, 1) OVER w + lag(ch, 2) OVER w + lag(ch, 3) OVER w + lag(ch, 4) OVER w) / 4', 3)} END AS accel FROM x WINDOW w AS (PARTITION BY symbol ORDER BY t)""")
 def win_24(t):
+    """The last hour's change less the mean of the four before; the six bars must follow each other."""
     x = h1(t).withColumn("ch", (ratio(col("v"), F.lag("v").over(w.by_time())) - 1) * 100)
     priors = sum((F.lag("ch", k).over(w.by_time()) for k in (1, 2, 3, 4)), F.lit(0.0))
-    return x.select("symbol", "t", r6(col("ch") - priors / 4, 3).alias("accel"))
+    return x.select("symbol", "t", F.when(w.contiguous(col("t"), 6, HOUR_MS), r6(col("ch") - priors / 4, 3)).alias("accel"))
 
 
 @query("win_25_sign_streak", f"""WITH {BARS1}, x AS (SELECT symbol, t, 2 * tb - v AS net, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM bars),
@@ -226,15 +362,15 @@ def win_25(t):
     return h1(t).withColumn("net", 2 * col("tb") - col("v")).select("symbol", "t", w.streak("net", 24).alias("streak"))
 
 
-@query("win_26_obv_divergence", f"""WITH {BARS1}, x AS (SELECT symbol, t, c, v, row_number() OVER w AS rn, CASE WHEN c > lag(c) OVER w THEN v WHEN c < lag(c) OVER w THEN -v ELSE 0 END AS dv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)),
-f AS (SELECT a.symbol, a.t, a.rn, z.rn AS zrn, CASE WHEN z.rn = a.rn - 24 THEN 0 ELSE z.dv END AS dv, z.c FROM x a JOIN x z ON a.symbol = z.symbol AND z.rn BETWEEN a.rn - 24 AND a.rn WHERE a.rn > 24),
+@query("win_26_obv_divergence", f"""WITH {BARS1}, x AS (SELECT symbol, t, c, v, row_number() OVER w AS rn, lag(t, 24) OVER w AS t24, CASE WHEN c > lag(c) OVER w THEN v WHEN c < lag(c) OVER w THEN -v ELSE 0 END AS dv FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+f AS (SELECT a.symbol, a.t, a.rn, z.rn AS zrn, CASE WHEN z.rn = a.rn - 24 THEN 0 ELSE z.dv END AS dv, z.c FROM x a JOIN x z ON a.symbol = z.symbol AND z.rn BETWEEN a.rn - 24 AND a.rn WHERE a.t - a.t24 = {24 * HOUR_MS}),
 o AS (SELECT *, sum(dv) OVER (PARTITION BY symbol, t ORDER BY zrn) AS obv FROM f),
 g AS (SELECT symbol, t, (arg_max(c, zrn) / arg_min(c, zrn) - 1) * 100 AS p, arg_max(obv, zrn) / greatest(1e-9, max(obv) - min(obv)) * 100 AS q FROM o GROUP BY 1, 2)
 SELECT symbol, t, p <= 0.3 AND q >= 20 AS diverging, {r('abs(q - p)', 2)} AS magnitude FROM g""")
 def win_26(t):
     sign = F.signum(col("c") - F.lag("c").over(w.by_time()))
     x = h1(t).withColumn("dv", F.coalesce(sign * col("v"), F.lit(0.0)))
-    x = x.withColumn("cs", F.collect_list("c").over(w.frame(-24))).withColumn("dvs", F.collect_list("dv").over(w.frame(-24))).where(F.size("cs") == 25)
+    x = x.withColumn("cs", F.collect_list("c").over(w.frame(-24))).withColumn("dvs", F.collect_list("dv").over(w.frame(-24))).withColumn("whole", w.contiguous(col("t"), 25, HOUR_MS)).where("whole")
     zero = F.struct(*(F.lit(0.0).alias(k) for k in ("obv", "low", "high")))
 
     def step(s, d):
@@ -246,17 +382,20 @@ def win_26(t):
     return x.select("symbol", "t", ((p <= 0.3) & (q >= 20)).alias("diverging"), r6(F.abs(q - p), 2).alias("magnitude"))
 
 
-@query("win_27_slope_divergence", f"""WITH {BARS4}, e AS (SELECT symbol, max(t) AS last FROM bars GROUP BY 1),
-s AS (SELECT symbol, (arg_max(c, t) - arg_min(c, t)) / nullif((max(t) - min(t)) / 3600000.0::DOUBLE, 0) AS slope FROM bars JOIN e USING (symbol) WHERE t >= last - 6 * 4 * 3600000 GROUP BY 1)
-SELECT a.symbol AS top, b.symbol AS other, {r('a.slope - b.slope', 5)} AS divergence FROM s a JOIN s b ON a.symbol < b.symbol""")
+RATIO_SQL = f"""{bars_sql(HOUR_MS)}, pts AS (SELECT symbol, 'top' AS kind, t, tb / (v - tb) AS x FROM bars WHERE v > tb UNION ALL SELECT symbol, 'global', t, h / l FROM bars WHERE l > 0),
+e AS (SELECT symbol, kind, max(t) AS last FROM pts GROUP BY 1, 2), s AS (SELECT symbol, kind, (arg_max(x, t) - arg_min(x, t)) / nullif((max(t) - min(t)) / 3600000.0::DOUBLE, 0) AS slope FROM pts JOIN e USING (symbol, kind) WHERE t >= last - 6 * 3600000 GROUP BY 1, 2)"""
+
+
+@query("win_27_slope_divergence", f"""WITH {RATIO_SQL} SELECT symbol, {r("max(slope) FILTER (kind = 'top') - max(slope) FILTER (kind = 'global')", 5)} AS divergence FROM s GROUP BY 1""")
 def win_27(t):
-    x = h4(t)
-    x = x.join(x.groupBy("symbol").agg(F.max("t").alias("last")), "symbol").where(col("t") >= col("last") - 6 * H4)
+    """How much faster the ratio of the large traders moves than that of all, over the last six hours of each series; null if one has not two points."""
+    kinds = F.array(F.struct(F.lit("top").alias("kind"), F.when(col("v") > col("tb"), col("tb") / (col("v") - col("tb"))).alias("x")), F.struct(F.lit("global").alias("kind"), F.when(col("l") > 0, col("h") / col("l")).alias("x")))
+    x = b.from_events(t.events, HOUR_MS).select("symbol", "t", F.inline(kinds)).where("x is not null")
+    x = x.withColumn("last", F.max("t").over(Window.partitionBy("symbol", "kind"))).where(col("t") >= col("last") - 6 * HOUR_MS)
     hours = F.nullif((F.max("t") - F.min("t")) / float(HOUR_MS), F.lit(0.0))
-    s = x.groupBy("symbol").agg(((F.max_by("c", "t") - F.min_by("c", "t")) / hours).alias("slope"))
-    # one row for each symbol, so the pairs are those of a symbol list
-    pairs = s.alias("a").join(s.alias("b"), col("a.symbol") < col("b.symbol"))
-    return pairs.select(col("a.symbol").alias("top"), col("b.symbol").alias("other"), r6(col("a.slope") - col("b.slope"), 5).alias("divergence"))
+    s = x.groupBy("symbol", "kind").agg(((F.max_by("x", "t") - F.min_by("x", "t")) / hours).alias("slope"))
+    of = lambda kind: F.max(F.when(col("kind") == kind, col("slope")))
+    return s.groupBy("symbol").agg(r6(of("top") - of("global"), 5).alias("divergence"))
 
 
 @query("win_28_trailing_return", f"WITH {BARS4} SELECT a.symbol, a.t, {r('(a.c / b.c - 1) * 100')} AS ret FROM bars a LEFT JOIN bars b ON a.symbol = b.symbol AND b.t = a.t - 7 * {DAY_MS} AND b.c > 0")
@@ -271,24 +410,45 @@ g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) - row_number(
 runs AS (SELECT symbol, regime, k, count(*) AS n, min(t) AS start FROM g WHERE regime IS NOT NULL GROUP BY 1, 2, 3)"""
 
 
-@query("win_29_regime_runs", f"WITH {RUNS_SQL} SELECT symbol, regime, count(*) AS runs, {r('median(n)')} AS median_run, max(n) AS longest FROM runs GROUP BY 1, 2")
+@query("win_29_regime_runs", f"WITH {RUNS_SQL} SELECT a.symbol, a.regime, runs, median_run, longest, {r('median_by_bar')} AS median_by_bar FROM (SELECT symbol, regime, count(*) AS runs, {r('median(n)')} AS median_run, max(n) AS longest FROM runs GROUP BY 1, 2) a JOIN (SELECT symbol, regime, median(n) AS median_by_bar FROM runs, range(n) GROUP BY 1, 2) b USING (symbol, regime)")
 def win_29(t):
-    """Stretches of one regime; a missing value ends a stretch and belongs to none."""
+    """Stretches of one regime: the median by stretch, and the median of the stretch that a bar is in. A missing value ends a stretch and belongs to none."""
     regime = F.when(col("v") < 20, None).when(col("c") <= 15, "low").when(col("c") >= 60, "high").otherwise("mid")
     x = h4(t).withColumn("regime", regime)
     k = F.row_number().over(w.by_time()) - F.row_number().over(Window.partitionBy("symbol", "regime").orderBy("t"))
-    runs = x.withColumn("k", k).where("regime is not null").groupBy("symbol", "regime", "k").agg(F.count("*").alias("n"))
-    return runs.groupBy("symbol", "regime").agg(F.count("*").alias("runs"), r6(F.median("n")).alias("median_run"), F.max("n").alias("longest"))
-
-
-@query("win_30_frozen_runs", f"""WITH {bars_sql(HOUR_MS)}, z AS (SELECT symbol, t, trades <= 3 AS still FROM bars), g AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) - row_number() OVER (PARTITION BY symbol, still ORDER BY t) AS k FROM z)
-SELECT symbol, min(start) AS frozen_from FROM (SELECT symbol, k, min(t) AS start, count(*) AS n FROM g WHERE still GROUP BY 1, 2) WHERE n >= 6 GROUP BY 1""")
+    run = Window.partitionBy("symbol", "regime", "k")
+    x = x.withColumn("k", k).where("regime is not null").withColumns({"n": F.count("*").over(run), "first": F.row_number().over(run.orderBy("t")) == 1})
+    one = F.when(col("first"), col("n"))
+    return x.groupBy("symbol", "regime").agg(F.count_if("first").alias("runs"), r6(F.median(one)).alias("median_run"), F.max("n").alias("longest"), r6(F.median("n")).alias("median_by_bar"))
+
+
+#: Contracts that were taken off: one is delivered within an hour, one stops trading and stays listed.
+DELIVERED, STOPPED = 1_706_250_600_000, 1_706_400_000_000
+HOURS_SQL = f"""live AS (SELECT * FROM events WHERE event_type <> 'signup' OR epoch_us(ts) // 1000 < {STOPPED}), {bars_sql(HOUR_MS).replace('FROM events', 'FROM live')},
+grid AS (SELECT symbol, unnest(range(min(t), {CUTOFF}, {HOUR_MS})) AS t FROM bars GROUP BY 1),
+k AS (SELECT symbol, t, bars.t IS NULL AS frozen, CASE symbol WHEN 'view' THEN {DELIVERED} END AS delivery FROM grid LEFT JOIN bars USING (symbol, t))"""
+
+
+def listed_hours(t):
+    """Hourly candles as an exchange gives them, one for each hour since the first: without a trade a flat one at the last close."""
+    ts = F.unix_millis(col("ts").cast("timestamp"))
+    bars = b.from_events(t.events.where((col("event_type") != "signup") | (ts < STOPPED)), HOUR_MS)
+    grid = bars.groupBy("symbol").agg(F.min("t").alias("t")).select("symbol", F.explode(F.sequence(col("t"), F.lit(CUTOFF - HOUR_MS), F.lit(HOUR_MS))).alias("t"))
+    x = grid.join(bars, ["symbol", "t"], "left")
+    close = F.last("c", ignorenulls=True).over(w.by_time())
+    still = {k: F.coalesce(k, close) for k in ("o", "h", "l", "c")}
+    return x.select("symbol", "t", *(c.alias(k) for k, c in still.items()), *(F.coalesce(k, F.lit(0)).alias(k) for k in ("v", "trades")), F.when(col("symbol") == "view", DELIVERED).alias("delivery"))
+
+
+@query("win_30_frozen_runs", f"""WITH {HOURS_SQL}, x AS (SELECT *, row_number() OVER w - 1 AS i, row_number() OVER w - row_number() OVER (PARTITION BY symbol, frozen ORDER BY t) AS g, count(*) OVER (PARTITION BY symbol) AS n FROM k WINDOW w AS (PARTITION BY symbol ORDER BY t)),
+runs AS (SELECT symbol, min(i) AS i FROM (SELECT symbol, g, min(i) AS i, count(*) AS n FROM x WHERE frozen GROUP BY 1, 2) WHERE n >= 24 GROUP BY 1),
+d AS (SELECT x.symbol, any_value(n) AS n, count(*) FILTER (delivery IS NULL OR t < delivery) AS del, coalesce(any_value(runs.i), any_value(n)) AS sig FROM x LEFT JOIN runs USING (symbol) GROUP BY 1),
+z AS (SELECT d.*, least(del, sig) AS first, (SELECT coalesce(max(i) + 1, 0) FROM x WHERE x.symbol = d.symbol AND NOT frozen AND i < least(del, sig)) AS cut FROM d)
+SELECT z.symbol, cut AS kept, CASE WHEN first = n THEN CASE WHEN cut < first THEN 'trailing' END ELSE CASE WHEN del = sig THEN 'both' WHEN del < sig THEN 'delivery' ELSE 'signature' END || CASE WHEN cut < first THEN '+trailing' ELSE '' END END AS cut_by,
+  (SELECT t FROM x WHERE x.symbol = z.symbol AND i = cut) AS cut_at, n - del AS by_delivery, n - sig AS by_signature, first - cut AS by_trailing,
+  (SELECT count(*) FROM x WHERE x.symbol = z.symbol AND i < cut AND frozen) AS still_inside, (SELECT max(t) FROM x WHERE x.symbol = z.symbol AND i = cut - 1 AND t + {HOUR_MS} > delivery) AS partial_last FROM z""")
 def win_30(t):
-    """The first stretch of bars without life that is long enough."""
-    x = b.from_events(t.events, HOUR_MS).withColumn("still", col("trades") <= 3)
-    k = F.row_number().over(w.by_time()) - F.row_number().over(Window.partitionBy("symbol", "still").orderBy("t"))
-    runs = x.withColumn("k", k).where("still").groupBy("symbol", "k").agg(F.min("t").alias("start"), F.count("*").alias("n"))
-    return runs.where("n >= 6").groupBy("symbol").agg(F.min("start").alias("frozen_from"))
+    return b.trimmed(listed_hours(t), HOUR_MS, keep_partial_last=True)
 
 
 @query("win_31_trim_before_delivery", f"WITH {BARS4} SELECT symbol, t, d IS NOT NULL AS cut FROM bars LEFT JOIN (VALUES ('click', 1705000000000), ('view', 1706000000000)) x(s, d) ON s = symbol WHERE d IS NULL OR t < d")
