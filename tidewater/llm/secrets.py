@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +25,16 @@ class Kind:
     #: group whose length counts, and the least length
     group: int
     least: int
-    #: what a text with a match of this kind contains, cheap to look for
+    #: what a text with a match of this kind contains, cheap to look for: one of these strings, and a match of this
+    strings: tuple[str, ...]
     hint: str
 
 
 #: In the order in which spans of one start are listed. Fixed values of the contract.
 BASE = (
-    Kind("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
-    Kind("access", r"AKIA[A-Z0-9]+", 0, 16, "AKIA[A-Z0-9]{12}"),
-    Kind("hex", r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),  # runs of 32 and more, the longest that there are
+    Kind("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, (":", "="), r"""(?i)(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""),
+    Kind("access", r"AKIA[A-Z0-9]+", 0, 16, ("AKIA",), "AKIA[A-Z0-9]{12}"),
+    Kind("hex", r"[0-9a-f]{32,}", 0, 32, (), r"[0-9a-f]{32}"),  # runs of 32 and more, the longest that there are
 )
 
 
@@ -54,6 +56,8 @@ CLASSES = (
     EntropyClass("entropy_base64", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_-])", 24, 3.9, ("[0-9]", "[A-Z]", "[a-z]"), r"[A-Za-z0-9+/_-]{24}"),
     EntropyClass("entropy_one_case", r"(?<![0-9A-Za-z])(?:[0-9a-z]{24,}|[0-9A-Z]{24,})(?![0-9A-Za-z])", 24, 3.55, ("[0-9]", "[A-Za-z]"), r"[0-9a-z]{24}|[0-9A-Z]{24}"),
 )
+#: A run as long as any of the classes and the hex kind need, in the characters that they are all made of; most texts have none. Runs are tried once, from their start.
+LONG_RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24}+"
 #: Strings of high entropy that are no secrets: alphabets and counting rows, placeholders, paths and file names.
 ALLOWED = r"(?i)abcdefgh|bcdefghi|01234567|12345678|qwertyui|example|placeholder|changeme|x{6}|0{8}|f{8}|/(?:usr|home|var|etc|static|assets|images|wp-content)/"
 
@@ -100,10 +104,10 @@ def _matches(text: Column, pattern: str, group: int) -> Column:
 _NO_SPANS = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
-def _spans(text: Column, rank: int, name: str, pattern: str, group: int, least: int, hint: str, more=None) -> Column:
+def _spans(text: Column, rank: int, name: str, pattern: str, group: int, least: int, hint: Column, more=None) -> Column:
     kept = F.filter(_matches(text, pattern, group), lambda m: (m["size"] >= least) & (more(m["found"]) if more else F.lit(True)))
     spans = F.transform(kept, lambda m: F.struct(m["start"], F.lit(rank).alias("rank"), m["end"], F.lit(name).alias("kind")))
-    return F.when(text.rlike(hint), spans).otherwise(F.array().cast(_NO_SPANS)).cast(_NO_SPANS)
+    return F.when(hint, spans).otherwise(F.array().cast(_NO_SPANS)).cast(_NO_SPANS)
 
 
 #: Where each character's count is kept in ``counts``; one position more is for all other characters.
@@ -164,11 +168,16 @@ def scan(docs: DataFrame) -> DataFrame:
     with it. Spans of different kinds may overlap. Spans of one start are listed by kind. Repeated rows come back as often as they occur,
     columns of any name stay inside ``row``, and an empty table gives an empty result.
     """
-    x = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    text = F.col("text")
-    base = F.concat(*(_spans(text, i, k.name, k.pattern, k.group, k.least, k.hint) for i, k in enumerate(BASE)))
-    added = F.concat(*(_spans(text, len(BASE) + i, c.name, c.pattern, 0, c.window, c.hint, _random(c)) for i, c in enumerate(CLASSES)))
-    return x.withColumn("base", F.array_sort(base)).withColumn("spans", F.array_sort(F.concat("base", added)))
+    x = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("long", F.col("text").rlike(LONG_RUN))
+    text, long = F.col("text"), F.col("long")
+
+    def hint(k: Kind | EntropyClass) -> Column:
+        cheap = reduce(lambda a, b: a | b, (text.contains(s) for s in k.strings)) if isinstance(k, Kind) and k.strings else long
+        return cheap & text.rlike(k.hint)
+
+    base = F.concat(*(_spans(text, i, k.name, k.pattern, k.group, k.least, hint(k)) for i, k in enumerate(BASE)))
+    added = F.concat(*(_spans(text, len(BASE) + i, c.name, c.pattern, 0, c.window, hint(c), _random(c)) for i, c in enumerate(CLASSES)))
+    return x.withColumn("base", F.array_sort(base)).withColumn("spans", F.array_sort(F.concat("base", added))).drop("long")
 
 
 def _joined(spans: Column) -> Column:
