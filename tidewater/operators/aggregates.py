@@ -73,3 +73,18 @@ def skill(p: Column, reference: Column, w: Column) -> Column:
 def unanimous(c: Column) -> Column:
     """The common value, "untested" without any, "mixed" if they differ."""
     return F.when(F.count(c) == 0, "untested").when(F.min(c) == F.max(c), F.min(c)).otherwise("mixed")
+
+
+def regime_days(values: DataFrame, by: str) -> DataFrame:
+    """``by``, ``axis`` and the distinct days with a low, mid and high value (``by, axis, day, bin``); all null where a day has two values on any axis."""
+    d = values.groupBy(by, "axis", "day").agg(F.min("bin").alias("bin"), (F.min("bin") != F.max("bin")).alias("conflict"))
+    bad = d.groupBy(by).agg(F.bool_or("conflict").alias("bad"))
+    count = lambda k: F.when(~F.bool_or("bad"), F.count_if(F.col("bin") == k)).alias(k)
+    return d.join(bad, by).groupBy(by, "axis").agg(*(count(k) for k in ("low", "mid", "high")))
+
+
+def rates_by(df: DataFrame, complete: Column, **kinds: Column) -> DataFrame:
+    """``kind, bucket, n, complete``: rows and the share that is complete in each bucket of each kind, in one pass."""
+    each = F.array(*(F.struct(F.lit(k).alias("kind"), c.alias("bucket")) for k, c in kinds.items()))
+    x = df.select(F.when(complete, 1.0).otherwise(0.0).alias("_c"), F.inline(each))
+    return x.groupBy("kind", "bucket").agg(F.count("*").alias("n"), F.avg("_c").alias("complete"))

@@ -27,3 +27,10 @@ def clean_posts(posts: DataFrame, now_ms: int, window_ms: int) -> DataFrame:
     text = F.lower(F.regexp_replace(F.btrim("text"), r"\s+", " "))
     x = posts.where((F.col("at") <= now_ms) & (F.col("at") >= now_ms - window_ms) & F.col("duplicate_of").isNull() & (text != "")).withColumn("_text", F.sha2(text.cast("binary"), 256))
     return keep_first(keep_first(x, ["id"], "ordinal"), ["author", "symbol", "_text"], "ordinal").drop("_text")
+
+
+def merged_batch(known: DataFrame, batch: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``known`` with ``columns`` from the completed records of a batch; records that are not known are left out, other columns stay as they were."""
+    new = batch.select(*keys, *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_done"))
+    x = known.join(new, keys, "left")
+    return x.select(*(F.when(F.col("_done"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in known.columns))

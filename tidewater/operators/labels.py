@@ -47,15 +47,32 @@ def residual_barrier(bars: DataFrame, horizon: int, beta: Column, width: Column)
     return x.select("symbol", "t", F.when((F.size("_next") == horizon) & F.col("_b").isNotNull() & F.col("_w").isNotNull(), label).alias("label"))
 
 
-def walk_forward(samples: DataFrame, starts: list[tuple[int, int]], embargo: int) -> DataFrame:
+def walk_forward(samples: DataFrame, starts: list[tuple[int, int]], embargo: int, earliest_test: int) -> DataFrame:
     """``samples`` by fold with ``role``: test inside [start, end), train if they end an embargo before it, else purged; later ones are out.
 
-    Folds are a short list of literals, so each sample is repeated for the folds that it is not later than.
+    Folds are a short list of literals, so each sample is repeated for the folds that it is not later than. A test that begins before
+    ``earliest_test``, in the days on which the rules themselves were chosen, is refused.
     """
-    folds = F.array(*(F.struct(F.lit(i).alias("fold"), F.lit(a).alias("start"), F.lit(z).alias("end")) for i, (a, z) in enumerate(starts)))
-    x = samples.withColumn("f", F.explode(folds)).where(F.col("time") < F.col("f.end"))
+    if not starts or min(a for a, _ in starts) < earliest_test:
+        raise ValueError("a test period begins before the days that rules were chosen on have ended")
+    if any(z <= a for a, z in starts):
+        raise ValueError("empty test period")
+    folds = F.array(*(F.struct(F.lit(i).alias("fold"), F.lit(a).alias("start"), F.lit(z).alias("until")) for i, (a, z) in enumerate(starts)))
+    x = samples.withColumn("f", F.explode(folds)).where(F.col("time") < F.col("f.until"))
     role = F.when(F.col("time") >= F.col("f.start"), "test").when(F.col("end") <= F.col("f.start") - embargo, "train").otherwise("purged")
-    return x.select("*", F.col("f.fold").alias("fold"), F.col("f.start").alias("start"), role.alias("role")).drop("f")
+    return x.select("*", F.col("f.fold").alias("fold"), F.col("f.start").alias("start"), F.col("f.until").alias("until"), role.alias("role")).drop("f")
+
+
+def fold_violations(x: DataFrame, embargo: int) -> DataFrame:
+    """``fold, id, violation`` of samples by fold: learnt from too late, tested outside the block, or both learnt from and tested; none if folds are sound."""
+    role = F.col("role")
+    wrong = F.array(
+        F.when((role == "train") & (F.col("end") > F.col("start") - embargo), "train label reaches into the embargo"),
+        F.when((role == "test") & ((F.col("time") < F.col("start")) | (F.col("time") >= F.col("until"))), "test outside its block"),
+    )
+    each = x.select("fold", "id", F.explode(F.filter(wrong, lambda v: v.isNotNull())).alias("violation"))
+    both = x.where(role.isin("train", "test")).groupBy("fold", "id").agg(F.countDistinct("role").alias("n")).where("n = 2")
+    return each.unionByName(both.select("fold", "id", F.lit("in both train and test").alias("violation")))
 
 
 def uniqueness(spans: DataFrame, step_ms: int) -> DataFrame:

@@ -8,9 +8,24 @@ from pyspark.sql import functions as F
 from .scale import checkpointed
 
 
-def top_per(df: DataFrame, key: str, n: int, *order: Column | str) -> DataFrame:
-    """The first n rows of each key; Spark turns the filter on the rank into a limit by group before the shuffle."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
+def top_per(df: DataFrame, key: str, n: int, *order: Column | str, rank: str | None = None) -> DataFrame:
+    """The first n rows of each key; Spark turns the filter on the rank into a limit by group before the shuffle. ``rank`` names their place, if wanted."""
+    name = rank or "_rn"
+    x = df.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col(name) <= n)
+    return x if rank else x.drop(name)
+
+
+def keyed_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank", parts: int = 32) -> DataFrame:
+    """Positions from 1 within each key, and no task that holds all rows of a large one.
+
+    Rows are dealt to ranges of (key, order), so that a large key is spread over several; each ranks its own rows of a key and adds those
+    of the ranges before, of which there is one count for each range and key.
+    """
+    ranged = checkpointed(df.repartitionByRange(parts, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = counts.select(key, "_part", (F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_before"))
+    rn = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    return ranged.withColumn("_rn", rn).join(before, [key, "_part"]).withColumn(name, F.col("_before") + F.col("_rn")).drop("_part", "_before", "_rn")
 
 
 def ranked(df: DataFrame, *order: Column | str, by: tuple[str, ...], rank: str = "rank") -> DataFrame:

@@ -30,6 +30,16 @@ def tags(oi4: Column, p4: Column, net: Column, volume: Column, cap: Column, fund
     )
 
 
+def warnings(c: dict[str, Column]) -> Column:
+    """What to be careful about, in order; thresholds are fixed values."""
+    ratio = F.when((c["market_cap"] > 0) & (c["available"] == c["contracts"]), c["oi_value"] / c["market_cap"] * 100)
+    return present(
+        (c["own_conflict"], "own market caps differ"), (c["outside_conflict"], "market caps of two sources differ"), (c["market_cap"].isNull(), "market cap missing"), (c["available"] != c["contracts"], "hourly positions incomplete"), (c["current"] != c["contracts"], "current positions incomplete"),
+        (c["oi24"].isNull(), "positions: history short of a day"), (c["flow24"].isNull(), "flows: history short of a day"), ((c["candles"] < 60) | ~c["contiguous"], "candles of the main contract incomplete"), (ratio >= 20, "positions large for the market cap"), (F.abs(c["funding"]) >= 0.1, "funding high"),
+        (c["spread"] > 25, "spread wide"), ((c["rsi"] >= 75) | (c["rsi"] <= 25), "RSI extreme"), (c["listed_days"] < 7, "listed for less than a week"),
+    )
+
+
 def strength(oi4: Column, net: Column, volume: Column, p4: Column) -> Column:
     """How far things have moved already, of 100."""
     cap = lambda top, c: F.least(F.lit(float(top)), c)
@@ -113,6 +123,27 @@ def coin_sentiment(top_pct: Column, holder_pct: Column, taker: Column, change: C
     return 100 * (top_pct / 100 * 0.30 + holder_pct / 100 * 0.20 + buys * 0.25 + clamp_or_zero((change + 15) / 30) * 0.25)
 
 
+def coin_flags(change: Column, top: Column, taker: Column, accounts: Column, rate: Column) -> Column:
+    """What is odd: traders, accounts and takers against the price and each other; unknown ones say nothing."""
+    return present(
+        ((change >= 3) & (top < 45), "price up, top traders sell"), ((change <= -3) & (top > 55), "price down, top traders buy"), ((accounts > 1.2) & (taker < 0.85), "accounts long, takers sell"), ((accounts < 0.8) & (taker > 1.15), "accounts short, takers buy"),
+        ((rate < 0) & (change > 3) & (F.coalesce(taker, F.lit(0.0)) > 1), "squeeze against negative funding"), (rate > 0.0005, "funding makes longs dear"),
+    )
+
+
+def fresh(at: Column, now: Column, hours: int = 6, ahead_ms: int = 60_000) -> Column:
+    return (now - at <= hours * 3_600_000) & (at <= now + ahead_ms)
+
+
+def anchor(cutoff: Column, now: Column, *times: Column) -> Column:
+    """The hour that sources are compared at; null times don't count."""
+    return F.coalesce(cutoff, (F.floor(F.least(now, *times) / 3_600_000) * 3_600_000).cast("long"))
+
+
+def square_available(at: Column, anchored: Column, now: Column, authors: Column, directional: Column) -> Column:
+    return fresh(at, now) & (at >= anchored) & (authors >= 3) & (directional >= 2)
+
+
 def fusion(heat: Column, sentiment: Column, smart: Column, market: Column, confidence: Column) -> tuple[Column, Column]:
     score = heat * 0.25 + sentiment * 0.20 + smart * 0.40 + market * 0.15
     return score, score * (0.55 + 0.45 * confidence / 100)
@@ -150,16 +181,20 @@ def range_plan(same_source: Column, old_start: Column, old_end: Column, start: C
 EVIDENCE_STATES = ("unknown", "unverified", "stale", "closed", "conflict", "late", "aligned")
 
 
+#: What a verified history must span. Fixed values.
+MIN_HISTORY_DAYS, MIN_HISTORY_CYCLES = 30, 20
+
+
 def evidence_state(p: dict[str, Column], now: Column, fresh_ms: int = 6 * 3_600_000) -> Column:
     """How a post's position evidence is judged. Times in ms, sides -1 or 1; null where unknown."""
     posted, opened, observed, before = p["posted"], p["opened"], p["observed"], p["before"]
     yes = lambda c: F.coalesce(c, F.lit(False))
     return (
         F.when(posted.isNull() | yes(posted > now), "unknown").when(p["evidence_id"].isNull(), "unknown").when(~yes(p["same_author"]), "unknown")
-        .when((p["grade"] != "verified") | ~yes(p["identity"]), "unverified").when(observed.isNull() | yes(observed > now) | yes(observed < posted) | yes(observed < opened), "unknown")
+        .when((p["grade"] != "verified") | ~yes(p["identity"]) | ~yes(p["sourced"]), "unverified").when(observed.isNull() | yes(observed > now) | yes(observed < posted) | yes(observed < opened), "unknown")
         .when(now - observed > fresh_ms, "stale").when(p["state"] == "closed", "closed").when((p["direction"] != 0) & (p["side"] != p["direction"]), "conflict")
-        .when(p["direction"] == 0, "unknown").when(opened.isNull(), "unknown").when(yes(opened > posted) | before.isNull() | yes(before > posted), "late")
-        .when(yes(before < opened) | yes(posted - before > fresh_ms), "unknown").when(~yes(p["before_side"] == p["direction"]), "conflict").otherwise("aligned")
+        .when((p["direction"] == 0) | ~yes(p["is_call"]), "unknown").when(opened.isNull(), "unknown").when(yes(opened > posted) | before.isNull() | yes(before > posted), "late")
+        .when(yes(before < opened) | yes(posted - before > fresh_ms), "unknown").when(~yes(p["before_open"]) | ~yes(p["before_side"] == p["direction"]), "conflict").otherwise("aligned")
     )
 
 

@@ -118,13 +118,14 @@ def agg_13(t):
 
 @query("agg_14_calibration_error", f"""WITH {FORECAST_SQL}, g AS (SELECT list_max(p) AS conf, CASE WHEN list_position(p, list_max(p)) - 1 = y THEN 1.0::DOUBLE ELSE 0 END AS hit, vec_id FROM f),
 x AS (SELECT *, row_number() OVER (ORDER BY conf, vec_id) AS rn, count(*) OVER () AS n FROM g), e AS (SELECT count(*) AS k, abs(avg(conf) - avg(hit)) AS gap FROM x GROUP BY floor((rn * least(10, n // 50) - 1)::DOUBLE / n))
-SELECT {r('sum(k * gap) / sum(k)')} AS ece, {r('max(gap)')} AS mce FROM e""")
+SELECT CASE WHEN (SELECT count(*) FROM f) >= 100 THEN {r('sum(k * gap) / sum(k)')} END AS ece, CASE WHEN (SELECT count(*) FROM f) >= 100 THEN {r('max(gap)')} END AS mce FROM e""")
 def agg_14(t):
-    """Gaps between confidence and hit rate in bins of equal frequency, of at least 50 rows."""
+    """Gaps between confidence and hit rate in bins of equal frequency, of at least 50 rows; null with rows for fewer than two."""
     top = F.array_max("p")
     x = forecast(t).select("vec_id", top.alias("conf"), F.when(F.array_position("p", top) - 1 == col("y"), 1.0).otherwise(0.0).alias("hit"))
     x = k.global_rank(x, [col("conf"), col("vec_id")])
     bins = F.least(F.lit(10), F.floor(col("_rows") / 50))
+    x = x.where(bins >= 2)
     e = x.groupBy(F.floor((col("rank") * bins - 1) / col("_rows")).alias("bin")).agg(F.count("*").alias("k"), F.abs(F.avg("conf") - F.avg("hit")).alias("gap"))
     return e.agg(r6(F.sum(col("k") * col("gap")) / F.sum("k")).alias("ece"), r6(F.max("gap")).alias("mce"))
 
@@ -146,11 +147,6 @@ def agg_17(t):
     return d.agg(F.when(F.count("bss") == F.count("*"), r6(F.sum(col("bss") * col("w")) / F.sum("w"))).alias("pooled"))
 
 
-@query("agg_18_effective_n", f"WITH {FORECAST_SQL} SELECT y, {r('sum(1 / w)')} AS effective_n FROM f GROUP BY 1")
-def agg_18(t):
-    return forecast(t).groupBy("y").agg(r6(F.sum(1 / col("w"))).alias("effective_n"))
-
-
 @query("agg_19_coverage", """SELECT count(*) AS total, count(*) FILTER (l_discount > 0 AND l_tax > 0) AS complete, count(*) FILTER (l_discount = 0) AS no_discount, count(*) FILTER (l_tax = 0) AS no_tax, (count(*) FILTER (l_discount = 0))::DOUBLE / count(*) > 0.05 AS review FROM lineitem""")
 def agg_19(t):
     no_d, no_t = col("l_discount") == 0, col("l_tax") == 0
@@ -162,21 +158,29 @@ def agg_20(t):
     return t.events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
 
 
-@query("agg_21_terciles", f"WITH {BARS4} SELECT symbol, CASE WHEN count(*) >= 30 THEN {r('quantile_cont(v, 1.0::DOUBLE / 3)', 5)} END AS lower, CASE WHEN count(*) >= 30 THEN {r('quantile_cont(v, 2.0::DOUBLE / 3)', 5)} END AS upper FROM bars GROUP BY 1")
+@query("agg_21_terciles", f"""WITH {BARS4}, q AS (SELECT symbol, CASE WHEN count(*) >= 30 THEN quantile_cont(v, 1.0::DOUBLE / 3) END AS a, CASE WHEN count(*) >= 30 THEN quantile_cont(v, 2.0::DOUBLE / 3) END AS b FROM (SELECT symbol, v FROM bars UNION ALL SELECT symbol || ' flat', 5.0 FROM bars) GROUP BY 1)
+SELECT symbol, CASE WHEN a < b THEN {r('a', 5)} END AS lower, CASE WHEN a < b THEN {r('b', 5)} END AS upper FROM q""")
 def agg_21(t):
-    at = lambda p: F.when(F.count("*") >= 30, r6(F.percentile("v", F.lit(p)), 5))
-    return h4(t).groupBy("symbol").agg(at(1 / 3).alias("lower"), at(2 / 3).alias("upper"))
-
-
-@query("agg_22_regime_days", f"""WITH {BARS4}, d AS (SELECT t // {DAY_MS} AS day, CASE WHEN symbol IN ('click', 'view') THEN 'a' ELSE 'b' END AS axis, CASE WHEN avg(c) <= 40 THEN 'low' WHEN avg(c) >= 60 THEN 'high' ELSE 'mid' END AS bin FROM bars GROUP BY 1, 2)
-SELECT axis, count(DISTINCT day) FILTER (bin = 'low') AS low, count(DISTINCT day) FILTER (bin = 'mid') AS mid, count(DISTINCT day) FILTER (bin = 'high') AS high FROM d GROUP BY 1""")
+    """The bounds between the thirds of a series; null under thirty values, or if the bounds are the same, as those of a flat series are."""
+    x = h4(t).select("symbol", "v")
+    x = x.unionByName(x.select(F.concat("symbol", F.lit(" flat")).alias("symbol"), F.lit(5.0).alias("v")))
+    q = a.quantiles(x, "symbol", "v", lower=1 / 3, upper=2 / 3).join(x.groupBy("symbol").agg(F.count("*").alias("n")), "symbol")
+    ok = (col("n") >= 30) & (col("lower") < col("upper"))
+    return q.select("symbol", *(F.when(ok, r6(col(c), 5)).alias(c) for c in ("lower", "upper")))
+
+
+@query("agg_22_regime_days", f"""WITH {BARS4}, v AS (SELECT CASE WHEN symbol IN ('click', 'view') THEN 'pair' WHEN symbol = 'signup' THEN 'single' ELSE 'rest' END AS universe, symbol, t // {DAY_MS} AS day, avg(c) AS trend, avg(h - l) AS vol FROM bars GROUP BY 1, 2, 3),
+d AS (SELECT universe, 'trend' AS axis, day, CASE WHEN trend <= 25 THEN 'low' WHEN trend >= 75 THEN 'high' ELSE 'mid' END AS bin FROM v UNION ALL SELECT universe, 'vol', day, CASE WHEN vol <= 30 THEN 'low' WHEN vol >= 400 THEN 'high' ELSE 'mid' END FROM v WHERE universe <> 'pair' OR symbol = 'view'),
+k AS (SELECT universe, axis, day, min(bin) AS bin, min(bin) <> max(bin) AS conflict FROM d GROUP BY 1, 2, 3), bad AS (SELECT universe, bool_or(conflict) AS bad FROM k GROUP BY 1)
+SELECT universe, axis, {", ".join(f"CASE WHEN NOT any_value(bad) THEN count(*) FILTER (bin = '{k}') END AS {k}" for k in ("low", "mid", "high"))} FROM k JOIN bad USING (universe) GROUP BY 1, 2""")
 def agg_22(t):
-    """Distinct days of each regime; a day with two values would make its axis missing."""
-    axis = F.when(col("symbol").isin("click", "view"), "a").otherwise("b")
-    d = h4(t).groupBy(F.floor(col("t") / DAY_MS).alias("day"), axis.alias("axis")).agg(F.avg("c").alias("m"))
-    d = d.withColumn("bin", F.when(col("m") <= 40, "low").when(col("m") >= 60, "high").otherwise("mid")).groupBy("axis", "day").agg(F.min("bin").alias("bin"), F.max("bin").alias("other"))
-    one = F.bool_and(col("bin") == col("other"))
-    return d.groupBy("axis").agg(*(F.when(one, F.count_if(col("bin") == k)).alias(k) for k in ("low", "mid", "high")))
+    """Distinct days of each regime on both axes; one day with two values on one axis makes the whole result of its universe missing."""
+    universe = F.when(col("symbol").isin("click", "view"), "pair").when(col("symbol") == "signup", "single").otherwise("rest")
+    v = h4(t).groupBy(universe.alias("universe"), "symbol", F.floor(col("t") / DAY_MS).alias("day")).agg(F.avg("c").alias("trend"), F.avg(col("h") - col("l")).alias("vol"))
+    cut = lambda c, low, high: F.when(col(c) <= low, "low").when(col(c) >= high, "high").otherwise("mid")
+    d = v.select("universe", F.lit("trend").alias("axis"), "day", cut("trend", 25, 75).alias("bin"))
+    d = d.unionByName(v.where("universe <> 'pair' or symbol = 'view'").select("universe", F.lit("vol").alias("axis"), "day", cut("vol", 30, 400).alias("bin")))
+    return a.regime_days(d, "universe")
 
 
 @query("agg_23_modal_gap", f"""WITH {bars_sql(HOUR_MS)}, g AS (SELECT symbol, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS gap FROM bars), n AS (SELECT symbol, gap, count(*) AS n FROM g WHERE gap IS NOT NULL GROUP BY 1, 2) SELECT symbol, gap FROM n QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY n DESC, gap) = 1""")
@@ -201,6 +205,10 @@ def heat_of(authors, weight, interactions):
     return F.log1p(authors) * 35 + F.log1p(weight) * 10 + F.log1p(interactions) * 5
 
 
+def heat_sql(when: str) -> str:
+    return f"(ln(1 + count(DISTINCT author) FILTER ({when})) * 35 + ln(1 + coalesce(sum(wt) FILTER ({when}), 0)) * 10 + ln(1 + coalesce(sum(wt * likes) FILTER ({when}), 0)) * 5)"
+
+
 def weighted_posts(t):
     return clean(t).withColumn("wt", F.when(col("id") % 5 == 0, 0.3).otherwise(1.0))
 
@@ -211,27 +219,38 @@ def agg_28(t):
     return weighted_posts(t).groupBy("symbol").agg(F.count("*").alias("posts"), F.countDistinct("author").alias("authors"), r6(heat, 2).alias("heat"))
 
 
-@query("agg_29_heat_slope", f"""WITH {HEAT_SQL}, z AS (SELECT symbol, (ln(1 + count(DISTINCT author) FILTER (posted >= {NOW} - 21600000)) * 35 + ln(1 + coalesce(sum(wt) FILTER (posted >= {NOW} - 21600000), 0)) * 10 + ln(1 + coalesce(sum(wt * likes) FILTER (posted >= {NOW} - 21600000), 0)) * 5) / 6 AS a,
-(ln(1 + count(DISTINCT author) FILTER (posted < {NOW} - 21600000)) * 35 + ln(1 + coalesce(sum(wt) FILTER (posted < {NOW} - 21600000), 0)) * 10 + ln(1 + coalesce(sum(wt * likes) FILTER (posted < {NOW} - 21600000), 0)) * 5) / 18 AS b FROM hp GROUP BY 1)
-SELECT symbol, CASE WHEN b > 0 THEN {r('a / b', 2)} WHEN a > 0 THEN 5 END AS slope, coalesce(CASE WHEN b > 0 THEN {r('a / b', 2)} WHEN a > 0 THEN 5 END >= 1.5, false) AS rising FROM z""")
+@query("agg_29_heat_slope", f"""WITH {HEAT_SQL}, z AS (SELECT symbol, {heat_sql("posted >= " + str(NOW - 21600000))} / 6 AS a, {heat_sql("posted < " + str(NOW - 21600000))} / 18 AS b, {r(heat_sql("true"), 2)} AS heat FROM hp GROUP BY 1),
+y AS (SELECT *, CASE WHEN b > 0 THEN {r('a / b', 2)} WHEN a > 0 THEN 5 END AS slope FROM z) SELECT symbol, heat, slope, coalesce(slope >= 1.5, false) AS rising, coalesce(slope >= 1.5, false) AND heat >= 25 AS newly_hot FROM y""")
 def agg_29(t):
+    return heat_slopes(t)
+
+
+def heat_slopes(t):
+    """The rate of heat in the last six hours against that before, whether it rises, and whether what rises is hot."""
     recent = col("at") >= NOW - 6 * HOUR_MS
 
     def heat(when):
         s = lambda c: F.coalesce(F.sum(F.when(when, c)), F.lit(0.0))
         return heat_of(F.countDistinct(F.when(when, col("author"))), s(col("wt")), s(col("wt") * col("likes")))
 
-    x = weighted_posts(t).groupBy("symbol").agg((heat(recent) / 6).alias("a"), (heat(~recent) / 18).alias("b"))
+    x = weighted_posts(t).groupBy("symbol").agg((heat(recent) / 6).alias("a"), (heat(~recent) / 18).alias("b"), r6(heat(F.lit(True)), 2).alias("heat"))
     slope = F.when(col("b") > 0, r6(col("a") / col("b"), 2)).when(col("a") > 0, 5.0)
-    return x.select("symbol", slope.alias("slope"), F.coalesce(slope >= 1.5, F.lit(False)).alias("rising"))
+    x = x.select("symbol", "heat", slope.alias("slope")).withColumn("rising", F.coalesce(col("slope") >= 1.5, F.lit(False)))
+    return x.withColumn("newly_hot", col("rising") & (col("heat") >= 25))
 
 
-@query("agg_30_opinions", f"""WITH {CLEAN_SQL}, o AS (SELECT symbol, author, last(id % 3 - 1 ORDER BY posted, ordinal) AS d FROM clean GROUP BY 1, 2)
-SELECT symbol, {r('avg(CASE WHEN d = 1 THEN 100.0::DOUBLE ELSE 0 END)', 2)} AS bull, {r('avg(CASE WHEN d = 0 THEN 100.0::DOUBLE ELSE 0 END)', 2)} AS neutral, {r('avg(CASE WHEN d = -1 THEN 100.0::DOUBLE ELSE 0 END)', 2)} AS bear, {r('sum(d) * 100.0::DOUBLE / count(*)', 2)} AS net FROM o GROUP BY 1""")
+@query("agg_30_opinions", f"""WITH {CLEAN_SQL}, o AS (SELECT symbol, author, last(id % 3 - 1 ORDER BY posted, ordinal) AS d, last(CASE WHEN id % 7 = 0 THEN 1.35::DOUBLE ELSE 1.0 END ORDER BY posted, ordinal) AS w FROM clean GROUP BY 1, 2)
+SELECT symbol, {", ".join(f"{r(f'sum(CASE WHEN d = {k} THEN 100.0::DOUBLE * {w} ELSE 0 END) / sum({w})', 2)} AS {p}{n}" for p, w in (("", "1"), ("weighted_", "w")) for n, k in (("bull", 1), ("neutral", 0), ("bear", -1)))},
+{", ".join(f"{r(f'sum(d * {w}) * 100.0::DOUBLE / sum({w})', 2)} AS {p}net" for p, w in (("", "1"), ("weighted_", "w")))} FROM o GROUP BY 1""")
 def agg_30(t):
-    o = clean(t).groupBy("symbol", "author").agg(F.max_by(col("id") % 3 - 1, F.struct("at", "ordinal")).alias("d"))
-    share = lambda k: r6(F.avg(F.when(col("d") == k, 100.0).otherwise(0.0)), 2)
-    return o.groupBy("symbol").agg(share(1).alias("bull"), share(0).alias("neutral"), share(-1).alias("bear"), r6(F.sum("d") * 100.0 / F.count("*"), 2).alias("net"))
+    """How opinions are spread, each author's latest once, and the same with each weighing as much as its evidence."""
+    weight = F.when(col("id") % 7 == 0, 1.35).otherwise(1.0)
+    o = clean(t).groupBy("symbol", "author").agg(F.max_by(F.struct((col("id") % 3 - 1).alias("d"), weight.alias("w")), F.struct("at", "ordinal")).alias("x")).select("symbol", "x.d", "x.w")
+    out = []
+    for prefix, w in (("", F.lit(1.0)), ("weighted_", col("w"))):
+        share = lambda k, w=w: r6(F.sum(F.when(col("d") == k, 100.0 * w).otherwise(0.0)) / F.sum(w), 2)
+        out += [*(share(k).alias(prefix + n) for n, k in (("bull", 1), ("neutral", 0), ("bear", -1))), r6(F.sum(col("d") * w) * 100.0 / F.sum(w), 2).alias(f"{prefix}net")]
+    return o.groupBy("symbol").agg(*out)
 
 
 @query("agg_31_votes", f"""WITH {snapshot_sql('p', 20)} SELECT coin, count(*) AS n, CASE WHEN (count(*) FILTER (side = 'LONG') - count(*) FILTER (side = 'SHORT'))::DOUBLE / count(*) >= 0.1 THEN 1 WHEN (count(*) FILTER (side = 'LONG') - count(*) FILTER (side = 'SHORT'))::DOUBLE / count(*) <= -0.1 THEN -1 ELSE 0 END AS vote FROM p GROUP BY 1""")
@@ -259,11 +278,15 @@ def agg_33(t):
     return x.groupBy(col("g.mult").alias("mult"), col("g.len").alias("len")).agg(F.count_if(wide).alias("wide"))
 
 
-@query("agg_34_rates_by_bucket", f"""SELECT CASE WHEN d < 365 THEN 'first year' WHEN d < 1095 THEN 'to three' ELSE 'older' END AS age, count(*) AS n, {r("avg(CASE WHEN o_orderstatus = 'F' THEN 1.0::DOUBLE ELSE 0 END)")} AS complete FROM (SELECT *, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS d FROM orders) GROUP BY 1""")
+@query("agg_34_rates_by_bucket", f"""WITH x AS (SELECT *, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS d, o_orderstatus = 'F' AS f FROM orders), k AS (
+SELECT 'age' AS kind, CASE WHEN o_orderkey % 13 = 0 THEN 'unknown' WHEN d < 60 THEN '<60d' WHEN d < 180 THEN '60-180d' ELSE '>=180d' END AS bucket, f FROM x UNION ALL SELECT 'month', strftime(o_orderdate, '%Y-%m'), f FROM x UNION ALL SELECT 'quarter', year(o_orderdate) || 'Q' || quarter(o_orderdate), f FROM x)
+SELECT kind, bucket, count(*) AS n, {r("avg(CASE WHEN f THEN 1.0::DOUBLE ELSE 0 END)")} AS complete FROM k GROUP BY 1, 2""")
 def agg_34(t):
+    """Rows and the share of complete ones by age, month and quarter: each row is in one bucket of each kind."""
     d = F.datediff(col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
-    age = F.when(d < 365, "first year").when(d < 1095, "to three").otherwise("older")
-    return t.orders.groupBy(age.alias("age")).agg(F.count("*").alias("n"), r6(F.avg(F.when(col("o_orderstatus") == "F", 1.0).otherwise(0.0))).alias("complete"))
+    age = F.when(col("o_orderkey") % 13 == 0, "unknown").when(d < 60, "<60d").when(d < 180, "60-180d").otherwise(">=180d")
+    month, quarter = F.date_format("o_orderdate", "yyyy-MM"), F.concat(F.year("o_orderdate").cast("string"), F.lit("Q"), F.quarter("o_orderdate").cast("string"))
+    return a.rates_by(t.orders, col("o_orderstatus") == "F", age=age, month=month, quarter=quarter).withColumn("complete", r6(col("complete")))
 
 
 @query("agg_35_dropped_and_exposed", "SELECT o_orderpriority, count(*) FILTER (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45)) AS dropped, count(*) AS n FROM orders GROUP BY 1")
@@ -291,16 +314,34 @@ def agg_38(t):
     return x.groupBy("user_id").agg(a.unanimous(col("v")).alias("verdict"), F.when(n >= 10, "established").when(n >= 3, "suggestive").otherwise("thin").alias("tier"))
 
 
-@query("agg_39_board_hits", "SELECT o_custkey, count(*) AS hits, min(rk) AS best FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders) WHERE rk <= 50 GROUP BY 1")
+@query("agg_39_board_hits", """SELECT o_custkey, count(*) AS hits, min(rk) AS best, string_agg(board || ':' || rk, ',' ORDER BY board, rk) AS boards
+FROM (SELECT o_custkey, o_orderpriority AS board, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders) WHERE rk <= 50 GROUP BY 1""")
 def agg_39(t):
-    x = t.orders.withColumn("rk", F.row_number().over(Window.partitionBy("o_orderpriority").orderBy(col("o_totalprice").desc(), "o_orderkey"))).where("rk <= 50")
-    return x.groupBy("o_custkey").agg(F.count("*").alias("hits"), F.min("rk").cast("long").alias("best"))
+    """On how many boards a trader is, the best place, and the list of both; boards have fifty places."""
+    x = k.top_per(t.orders, "o_orderpriority", 50, col("o_totalprice").desc(), "o_orderkey", rank="rk")
+    boards = F.array_sort(F.collect_list(F.struct("o_orderpriority", "rk")))
+    x = x.groupBy("o_custkey").agg(F.count("*").alias("hits"), F.min("rk").cast("long").alias("best"), boards.alias("b"))
+    return x.select("o_custkey", "hits", "best", F.array_join(F.transform("b", lambda v: F.concat_ws(":", v["o_orderpriority"], v["rk"].cast("string"))), ",").alias("boards"))
+
 
+MDL14 = """CASE WHEN vec_id % 10 <> 0 THEN 'none' WHEN vec_id % 20 = 0 THEN 'unknown' WHEN vec_id // 10 % 120 < 7 THEN '<7d' WHEN vec_id // 10 % 120 < 30 THEN '7-30d' WHEN vec_id // 10 % 120 < 90 THEN '30-90d' ELSE '>90d' END"""
 
-@query("mdl_14_subgroup_skill", f"WITH {FORECAST_SQL} SELECT CASE WHEN vec_id % 10 = 0 THEN 'delisted' ELSE 'survivor' END AS grp, count(*) AS n, {r(f'1 - avg({B_SQL}) / (2 / 3.0::DOUBLE)')} AS bss FROM f GROUP BY 1")
+
+@query("mdl_14_subgroup_skill", f"""WITH {FORECAST_SQL}, b AS (SELECT *, {B_SQL} AS brier, (SELECT [sum(w) FILTER (y = 0) / sum(w), sum(w) FILTER (y = 1) / sum(w), sum(w) FILTER (y = 2) / sum(w)] FROM f) AS q FROM f),
+c AS (SELECT *, pow(q[1] - (y = 0)::INT, 2) + pow(q[2] - (y = 1)::INT, 2) + pow(q[3] - (y = 2)::INT, 2) AS ref, CASE WHEN vec_id % 10 = 0 THEN 'delisted' ELSE 'survivor' END AS gone, {MDL14} AS days FROM b),
+g AS (SELECT 'universe' AS kind, gone AS grp, * FROM c UNION ALL SELECT 'class', gone || ' ' || ['down', 'flat', 'up'][y + 1], * FROM c UNION ALL SELECT 'days to settlement', days, * FROM c WHERE gone = 'delisted')
+SELECT kind, grp, count(*) AS n, {r('1 - sum(w * brier) / sum(w * ref)')} AS bss FROM g GROUP BY 1, 2""")
 def mdl_14(t):
-    g = F.when(col("vec_id") % 10 == 0, "delisted").otherwise("survivor")
-    return forecast(t).groupBy(g.alias("grp")).agg(F.count("*").alias("n"), r6(1 - F.avg(brier_term(col("p"), col("y"))) / (2 / 3.0)).alias("bss"))
+    """The skill of the same forecasts, against the base rates of all, on delisted and surviving contracts, by true class, and by days to the settlement."""
+    f = forecast(t)
+    i = col("vec_id")
+    gone, left = F.when(i % 10 == 0, "delisted").otherwise("survivor"), F.floor(i / 10) % 120
+    days = F.when(i % 20 == 0, "unknown").when(left < 7, "<7d").when(left < 30, "7-30d").when(left < 90, "30-90d").otherwise(">90d")
+    name = F.element_at(F.array(*map(F.lit, ("down", "flat", "up"))), (col("y") + 1).cast("int"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), g.alias("grp")) for k, g in (("universe", gone), ("class", F.concat(gone, F.lit(" "), name)), ("days to settlement", F.when(gone == "delisted", days)))))
+    rates = f.agg(F.array(*(F.sum(F.when(col("y") == k, col("w")).otherwise(0.0)) / F.sum("w") for k in range(3))).alias("rates"))  # one row
+    x = f.join(F.broadcast(rates)).select("w", brier_term(col("p"), col("y")).alias("br"), brier_term(col("rates"), col("y")).alias("ref"), F.inline(kinds)).where("grp is not null")
+    return x.groupBy("kind", "grp").agg(F.count("*").alias("n"), r6(a.skill(col("br"), col("ref"), col("w"))).alias("bss"))
 
 
 @query("flow_ratio_by_symbol", f"WITH {BARS4} SELECT symbol, {r('sum(2 * tb - v) / nullif(sum(v), 0) * 100')} AS net_ratio FROM bars GROUP BY 1")

@@ -39,9 +39,11 @@ def ded_4(t):
 
 @query("ded_5_evidence_once", "SELECT event_id, CASE WHEN rn = 1 THEN 1.35::DOUBLE ELSE 1.0::DOUBLE END AS weight, rn = 1 AS eligible FROM (SELECT event_id, row_number() OVER (PARTITION BY event_type, user_id % 20 ORDER BY ts, event_id) AS rn FROM events)")
 def ded_5(t):
-    """A piece of evidence counts once for each symbol; later uses get the plain weight."""
-    rn = F.row_number().over(Window.partitionBy("event_type", col("user_id") % 20).orderBy("ts", "event_id"))
-    return t.events.withColumn("rn", rn).select("event_id", F.when(col("rn") == 1, 1.35).otherwise(1.0).alias("weight"), (col("rn") == 1).alias("eligible"))
+    """A piece of evidence counts once for each symbol; later uses get the plain weight. First uses are minima, joined back, so no piece is sorted."""
+    e = t.events.select("event_type", (col("user_id") % 20).alias("evidence"), "ts", "event_id")
+    first = e.groupBy("event_type", "evidence").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    once = col("event_id") == col("first.event_id")
+    return e.join(first, ["event_type", "evidence"]).select("event_id", F.when(once, 1.35).otherwise(1.0).alias("weight"), once.alias("eligible"))
 
 
 @query("ded_6_duplicate_signatures", "SELECT user_id, count(*) - count(DISTINCT (event_type, value)) AS duplicates FROM (SELECT user_id, event_type, round(value) AS value FROM events) GROUP BY 1")
@@ -58,7 +60,7 @@ def ded_7(t):
 
 
 NOW = 1_706_400_000_000
-POSTS_SQL = f"""posts AS (SELECT doc_id AS ordinal, doc_id // 2 AS id, source AS author, lang AS symbol, substring(text, 1, 12 - doc_id % 12) AS text, {NOW} - doc_id % 30 * 3600000 AS posted, CASE WHEN doc_id % 17 = 0 THEN 1 END AS duplicate_of, n_chars AS likes FROM documents)"""
+POSTS_SQL = f"""posts AS (SELECT doc_id AS ordinal, doc_id // 2 AS id, source AS author, lang AS symbol, text, {NOW} - doc_id % 30 * 3600000 AS posted, CASE WHEN doc_id % 17 = 0 THEN 1 END AS duplicate_of, n_chars AS likes FROM documents)"""
 
 
 def posts(t):
@@ -81,16 +83,21 @@ def flt_9(t):
     return clean(t).select("ordinal", "id", "author", "symbol")
 
 
-@query("snk_5_upsert", """SELECT k, v FROM (SELECT o_custkey AS k, o_totalprice AS v, 0 AS new, o_orderkey AS n FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_custkey, -o_totalprice, 1, o_orderkey FROM orders WHERE o_orderkey % 5 = 0)
+@query("snk_5_upsert", """SELECT k, v FROM (SELECT o_custkey AS k, o_totalprice AS v, 0 AS new, o_orderkey AS n FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01' UNION ALL SELECT o_custkey, -o_totalprice, 1, o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01')
 QUALIFY row_number() OVER (PARTITION BY k ORDER BY new DESC, n DESC) = 1""")
 def snk_5(t):
-    old = t.orders.where("o_orderkey % 2 = 0").select(col("o_custkey").alias("k"), col("o_totalprice").alias("v"), col("o_orderkey").alias("n"))
-    new = t.orders.where("o_orderkey % 5 = 0").select(col("o_custkey").alias("k"), (-col("o_totalprice")).alias("v"), col("o_orderkey").alias("n"))
+    """Older orders, replaced by newer ones."""
+    day = F.expr("TIMESTAMP_NTZ '1997-01-01'")
+    old = t.orders.where(col("o_orderdate") < day).select(col("o_custkey").alias("k"), col("o_totalprice").alias("v"), col("o_orderkey").alias("n"))
+    new = t.orders.where(col("o_orderdate") >= day).select(col("o_custkey").alias("k"), (-col("o_totalprice")).alias("v"), col("o_orderkey").alias("n"))
     return d.upsert(old, new, ["k"], "n").select("k", "v")
 
 
-@query("snk_9_merge_batch", "SELECT c_custkey, coalesce(b.v, c_acctbal) AS balance FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) b ON o_custkey = c_custkey")
+@query("snk_9_merge_batch", """SELECT c_custkey, coalesce(b.v, c_acctbal) AS balance, CASE WHEN b.v IS NULL THEN 'ordinary' ELSE 'quality' END AS pool, CASE WHEN c_custkey % 3 = 0 THEN 1700000000000 + c_custkey END AS quality_at, CASE WHEN c_custkey % 4 = 0 THEN 1700000000000 - c_custkey END AS ordinary_at
+FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS v FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) b ON o_custkey = c_custkey""")
 def snk_9(t):
-    """Existing records, replaced by those of an interrupted batch that have a known id."""
-    batch = t.orders.where("o_orderpriority = '1-URGENT'").groupBy(col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("v"))
-    return t.customer.join(batch, "c_custkey", "left").select("c_custkey", F.coalesce("v", "c_acctbal").alias("balance"))
+    """Existing records, replaced by those of an interrupted batch that have a known id; when each pool was last updated stays, as the batch did not finish."""
+    k = col("c_custkey")
+    known = t.customer.select("c_custkey", col("c_acctbal").alias("balance"), F.lit("ordinary").alias("pool"), F.when(k % 3 == 0, 1_700_000_000_000 + k).alias("quality_at"), F.when(k % 4 == 0, 1_700_000_000_000 - k).alias("ordinary_at"))
+    batch = t.orders.where("o_orderpriority = '1-URGENT'").groupBy(col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("balance")).withColumn("pool", F.lit("quality"))
+    return d.merged_batch(known, batch, ["c_custkey"], ["balance", "pool"])

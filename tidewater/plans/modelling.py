@@ -25,18 +25,23 @@ x AS (SELECT id, fold, a, time, z, CASE WHEN time >= a THEN 'test' WHEN z <= a -
 
 
 def folds(t):
-    return la.walk_forward(spans(t).withColumnRenamed("event_id", "id"), FOLDS, EMBARGO)
+    return la.walk_forward(spans(t).withColumnRenamed("event_id", "id"), FOLDS, EMBARGO, earliest_test=FOLDS[0][0])
 
 
 @query("mdl_1_walk_forward", f"WITH {FOLD_SQL} SELECT id, CAST(fold AS INT) AS fold, role FROM x")
 def mdl_1(t):
+    """Samples by fold; the first test must not begin before the days that the rules were chosen on have ended."""
     return folds(t).select("id", "fold", "role")
 
 
-@query("mdl_2_fold_invariants", f"WITH {FOLD_SQL} SELECT CAST(fold AS INT) AS fold, count(*) FILTER (role = 'train' AND z > a - {EMBARGO}) AS late, count(*) FILTER (role = 'test' AND time < a) AS early, count(*) - count(DISTINCT id) AS twice FROM x GROUP BY 1")
+@query("mdl_2_fold_invariants", f"""WITH {FOLD_SQL}, y AS (SELECT * FROM x UNION ALL SELECT id, fold, a, a - {HOUR_MS}, a, 'train' FROM x WHERE id % 97 = 0 AND role = 'test'),
+v AS (SELECT fold, id, 'train label reaches into the embargo' AS violation FROM y WHERE role = 'train' AND z > a - {EMBARGO} UNION ALL SELECT fold, id, 'test outside its block' FROM y WHERE role = 'test' AND (time < a OR time >= (SELECT b FROM fo WHERE fo.fold = y.fold))
+UNION ALL SELECT fold, id, 'in both train and test' FROM y WHERE role IN ('train', 'test') GROUP BY 1, 2 HAVING count(DISTINCT role) = 2) SELECT CAST(fold AS INT) AS fold, id, violation FROM v""")
 def mdl_2(t):
+    """What is wrong with folds, here of some that leak: test samples that were also learnt from."""
     x = folds(t)
-    return x.groupBy("fold").agg(F.count_if((col("role") == "train") & (col("end") > col("start") - EMBARGO)).alias("late"), F.count_if((col("role") == "test") & (col("time") < col("start"))).alias("early"), (F.count("*") - F.countDistinct("id")).alias("twice"))
+    leaked = x.where("role = 'test' and id % 97 = 0").withColumns({"role": F.lit("train"), "time": col("start") - HOUR_MS, "end": col("start")})
+    return la.fold_violations(x.unionByName(leaked.select(x.columns)), EMBARGO)
 
 
 @query("mdl_3_uniqueness", f"""WITH s AS (SELECT event_id AS id, event_type AS g, (epoch_us(ts) // 1000) // {HOUR_MS} * {HOUR_MS} AS a, (epoch_us(ts) // 1000) // {HOUR_MS} * {HOUR_MS} + (user_id % 5 + 1) * {HOUR_MS} AS z FROM events),
@@ -45,6 +50,16 @@ def mdl_3(t):
     return la.uniqueness(spans(t).withColumnRenamed("event_id", "id"), HOUR_MS).select("id", r6(col("weight")).alias("weight"))
 
 
+@query("agg_18_effective_n", f"""WITH s AS (SELECT event_id AS id, event_type AS g, (epoch_us(ts) // 1000) // {HOUR_MS} * {HOUR_MS} AS a, (epoch_us(ts) // 1000) // {HOUR_MS} * {HOUR_MS} + (user_id % 5 + 1) * {HOUR_MS} AS z FROM events),
+e AS (SELECT id, g, unnest(range(a, z, {HOUR_MS})) AS slot FROM s), n AS (SELECT g, slot, count(*) AS n FROM e GROUP BY 1, 2), u AS (SELECT id, g, avg(1.0::DOUBLE / n) AS weight FROM e JOIN n USING (g, slot) GROUP BY 1, 2)
+SELECT g AS symbol, count(*) AS n, {r('sum(weight)', 4)} AS effective_n FROM u GROUP BY 1""")
+def agg_18(t):
+    """How many samples those are worth whose labels overlap: the sum of their weights."""
+    x = spans(t).withColumnRenamed("event_id", "id")
+    u = la.uniqueness(x, HOUR_MS).join(x.select("id", "group"), "id")
+    return u.groupBy(col("group").alias("symbol")).agg(F.count("*").alias("n"), r6(F.sum("weight"), 4).alias("effective_n"))
+
+
 def training(t):
     x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
     return t.embeddings.select("vec_id", x.alias("x"), (col("label") % 3).cast("int").alias("y"), F.lit(1.0).alias("w"))

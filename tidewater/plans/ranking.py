@@ -18,14 +18,14 @@ r6 = round_half_up
 @query("srt_1_multi_key", """SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY coalesce(CASE WHEN c_acctbal > 2000 THEN c_acctbal END, -1) DESC, c_mktsegment = 'BUILDING' DESC, c_custkey) AS place FROM customer""")
 def srt_1(t):
     order = [F.coalesce(F.when(col("c_acctbal") > 2000, col("c_acctbal")), F.lit(-1.0)).desc(), (col("c_mktsegment") == "BUILDING").desc(), col("c_custkey")]
-    return t.customer.select("c_custkey", F.row_number().over(Window.partitionBy("c_nationkey").orderBy(*order)).cast("long").alias("place"))
+    return k.keyed_rank(t.customer.select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"), "c_nationkey", order, "place").select("c_custkey", "place")
 
 
 @query("srt_2_nulls_last", """SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END ASC NULLS LAST, c_custkey) AS up, row_number() OVER (PARTITION BY c_nationkey ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS LAST, c_custkey) AS down FROM customer""")
 def srt_2(t):
-    x = t.customer.withColumn("v", F.when(col("c_acctbal") > 0, col("c_acctbal")))
-    by = Window.partitionBy("c_nationkey")
-    return x.select("c_custkey", F.row_number().over(by.orderBy(col("v").asc_nulls_last(), "c_custkey")).cast("long").alias("up"), F.row_number().over(by.orderBy(col("v").desc_nulls_last(), "c_custkey")).cast("long").alias("down"))
+    x = t.customer.select("c_custkey", "c_nationkey", F.when(col("c_acctbal") > 0, col("c_acctbal")).alias("v"))
+    x = k.keyed_rank(x, "c_nationkey", [col("v").asc_nulls_last(), col("c_custkey")], "up")
+    return k.keyed_rank(x, "c_nationkey", [col("v").desc_nulls_last(), col("c_custkey")], "down").select("c_custkey", "up", "down")
 
 
 @query("srt_3_cross_rows", "SELECT n_name, coverage FROM (SELECT n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS coverage FROM nation) ORDER BY coverage DESC, n_name LIMIT 10")
@@ -47,14 +47,30 @@ def lim_1(t):
     return newest.groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query("lim_2_hottest", "SELECT p_brand, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, p_brand LIMIT 12")
+LISTS_SQL = f"""h AS (SELECT p_brand, p_type, count(*) AS n, {r('avg(p_retailprice) / 700', 2)} AS slope FROM part GROUP BY 1, 2)"""
+
+
+@query("lim_2_hottest", f"WITH {LISTS_SQL} (SELECT 'hottest' AS list, p_brand, p_type FROM h ORDER BY n DESC, p_brand, p_type LIMIT 12) UNION ALL (SELECT 'rising', p_brand, p_type FROM h WHERE slope >= 1.5 ORDER BY slope DESC, p_brand, p_type LIMIT 12)")
 def lim_2(t):
-    return t.part.groupBy("p_brand").agg(F.count("*").alias("n")).orderBy(col("n").desc(), "p_brand").limit(12)
+    """The twelve hottest, and the twelve that rise fastest of those that rise."""
+    h = t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("n"), r6(F.avg("p_retailprice") / 700, 2).alias("slope"))
+    first = lambda x, name, c: x.orderBy(col(c).desc(), "p_brand", "p_type").limit(12).select(F.lit(name).alias("list"), "p_brand", "p_type")
+    return first(h, "hottest", "n").unionByName(first(h.where("slope >= 1.5"), "rising", "slope"))
 
 
-@query("lim_3_top_per_board", "SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) <= 10")
+@query("lim_3_top_per_board", """WITH b AS (SELECT o_custkey, o_orderpriority, o_totalprice, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS rk FROM orders),
+seed AS (SELECT o_custkey, 0 AS tier, min(o_orderpriority || ':' || lpad(rk::VARCHAR, 3, '0')) AS spot FROM b WHERE rk <= 10 GROUP BY 1),
+best AS (SELECT o_custkey, 1 AS tier, lpad((row_number() OVER (ORDER BY profit DESC, o_custkey))::VARCHAR, 3, '0') AS spot FROM (SELECT o_custkey, sum(o_totalprice) AS profit FROM orders WHERE o_totalprice >= 100000 GROUP BY 1) ORDER BY profit DESC, o_custkey LIMIT 120)
+SELECT o_custkey FROM (SELECT o_custkey, min((tier, spot)) AS place FROM (SELECT * FROM seed UNION ALL SELECT * FROM best) GROUP BY 1) ORDER BY place LIMIT 180""")
 def lim_3(t):
-    return k.top_per(t.orders, "o_orderpriority", 10, col("o_totalprice").desc(), "o_orderkey").select("o_orderpriority", "o_orderkey")
+    """Who is looked at closely: the first ten of each board, then the best 120 of all that qualify, 180 at most."""
+    seed = k.top_per(t.orders, "o_orderpriority", 10, col("o_totalprice").desc(), "o_orderkey", rank="rk")
+    place = lambda c: F.lpad(c.cast("string"), 3, "0")
+    seed = seed.groupBy("o_custkey").agg(F.min(F.concat("o_orderpriority", F.lit(":"), place(col("rk")))).alias("at")).withColumn("tier", F.lit(0))
+    best = t.orders.where("o_totalprice >= 100000").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("profit")).orderBy(col("profit").desc(), "o_custkey").limit(120)
+    best = best.select("o_custkey", place(F.row_number().over(Window.orderBy(col("profit").desc(), "o_custkey"))).alias("at"), F.lit(1).alias("tier"))  # of 120 rows
+    both = seed.unionByName(best).groupBy("o_custkey").agg(F.min(F.struct("tier", "at")).alias("place"))
+    return both.orderBy("place").limit(180).select("o_custkey")
 
 
 @query("lim_4_last_events", "SELECT event_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 500")
@@ -77,12 +93,16 @@ def rnk_1(t):
 
 @query("rnk_2_position", "SELECT s_suppkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS position FROM supplier")
 def rnk_2(t):
-    return t.supplier.select("s_suppkey", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(col("s_acctbal").desc(), "s_suppkey")).cast("long").alias("position"))
+    return k.keyed_rank(t.supplier.select("s_suppkey", "s_nationkey", "s_acctbal"), "s_nationkey", [col("s_acctbal").desc(), col("s_suppkey")], "position").select("s_suppkey", "position")
 
 
-@query("rnk_3_lift_deciles", f"""WITH {FORECAST_SQL}, d AS (SELECT p[3] AS p, CASE WHEN y = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS hit, w, CAST(floor((row_number() OVER (ORDER BY p[3] DESC, vec_id) * 10 - 1) / count(*) OVER ()) AS INT) AS decile FROM f)
-SELECT decile, count(*) AS n, {r('sum(w * hit) / sum(w)')} AS rate, {r('avg(p)')} AS mean_p FROM d GROUP BY 1""")
+@query("rnk_3_lift_deciles", f"""WITH {FORECAST_SQL}, d AS (SELECT p[3] AS p, y, w, CAST(floor((row_number() OVER (ORDER BY p[3] DESC, vec_id) * 10 - 1) / count(*) OVER ()) AS INT) AS decile FROM f)
+SELECT decile, count(*) AS n, {r('sum(w * p) / sum(w)')} AS mean_p, {", ".join(f"{r(f'sum(CASE WHEN y = {i} THEN w ELSE 0 END) / sum(w)')} AS {c}" for i, c in enumerate(("down", "flat", "up")))}, {r('(SELECT sum(CASE WHEN y = 2 THEN w ELSE 0 END) / sum(w) FROM f)')} AS base_rate FROM d GROUP BY 1""")
 def rnk_3(t):
-    x = forecast(t).select("vec_id", col("p")[2].alias("p"), F.when(col("y") == 2, 1.0).otherwise(0.0).alias("hit"), "w")
-    x = k.global_bins(x, 10, [col("p").desc(), col("vec_id")], name="decile")
-    return x.groupBy("decile").agg(F.count("*").alias("n"), r6(F.sum(col("w") * col("hit")) / F.sum("w")).alias("rate"), r6(F.avg("p")).alias("mean_p"))
+    """By tenths of the predicted probability of the last class, the highest first: what is predicted, how often each class comes, and the rate of all."""
+    f = forecast(t)
+    share = lambda i: F.sum(F.when(col("y") == i, col("w")).otherwise(0.0)) / F.sum("w")
+    base = f.agg(r6(share(2)).alias("base_rate"))  # one row
+    x = k.global_bins(f.select("vec_id", col("p")[2].alias("p"), "y", "w"), 10, [col("p").desc(), col("vec_id")], name="decile")
+    x = x.groupBy("decile").agg(F.count("*").alias("n"), r6(F.sum(col("w") * col("p")) / F.sum("w")).alias("mean_p"), *(r6(share(i)).alias(c) for i, c in enumerate(("down", "flat", "up"))))
+    return x.join(F.broadcast(base))

@@ -200,14 +200,6 @@ def flt_6(t):
     return first.where(col("first") <= F.expr("TIMESTAMP_NTZ '1995-01-31' - INTERVAL 30 DAY")).select("o_custkey", F.lit(True).alias("seasoned"))
 
 
-@query("flt_7_quality_liquid_candidate", """SELECT o_orderkey, o_orderstatus = 'F' AND n >= 3 AS quality, total >= 150000 AND qty >= 100 AS liquid, o_orderstatus = 'F' AND n >= 3 AND total >= 150000 AND qty >= 100 AND flags >= 2 AS candidate
-FROM (SELECT o_orderkey, any_value(o_orderstatus) AS o_orderstatus, count(*) AS n, sum(l_extendedprice) AS total, sum(l_quantity) AS qty, count(DISTINCT l_returnflag) AS flags FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)""")
-def flt_7(t):
-    x = t.orders.join(t.lineitem, col("o_orderkey") == col("l_orderkey")).groupBy("o_orderkey").agg(F.first("o_orderstatus").alias("st"), F.count("*").alias("n"), F.sum("l_extendedprice").alias("total"), F.sum("l_quantity").alias("qty"), F.countDistinct("l_returnflag").alias("flags"))
-    quality, liquid = (col("st") == "F") & (col("n") >= 3), (col("total") >= 150_000) & (col("qty") >= 100)
-    return x.select("o_orderkey", quality.alias("quality"), liquid.alias("liquid"), (quality & liquid & (col("flags") >= 2)).alias("candidate"))
-
-
 NOW_MS = 1_706_400_000_000  # 2024-01-28T00:00Z
 
 

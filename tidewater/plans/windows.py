@@ -507,14 +507,24 @@ def win_40(t):
 @query("win_49_rolling_cost", """SELECT event_id, CAST(sum(k) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS spent
 FROM (SELECT event_id, event_type, epoch_us(ts) // 1000000 AS s, CAST(regexp_extract(props, '[0-9]+') AS INT) AS k FROM events)""")
 def win_49(t):
+    """What was spent in the hour up to each request. Costs are added by second first, so the window runs over seconds, however many requests there are."""
     x = t.events.select("event_id", "event_type", F.unix_seconds(col("ts").cast("timestamp")).alias("s"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     last_hour = Window.partitionBy("event_type").orderBy("s").rangeBetween(-3600, 0)
-    return x.select("event_id", F.sum("k").over(last_hour).alias("spent"))
+    seconds = x.groupBy("event_type", "s").agg(F.sum("k").alias("k")).select("event_type", "s", F.sum("k").over(last_hour).alias("spent"))
+    return x.join(seconds, ["event_type", "s"]).select("event_id", "spent")
 
 
-@query("win_50_trade_size_series", f"""WITH {BARS4}, x AS (SELECT symbol, t, v / trades AS size, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS back, (2 * tb - v) / nullif(v, 0) * 100 AS net FROM bars)
-SELECT symbol, count(size) AS n, {r('avg(size)')} AS mean_size, {r('avg(net) FILTER (back <= 24)')} AS mean_net FROM x GROUP BY 1""")
+@query("win_50_trade_size_series", f"""WITH {ATR_SQL}, x AS (SELECT symbol, t, v / trades AS size, row_number() OVER (PARTITION BY symbol ORDER BY t DESC) AS back, count(*) OVER (PARTITION BY symbol) AS n, CASE WHEN v > 0 THEN (2 * tb - v) / v * 100 END AS net, atr_pct FROM p)
+SELECT symbol, string_agg(({r('size', 4)})::DECIMAL(18, 4)::VARCHAR, ',' ORDER BY t) AS sizes, string_agg(({r('atr_pct', 4)})::DECIMAL(18, 4)::VARCHAR, ',' ORDER BY t) FILTER (n >= 22 AND atr_pct IS NOT NULL) AS atr_pcts, string_agg(coalesce(({r('net', 4)})::DECIMAL(18, 4)::VARCHAR, '-'), ',' ORDER BY t) FILTER (back <= 24) AS nets FROM x GROUP BY 1""")
 def win_50(t):
-    back = F.row_number().over(Window.partitionBy("symbol").orderBy(col("t").desc()))
-    x = h4(t).select("symbol", (col("v") / col("trades")).alias("size"), (ratio(2 * col("tb") - col("v"), col("v")) * 100).alias("net"), back.alias("back"))
-    return x.groupBy("symbol").agg(F.count("size").alias("n"), r6(F.avg("size")).alias("mean_size"), r6(F.avg(F.when(col("back") <= 24, col("net")))).alias("mean_net"))
+    """What the early signal looks at, oldest first: volume by trade, ranges in percent (of 22 bars or more), and the net share of flows in the last 24 bars, where a missing one keeps its place."""
+    series = Window.partitionBy("symbol")
+    back = F.row_number().over(series.orderBy(col("t").desc()))
+    text = lambda c: r6(c, 4).cast("decimal(18,4)").cast("string")
+    x = with_atr(h4(t)).select("symbol", "t", text(col("v") / col("trades")).alias("size"), F.coalesce(text(ratio(2 * col("tb") - col("v"), col("v")) * 100), F.lit("-")).alias("net"), text(col("atr_pct")).alias("atr"), back.alias("back"), F.count("*").over(series).alias("n"))
+
+    def joined(c, when):  # a symbol's bars are one series
+        values = F.array_sort(F.collect_list(F.when(when & col(c).isNotNull(), F.struct("t", col(c).alias("v")))))
+        return F.when(F.size(values) > 0, F.array_join(F.transform(values, lambda e: e["v"]), ","))
+
+    return x.groupBy("symbol").agg(joined("size", F.lit(True)).alias("sizes"), joined("atr", col("n") >= 22).alias("atr_pcts"), joined("net", col("back") <= 24).alias("nets"))
