@@ -131,11 +131,15 @@ def utc_hour(ms: Column) -> Column:
     return F.floor(ms / HOUR_MS).cast("long") % 24
 
 
+#: What is taken out of a post, and what it is replaced by. Fixed patterns.
+MARKUP = (("<[^>]*>", " "), ("&nbsp;", " "), ("&amp;", "&"), (r"\{(?:future|spot)\}\([^)]*\)", " "))
+
+
 def plain_text(html: Column) -> Column:
     """Text without tags and the entities that posts contain."""
-    c = F.regexp_replace(html, "<[^>]*>", " ")
-    c = F.regexp_replace(F.regexp_replace(c, "&nbsp;", " "), "&amp;", "&")
-    return F.btrim(F.regexp_replace(c, r"\{(?:future|spot)\}\([^)]*\)", " "))
+    for pattern, by in MARKUP:
+        html = F.regexp_replace(html, pattern, by)
+    return F.btrim(html)
 
 
 def normal_text(text: Column) -> Column:
@@ -155,14 +159,19 @@ def direction(text: Column) -> Column:
     return F.when(text.rlike(UNCLEAR) | (bull == bear), 0).when(bull, 1).otherwise(-1)
 
 
+#: What ends a sentence, what stands before and after a symbol in one, and what an address is. Fixed patterns.
+SENTENCE_END = r"[\n。.!！]"
+BEFORE_SYMBOL, AFTER_SYMBOL = r"(?i)(^|[^A-Za-z0-9])\$?", "([^A-Za-z0-9]|$)"
+ADDRESS = "^0x[0-9a-fA-F]{40}$"
+
+
 def mentions(text: Column, symbol: str) -> Column:
     """The sentences that name a symbol, joined by blanks."""
-    named = rf"(?i)(^|[^A-Za-z0-9])\$?{symbol}([^A-Za-z0-9]|$)"
-    return F.array_join(F.filter(F.split(text, r"[\n。.!！]"), lambda s: s.rlike(named)), " ")
+    return F.array_join(F.filter(F.split(text, SENTENCE_END), lambda s: s.rlike(BEFORE_SYMBOL + symbol + AFTER_SYMBOL)), " ")
 
 
 def is_address(c: Column) -> Column:
-    return c.rlike("^0x[0-9a-fA-F]{40}$")
+    return c.rlike(ADDRESS)
 
 
 def csv_quoted(c: Column) -> Column:
@@ -176,3 +185,25 @@ def digits_masked(c: Column) -> Column:
 def close_to(a: Column, b: Column, tolerance: float) -> Column:
     """Equal up to a tolerance, relative for large values."""
     return F.abs(a - b) <= tolerance * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
+
+
+def request_cost(url: Column) -> tuple[Column, Column]:
+    """(family of the limit, weight) of a request; null for other hosts. Hosts, paths and weights are fixed values."""
+    host, path = F.regexp_extract(url, "^https?://([^/?#]+)", 1), F.regexp_extract(url, "^https?://[^/?#]+([^?#]*)", 1)
+    data = F.startswith(path, F.lit("/futures/data/"))
+    family = F.when(host == "api.binance.com", "spot").when(host.isin("fapi.binance.com", "dapi.binance.com") & data, "futures data").when(host == "fapi.binance.com", "linear").when(host == "dapi.binance.com", "inverse")
+    limit = F.coalesce(F.nullif(F.regexp_extract(url, "[?&]limit=([0-9]+)", 1).try_cast("int"), F.lit(0)), F.lit(500))
+    one = url.rlike("[?&](symbol|pair)=")
+    ends = lambda text: F.endswith(path, F.lit(text))
+    candles = F.when(limit < 100, 1).when(limit < 500, 2).when(limit <= 1000, 5).otherwise(10)
+    either = lambda yes, no: F.when(one, yes).otherwise(no)
+    weight = (
+        F.when(family == "spot", 4).when(family == "futures data", 1).when(ends("/klines"), candles).when(ends("/ticker/24hr"), either(1, 40)).when(ends("/premiumIndex"), either(1, 10))
+        .when(ends("/ticker/bookTicker"), either(2, 5)).when(ends("/exchangeInfo"), 10).otherwise(1)
+    )
+    return family, F.when(family.isNotNull(), weight)
+
+
+def redacted_key(text: Column, key: Column) -> Column:
+    """``text`` without a key that must not leave; as it is where there is none."""
+    return F.when(F.coalesce(F.length(key), F.lit(0)) > 0, F.replace(text, key, F.lit("***"))).otherwise(text)

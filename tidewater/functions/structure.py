@@ -17,17 +17,19 @@ SWEEP_DECAY = 0.97
 class Zigzag:
     """Alternating swings; a swing is known once price has turned by a threshold. Feeding bars one by one never changes what was said before."""
 
+    #: of the mean range, or with ``pct`` of the extreme's price, per cent
     mult: float
+    pct: bool = False
     direction: int = 0
     high: tuple[int, float] | None = None
     low: tuple[int, float] | None = None
     n: int = 0
     swings: list[tuple[int, float, str, int]] = field(default_factory=list)
 
-    def feed(self, h: float, l: float, atr: float | None) -> tuple[int, float, str, int] | None:
-        """The swing (index, price, type, confirming index) that this bar confirms."""
+    def feed(self, h: float, l: float, atr: float | None, c: float = 0.0) -> tuple[int, float, str, int] | None:
+        """The swing (index, price, type, confirming index) that this bar confirms; a bar with a price that is not finite is passed over."""
         j, self.n = self.n, self.n + 1
-        if not (math.isfinite(h) and math.isfinite(l)):
+        if not all(map(math.isfinite, (h, l, c))):
             return None
         if self.direction == 0:
             if self.high is None or h > self.high[1]:
@@ -50,7 +52,8 @@ class Zigzag:
     def _turn(self, j: int, h: float, l: float, atr: float | None, up: bool):
         at, price = self.low if up else self.high
         moved = h - price if up else price - l
-        if atr is None or j <= at or moved < self.mult * atr:
+        needed = abs(price) * self.mult / 100 if self.pct else self.mult * atr if known(atr) else math.inf
+        if j <= at or not moved >= needed:
             return None
         swing = (at, price, "low" if up else "high", j)
         self.swings.append(swing)
@@ -61,14 +64,20 @@ class Zigzag:
         return swing
 
 
+def known(x: float | None) -> bool:
+    return x is not None and math.isfinite(x)
+
+
 def atr_series(h: list[float], l: list[float], c: list[float], n: int) -> list[float | None]:
-    tr = [max(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1])) if i else h[0] - l[0] for i in range(len(h))]
-    return [sum(tr[i - n + 1 : i + 1]) / n if i >= n - 1 else None for i in range(len(tr))]
+    """The plain mean of the last n true ranges; None for the first n - 1 bars and where one of them is not a number."""
+    tr = [max(h[i] - l[i], abs(h[i] - c[i - 1]), abs(l[i] - c[i - 1])) if i and all(map(known, (h[i], l[i], c[i - 1]))) else h[i] - l[i] if not i else math.nan for i in range(len(h))]
+    windows = (tr[i - n + 1 : i + 1] if i >= n - 1 else [math.nan] for i in range(len(tr)))
+    return [sum(w) / n if all(map(known, w)) else None for w in windows]
 
 
-def swings_of(h: list[float], l: list[float], atr: list[float | None], mult: float) -> list[tuple[int, float, str, int]]:
+def swings_of(h: list[float], l: list[float], atr: list[float | None], mult: float, c: list[float] | None = None) -> list[tuple[int, float, str, int]]:
     z = Zigzag(mult)
-    for x in zip(h, l, atr):
+    for x in zip(h, l, atr, c or [0.0] * len(h)):
         z.feed(*x)
     return z.swings
 
@@ -84,50 +93,79 @@ def levels(swings: list[tuple[int, float, str, int]], side: str, tol: float, min
     return [{"high": g[-1][1], "low": g[0][1], "touches": len(g), "last": max(s[0] for s in g)} for g in chains if len(g) >= min_touches]
 
 
+def in_window(swings: list[tuple[int, float, str, int]], at: int, lookback: int) -> list[tuple[int, float, str, int]]:
+    """The swings that are known at a bar and turned within its look-back."""
+    return [s for s in swings if s[3] <= at and s[0] > at - lookback]
+
+
 def range_at(at: int, h, l, c, atr, swings, p: dict) -> dict:
-    """``state`` (range, no_range or unavailable) with a reason, or the boundaries and how well closes stay within them."""
+    """``state`` (range, no_range or unavailable) with a reason, or the boundaries and how well closes stay within them.
+
+    Of each side's levels that with the most touches counts, of equals the one touched last; its outermost swing is the boundary.
+    """
     if at + 1 < p["lookback"]:
-        return {"state": "unavailable", "reason": f"fewer than {p['lookback']} bars"}
-    if not atr[at]:
-        return {"state": "unavailable", "reason": "ATR unavailable"}
-    known = [s for s in swings if s[3] <= at and s[0] > at - p["lookback"]]
-    none = lambda why: {"state": "no_range", "reason": why, "known": known}
-    if len(known) < p["min_swings"]:
-        return none(f"fewer than {p['min_swings']} confirmed swings")
-    if len({s[2] for s in known}) < 2:
-        return none("swings on only one side")
-    best = {}
-    for side in ("high", "low"):
-        of = levels(known, side, p["tol_atr"] * atr[at], p["min_touches"])
-        if not of:
-            return none(f"no swing-{side} level with {p['min_touches']} touches")
-        best[side] = max(of, key=lambda v: (v["touches"], v["last"]))
-    top, bottom = best["high"]["high"], best["low"]["low"]
-    if top <= bottom:
-        return none("top level not above bottom level")
-    if top - bottom > p["max_height_atr"] * atr[at]:
-        return none(f"boundaries wider than {p['max_height_atr']} ATR")
+        return {"state": "unavailable", "reason": f"look-back of {p['lookback']} bars not filled"}
+    unit = atr[at]
+    if not known(unit) or unit <= 0:
+        return {"state": "unavailable", "reason": "no mean range"}
+    seen = in_window(swings, at, p["lookback"])
+    highs, lows = (levels(seen, side, p["tol_atr"] * unit, p["min_touches"]) for side in ("high", "low"))
+    strongest = lambda of: max(of, key=lambda v: (v["touches"], v["last"]), default=None)
+    roof, floor = strongest(highs), strongest(lows)
+    why = None
+    if len(seen) < p["min_swings"]:
+        why = f"under {p['min_swings']} swings known"
+    elif len({s[2] for s in seen}) == 1:
+        why = "swings of one side only"
+    elif roof is None:
+        why = f"no level of highs touched {p['min_touches']} times"
+    elif floor is None:
+        why = f"no level of lows touched {p['min_touches']} times"
+    elif roof["high"] <= floor["low"]:
+        why = "levels crossed"
+    elif roof["high"] - floor["low"] > p["max_height_atr"] * unit:
+        why = f"taller than {p['max_height_atr']} mean ranges"
+    if why:
+        return {"state": "no_range", "reason": why, "known": seen}
+    top, bottom = roof["high"], floor["low"]
     closes = c[at - p["lookback"] + 1 : at + 1]
-    inside = sum(bottom <= x <= top for x in closes) / len(closes)
-    return {"state": "range", "reason": None, "top": top, "bottom": bottom, "containment": inside, "known": known}
+    return {
+        "state": "range", "reason": None, "top": top, "bottom": bottom, "containment": sum(bottom <= x <= top for x in closes) / len(closes), "known": seen,
+        "height_atr": (top - bottom) / unit, "top_touches": roof["touches"], "bottom_touches": floor["touches"],
+    }
 
 
-def features_at(at: int, h, l, c, atr, swings, p: dict, sweep_window: int) -> dict:
-    """Sweep strength below the range (f1), whether there was one, rising and falling structure (f2), and containment (f3).
+def sweep(at: int, l, c, bottom: float, unit: float, window: int) -> float:
+    """How deep a bar of the window dipped under the bottom and still closed at or above it, in mean ranges and fading with age; 0 if none did."""
+    ages = range(min(window, at + 1))
+    return max(((bottom - l[at - k]) / unit * SWEEP_DECAY**k for k in ages if l[at - k] < bottom <= c[at - k]), default=0.0)
 
-    Without a range f1 and f3 are truly 0; structure with fewer than four swings, or two on a side, is missing: 0 would claim that
-    there is no trend.
-    """
+
+def trend_of(seen: list[tuple[int, float, str, int]]) -> tuple[int, int] | None:
+    """(rising, falling) by the last two swings of each side; None with fewer, or under four in all, as 0 would claim that there is no trend."""
+    last = {side: [s[1] for s in seen if s[2] == side][-2:] for side in ("high", "low")}
+    if len(seen) < 4 or any(len(v) < 2 for v in last.values()):
+        return None
+    moves = [b - a for a, b in last.values()]
+    return int(all(m > 0 for m in moves)), int(all(m < 0 for m in moves))
+
+
+def features_at(at: int, h, l, c, atr, swings, p: dict, sweep_window: int) -> dict:
+    """Sweep strength below the range (f1), whether there was one, rising and falling structure (f2), and containment (f3). Without a range f1 and f3 are truly 0."""
     found = range_at(at, h, l, c, atr, swings, p)
     out: dict = {"state": found["state"], "reason": found["reason"], "f1": None, "f2_up": None, "f2_down": None, "f3": None}
     if found["state"] == "no_range":
         out |= {"f1": 0.0, "f3": 0.0}
     elif found["state"] == "range":
-        low = found["bottom"]
-        swept = [(low - l[j]) / atr[at] * SWEEP_DECAY ** (at - j) for j in range(max(0, at - sweep_window + 1), at + 1) if l[j] < low <= c[j]]
-        out |= {"f1": max(swept, default=0.0), "f3": found["containment"], "top": found["top"], "bottom": low}
-    known = found.get("known") or []
-    highs, lows = ([s[1] for s in known if s[2] == side][-2:] for side in ("high", "low"))
-    if len(known) >= 4 and len(highs) == len(lows) == 2:
-        out |= {"f2_up": int(highs[1] > highs[0] and lows[1] > lows[0]), "f2_down": int(highs[1] < highs[0] and lows[1] < lows[0])}
+        out |= {"f1": sweep(at, l, c, found["bottom"], atr[at], sweep_window), "f3": found["containment"], "top": found["top"], "bottom": found["bottom"]}
+    if turn := trend_of(in_window(swings, at, p["lookback"])):
+        out |= {"f2_up": turn[0], "f2_down": turn[1]}
     return out
+
+
+def snapshot_at(at: int, h, l, c, atr, swings, p: dict) -> dict:
+    """The structure as of a bar: the range or why there is none, the swings in the window, and the share of bars so far whose prices are numbers."""
+    found = range_at(at, h, l, c, atr, swings, p)
+    seen = in_window(swings, at, p["lookback"])
+    whole = sum(known(h[i]) and known(l[i]) and known(c[i]) for i in range(at + 1))
+    return {k: v for k, v in found.items() if k != "known"} | {"swings": seen, "coverage": whole / (at + 1)}

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 KEY = ("trader", "symbol", "side")
 CYCLES = "trader long, symbol string, side string, opened long, closed long, turnover double, pnl double, open_notional double, adds long, kind string"
@@ -137,3 +138,20 @@ def cycles(orders: DataFrame, strict: bool = True) -> DataFrame:
 def open_cost(orders: DataFrame) -> DataFrame:
     """``trader, symbol, side, qty, cost``: open positions at cost. Rows as for ``cycles``."""
     return _walked(orders, Cost, "trader long, symbol string, side string, qty double, cost double")
+
+
+def votes(held: DataFrame, orders: DataFrame, since: int, until: int) -> DataFrame:
+    """By trader and symbol: ``long`` and ``short`` at cost and ``holding``, the side times the root of the symbol's share of what the trader holds; of the orders
+    from ``since`` to ``until`` the ``turnover``, their number, and ``flow``, the net side times the root of the symbol's share of the trader's turnover."""
+    of = Window.partitionBy("trader")
+    side = lambda s: F.sum(F.when(F.col("side") == s, F.greatest(F.col("cost"), F.lit(0.0))).otherwise(0.0))
+    now = held.groupBy("trader", "symbol").agg(side("LONG").alias("long"), side("SHORT").alias("short"))
+    gross = F.col("long") + F.col("short")
+    share = F.coalesce(gross / F.nullif(F.sum(gross).over(of), F.lit(0.0)), F.lit(0.0))
+    now = now.withColumn("holding", F.signum(F.col("long") - F.col("short")) * F.sqrt(share))
+    way = F.when((F.col("side") == "LONG") == F.col("opens"), 1.0).otherwise(-1.0)
+    value = F.abs(F.col("qty") * F.col("price"))
+    recent = orders.where((F.col("time") >= since) & (F.col("time") <= until)).groupBy("trader", "symbol").agg(F.sum(way * value).alias("signed"), F.sum(value).alias("turnover"), F.count("*").alias("orders"))
+    part = F.coalesce(F.col("turnover") / F.nullif(F.sum("turnover").over(of), F.lit(0.0)), F.lit(0.0))
+    recent = recent.withColumn("flow", F.coalesce(F.col("signed") / F.nullif(F.col("turnover"), F.lit(0.0)), F.lit(0.0)) * F.sqrt(part))
+    return now.join(recent.drop("signed"), ["trader", "symbol"], "full")

@@ -63,3 +63,24 @@ def z_scores(decisions: DataFrame, normal: DataFrame, floor: float, days: int =
     ok = (F.col("n") >= least) & (F.col("last") - F.col("first") >= span_days * DAY_MS) & (F.col("at") - F.col("last") <= stale_ms)
     z = (F.col("now") - F.col("m")) / F.greatest("iqr", F.lit(floor))
     return g.select("symbol", "at", F.when(ok, F.greatest(F.lit(-5.0), F.least(F.lit(5.0), z))).alias("z"))
+
+
+def interval_check(funding: DataFrame) -> DataFrame:
+    """By symbol, settlements (``symbol, time, truth``) whose interval follows from the gaps, against the true interval.
+
+    ``compared`` and ``matched``; ``lagging`` have the interval of the row before as their true one; ``refused`` have no interval or one that changes at the next
+    row, of which ``refused_by_next`` fit none but are followed by a gap that is the true one. Changes are ``longer``, ``shorter`` or ``broken``.
+    """
+    w = Window.partitionBy("symbol").orderBy("time")
+    gap, ahead = F.col("time") - F.lag("time").over(w), F.lead("time").over(w) - F.col("time")
+    x = funding.withColumns({"gap": gap, "hours": snapped(gap), "next_gap": ahead, "next_hours": snapped(ahead)})
+    some = F.col("hours").isNotNull()
+    x = x.withColumn("kept", some & (F.col("next_gap").isNull() | F.col("next_hours").eqNullSafe(F.col("hours"))))
+    # the interval of the row before among those that are kept
+    x = x.withColumn("before", F.last(F.when(F.col("kept"), F.col("hours")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    n = lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    known, right, off = F.col("gap").isNotNull(), F.col("hours") == F.col("truth"), F.col("next_hours") - F.col("hours")
+    return x.groupBy("symbol").agg(
+        n(F.col("kept")).alias("compared"), n(F.col("kept") & right).alias("matched"), n(F.col("kept") & ~right & (F.col("truth") == F.col("before"))).alias("lagging"), n(known & ~F.col("kept")).alias("refused"),
+        n(known & ~some & (F.col("next_hours") == F.col("truth"))).alias("refused_by_next"), n(off > 0).alias("longer"), n(off < 0).alias("shorter"), n(some & F.col("next_gap").isNotNull() & F.col("next_hours").isNull()).alias("broken"),
+    )

@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_base(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which driver and executors share; a temporary folder for a local master, where it is unset (tests), and an error elsewhere."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (base or tempfile.mkdtemp(prefix="spark-tidewater-")).rstrip("/")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder there."""
+    return f"{shared_base(spark)}/files-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut: written to ``spark.checkpoint.dir``, which executors share; a temporary folder where unset."""
+    """``df`` with its lineage cut: written to the shared folder."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-tidewater-"))
+        spark.sparkContext.setCheckpointDir(shared_base(spark))
     return df.checkpoint()

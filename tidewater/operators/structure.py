@@ -18,7 +18,7 @@ def swings(bars: DataFrame, mult: float = s.PARAMS["mult"], period: int = s.PARA
 
         pdf = pdf.sort_values("t")
         h, l, c, t = (pdf[k].tolist() for k in ("h", "l", "c", "t"))
-        found = s.swings_of(h, l, s.atr_series(h, l, c, period), mult)
+        found = s.swings_of(h, l, s.atr_series(h, l, c, period), mult, c)
         return pd.DataFrame([(pdf.symbol.iloc[0], t[i], price, kind, t[j]) for i, price, kind, j in found], columns=["symbol", "t", "price", "type", "confirmed"])
 
     return bars.select("symbol", "t", "h", "l", "c").groupBy("symbol").applyInPandas(run, "symbol string, t long, price double, type string, confirmed long")
@@ -41,11 +41,11 @@ def features(bars: DataFrame, lookback: int, sweep_window: int, step_ms: int, ev
         pdf = pdf.sort_values("t")
         h, l, c, t = (pdf[k].tolist() for k in ("h", "l", "c", "t"))
         atr = s.atr_series(h, l, c, p["atr_period"])
-        known = s.swings_of(h, l, atr, p["mult"])
+        known = s.swings_of(h, l, atr, p["mult"], c)
         rows = []
         for at in range(0, len(t), every):
             if at + 1 < need:
-                x = {"state": "unavailable", "reason": f"history too short: needs {need} bars"}
+                x = {"state": "unavailable", "reason": f"history too short: {need} bars needed"}
             elif t[at] - t[at - need + 1] != (need - 1) * step_ms:
                 x = {"state": "unavailable", "reason": "gap inside the structure window"}
             else:
@@ -56,3 +56,51 @@ def features(bars: DataFrame, lookback: int, sweep_window: int, step_ms: int, ev
         return out.astype({k: "Int32" for k in ("f1_occurred", "f2_up", "f2_down")})
 
     return bars.select("symbol", "t", "h", "l", "c").groupBy("symbol").applyInPandas(run, FEATURES)
+
+
+SNAPSHOT = "symbol string, t long, state string, reason string, top double, bottom double, height_atr double, containment double, top_touches int, bottom_touches int, swing_count int, coverage double, swings array<struct<t:long,price:double,type:string,confirmed:long>>"
+
+
+def snapshots(bars: DataFrame, lookback: int, params: dict | None = None) -> DataFrame:
+    """The structure as of each symbol's last bar: the range with its measures, or why there is none, and the swings that are known in the look-back."""
+    p = s.PARAMS | {"lookback": lookback} | (params or {})
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("t")
+        h, l, c, t = (pdf[k].tolist() for k in ("h", "l", "c", "t"))
+        atr = s.atr_series(h, l, c, p["atr_period"])
+        x = s.snapshot_at(len(t) - 1, h, l, c, atr, s.swings_of(h, l, atr, p["mult"], c), p)
+        swings = [{"t": t[i], "price": price, "type": kind, "confirmed": t[j]} for i, price, kind, j in x["swings"]]
+        names = [f.split()[0] for f in SNAPSHOT.split(", ")]
+        row = {"symbol": pdf.symbol.iloc[0], "t": t[-1], "swing_count": len(swings)} | x | {"swings": swings}
+        return pd.DataFrame([[row.get(k) for k in names]], columns=names).astype({k: "Int32" for k in ("top_touches", "bottom_touches")})
+
+    return bars.select("symbol", "t", "h", "l", "c").groupBy("symbol").applyInPandas(run, SNAPSHOT)
+
+
+GRID = "symbol string, t long, mult double, tol double, state string, height_atr double, containment double, touches int"
+
+
+def range_points(bars: DataFrame, lookback: int, every: int, mults: list[float], tols: list[float]) -> DataFrame:
+    """What range detection finds at every ``every``-th bar for each threshold of a turn and each tolerance of a level, without a limit to the height: the
+    distribution must not be cut by the limit that it is to inform. ``touches`` are those of the boundary that has fewer."""
+
+    def run(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values("t")
+        h, l, c, t = (pdf[k].tolist() for k in ("h", "l", "c", "t"))
+        atr, rows = s.atr_series(h, l, c, s.PARAMS["atr_period"]), []
+        for mult in mults:
+            swings = s.swings_of(h, l, atr, mult, c)
+            for tol in tols:
+                p = s.PARAMS | {"lookback": lookback, "tol_atr": tol, "max_height_atr": float("inf")}
+                for at in range(lookback + s.PARAMS["atr_period"], len(t), every):
+                    x = s.range_at(at, h, l, c, atr, swings, p)
+                    touches = min(x["top_touches"], x["bottom_touches"]) if x["state"] == "range" else None
+                    rows.append((pdf.symbol.iloc[0], t[at], mult, tol, x["state"], x.get("height_atr"), x.get("containment"), touches))
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in GRID.split(", ")]).astype({"touches": "Int32"})
+
+    return bars.select("symbol", "t", "h", "l", "c").groupBy("symbol").applyInPandas(run, GRID)

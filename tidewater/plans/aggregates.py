@@ -9,6 +9,7 @@ from ..functions.scalars import DAY_MS, HOUR_MS, brier_term, clamp, ratio, round
 from ..operators import aggregates as a
 from ..operators import bars as b
 from ..operators import ranking as k
+from ..operators import structure as st
 from .dedup import CLEAN_SQL, NOW, clean
 from .joins import snapshot, snapshot_sql
 from .registry import bars_sql, query, r
@@ -266,16 +267,14 @@ def agg_32(t):
     return t.lineitem.groupBy("l_suppkey").agg(r6(a.weighted_mean(col("l_discount") - 0.05, col("l_tax"))).alias("signal"))
 
 
-@query("agg_33_parameter_grid", f"""WITH {BARS4}, g AS (SELECT * FROM (VALUES (0.5), (1.0), (2.0)) m(mult), (VALUES (5), (10)) n(len)), x AS (SELECT symbol, t, h - l AS span, avg(h - l) OVER (PARTITION BY symbol ORDER BY t ROWS 9 PRECEDING) AS m10, avg(h - l) OVER (PARTITION BY symbol ORDER BY t ROWS 4 PRECEDING) AS m5 FROM bars)
-SELECT CAST(mult AS DOUBLE) AS mult, len, count(*) FILTER (span > mult * CASE WHEN len = 5 THEN m5 ELSE m10 END) AS wide FROM x, g GROUP BY 1, 2""")
+@query("agg_33_parameter_grid")
 def agg_33(t):
-    """Counts for each set of parameters; the sets are a list of literals, exploded on each row."""
-    w = lambda n: F.avg(col("h") - col("l")).over(Window.partitionBy("symbol").orderBy("t").rowsBetween(-(n - 1), 0))
-    grid = F.array(*(F.struct(F.lit(m).alias("mult"), F.lit(n).alias("len")) for m in (0.5, 1.0, 2.0) for n in (5, 10)))
-    x = h4(t).select((col("h") - col("l")).alias("span"), w(5).alias("m5"), w(10).alias("m10"))
-    x = x.select("*", F.explode(grid).alias("g"))  # after the windows: they would see the exploded rows
-    wide = col("span") > col("g.mult") * F.when(col("g.len") == 5, col("m5")).otherwise(col("m10"))
-    return x.groupBy(col("g.mult").alias("mult"), col("g.len").alias("len")).agg(F.count_if(wide).alias("wide"))
+    """How often a range is found, for each threshold of a turn, tolerance, limit of the height, least containment and least touches; the last three are a list of literals, joined to what was found."""
+    points = st.range_points(h4(t), 84, 6, [1.5, 2.0, 3.0], [0.5, 1.0])
+    grid = F.array(*(F.struct(F.lit(cap).alias("cap"), F.lit(c).alias("containment"), F.lit(n).alias("min_touches")) for cap in (10.0, 15.0, 25.0) for c in (0.6, 0.8) for n in (2, 3)))
+    x = points.select("mult", "tol", "height_atr", col("containment").alias("inside"), "touches", F.inline(grid))
+    ok = (col("height_atr") <= col("cap")) & (col("inside") >= col("containment")) & (col("touches") >= col("min_touches"))
+    return x.groupBy("mult", "tol", "cap", "containment", "min_touches").agg(F.count("*").alias("points"), r6(F.avg(F.when(ok, 1.0).otherwise(0.0))).alias("coverage"))
 
 
 @query("agg_34_rates_by_bucket", f"""WITH x AS (SELECT *, date_diff('day', TIMESTAMP '1995-01-01', o_orderdate) AS d, o_orderstatus = 'F' AS f FROM orders), k AS (

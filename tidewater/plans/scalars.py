@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..operators.guards import universe
 from .registry import K, Tables, query, r
 
 LINE = ["l_orderkey", "l_linenumber"]
@@ -72,9 +73,11 @@ def prj_7(t):
     return bases(t).select("base", s.token(col("base")).alias("token"), s.multiplier(col("base")).alias("multiplier"))
 
 
-@query("prj_8_unscaled_coin", "SELECT coin, CASE WHEN regexp_matches(coin, '^k[A-Z]') THEN substring(coin, 2) ELSE coin END AS token FROM (VALUES ('kPEPE'), ('BTC'), ('kava'), ('KAS')) c(coin)")
+@query("prj_8_unscaled_coin", "SELECT p_partkey, coin, CASE WHEN regexp_matches(coin, '^k[A-Z]') THEN substring(coin, 2) ELSE coin END AS token FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'k' || upper(p_name) WHEN 1 THEN 'k' || lower(p_name) ELSE upper(p_name) END AS coin FROM part)")
 def prj_8(t):
-    return t.spark.createDataFrame([("kPEPE",), ("BTC",), ("kava",), ("KAS",)], "coin string").select("coin", s.unscaled_coin(col("coin")).alias("token"))
+    k = col("p_partkey") % 3
+    coin = F.when(k == 0, F.concat(F.lit("k"), F.upper("p_name"))).when(k == 1, F.concat(F.lit("k"), F.lower("p_name"))).otherwise(F.upper("p_name"))
+    return t.part.select("p_partkey", coin.alias("coin")).withColumn("token", s.unscaled_coin(col("coin")))
 
 
 @query("prj_9_round_trip_cost", f"SELECT {LINE_SQL}, {r('2 * l_tax / 100 + CASE WHEN l_discount > 0 THEN l_discount * 100 END / 1e4 + 0.0005')} AS cost FROM lineitem")
@@ -141,13 +144,24 @@ def prj_19(t):
     return x.select(*LINE, ok.alias("valid"))
 
 
-@query("prj_20_request_weight", """SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host,
-       CASE WHEN n IS NULL THEN NULL WHEN n < 100 THEN 1 WHEN n < 500 THEN 2 WHEN n <= 1000 THEN 5 ELSE 10 END AS weight
-FROM (SELECT page_id, url, CAST(nullif(regexp_extract(url, '/([0-9]+)', 1), '') AS INT) AS n FROM pages)""")
+KIND_SQL = """CASE page_id % 8 WHEN 0 THEN 'https://fapi.binance.com/fapi/v1/klines?symbol=A&limit=' || (page_id % 1500) WHEN 1 THEN 'https://dapi.binance.com/dapi/v1/klines?symbol=A&limit=' || (page_id % 1500) WHEN 2 THEN 'https://fapi.binance.com/futures/data/openInterestHist?symbol=A' WHEN 3 THEN 'https://fapi.binance.com/fapi/v1/ticker/24hr'
+ WHEN 4 THEN 'https://fapi.binance.com/fapi/v1/premiumIndex?symbol=A' WHEN 5 THEN 'https://dapi.binance.com/dapi/v1/ticker/bookTicker' WHEN 6 THEN 'https://api.binance.com/api/v3/klines?symbol=A' ELSE url END"""
+
+
+@query("prj_20_request_weight", rf"""WITH u AS (SELECT page_id, {KIND_SQL} AS url FROM pages), x AS (SELECT page_id, url, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, coalesce(nullif(TRY_CAST(nullif(regexp_extract(url, '[?&]limit=([0-9]+)', 1), '') AS INT), 0), 500) AS n, regexp_matches(url, '[?&](symbol|pair)=') AS one FROM u),
+f AS (SELECT *, CASE host WHEN 'api.binance.com' THEN 'spot' WHEN 'fapi.binance.com' THEN CASE WHEN starts_with(path, '/futures/data/') THEN 'futures data' ELSE 'linear' END WHEN 'dapi.binance.com' THEN CASE WHEN starts_with(path, '/futures/data/') THEN 'futures data' ELSE 'inverse' END END AS family FROM x)
+SELECT page_id, family, CASE WHEN family IS NULL THEN NULL WHEN family = 'spot' THEN 4 WHEN family = 'futures data' THEN 1 WHEN suffix(path, '/klines') THEN CASE WHEN n < 100 THEN 1 WHEN n < 500 THEN 2 WHEN n <= 1000 THEN 5 ELSE 10 END WHEN suffix(path, '/ticker/24hr') THEN CASE WHEN one THEN 1 ELSE 40 END
+ WHEN suffix(path, '/premiumIndex') THEN CASE WHEN one THEN 1 ELSE 10 END WHEN suffix(path, '/ticker/bookTicker') THEN CASE WHEN one THEN 2 ELSE 5 END WHEN suffix(path, '/exchangeInfo') THEN 10 ELSE 1 END AS weight FROM f""")
 def prj_20(t):
-    n = F.regexp_extract("url", "/([0-9]+)", 1).try_cast("int")
-    weight = F.when(n.isNull(), None).when(n < 100, 1).when(n < 500, 2).when(n <= 1000, 5).otherwise(10)
-    return t.pages.select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), weight.alias("weight"))
+    """Which limit a request counts against, and how much."""
+    k, n = col("page_id") % 8, (col("page_id") % 1500).cast("string")
+    text = lambda base, more=None: F.concat(F.lit(base), more) if more is not None else F.lit(base)
+    url = (
+        F.when(k == 0, text("https://fapi.binance.com/fapi/v1/klines?symbol=A&limit=", n)).when(k == 1, text("https://dapi.binance.com/dapi/v1/klines?symbol=A&limit=", n)).when(k == 2, text("https://fapi.binance.com/futures/data/openInterestHist?symbol=A"))
+        .when(k == 3, text("https://fapi.binance.com/fapi/v1/ticker/24hr")).when(k == 4, text("https://fapi.binance.com/fapi/v1/premiumIndex?symbol=A")).when(k == 5, text("https://dapi.binance.com/dapi/v1/ticker/bookTicker")).when(k == 6, text("https://api.binance.com/api/v3/klines?symbol=A")).otherwise(col("url"))
+    )
+    family, weight = s.request_cost(url)
+    return t.pages.select("page_id", family.alias("family"), weight.alias("weight"))
 
 
 def forecast(t: Tables):
@@ -181,15 +195,20 @@ def flt_2(t):
     return text_number(t).where(s.finite(col("raw").try_cast("double")).isNotNull()).agg(F.count("*").alias("n"))
 
 
-@query("flt_4_universe", "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_acctbal > 0 AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
+@query("flt_4_universe", "SELECT 'linear' AS family, s_suppkey AS symbol FROM supplier WHERE s_acctbal > 0 AND s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) UNION ALL SELECT 'inverse', -c_custkey FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0")
 def flt_4(t):
-    """Members of one family that trade; a member of two families would be an error, see ``sources.guards``."""
-    return t.supplier.where("s_acctbal > 0").join(t.nation.where("n_regionkey = 1"), col("s_nationkey") == col("n_nationkey"), "left_semi").select("s_suppkey", "s_nationkey")
+    """Members of two families that trade; one that is in both stops the job."""
+    region = t.nation.where("n_regionkey = 1")
+    linear = t.supplier.join(region, col("s_nationkey") == col("n_nationkey"), "left_semi").select(F.lit("linear").alias("family"), col("s_suppkey").alias("symbol"), (col("s_acctbal") > 0).alias("trading"))
+    inverse = t.customer.where("c_mktsegment = 'BUILDING'").select(F.lit("inverse").alias("family"), (-col("c_custkey")).alias("symbol"), (col("c_acctbal") > 0).alias("trading"))
+    return universe(linear.unionByName(inverse)).select("family", "symbol")
 
 
-@query("flt_5_perpetual_symbols", "SELECT symbol FROM (VALUES ('BTCUSDT'), ('ETHUSDT_240628'), ('BTCUSD_PERP'), ('SOLUSDC'), ('XUSDT')) s(symbol) WHERE regexp_matches(symbol, 'USDT$') AND NOT regexp_matches(symbol, '_[0-9]{6}$')")
+@query("flt_5_perpetual_symbols", "SELECT p_partkey, symbol FROM (SELECT p_partkey, upper(p_name) || CASE p_partkey % 5 WHEN 0 THEN 'USDT' WHEN 1 THEN 'USDT_240628' WHEN 2 THEN 'USD_PERP' WHEN 3 THEN 'USDC' ELSE 'XUSDT' END AS symbol FROM part) WHERE regexp_matches(symbol, 'USDT$') AND NOT regexp_matches(symbol, '_[0-9]{6}$')")
 def flt_5(t):
-    names = t.spark.createDataFrame([(x,) for x in ("BTCUSDT", "ETHUSDT_240628", "BTCUSD_PERP", "SOLUSDC", "XUSDT")], "symbol string")
+    k = col("p_partkey") % 5
+    suffix = F.when(k == 0, "USDT").when(k == 1, "USDT_240628").when(k == 2, "USD_PERP").when(k == 3, "USDC").otherwise("XUSDT")
+    names = t.part.select("p_partkey", F.concat(F.upper("p_name"), suffix).alias("symbol"))
     return names.where(col("symbol").rlike("USDT$") & ~col("symbol").rlike("_[0-9]{6}$"))
 
 
@@ -203,11 +222,11 @@ def flt_6(t):
 NOW_MS = 1_706_400_000_000  # 2024-01-28T00:00Z
 
 
-@query("flt_8_freshness", f"SELECT event_id, (epoch_us(ts) // 1000) <= {NOW_MS} + 60000 AND {NOW_MS} - (epoch_us(ts) // 1000) <= 6 * 3600000 AS fresh6, (epoch_us(ts) // 1000) <= {NOW_MS} + 300000 AND {NOW_MS} - (epoch_us(ts) // 1000) <= 48 * 3600000 AS fresh48 FROM events")
+@query("flt_8_freshness", f"SELECT event_id, {', '.join(f'(epoch_us(ts) // 1000) <= {NOW_MS} + {ahead} AND {NOW_MS} - (epoch_us(ts) // 1000) <= {h} * 3600000 AS fresh{h}' for h, ahead in ((6, 60000), (12, 300000), (48, 300000)))} FROM events")
 def flt_8(t):
     at = F.unix_millis(col("ts").cast("timestamp"))
     fresh = lambda hours, ahead: (at <= NOW_MS + ahead) & (NOW_MS - at <= hours * s.HOUR_MS)
-    return t.events.select("event_id", fresh(6, 60_000).alias("fresh6"), fresh(48, 300_000).alias("fresh48"))
+    return t.events.select("event_id", *(fresh(h, ahead).alias(f"fresh{h}") for h, ahead in ((6, 60_000), (12, 300_000), (48, 300_000))))
 
 
 @query("flt_10_raw_posts", f"SELECT event_id, user_id FROM events WHERE event_type = 'click' AND user_id IS NOT NULL AND (epoch_us(ts) // 1000) <= {NOW_MS} AND (epoch_us(ts) // 1000) >= {NOW_MS} - 24 * 3600000")
@@ -217,9 +236,21 @@ def flt_10(t):
     return posts.dropDuplicates(["event_id"]).select("event_id", "user_id")
 
 
-@query("flt_11_view_filters", "SELECT p_partkey, p_name FROM part WHERE p_size >= 10 AND list_contains(string_split(p_type, ' '), 'PROMO') AND contains(lower(p_name), 'e')")
+VIEWS_SQL = """SELECT 'indicators' AS view, p_partkey AS id FROM part WHERE p_size >= 10 AND list_contains(string_split(p_type, ' '), 'PROMO') AND p_retailprice > 900 AND contains(lower(p_name), 'e')
+UNION ALL SELECT 'copy', c_custkey FROM customer WHERE c_acctbal > 3000 AND c_mktsegment = 'BUILDING' AND (contains(lower(c_name), '1') OR contains(c_custkey::VARCHAR, '1'))
+UNION ALL SELECT 'square', doc_id FROM documents WHERE lang = 'en' AND source IS NOT NULL AND n_chars > 1000 AND contains(lower(text), 'a')
+UNION ALL SELECT 'cross', o_orderkey FROM orders WHERE CASE o_custkey % 3 WHEN 0 THEN o_orderstatus = 'F' WHEN 1 THEN o_orderstatus <> 'F' ELSE o_totalprice > 200000 END"""
+
+
+@query("flt_11_view_filters", VIEWS_SQL)
 def flt_11(t):
-    return t.part.where((col("p_size") >= 10) & F.array_contains(F.split("p_type", " "), "PROMO") & F.lower("p_name").contains("e")).select("p_partkey", "p_name")
+    """What each of the four views lets through: by state, tag or kind, and by the text searched for."""
+    parts = t.part.where((col("p_size") >= 10) & F.array_contains(F.split("p_type", " "), "PROMO") & (col("p_retailprice") > 900) & F.lower("p_name").contains("e")).select(F.lit("indicators").alias("view"), col("p_partkey").alias("id"))
+    copy = t.customer.where((col("c_acctbal") > 3000) & (col("c_mktsegment") == "BUILDING") & (F.lower("c_name").contains("1") | col("c_custkey").cast("string").contains("1"))).select(F.lit("copy").alias("view"), col("c_custkey").alias("id"))
+    square = t.documents.where((col("lang") == "en") & col("source").isNotNull() & (col("n_chars") > 1000) & F.lower("text").contains("a")).select(F.lit("square").alias("view"), col("doc_id").alias("id"))
+    k = col("o_custkey") % 3
+    cross = t.orders.where(F.when(k == 0, col("o_orderstatus") == "F").when(k == 1, col("o_orderstatus") != "F").otherwise(col("o_totalprice") > 200_000)).select(F.lit("cross").alias("view"), col("o_orderkey").alias("id"))
+    return parts.unionByName(copy).unionByName(square).unionByName(cross)
 
 
 @query("flt_13_decision_eligible", "SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, l_linenumber, l_quantity, max(l_linenumber) OVER (PARTITION BY l_orderkey) AS last FROM lineitem) WHERE NOT (l_linenumber = last AND l_quantity < 10)")
@@ -244,12 +275,16 @@ def str_2(t):
     return t.documents.where("lang = 'en'").select("doc_id", s.mentions(col("text"), "the").alias("local"))
 
 
-CALLS = ["We are bullish, buy now", "Should I sell?", "not a buy", "selling everything", "long and short", "看多 BTC", "如果跌就卖出", "holding", "nothing to see"]
+BULL, BEAR, UNCLEAR = (x.replace("(?i)", "") for x in (s.BULLISH, s.BEARISH, s.UNCLEAR))
 
 
-@query("str_3_direction", "SELECT text, CAST(d AS INT) AS direction FROM (VALUES ('We are bullish, buy now', 1), ('Should I sell?', 0), ('not a buy', 0), ('selling everything', -1), ('long and short', 0), ('看多 BTC', 1), ('如果跌就卖出', 0), ('holding', 1), ('nothing to see', 0)) x(text, d)")
+@query("str_3_direction", rf"""WITH x AS (SELECT 'conversation' AS kind, conv_id AS id, turn, text FROM conversations UNION ALL SELECT 'document', doc_id, 0, text FROM documents), y AS (SELECT *, regexp_matches(text, '{BULL}', 'i') AS up, regexp_matches(text, '{BEAR}', 'i') AS down, regexp_matches(text, '{UNCLEAR.replace("'", "''")}', 'i') AS unclear FROM x)
+SELECT kind, id, turn, CASE WHEN unclear OR up = down THEN 0 WHEN up THEN 1 WHEN text IS NOT NULL THEN -1 END AS direction FROM y""")
 def str_3(t):
-    return t.spark.createDataFrame([(c,) for c in CALLS], "text string").select("text", s.direction(col("text")).alias("direction"))
+    """Which side each text takes, of all turns and documents."""
+    x = t.conversations.select(F.lit("conversation").alias("kind"), col("conv_id").alias("id"), col("turn").cast("long"), "text")
+    x = x.unionByName(t.documents.select(F.lit("document").alias("kind"), col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text"))
+    return x.select("kind", "id", "turn", F.when(col("text").isNotNull(), s.direction(col("text"))).alias("direction"))
 
 
 @query("str_4_normal_text", r"SELECT conv_id, turn, md5(lower(regexp_replace(trim(text), '\s+', ' ', 'g'))) AS digest FROM conversations")
@@ -283,12 +318,13 @@ def str_9(t):
     return t.pages.groupBy(s.digits_masked(col("url")).alias("shape")).agg(F.count("*").alias("n"))
 
 
-@query("str_10_prompt_text", "SELECT conv_id, string_agg(role || ': ' || length(text), ' | ' ORDER BY turn, role, text) AS prompt FROM conversations GROUP BY 1")
+@query("str_10_prompt_text", "SELECT conv_id, string_agg(role || ': ' || n || ' ' || h, ' | ' ORDER BY turn, role, n, h) AS prompt FROM (SELECT conv_id, turn, role, length(x) AS n, left(md5(x), 6) AS h FROM (SELECT *, replace(text, 'the', '***') AS x FROM conversations)) GROUP BY 1")
 def str_10(t):
-    """One text from the lines of a conversation, in order of its turns."""
-    lines = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    joined = F.array_join(F.transform(lines, lambda x: F.concat(x["role"], F.lit(": "), F.length(x["text"]).cast("string"))), " | ")
-    return t.conversations.groupBy("conv_id").agg(joined.alias("prompt"))
+    """The lines of a conversation in order of its turns, without a secret that must not go out; of each line its size and the start of its digest."""
+    text = s.redacted_key(col("text"), F.lit("the"))
+    lines = t.conversations.select("conv_id", "turn", "role", F.length(text).alias("n"), F.left(F.md5(text.cast("binary")), F.lit(6)).alias("h"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "n", "h"))), lambda x: F.concat(x["role"], F.lit(": "), x["n"].cast("string"), F.lit(" "), x["h"])), " | ")
+    return lines.groupBy("conv_id").agg(joined.alias("prompt"))
 
 
 @query("dat_1_floor", "SELECT event_id, (epoch_us(ts) // 1000) // 3600000 * 3600000 AS hour, (epoch_us(ts) // 1000) // 14400000 * 14400000 AS h4, (epoch_us(ts) // 1000) // 86400000 * 86400000 AS day FROM events")
@@ -308,10 +344,10 @@ def dat_3(t):
     return t.orders.groupBy(month.alias("month"), quarter.alias("quarter")).agg(F.count("*").alias("n"))
 
 
-@query("dat_4_month_range", "SELECT o_custkey, strftime(m, '%Y-%m') AS month FROM (SELECT o_custkey, unnest(range(date_trunc('month', min(o_orderdate)), max(o_orderdate) + INTERVAL 1 MICROSECOND, INTERVAL 1 MONTH)) AS m FROM orders WHERE o_custkey % 50 = 0 GROUP BY 1)")
+@query("dat_4_month_range", "SELECT o_custkey, strftime(m, '%Y-%m') AS month FROM (SELECT o_custkey, unnest(range(date_trunc('month', min(o_orderdate)), max(o_orderdate) + INTERVAL 1 MICROSECOND, INTERVAL 1 MONTH)) AS m FROM orders GROUP BY 1)")
 def dat_4(t):
     """The months from a member's first to last day, over year ends; none if the range is inverted."""
-    x = t.orders.where("o_custkey % 50 = 0").groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
+    x = t.orders.groupBy("o_custkey").agg(F.min("o_orderdate").cast("date").alias("a"), F.max("o_orderdate").cast("date").alias("b"))
     months = F.when(col("a") <= col("b"), F.sequence(F.trunc("a", "month"), F.trunc("b", "month"), F.expr("INTERVAL 1 MONTH")))
     return x.select("o_custkey", F.explode(months).alias("m")).select("o_custkey", F.date_format("m", "yyyy-MM").alias("month"))
 
@@ -360,8 +396,10 @@ def arr_1(t):
 
 @query("arr_2_distinct_in_order", "SELECT user_id, array_to_string(list(event_type ORDER BY first), ',') AS kinds FROM (SELECT user_id, event_type, min(struct_pack(ts := ts, id := event_id)) AS first FROM events GROUP BY 1, 2) GROUP BY 1")
 def arr_2(t):
-    kinds = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]))
-    return t.events.groupBy("user_id").agg(F.array_join(kinds, ",").alias("kinds"))
+    """A user's kinds of events in the order of their first; of each kind only the first event is kept, so lists are as long as there are kinds."""
+    first = t.events.groupBy("user_id", "event_type").agg(F.min(F.struct("ts", "event_id")).alias("first"))
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("first", "event_type"))), lambda x: x["event_type"])
+    return first.groupBy("user_id").agg(F.array_join(kinds, ",").alias("kinds"))
 
 
 @query("arr_3_pairs_to_map", f"SELECT c_nationkey, {r('avg(c_acctbal) FILTER (c_mktsegment = ' + chr(39) + 'BUILDING' + chr(39) + ')')} AS building, count(DISTINCT c_mktsegment) AS segments FROM customer GROUP BY 1")

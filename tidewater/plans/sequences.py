@@ -43,11 +43,20 @@ def win_22(t):
     return fu.by_actual_gap(settlements(t)).select("symbol", "time", r6(col("daily")).alias("daily"))
 
 
-@query("win_23_interval_truth", f"""WITH {NORMAL_SQL} SELECT symbol, count(*) AS compared, count(*) FILTER (hours = CASE WHEN (time // {H4} + 6) % 7 = 3 THEN 8 ELSE 4 END) AS matched, count(*) FILTER (next_hours <> hours) AS switches FROM normal GROUP BY 1""")
+TRUTH = f"CASE WHEN (time // {H4} + 6) % 7 = 3 THEN 8 ELSE 4 END"
+
+
+@query("win_23_interval_truth", f"""WITH {FUNDING_SQL}, f AS (SELECT symbol, time + CASE WHEN time // {H4} % 11 = 5 THEN {int(1.5 * HOUR_MS)} ELSE 0 END AS time, {TRUTH} AS truth FROM funding),
+g AS (SELECT *, (time - lag(time) OVER w) / {HOUR_MS}.0 AS gap, (lead(time) OVER w - time) / {HOUR_MS}.0 AS next_gap FROM f WINDOW w AS (PARTITION BY symbol ORDER BY time)),
+s AS (SELECT *, CASE WHEN abs(gap - 1) <= 0.1 THEN 1 WHEN abs(gap - 2) <= 0.2 THEN 2 WHEN abs(gap - 4) <= 0.4 THEN 4 WHEN abs(gap - 8) <= 0.8 THEN 8 END AS hours, CASE WHEN abs(next_gap - 1) <= 0.1 THEN 1 WHEN abs(next_gap - 2) <= 0.2 THEN 2 WHEN abs(next_gap - 4) <= 0.4 THEN 4 WHEN abs(next_gap - 8) <= 0.8 THEN 8 END AS next_hours FROM g),
+k AS (SELECT *, gap IS NOT NULL AND hours IS NOT NULL AND (next_gap IS NULL OR next_hours IS NOT DISTINCT FROM hours) AS kept FROM s), l AS (SELECT *, lag(hours) OVER (PARTITION BY symbol ORDER BY time) AS before FROM k WHERE kept)
+SELECT symbol, (SELECT count(*) FROM l WHERE l.symbol = k.symbol) AS compared, (SELECT count(*) FROM l WHERE l.symbol = k.symbol AND hours = truth) AS matched, (SELECT count(*) FROM l WHERE l.symbol = k.symbol AND hours <> truth AND truth = before) AS lagging,
+count(*) FILTER (gap IS NOT NULL AND NOT kept) AS refused, count(*) FILTER (gap IS NOT NULL AND hours IS NULL AND next_hours = truth) AS refused_by_next, count(*) FILTER (hours IS NOT NULL AND next_hours > hours) AS longer, count(*) FILTER (hours IS NOT NULL AND next_hours < hours) AS shorter, count(*) FILTER (hours IS NOT NULL AND next_gap IS NOT NULL AND next_hours IS NULL) AS broken FROM k GROUP BY 1""")
 def win_23(t):
-    """Inferred intervals against the true ones, and where they change."""
-    truth = F.when((col("time") / H4 + 6) % 7 == 3, 8).otherwise(4)
-    return fu.normalised(settlements(t)).groupBy("symbol").agg(F.count("*").alias("compared"), F.count_if(col("hours") == truth).alias("matched"), F.count_if(col("next_hours") != col("hours")).alias("switches"))
+    """Intervals inferred from gaps against the true ones: what agrees, what lags one row behind, what is refused and what its next gap says, and the changes by their pattern. Some settlements are late, so that gaps fit no interval."""
+    late = F.when(F.floor(col("time") / H4) % 11 == 5, int(1.5 * HOUR_MS)).otherwise(0)
+    x = settlements(t).withColumns({"truth": F.when((col("time") / H4 + 6) % 7 == 3, 8).otherwise(4), "time": col("time") + late})
+    return fu.interval_check(x)
 
 
 @query("win_20_funding_z", f"""WITH {NORMAL_SQL}, d AS (SELECT symbol, unnest(range({1704067200000 + 10 * DAY_MS}, {1704067200000 + 30 * DAY_MS}, {DAY_MS})) AS "at" FROM (SELECT DISTINCT symbol FROM bars)),
@@ -78,9 +87,20 @@ def win_41(t):
     return labelled(t)
 
 
-@query("win_43_labels_by_day_kind", f"WITH {LABEL_SQL} SELECT t % {DAY_MS} = 0 AS midnight, label, count(*) AS n FROM z GROUP BY 1, 2")
+SETTLED_AT = 1_705_752_000_000
+SETTLE_SQL = f"""{LABEL_SQL.replace("FROM p),", f"FROM p WHERE NOT (symbol IN ('click', 'view') AND t >= {SETTLED_AT})),", 1).replace("ahead >= 6 AND", "(ahead >= 6 OR symbol IN ('click', 'view')) AND")}, k AS (SELECT z.*, symbol IN ('click', 'view') AND t + {7 * H4} > {SETTLED_AT} AS settled FROM z)"""
+
+
+@query("win_43_labels_by_day_kind", f"""WITH {SETTLE_SQL} SELECT settled, count(*) AS n, count(*) FILTER (label IS NULL) AS missing, {", ".join(f"count(*) FILTER (label = '{c}') AS {c}, {r(f"count(*) FILTER (label = '{c}')::DOUBLE / nullif(count(label), 0)")} AS {c}_share" for c in la.CLASSES)} FROM k GROUP BY 1""")
 def win_43(t):
-    return labelled(t).groupBy((col("t") % DAY_MS == 0).alias("midnight"), "label").agg(F.count("*").alias("n"))
+    """How outcomes are spread where the window was cut by a settlement, beside the others: two contracts end early, and what their last bars touched counts."""
+    ends = col("symbol").isin("click", "view")
+    x = wq.with_atr(wq.h4(t)).where(~(ends & (col("t") >= SETTLED_AT)))
+    y = la.triple_barrier(x, horizon=6, step_ms=H4, k=1.0, cost=0.001, settled=ends)
+    y = y.withColumn("settled", ends & (col("t") + 7 * H4 > SETTLED_AT))
+    n = F.count("label")
+    shares = [e for c in la.CLASSES for e in (F.count_if(col("label") == c).alias(c), r6(F.count_if(col("label") == c) / F.nullif(n, F.lit(0))).alias(f"{c}_share"))]
+    return y.groupBy("settled").agg(F.count("*").alias("n"), F.count_if(col("label").isNull()).alias("missing"), *shares)
 
 
 @query("win_42_residual_barrier", f"""WITH {wq.RETS}, be AS (SELECT *, CASE WHEN count(ret) OVER q = 42 THEN regr_slope(ret, mret) OVER q END AS beta, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn, atr / c + 0.001 AS width
@@ -108,14 +128,16 @@ def win_37(t):
 
 @query("win_38_structure_snapshot")
 def win_38(t):
-    """The structure as of each symbol's last bar."""
-    x = st.features(wq.h4(t), 84, 24, H4)
-    return x.groupBy("symbol").agg(F.max("t").alias("t"), F.max_by("state", "t").alias("state"), F.max_by("reason", "t").alias("reason"), r6(F.max_by("f3", "t")).alias("containment"))
+    """The structure as of each symbol's last bar, with the swings that are known then."""
+    x = st.snapshots(wq.h4(t), 84)
+    return x.withColumns({c: r6(col(c)) for c in ("top", "bottom", "height_atr", "containment", "coverage")})
 
 
 @query("win_39_structure_features")
 def win_39(t):
-    return st.features(wq.h4(t), 84, 24, H4).select("symbol", "t", r6(col("f1")).alias("f1"), "f1_occurred", "f2_up", "f2_down", r6(col("f3")).alias("f3"))
+    """On hourly bars with a week of look-back and on four-hour bars with two."""
+    both = st.features(wq.h4(t), 84, 24, H4).withColumn("hours", F.lit(4)).unionByName(st.features(wq.h1(t), 168, 48, HOUR_MS).withColumn("hours", F.lit(1)))
+    return both.select("hours", "symbol", "t", "state", "reason", r6(col("f1")).alias("f1"), "f1_occurred", "f2_up", "f2_down", r6(col("f3")).alias("f3"))
 
 
 @query("prj_17_structure_dummies")
@@ -147,4 +169,7 @@ def win_45(t):
 
 @query("win_48_open_cost")
 def win_48(t):
-    return cy.open_cost(orders(t)).select("trader", "symbol", "side", r6(col("qty")).alias("qty"), r6(col("cost")).alias("cost"))
+    """What traders hold at cost and have traded lately, as votes for each symbol: the side by the root of its share of the trader's book."""
+    x = orders(t)
+    votes = cy.votes(cy.open_cost(x), x, 1_706_659_200_000 - 7 * DAY_MS, 1_706_659_200_000)
+    return votes.select("trader", "symbol", *(r6(col(c)).alias(c) for c in ("long", "short", "holding", "flow", "turnover")), "orders")

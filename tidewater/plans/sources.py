@@ -40,29 +40,34 @@ def src_2(t):
     return f.funding_csv(t.spark, path).withColumn("rate", r6(col("rate"), 9))
 
 
+#: A series document holds this much of a series.
+BLOCK_MS = 10 * 24 * HOUR_MS
+
+
 def write_series(t, path: str) -> None:
-    """One document for each symbol; a symbol's candles are one series."""
+    """Documents of at most ten days of a symbol's candles, a file each."""
     row = F.array(*(F.coalesce(c, F.lit("")) for c in map(col, b.RAW)))
-    docs = raw_rows(t).groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("open_time", row.alias("row")))), lambda x: x["row"]).alias("rows"))
-    docs.select("symbol", F.lit("4h").alias("interval"), F.lit("native").alias("source"), "rows").write.json(path)
+    x = raw_rows(t).withColumn("start", F.floor(col("open_time").cast("long") / BLOCK_MS) * BLOCK_MS)
+    docs = x.groupBy("symbol", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("open_time", row.alias("row")))), lambda x: x["row"]).alias("rows"))
+    docs = docs.select("symbol", F.lit("4h").alias("interval"), "start", (col("start") + BLOCK_MS).alias("end"), F.lit("native").alias("source"), "rows")
+    docs.write.option("maxRecordsPerFile", 1).json(path)
 
 
-@query("src_3_series_json", f"WITH {BARS4} SELECT symbol, t, o, c FROM bars")
+@query("src_3_series_json", f"WITH {BARS4} SELECT symbol, t, o, c, row_number() OVER (PARTITION BY symbol, t // {BLOCK_MS} ORDER BY t) - 1 AS i FROM bars")
 def src_3(t):
     path = f.shared_folder(t.spark)
     write_series(t, path)
-    series = f.series_rows(t.spark.read.schema(f.SERIES).option("columnNameOfCorruptRecord", "_corrupt").json(path))
-    return series.select("symbol", col("open_time").cast("long").alias("t"), col("open").cast("double").alias("o"), col("close").cast("double").alias("c"))
+    series = f.series_rows(f.series_json(t.spark, path))
+    return series.select("symbol", col("open_time").cast("long").alias("t"), col("open").cast("double").alias("o"), col("close").cast("double").alias("c"), col("i").cast("long"))
 
 
-@query("src_4_tolerant_scan", "SELECT count(*) AS readable, (SELECT count(*) FROM nation WHERE n_nationkey % 5 = 0) AS unreadable FROM nation WHERE n_nationkey % 5 <> 0")
+@query("src_4_tolerant_scan", "SELECT count(*) AS readable, count(*) AS named, (SELECT count(*) FROM nation WHERE n_nationkey % 5 = 0) AS unreadable FROM nation WHERE n_nationkey % 5 <> 0")
 def src_4(t):
     """Documents that can't be read are counted."""
     path = f.shared_folder(t.spark)
     text = F.when(col("n_nationkey") % 5 == 0, '{"symbol": "broken').otherwise(F.to_json(F.struct(col("n_name").alias("symbol"))))
-    t.nation.select(text.alias("value")).write.text(path)
-    x = t.spark.read.schema(f.SERIES).option("columnNameOfCorruptRecord", "_corrupt").json(path).cache()  # Spark wants the corrupt column read from a kept result
-    return x.agg(F.count_if(col("_corrupt").isNull()).alias("readable"), F.count_if(col("_corrupt").isNotNull()).alias("unreadable"))
+    t.nation.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return f.series_json(t.spark, path).agg(F.count_if(col("_corrupt").isNull()).alias("readable"), F.count("symbol").alias("named"), F.count_if(col("_corrupt").isNotNull()).alias("unreadable"))
 
 
 @query("src_5_latest_run", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
@@ -73,9 +78,14 @@ def src_5(t):
     return f.latest(t.spark, folder)
 
 
-@query("snk_1_publish", "SELECT count(*) AS n FROM nation WHERE n_regionkey = 2")
+@query("snk_1_publish", "SELECT count(*) AS n, 2 AS pointers FROM nation WHERE n_regionkey = 2")
 def snk_1(t):
-    return src_5(t).agg(F.count("*").alias("n"))
+    """Two runs published one after the other: readers are at the second, and the pointer to the first was never taken away."""
+    folder = f.shared_folder(t.spark)
+    for region in (1, 2):
+        f.publish(t.nation.where(col("n_regionkey") == region).select("n_nationkey"), folder, f"run-{region}")
+    pointers = t.spark.read.schema("run string").json(f"{folder}/latest-*.json").agg(F.count("*").cast("int").alias("pointers"))  # one row
+    return f.latest(t.spark, folder).agg(F.count("*").alias("n")).join(F.broadcast(pointers))
 
 
 SNAPSHOT = "id string, cutoff long, contracts array<struct<symbol:string,family:string,ticker:struct<last:string,volume:string>,book:struct<bid:string,ask:string>>>"
@@ -91,16 +101,21 @@ def src_6(t):
         col("p_partkey").cast("string").alias("symbol"), F.lit("UM").alias("family"), F.struct(text(last, col("p_partkey") % 7 != 0).alias("last")).alias("ticker"),
         F.when(col("p_partkey") % 5 != 0, F.struct(text(bid, F.lit(True)).alias("bid"))).alias("book"),
     )
-    t.part.groupBy(col("p_brand").alias("id")).agg(F.collect_list(contract).alias("contracts")).write.json(path)  # a run's contracts are one document
+    block = F.floor(col("p_partkey") / 1000)  # a run's document has a thousand contracts at most
+    t.part.groupBy(col("p_brand").alias("id"), block.alias("block")).agg(F.collect_list(contract).alias("contracts")).drop("block").write.json(path)
     x = f.ndjson(t.spark, path, SNAPSHOT).select("id", F.explode("contracts").alias("c"))
     return x.select("id", col("c.symbol").cast("long").alias("symbol"), to_number(col("c.ticker.last")).alias("last"), to_number(col("c.book.bid")).alias("bid"))
 
 
-@query("src_7_page_requests", "SELECT symbol, \"from\", least(\"from\" + 36000000, z) AS until FROM (SELECT symbol, z, unnest(range(a, z, 36000000)) AS \"from\" FROM (SELECT event_type AS symbol, min((epoch_us(ts) // 1000)) // 3600000 * 3600000 AS a, max((epoch_us(ts) // 1000)) // 3600000 * 3600000 AS z FROM events GROUP BY 1))")
+@query("src_7_page_requests", f"""WITH {bars_sql(HOUR_MS)}, e AS (SELECT symbol, min(t) AS a, max(t) AS z FROM bars GROUP BY 1), x AS (SELECT symbol, t, t - a AS d, a FROM bars JOIN e USING (symbol) WHERE t < z)
+SELECT symbol, t, a + CASE WHEN d > 0 AND d % 36000000 = 0 THEN d // 36000000 - 1 ELSE d // 36000000 END * 36000000 AS "from", CASE WHEN d > 0 AND d % 36000000 = 0 THEN 2 ELSE 1 END AS fetched, row_number() OVER (PARTITION BY symbol ORDER BY t) AS place FROM x""")
 def src_7(t):
-    at = F.floor(F.unix_millis(col("ts").cast("timestamp")) / HOUR_MS) * HOUR_MS
-    starts = t.events.groupBy(col("event_type").alias("symbol")).agg(F.min(at).alias("start"), F.max(at).alias("end"))
-    return f.pages_of(starts, 10, HOUR_MS)
+    """Rows of a range that is fetched by pages of ten hours: the request that brought each first, how often it came, and its place in the whole."""
+    bars = b.from_events(t.events, HOUR_MS).select("symbol", "t")
+    starts = bars.groupBy("symbol").agg(F.min("t").alias("start"), F.max("t").alias("end"))
+    rows = f.paged_rows(bars.join(starts, "symbol"), 10, HOUR_MS)
+    requests = f.pages_of(starts, 10, HOUR_MS).join(starts.select("symbol", "start"), "symbol").withColumn("page", F.floor((col("from") - col("start")) / (10 * HOUR_MS)))
+    return rows.join(requests, ["symbol", "page"]).select("symbol", "t", "from", "fetched", col("place").cast("long"))
 
 
 @query("src_8_ndjson", "SELECT n_nationkey, n_name FROM nation")
@@ -132,14 +147,16 @@ def snk_4(t):
 @query("src_10_listing", "SELECT p_name AS symbol, '2024-' || lpad((p_size % 12 + 1)::VARCHAR, 2, '0') AS month, count(*) AS n FROM part GROUP BY 1, 2")
 def src_10(t):
     key = F.concat(F.lit("<Contents><Key>data/klines/"), "p_name", F.lit("-2024-"), F.lpad((col("p_size") % 12 + 1).cast("string"), 2, "0"), F.lit(".zip</Key></Contents>"))
-    pages = t.part.groupBy((col("p_partkey") % 20).alias("page")).agg(F.array_join(F.collect_list(key), "").alias("xml"))
+    pages = t.part.groupBy(F.floor(col("p_partkey") / 1000).alias("page")).agg(F.array_join(F.collect_list(key), "").alias("xml"))
     return pages.select(F.explode(f.listing(col("xml"))).alias("x")).groupBy("x.symbol", "x.month").agg(F.count("*").alias("n"))
 
 
-@query("src_11_symbol_list", "SELECT symbol FROM (VALUES ('BTC'), ('ETH'), ('1000PEPE')) s(symbol)")
+@query("src_11_symbol_list", r"""WITH x AS (SELECT p_partkey, unnest([upper(replace(p_name, ' ', '_')), 'BTC', '1000' || regexp_extract(upper(p_brand), '^[^#]*')]) AS s FROM part) SELECT DISTINCT p_partkey, s AS symbol FROM x WHERE regexp_full_match(s, '[\p{L}\p{N}_]{2,40}')""")
 def src_11(t):
-    text = t.spark.createDataFrame([("BTC, ETH  # majors\n1000PEPE,BTC x bad-name",)], "text string")
-    return text.select(F.explode(f.symbols(col("text"))).alias("symbol"))
+    """The names in the lists that come with each part: comments and what is no name left out, each once."""
+    name = F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))
+    text = F.concat(name, F.lit(",  BTC # majors, NOT_THIS\n1000"), F.upper("p_brand"), F.lit("\nBTC x bad-name"))
+    return t.part.select("p_partkey", F.explode(f.symbols(text)).alias("symbol"))
 
 
 @query("src_12_verified_read", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN n_nationkey = 24 THEN 'missing' WHEN n_nationkey % 6 = 0 THEN 'mismatch' ELSE 'ok' END AS status FROM nation) GROUP BY 1")
@@ -168,12 +185,13 @@ def snk_2(t):
 
 @query("snk_6_manifest")
 def snk_6(t):
-    """Sizes and checksums of a run's files, with the lines of a report on its first rows."""
+    """Sizes and checksums of a run's files, with a written report on its first rows and the counts of its summary."""
     folder = f.shared_folder(t.spark)
     f.publish(t.region.coalesce(1), folder, "run-1")
-    lines = list(f.report(t.region.orderBy("r_regionkey").limit(10).collect(), "Regions"))
-    m = f.manifest(t.spark, f"{folder}/runs").where(col("name").endswith(".parquet"))
-    return m.select("bytes", "sha256", F.lit(len(lines)).alias("report_lines"))
+    summary = t.region.agg(F.count("*").alias("rows"), F.countDistinct("r_name").alias("names"))  # one row
+    f.write_text(t.spark, f.report(t.region.orderBy("r_regionkey").limit(10).collect(), "Regions"), f"{folder}/runs/report.md")
+    m = f.manifest(t.spark, f"{folder}/runs").where(col("name").endswith(".parquet") | col("name").endswith(".md"))
+    return m.select(F.regexp_extract("name", "([^.]+)$", 1).alias("kind"), "bytes", "sha256").join(F.broadcast(summary))
 
 
 @query("snk_7_run_lock")
@@ -190,10 +208,25 @@ def snk_7(t):
     return t.spark.createDataFrame([(s,) for s in states], "state string")
 
 
-@query("flt_15_batch_verification", f"""WITH {BARS4}, g AS (SELECT symbol, count(*) AS n, count(*) FILTER (t % {H4} <> 0) AS unaligned, min(l) AS low, max(t) AS last FROM bars GROUP BY 1)
-SELECT symbol, concat_ws(',', CASE WHEN n < 180 THEN 'short' END, CASE WHEN unaligned > 0 THEN 'unaligned' END, CASE WHEN low < 0.1 THEN 'price too low' END, CASE WHEN last < 1706640000000 THEN 'ends early' END) AS problems FROM g""")
+#: Files of delisted contracts, made of bars and orders: candles by the hour and by four, settlements, and what the plan says of each.
+BATCH_SQL = f"""one AS (SELECT o_custkey % 60 AS k, o_orderkey AS t, o_orderdate FROM orders), f1 AS (SELECT k, count(*) AS n, CASE WHEN k % 11 = 4 THEN 1 ELSE 0 END AS unordered, max(t) AS last FROM one GROUP BY 1),
+p AS (SELECT k, n, unordered, last, CASE WHEN k % 13 = 5 THEN 'aggregated' ELSE 'native' END AS source, CASE WHEN k % 3 = 0 THEN last - 1 END AS delivery, CASE WHEN k % 7 = 0 THEN 'signature' WHEN k % 7 = 1 THEN 'trailing' WHEN k % 7 = 2 THEN NULL ELSE 'delivery' END AS cut_by, CASE WHEN k % 5 = 0 THEN CASE WHEN k % 10 = 0 THEN last - 4 ELSE last END END AS partial, k % 10 = 5 AND k % 15 = 5 AS partial_eligible,
+ CASE WHEN k % 4 <> 1 THEN CASE WHEN k % 17 = 2 THEN 0 ELSE n // 4 END END AS n4, CASE WHEN k % 19 = 3 THEN 'aggregated' ELSE 'native' END AS source4, k % 23 = 6 AS partial4, CASE WHEN k % 9 <> 2 THEN last - CASE WHEN k % 8 = 3 THEN 0 ELSE 2 END END AS funding_last FROM f1)"""
+PROBLEMS = {
+    "source of the candles": "source <> 'native'", "no candles": "n = 0", "candles out of order": "unordered > 0", "delivery planned but cut otherwise": "delivery IS NOT NULL AND cut_by NOT IN ('delivery', 'both', 'trailing')", "cut at a delivery that is not planned": "delivery IS NULL AND cut_by = 'delivery'",
+    "partial bar is not the last": "partial <> last", "partial bar may be decided on": "partial IS NOT NULL AND partial_eligible", "no candles of four hours": "n4 = 0", "source of the candles of four hours": "n4 IS NOT NULL AND source4 <> 'native'", "partial bar of four hours": "n4 IS NOT NULL AND partial4",
+    "settlement after the cut": "NOT funding_last < coalesce(delivery, last + 1)", "no settlements": "funding_last IS NULL",
+}
+
+
+@query("flt_15_batch_verification", f"WITH {BATCH_SQL} SELECT k AS symbol, concat_ws(',', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{k}{chr(39)} END' for k, c in PROBLEMS.items())}) AS problems FROM p")
 def flt_15(t):
-    """What is wrong with each series: one condition for each check."""
-    g = b.from_events(t.events, H4).groupBy("symbol").agg(F.count("*").alias("n"), F.count_if(col("t") % H4 != 0).alias("unaligned"), F.min("l").alias("low"), F.max("t").alias("last"))
-    checks = F.filter(F.array(F.when(col("n") < 180, "short"), F.when(col("unaligned") > 0, "unaligned"), F.when(col("low") < 0.1, "price too low"), F.when(col("last") < 1_706_640_000_000, "ends early")), lambda x: x.isNotNull())
-    return g.select("symbol", F.array_join(checks, ",").alias("problems"))
+    """What is wrong with the files of each delisted contract, one condition for each check."""
+    k = col("k")
+    f1 = t.orders.select((col("o_custkey") % 60).alias("k"), "o_orderkey").groupBy("k").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
+    x = f1.select(
+        "k", "n", "last", F.when(k % 11 == 4, 1).otherwise(0).alias("unordered"), F.when(k % 13 == 5, "aggregated").otherwise("native").alias("source"), F.when(k % 3 == 0, col("last") - 1).alias("delivery"),
+        F.when(k % 7 == 0, "signature").when(k % 7 == 1, "trailing").when(k % 7 == 2, None).otherwise("delivery").alias("cut_by"), F.when(k % 10 == 0, col("last") - 4).when(k % 5 == 0, col("last")).alias("partial"), ((k % 10 == 5) & (k % 15 == 5)).alias("partial_eligible"),
+        F.when(k % 4 != 1, F.when(k % 17 == 2, 0).otherwise(F.floor(col("n") / 4))).alias("n4"), F.when(k % 19 == 3, "aggregated").otherwise("native").alias("source4"), (k % 23 == 6).alias("partial4"), F.when(k % 9 != 2, col("last") - F.when(k % 8 == 3, 0).otherwise(2)).alias("funding_last"),
+    )
+    return x.select(k.alias("symbol"), F.array_join(f.batch_problems(step_ms=1), ",").alias("problems"))

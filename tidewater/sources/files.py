@@ -4,21 +4,18 @@ from __future__ import annotations
 
 import json
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import csv_quoted, to_number
 from ..operators.bars import RAW
+from ..operators.rules import present
+from ..operators.scale import shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which executors share; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-tidewater-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
+__all__ = ["shared_folder"]
 
 
 def _fs(spark: SparkSession, path: str):
@@ -76,25 +73,46 @@ def csv_line(df: DataFrame) -> Column:
     return F.concat_ws(",", *(csv_quoted(F.col(c)) for c in df.columns))
 
 
+def _pointers(spark: SparkSession, folder: str) -> list[int]:
+    """The numbers of the pointers in a folder."""
+    path, fs = _fs(spark, folder)
+    names = [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(m[1]) for m in (re.fullmatch(r"latest-(\d+)\.json", n) for n in names) if m)
+
+
 def publish(df: DataFrame, folder: str, run: str) -> None:
-    """Write a run's files and then point ``latest`` at them: readers see the old run or the new one, whole."""
+    """Write a run's files and then a pointer at them with the next number: readers, who take the highest, see the old run or the new one, whole.
+
+    A pointer is written beside and renamed to a name that no other has, so there is never a moment without one; who loses a race for a number takes the next.
+    """
     spark = df.sparkSession
     df.write.parquet(f"{folder}/runs/{run}")
     tmp, fs = _fs(spark, f"{folder}/.latest-{uuid.uuid4().hex}")
     out = fs.create(tmp, True)
     out.write(bytearray(json.dumps({"run": run}).encode()))
     out.close()
-    target, _ = _fs(spark, f"{folder}/latest.json")
-    fs.delete(target, False)
-    fs.rename(tmp, target)
+    number = max(_pointers(spark, folder), default=0)
+    while True:
+        number += 1
+        target, _ = _fs(spark, f"{folder}/latest-{number:09d}.json")
+        if not fs.exists(target) and fs.rename(tmp, target):
+            return
 
 
 def latest(spark: SparkSession, folder: str) -> DataFrame:
-    """The run that ``latest`` points at."""
-    run = spark.read.schema("run string").json(f"{folder}/latest.json").first().run
+    """The run that the highest pointer is at."""
+    run = spark.read.schema("run string").json(f"{folder}/latest-{max(_pointers(spark, folder)):09d}.json").first().run
     return spark.read.parquet(f"{folder}/runs/{run}")
 
 
+def write_text(spark: SparkSession, lines: Iterator[str] | list[str], path: str) -> None:
+    """A small text file, as reports are."""
+    target, fs = _fs(spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray("".join(f"{line}\n" for line in lines).encode()))
+    out.close()
+
+
 def _contents(spark: SparkSession, path: str) -> DataFrame:
     """``name`` (below ``path``), ``length`` and ``content`` of all files."""
     name = F.regexp_extract("path", f"/{re.escape(path.rstrip('/').rpartition('/')[2])}/(.+)$", 1)
@@ -122,6 +140,18 @@ def with_provenance(df: DataFrame, expected: str) -> DataFrame:
     return df.withColumn("source", ok)
 
 
+def paged_rows(rows: DataFrame, limit: int, step_ms: int) -> DataFrame:
+    """What a paginated collector ends up with of ``rows`` (``symbol, t, start, end`` and more): each page is fetched from its cursor on, its last row is
+    also the first of the next, and a row counts once, the first time that it is seen; ``place`` is its order within the symbol."""
+    page = limit * step_ms
+    n = F.floor((F.col("t") - F.col("start")) / page)
+    edge = (F.col("t") - F.col("start")) % page == 0
+    pages = F.when(edge & (n > 0), F.array(n - 1, n)).otherwise(F.array(n))
+    fetched = rows.where("t >= start and t < end").withColumn("page", F.explode(pages))
+    seen = fetched.groupBy("symbol", "t").agg(F.min("page").alias("page"), F.count("*").alias("fetched"))
+    return seen.withColumn("place", F.row_number().over(Window.partitionBy("symbol").orderBy("t")))
+
+
 def pages_of(starts: DataFrame, limit: int, step_ms: int) -> DataFrame:
     """The requests of a paginated range (``symbol, start, end``): one row for each page of ``limit`` steps."""
     page = limit * step_ms
@@ -150,10 +180,14 @@ def listing(xml: Column) -> Column:
     return F.transform(keys, lambda k: F.struct(F.regexp_extract(k, name, 1).alias("symbol"), F.regexp_extract(k, name, 2).alias("month")))
 
 
+#: What a symbol may be named. Fixed pattern.
+SYMBOL = r"^[\p{L}\p{N}_]{2,40}$"
+
+
 def symbols(text: Column) -> Column:
     """The allowed names in a list separated by commas and blanks, without comments, each once, in order."""
     bare = F.regexp_replace(text, r"#[^\n]*", " ")
-    return F.array_distinct(F.filter(F.split(bare, r"[,\s]+"), lambda s: s.rlike(r"^[\p{L}\p{N}_]{2,40}$")))
+    return F.array_distinct(F.filter(F.split(bare, r"[,\s]+"), lambda s: s.rlike(SYMBOL)))
 
 
 def report(rows: list, title: str, top: int = 10) -> Iterator[str]:
@@ -161,3 +195,20 @@ def report(rows: list, title: str, top: int = 10) -> Iterator[str]:
     yield f"# {title}"
     for i, row in enumerate(rows[:top], 1):
         yield f"{i}. " + " | ".join(f"{k}: {v}" for k, v in row.asDict().items())
+
+
+def batch_problems(step_ms: int) -> Column:
+    """What is wrong with the files of a delisted contract, in order.
+
+    Columns: of the hourly candles ``n, unordered, last, source``, how they were cut (``cut_by``, null if not), the ``partial`` last bar and whether it is
+    ``partial_eligible`` for decisions; of those of four hours (null if there are none) ``n4, source4, partial4``; the last settlement
+    ``funding_last``, and the planned ``delivery``. What is unknown is no problem, but that settlements are missing is.
+    """
+    c = F.col
+    planned, four = c("delivery").isNotNull(), c("n4").isNotNull()
+    return present(
+        (c("source") != "native", "source of the candles"), (c("n") == 0, "no candles"), (c("unordered") > 0, "candles out of order"), (planned & ~c("cut_by").isin("delivery", "both", "trailing"), "delivery planned but cut otherwise"),
+        (~planned & (c("cut_by") == "delivery"), "cut at a delivery that is not planned"), (c("partial") != c("last"), "partial bar is not the last"), (c("partial").isNotNull() & c("partial_eligible"), "partial bar may be decided on"),
+        (c("n4") == 0, "no candles of four hours"), (four & (c("source4") != "native"), "source of the candles of four hours"), (four & c("partial4"), "partial bar of four hours"),
+        (~(c("funding_last") < F.coalesce("delivery", c("last") + step_ms)), "settlement after the cut"), (c("funding_last").isNull(), "no settlements"),
+    )
