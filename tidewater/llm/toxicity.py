@@ -122,9 +122,10 @@ def _loss(rows: DataFrame, r: np.ndarray, w: np.ndarray, l2: float) -> tuple[flo
             total[:-2] += np.bincount(col, r[col] * miss[row], len(r))
             total[-2] += miss.sum()
             total[-1] += (np.logaddexp(0, z) - y * z).sum()
-        yield pa.RecordBatch.from_arrays([pa.array(["sum"]), pa.array([np.rint(total / _GRAIN).tobytes()], pa.binary())], ["key", "vec"])
+        yield pa.RecordBatch.from_arrays([pa.array([np.rint(total / _GRAIN).tobytes()], pa.binary())], ["vec"])
 
-    total = np.frombuffer(summed(rows.mapInArrow(part, "key string, vec binary")).first().vec) * _GRAIN
+    # as many vectors as the sample has tasks, which is a fixed number
+    total = sum(np.frombuffer(r.vec) for r in rows.mapInArrow(part, "vec binary").collect()) * _GRAIN
     penalised = np.append(w[:-1], 0.0)
     return float(total[-1] + l2 / 2 * (penalised**2).sum()), total[:-1] + l2 * penalised
 
