@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.random import Mulberry32
@@ -40,8 +40,8 @@ def _literal(values: np.ndarray) -> Column:
     return F.array(*(F.lit(float(v)) for v in values))
 
 
-def _summed(df: DataFrame, one) -> np.ndarray:
-    """The sum over all tasks of the vector that ``one`` makes of a task's pandas batches."""
+def _summed(df: DataFrame, one, fan_in: int = 8) -> np.ndarray:
+    """The sum over all tasks of the vector that ``one`` makes of a task's pandas batches; ``fan_in`` tasks add them up before the driver does."""
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -52,11 +52,20 @@ def _summed(df: DataFrame, one) -> np.ndarray:
                 v = one(pdf)
                 total = v if total is None else total + v
         if total is not None:
-            yield pd.DataFrame({"v": [total.tolist()]})
+            yield pd.DataFrame({"v": [total.tobytes()]})
 
-    parts = df.mapInPandas(run, "v array<double>")
-    rows = parts.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").collect()
-    return np.array([r.x for r in rows])
+    def add(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        total = None
+        for pdf in batches:
+            for v in pdf.v:
+                total = np.frombuffer(v) if total is None else total + np.frombuffer(v)
+        if total is not None:
+            yield pd.DataFrame({"v": [total.tobytes()]})
+
+    parts = df.mapInPandas(run, "v binary").repartition(fan_in, F.spark_partition_id()).mapInPandas(add, "v binary")
+    return sum(np.frombuffer(r.v) for r in parts.collect())
 
 
 def fit_softmax(df: DataFrame, k: int, l2: float = 1.0, rounds: int = 25, tolerance: float = 1e-9) -> Softmax:
@@ -113,24 +122,193 @@ def fit_softmax(df: DataFrame, k: int, l2: float = 1.0, rounds: int = 25, tolera
         df.unpersist()
 
 
-def isotonic(df: DataFrame, bins: int = 1000) -> tuple[list[float], list[float]]:
-    """A rising function from ``p`` to ``y`` (weights ``w``) by pooling adjacent violators over bins of p; points to interpolate between, clamped at the ends."""
-    g = df.groupBy(F.floor(F.col("p") * bins).alias("b")).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("p")).alias("p"), F.sum(F.col("w") * F.col("y")).alias("y")).orderBy("b").collect()
-    blocks: list[list[float]] = []
-    for r in g:
-        blocks.append([r.p, r.y, r.w])
-        while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
-            last = blocks.pop()
-            blocks[-1] = [a + b for a, b in zip(blocks[-1], last)]
-    return [p / w for p, _, w in blocks], [y / w for _, y, w in blocks]
+#: x from, x to, sum of w * y, sum of w.
+Block = tuple[float, float, float, float]
+
+
+def _pooled(blocks: list[Block], new: Block) -> None:
+    """Put a block behind those that rise already, and pool it with those before while they are not below it."""
+    while blocks and blocks[-1][2] * new[3] >= new[2] * blocks[-1][3]:
+        x = blocks.pop()
+        new = (x[0], new[1], x[2] + new[2], x[3] + new[3])
+    blocks.append(new)
+
+
+def isotonic(df: DataFrame) -> list[Block]:
+    """The rising function from ``p`` to ``y`` (weights ``w``) of least squares, exactly: by pooling adjacent violators.
+
+    Rows are dealt to ranges of p and each task pools its own; what is pooled within a range is pooled in the whole too, so pooling the blocks that are
+    left gives the same as pooling all rows. Blocks rise strictly, so of a yes-or-no outcome there are far fewer of them than rows.
+    """
+
+    def pool(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        blocks: list[Block] = []
+        for pdf in batches:
+            for p, s, w in pdf[["p", "s", "w"]].itertuples(index=False):
+                _pooled(blocks, (p, p, s, w))
+        yield pd.DataFrame(blocks, columns=["a", "b", "s", "w"])
+
+    ties = df.groupBy("p").agg(F.sum(F.col("w") * F.col("y")).alias("s"), F.sum("w").alias("w"))
+    local = ties.repartitionByRange("p").sortWithinPartitions("p").mapInPandas(pool, "a double, b double, s double, w double")
+    blocks: list[Block] = []
+    for r in local.orderBy("a").collect():
+        _pooled(blocks, (r.a, r.b, r.s, r.w))
+    return blocks
+
+
+def calibrated(df: DataFrame, blocks: list[Block], column: str = "p", name: str = "calibrated") -> DataFrame:
+    """``df`` with the mean of the block that ``column`` falls into; between blocks on the line from one to the next, clamped at the ends."""
+    xs = [x for b in blocks for x in b[:2]]
+    ys = [b[2] / b[3] for b in blocks for _ in (0, 1)]
+
+    @F.pandas_udf("double")
+    def at(p):
+        import pandas as pd
+
+        return pd.Series(np.interp(p.to_numpy(), xs, ys) if xs else np.full(len(p), np.nan))
 
+    return df.withColumn(name, at(F.col(column).cast("double")))
 
-def interpolated(p: Column, xs: list[float], ys: list[float]) -> Column:
-    """The value at p on the line through the points, as an expression."""
-    out = F.lit(ys[-1])
-    for (x0, y0), (x1, y1) in reversed(list(zip(zip(xs, ys), zip(xs[1:], ys[1:])))):
-        out = F.when(p < x1, y0 + (p - x0) / (x1 - x0) * (y1 - y0)).otherwise(out)
-    return F.when(p <= xs[0], ys[0]).otherwise(out)
+
+def random_baseline(rows: DataFrame, k: int, width: int, seeds: list[int], rounds: int = 5, l2: float = 1.0) -> DataFrame:
+    """``seed`` and ``value``: the skill of features that carry nothing, of the ``width`` of the real ones, for each seed.
+
+    ``rows`` are ``id``, ``y`` (0 to k - 1), ``w`` and ``test``. A row's features are Gaussian numbers made of its id and the seed in the task that has the row.
+    All seeds are fitted together, by Newton steps whose sums come from the tasks, and judged on all test rows against the base rates of the others.
+    """
+    size, d = k * (width + 1), width + 1
+    penalty = np.tile(np.r_[0.0, np.full(width, l2)], k)
+    rows = rows.select("id", "y", "w", "test").persist()
+
+    def features(ids: np.ndarray, seed: int) -> np.ndarray:
+        return np.hstack([np.ones((len(ids), 1)), gaussians(ids, seed, width)])
+
+    def probabilities(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        e = np.exp(z @ weights.T - (z @ weights.T).max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
+
+    def step(weights: np.ndarray):
+        def one(pdf) -> np.ndarray:
+            ids, y, w = pdf.id.to_numpy().astype(np.int64), pdf.y.to_numpy().astype(int), pdf.w.to_numpy().astype(float)
+            out = []
+            for seed, now in zip(seeds, weights):
+                z = features(ids, seed)
+                p = probabilities(z, now)
+                hess = np.empty((k, d, k, d))
+                for i in range(k):
+                    for j in range(k):
+                        hess[i, :, j, :] = (z * (w * p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ z
+                out += [((p - np.eye(k)[y]) * w[:, None]).T @ z, hess]
+            return np.concatenate([x.ravel() for x in out])
+
+        return one
+
+    def judged(weights: np.ndarray, rates: np.ndarray):
+        def one(pdf) -> np.ndarray:
+            ids, truth, w = pdf.id.to_numpy().astype(np.int64), np.eye(k)[pdf.y.to_numpy().astype(int)], pdf.w.to_numpy().astype(float)
+            brier = [(w * ((probabilities(features(ids, seed), now) - truth) ** 2).sum(axis=1)).sum() for seed, now in zip(seeds, weights)]
+            return np.r_[brier, (w * ((rates - truth) ** 2).sum(axis=1)).sum()]
+
+        return one
+
+    try:
+        train, test = rows.where("not test"), rows.where("test")
+        rates = np.zeros(k)
+        for r in train.groupBy("y").agg(F.sum("w").alias("w")).collect():
+            rates[int(r.y)] = r.w
+        weights = np.zeros((len(seeds), k, d))
+        for _ in range(rounds):
+            sums = _summed(train, step(weights)).reshape(len(seeds), size + size * size)
+            for now, x in zip(weights, sums):
+                grad, hess = x[:size] + penalty * now.ravel(), x[size:].reshape(size, size) + np.diag(penalty)
+                now -= np.linalg.lstsq(hess + 1e-9 * np.eye(size), grad, rcond=None)[0].reshape(k, d)
+        total = _summed(test, judged(weights, rates / rates.sum()))
+    finally:
+        rows.unpersist()
+    return rows.sparkSession.createDataFrame([(s, float(1 - b / total[-1])) for s, b in zip(seeds, total)], "seed long, value double")
+
+
+def gaussians(ids: np.ndarray, seed: int, width: int) -> np.ndarray:
+    """Gaussian numbers of (id, seed, column): two hashed uniforms each, so that a row has the same ones wherever it is computed."""
+    with np.errstate(over="ignore"):
+        x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(2 * width, dtype=np.uint64) + np.uint64(1) + np.uint64(seed) * np.uint64(1_000_003)) * np.uint64(0xD1342543DE82EF95)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+        u = ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(float) / float(1 << 53)
+    return np.sqrt(-2 * np.log(np.maximum(u[:, :width], 1e-300))) * np.cos(2 * np.pi * u[:, width:])
+
+
+def lift_draws(rows: DataFrame, draws: int, seed: int = 21, parts: int = 32) -> tuple[tuple[float, float], list[tuple[float, float]]]:
+    """(lift of all rows, lifts of draws): how far the rate of ``hit`` in the top tenth by ``p`` is above that of all, and above that of the bottom tenth.
+
+    ``rows`` are ``id, p, hit`` (0 or 1), ``w`` and ``day``. Each draw takes whole days with replacement and sorts what it has anew. That needs no sort:
+    rows are in ranges of p once, and of each range and day the counts are known, so a draw knows in which range its tenths end; only that range is walked,
+    by the task that has it, for all draws that end there. The driver holds sums by range and day, and how often each draw has a day.
+    """
+    from .scale import checkpointed
+
+    order = [F.col("p").desc(), F.col("id")]
+    ranged = checkpointed(rows.select("id", "p", "hit", "w", "day").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    sums = ranged.groupBy("part", "day").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("hit")).alias("h")).collect()
+    days = sorted({r.day for r in sums})
+    at, which = {day: i for i, day in enumerate(days)}, sorted({r.part for r in sums})
+    table = np.zeros((len(which), len(days), 3))
+    for r in sums:
+        table[which.index(r.part), at[r.day]] = r.n, r.w, r.h
+    g = Mulberry32(seed)
+    times = np.array([np.ones(len(days), int)] + [np.bincount([int(g.uniform() * len(days)) for _ in days], minlength=len(days)) for _ in range(draws)])
+    by_part = np.einsum("td,pdk->tpk", times, table)  # by draw and range: rows, weight, hits
+    total = by_part.sum(axis=1)
+    tenth = np.floor(total[:, 0] / 10).astype(int)
+    jobs: dict[int, list[tuple[int, int, int]]] = {}
+    sides = np.zeros((len(times), 2, 2))  # weight and hits of the top and the bottom
+    for t in range(len(times)):
+        for side in (0, 1):
+            left = tenth[t]
+            for q in range(len(which)) if side == 0 else reversed(range(len(which))):
+                if left <= 0:
+                    break
+                n = int(by_part[t, q, 0])
+                if n <= left:
+                    sides[t, side] += by_part[t, q, 1:]
+                else:
+                    jobs.setdefault(which[q], []).append((t, side, int(left)))
+                left -= n
+
+    def walk(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        pdf = pd.concat(list(batches), ignore_index=True)  # one range
+        if len(pdf) and (of := jobs.get(int(pdf.part.iloc[0]))):
+            day, w, h = pdf.day.map(at).to_numpy(), pdf.w.to_numpy(), (pdf.w * pdf.hit).to_numpy()
+            out = []
+            for t, side, need in of:
+                turn = slice(None, None, -1 if side else 1)
+                m = times[t][day[turn]]
+                m = np.minimum(m, np.maximum(0, need - (np.cumsum(m) - m)))
+                out.append((t, side, float((m * w[turn]).sum()), float((m * h[turn]).sum())))
+            yield pd.DataFrame(out, columns=["t", "side", "w", "h"])
+
+    if jobs:
+        for r in ranged.mapInPandas(walk, "t long, side long, w double, h double").collect():  # a row for each tenth
+            sides[r.t, r.side] += r.w, r.h
+    lifts = []
+    for t in range(len(times)):
+        (tw, th), (bw, bh) = sides[t]
+        if tw > 0 and bw > 0:
+            lifts.append((th / tw - total[t, 2] / total[t, 1], th / tw - bh / bw))
+        elif t == 0:
+            lifts.append((float("nan"), float("nan")))
+    return lifts[0], lifts[1:]
+
+
+def interval(values: list[float], low: float = 0.025, high: float = 0.975) -> tuple[float | None, float | None]:
+    """The values at floor(q * n) of the sorted ones."""
+    v = sorted(values)
+    at = lambda q: v[min(len(v) - 1, max(0, int(q * len(v))))] if v else None
+    return at(low), at(high)
 
 
 def block_shifted(samples: DataFrame, seed: int) -> DataFrame:
@@ -138,8 +316,11 @@ def block_shifted(samples: DataFrame, seed: int) -> DataFrame:
 
     Groups of fewer than eight keep theirs. Offsets are hashes of (group, seed).
     """
-    w = Window.partitionBy("group")
-    x = samples.withColumns({"_i": F.row_number().over(w.orderBy("time")) - 1, "_n": F.count("*").over(w)})
+    from .ranking import keyed_rank
+
+    # positions by ranges of (group, time), so that no task holds a whole group
+    x = keyed_rank(samples, "group", [F.col("time"), F.xxhash64(*samples.columns)], "_i").withColumn("_i", F.col("_i") - 1)
+    x = x.join(x.groupBy("group").agg(F.count("*").alias("_n")), "group")
     u = F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
     x = x.withColumn("_from", F.when(F.col("_n") < 8, F.col("_i")).otherwise((F.col("_i") + F.floor(F.col("_n") / 4 + u * F.col("_n") / 2)) % F.col("_n")))
     source = x.select("group", F.col("_i").alias("_from"), F.col("y").alias("shifted"))

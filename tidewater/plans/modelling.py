@@ -9,10 +9,11 @@ from ..functions.random import Mulberry32
 from ..functions.scalars import DAY_MS, HOUR_MS, brier_term, round_half_up
 from ..operators import labels as la
 from ..operators import modelling as m
+from ..operators import ranking as k
 from ..operators.gate import evaluate_gate
 from .joins import spans
 from .registry import query, r
-from .scalars import forecast
+from .scalars import FORECAST_SQL, forecast
 
 col = F.col
 r6 = round_half_up
@@ -61,7 +62,7 @@ def agg_18(t):
 
 
 def training(t):
-    x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     return t.embeddings.select("vec_id", x.alias("x"), (col("label") % 3).cast("int").alias("y"), F.lit(1.0).alias("w"))
 
 
@@ -81,24 +82,9 @@ def mdl_5(t):
 
 @query("mdl_6_random_baseline")
 def mdl_6(t):
-    """Skill of features that carry nothing: the mark that a model has to beat."""
-    y = [row.y for row in training(t).orderBy(F.xxhash64("vec_id")).limit(2000).collect()]  # a bounded sample of labels
-
-    def draw(seed: int) -> float:
-        import numpy as np
-
-        g, cut = Mulberry32(seed), len(y) * 3 // 4
-        x = np.array([[1.0, *(g.gaussian() for _ in range(4))] for _ in y])
-        truth = np.eye(3)[y]
-        w = np.zeros((5, 3))
-        for _ in range(50):
-            e = np.exp(x[:cut] @ w)
-            w -= 0.5 * (x[:cut].T @ (e / e.sum(axis=1, keepdims=True) - truth[:cut]) / cut + 1e-3 * w)
-        e = np.exp(x[cut:] @ w)
-        base = ((truth[:cut].mean(axis=0) - truth[cut:]) ** 2).sum()
-        return float(1 - ((e / e.sum(axis=1, keepdims=True) - truth[cut:]) ** 2).sum() / base)
-
-    draws = m.per_seed(t.spark, list(range(1, 41)), draw)
+    """Skill of features that carry nothing, as many as a feature vector has: the mark that a model has to beat. All rows are learnt from or judged."""
+    rows = training(t).select(col("vec_id").alias("id"), "y", "w", (col("vec_id") % 4 == 0).alias("test"))
+    draws = m.random_baseline(rows, 3, 21, list(range(1, 41)))
     return draws.agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), r6(F.percentile("value", F.lit(0.95))).alias("p95"))
 
 
@@ -130,56 +116,73 @@ def mdl_9(t):
     return draws.agg(r6(F.percentile("value", F.lit(0.025))).alias("low"), r6(F.percentile("value", F.lit(0.975))).alias("high"))
 
 
-@query("mdl_10_lift_interval")
-def mdl_10(t):
-    """How much more often the outcome is in the top tenth, with an interval over days."""
-    w = Window.partitionBy("day").orderBy(col("p").desc(), "vec_id")
-    x = forecast(t).select("vec_id", (col("vec_id") % 20).alias("day"), col("p")[2].alias("p"), F.when(col("y") == 2, 1.0).otherwise(0.0).alias("hit"))
-    x = x.withColumn("top", F.row_number().over(w) * 10 <= F.count("*").over(Window.partitionBy("day")))
-    top, every = F.when(col("top"), col("hit")).otherwise(0.0), F.when(col("top"), 1.0).otherwise(0.0)
-    by_day = x.groupBy("day").agg(F.sum(top).alias("a"), F.sum(every).alias("b"), F.sum("hit").alias("c"), F.count("*").cast("double").alias("d"))
-    days = [(v.a, v.b, v.c, v.d) for v in by_day.orderBy("day").collect()]  # as many as days
-
-    def lift(of) -> float:
-        a, b, c, d = (sum(v) for v in zip(*of))
-        return a / max(b, 1.0) - c / d
+#: Days of forecasts: what is learnt from, of which the last fifth calibrates, and what is judged.
+DAYS, CALIBRATE, TEST = 20, 12, 15
 
-    def draw(seed: int) -> float:
-        g = Mulberry32(seed)
-        return lift([days[int(g.uniform() * len(days))] for _ in days])
 
-    draws = m.per_seed(t.spark, list(range(1, 301)), draw)
-    return draws.agg(F.lit(round(lift(days), 6)).alias("lift"), r6(F.percentile("value", F.lit(0.025))).alias("low"), r6(F.percentile("value", F.lit(0.975))).alias("high"))
+def scored(t):
+    """Forecasts of the last class with their day."""
+    return forecast(t).select("vec_id", col("p")[2].alias("p"), F.when(col("y") == 2, 1.0).otherwise(0.0).alias("y"), "w", (col("vec_id") % DAYS).alias("day"))
+
 
+SCORED_SQL = f"""{FORECAST_SQL}, sc AS (SELECT vec_id, p[3] AS p, CASE WHEN y = 2 THEN 1.0::DOUBLE ELSE 0.0 END AS y, w, vec_id % {DAYS} AS day FROM f)"""
 
-def scored(t):
-    return forecast(t).select("vec_id", col("p")[2].alias("p"), F.when(col("y") == 2, 1.0).otherwise(0.0).alias("y"), "w")
 
+@query("mdl_10_lift_interval")
+def mdl_10(t):
+    """How much more often the outcome is in the top tenth than in all and than in the bottom tenth, each with an interval over a thousand draws of days."""
+    all_rows, draws = m.lift_draws(scored(t).select(col("vec_id").alias("id"), "p", col("y").alias("hit"), "w", "day"), 1000)
+    out = [(name, round(float(all_rows[i]), 6), *(None if v is None else round(float(v), 6) for v in m.interval([d[i] for d in draws]))) for i, name in enumerate(("top over all", "top over bottom"))]
+    return t.spark.createDataFrame(out, "lift string, value double, low double, high double")
 
-@query("mdl_11_isotonic")
+
+@query("mdl_11_isotonic", f"""WITH {SCORED_SQL}, c AS (SELECT p, sum(w) AS w, sum(w * y) AS s, row_number() OVER (ORDER BY p) AS i FROM sc WHERE day >= {CALIBRATE} AND day < {TEST} GROUP BY 1), u AS (SELECT *, sum(w) OVER (ORDER BY i) AS cw, sum(s) OVER (ORDER BY i) AS cs FROM c),
+mn AS (SELECT a.i AS a, k.i AS k, min((b.cs - a.cs + a.s) / (b.cw - a.cw + a.w)) AS v FROM u a JOIN u k ON a.i <= k.i JOIN u b ON b.i >= k.i GROUP BY 1, 2), fit AS (SELECT u.p, max(v) AS v FROM mn JOIN u ON u.i = mn.k GROUP BY 1),
+n AS (SELECT vec_id, sc.p, (SELECT max(p) FROM fit WHERE fit.p <= sc.p) AS lo, (SELECT min(p) FROM fit WHERE fit.p >= sc.p) AS hi FROM sc WHERE day >= {TEST})
+SELECT vec_id, {r('CASE WHEN lo IS NULL THEN b.v WHEN hi IS NULL OR lo = hi THEN a.v ELSE a.v + (n.p - lo) / (hi - lo) * (b.v - a.v) END')} AS calibrated FROM n LEFT JOIN fit a ON a.p = lo LEFT JOIN fit b ON b.p = hi""")
 def mdl_11(t):
+    """Fitted on the last fifth of the days that are learnt from, applied to those that are judged."""
     x = scored(t)
-    xs, ys = m.isotonic(x)
-    return x.select("vec_id", r6(m.interpolated(col("p"), xs, ys)).alias("calibrated"))
+    blocks = m.isotonic(x.where(col("day").between(CALIBRATE, TEST - 1)))
+    return m.calibrated(x.where(col("day") >= TEST), blocks).select("vec_id", F.when(~F.isnan("calibrated"), r6(col("calibrated"))).alias("calibrated"))
 
 
 @query("mdl_12_platt")
 def mdl_12(t):
-    x = scored(t).select("vec_id", F.array(F.log(col("p") / (1 - col("p")))).alias("x"), col("y").cast("int").alias("y"), "w")
-    model = m.fit_softmax(x, 2, l2=1e-6)
-    return x.select("vec_id", r6(model.column(col("x"))[1]).alias("calibrated"))
+    """Two parameters on the log odds, fitted on the last fifth of the days that are learnt from, applied to those that are judged."""
+    p = F.least(F.lit(1 - 1e-9), F.greatest(F.lit(1e-9), col("p")))
+    x = scored(t).select("vec_id", "day", F.array(F.log(p / (1 - p))).alias("x"), col("y").cast("int").alias("y"), "w")
+    model = m.fit_softmax(x.where(col("day").between(CALIBRATE, TEST - 1)), 2, l2=1e-6)
+    return x.where(col("day") >= TEST).select("vec_id", r6(model.column(col("x"))[1]).alias("calibrated"))
+
+
+def calibration_error(x):
+    """The expected gap between confidence and hit rate over bins of equal frequency (``vec_id, p, y``), as ``agg_14`` has it."""
+    top = F.array_max("p")
+    x = k.global_rank(x.select("vec_id", top.alias("conf"), F.when(F.array_position("p", top) - 1 == col("y"), 1.0).otherwise(0.0).alias("hit")), [col("conf"), col("vec_id")])
+    bins = F.least(F.lit(10), F.floor(col("_rows") / 50))
+    e = x.where(bins >= 2).groupBy(F.floor((col("rank") * bins - 1) / col("_rows")).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("conf") - F.avg("hit")).alias("gap"))
+    return e.agg((F.sum(col("n") * col("gap")) / F.sum("n")).alias("ece")).first().ece
 
 
 @query("mdl_13_nested_features")
 def mdl_13(t):
-    """The same rows judged with one, two and four features."""
-    x, rows = training(t), []
-    for n in (1, 2, 4):
-        some = x.withColumn("x", F.slice("x", 1, n))
-        model = m.fit_softmax(some.where("vec_id % 4 <> 0"), 3)
-        test = some.where("vec_id % 4 = 0").agg(F.avg(brier_term(model.column(col("x")), col("y"))).alias("b")).first()
-        rows.append((n, round(test.b, 6)))
-    return t.spark.createDataFrame(rows, "features int, brier double")
+    """The same days judged with one, three and all of the features of a vector: skill with its interval over days, calibration error, and lift."""
+    rows, out = training(t).withColumn("day", (col("vec_id") % DAYS).cast("int")), []
+    rates = rows.where(col("day") < TEST).groupBy("y").agg(F.sum("w").alias("w")).collect()  # three
+    base = [sum(r_.w for r_ in rates if r_.y == i) / sum(r_.w for r_ in rates) for i in range(3)]
+    for n in (1, 3, 21):
+        some = rows.withColumn("x", F.slice("x", 1, n))
+        model = m.fit_softmax(some.where(col("day") < TEST), 3)
+        test = some.where(col("day") >= TEST).withColumn("p", model.column(col("x"))).drop("x").persist()
+        days = test.groupBy((col("day") % 2).alias("fold"), "day").agg(F.sum(col("w") * brier_term(col("p"), col("y"))).alias("model"), F.sum(col("w") * brier_term(F.array(*map(F.lit, base)), col("y"))).alias("base"))
+        total = days.agg((1 - F.sum("model") / F.sum("base")).alias("b")).first().b
+        low, high = m.interval([r_.value for r_ in m.bootstrap_skill(t.spark, days, 300).collect()])
+        lift, _ = m.lift_draws(test.select(col("vec_id").alias("id"), col("p")[2].alias("p"), F.when(col("y") == 2, 1.0).otherwise(0.0).alias("hit"), "w", "day"), 0)
+        ece = calibration_error(test)
+        test.unpersist()
+        out.append((n, *(None if v is None or v != v else round(float(v), 6) for v in (total, low, high, ece, *lift))))
+    return t.spark.createDataFrame(out, "features int, bss double, low double, high double, ece double, top_over_all double, top_over_bottom double")
 
 
 @query("prj_21_generator")

@@ -165,14 +165,15 @@ def prj_20(t):
 
 
 def forecast(t: Tables):
-    """Three class probabilities from embeddings, and the class as the label modulo 3."""
-    z = F.transform(F.slice("embedding", 1, 3), lambda x: F.exp(x.cast("double")))
+    """Three class probabilities from embeddings, each class scored by the mean of a third of the dimensions, and the class as the label modulo 3."""
+    value = lambda k: F.aggregate(F.filter("embedding", lambda x, i: i % 3 == k), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    z = F.array(*(F.exp(value(k) / 8) for k in range(3)))
     total = F.aggregate(z, F.lit(0.0), lambda a, x: a + x)
     return t.embeddings.select("vec_id", F.transform(z, lambda x: x / total).alias("p"), (col("label") % 3).alias("y"), (col("vec_id") % 3 + 1).cast("double").alias("w"))
 
 
-FORECAST_SQL = """f AS (SELECT vec_id, [z[1] / (z[1] + z[2] + z[3]), z[2] / (z[1] + z[2] + z[3]), z[3] / (z[1] + z[2] + z[3])] AS p, label % 3 AS y, CAST(vec_id % 3 + 1 AS DOUBLE) AS w
-  FROM (SELECT vec_id, label, [exp(embedding[1]::DOUBLE), exp(embedding[2]::DOUBLE), exp(embedding[3]::DOUBLE)] AS z FROM embeddings))"""
+FORECAST_SQL = f"""f AS (SELECT vec_id, [z[1] / (z[1] + z[2] + z[3]), z[2] / (z[1] + z[2] + z[3]), z[3] / (z[1] + z[2] + z[3])] AS p, label % 3 AS y, CAST(vec_id % 3 + 1 AS DOUBLE) AS w
+  FROM (SELECT vec_id, label, [{", ".join(f"exp(list_sum(list_transform(range({k}, 65, 3), lambda i: embedding[i]::DOUBLE)) / 8)" for k in (1, 2, 3))}] AS z FROM embeddings))"""
 
 
 @query("prj_22_prior_shift", f"""WITH {FORECAST_SQL}, q AS (SELECT vec_id, [p[1] * 0.5, p[2] * 2, p[3] * 1.5] AS q FROM f)

@@ -71,5 +71,6 @@ def stm_7(t):
 @query("stm_8_provisional_rows", "SELECT user_id, last(value ORDER BY ts, event_id) AS value, count(*) AS n FROM events GROUP BY 1")
 def stm_8(t):
     """The newest row is shown until its successor arrives; the last update of each key counts."""
-    out = s.to_the_end(s.provisional(ticks(t)), "update")
-    return out.groupBy("user_id").agg(F.max_by(F.struct("value", "n"), "batch").alias("x")).select("user_id", "x.value", "x.n")
+    out = s.to_the_end(s.provisional(ticks(t), "40 days"), "update")
+    x = out.groupBy("user_id", "bucket").agg(F.max_by(F.struct("ts", "value", "n"), "batch").alias("x"))
+    return x.groupBy("user_id").agg(F.max_by("x.value", "x.ts").alias("value"), F.sum("x.n").alias("n"))

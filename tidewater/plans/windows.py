@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import windows as w
 from ..functions.scalars import DAY_MS, HOUR_MS, change, ratio, round_half_up, utc_hour
 from ..operators import bars as b
+from ..operators import features as fe
 from .registry import bars_sql, query, r
 
 H4 = 4 * HOUR_MS
 col = F.col
 r6 = round_half_up
 #: Bars of the trailing windows: two weeks of hours, with the bars that the mean range before them needs, and what four-hour rankings use.
-TRAIL, NEED, RANK = 336, 349, 48
+TRAIL, NEED, RANK = w.TRAIL, w.NEED, 48
 
 
 def h4(t):
@@ -172,31 +173,11 @@ d AS (SELECT symbol, t, CASE WHEN count(q) = {TRAIL} THEN {r(f'100.0::DOUBLE * (
 SELECT symbol, t, dry FROM q LEFT JOIN d USING (symbol, t)""")
 def win_13(t):
     """Volume against the median of its hour of day within the window (8 samples at least, above 0), mid-ranked there; hours are fixed per window."""
-    return hourly(t).withColumn("q", dry_up_ratios()).select("symbol", "t", r6(dry_up(col("q"))).alias("dry"))
-
-
-def dry_up_ratios():
-    """The window's volumes over the median of their hour of day; null without the whole window."""
-    x = F.collect_list(F.struct(utc_hour(col("t")).alias("slot"), w.finite(col("v")).alias("v"))).over(w.frame(-(TRAIL - 1)))
-
-    def median(a):
-        k = F.size(a)
-        m = (F.element_at(a, F.floor((k + 1) / 2).cast("int")) + F.element_at(a, F.floor((k + 2) / 2).cast("int"))) / 2
-        return F.when((k >= 8) & (m > 0), m)
-
-    by_slot = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda s: F.array_sort(F.transform(F.filter(x, lambda e: e["slot"] == s), lambda e: e["v"])))
-    medians = F.transform(by_slot, lambda a: F.when(F.size(a) > 0, median(a)))
-    return F.when(col("whole") & w.full(col("v"), TRAIL), F.element_at(F.transform(F.array(medians), lambda m: F.transform(x, lambda e: e["v"] / F.get(m, e["slot"].cast("int")))), 1))
-
-
-def dry_up(q):
-    now = F.try_element_at(q, F.lit(-1))
-    below, same = F.size(F.filter(q, lambda y: y < now)), F.size(F.filter(q, lambda y: y == now))
-    return F.when(q.isNotNull() & F.forall(q, lambda y: y.isNotNull()), 100.0 * (below + 0.5 * same) / TRAIL)
+    return hourly(t).withColumn("q", w.dry_up_ratios(col("whole"))).select("symbol", "t", r6(w.dry_up(col("q"))).alias("dry"))
 
 
 #: The longest run that is counted.
-RUN = 168
+RUN = w.RUN
 
 
 @query("win_14_compression_run", f"""WITH {WHOLE_SQL}, x AS (SELECT symbol, t, atr_pct, whole, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM q),
@@ -205,11 +186,7 @@ k AS (SELECT m.symbol, m.t, CAST(any_value(m.rn) - coalesce(max(y.rn) FILTER (y.
 SELECT symbol, t, run FROM q LEFT JOIN k USING (symbol, t)""")
 def win_14(t):
     """Bars back from the current one whose range is below the median of the window, 168 at most."""
-    return hourly(t).withColumn("m", compression_limit()).select("symbol", "t", w.run_below("atr_pct", col("m"), RUN).alias("run"))
-
-
-def compression_limit():
-    return F.when(col("whole") & w.full(col("atr_pct"), TRAIL), F.percentile("atr_pct", F.lit(0.5)).over(w.frame(-(TRAIL - 1))))
+    return hourly(t).withColumn("m", w.compression_limit(col("whole"))).select("symbol", "t", w.run_below("atr_pct", col("m"), RUN).alias("run"))
 
 
 BENCH = f"{ATR_SQL}, {bars_sql(H4, every=True, name='market')}"
@@ -491,17 +468,15 @@ def win_36(t):
     return g.where("touches >= 2")
 
 
-FEATURES = ("change", "atr_pct", "volume", "trades")
-
-
-@query("win_40_feature_vector", f"""WITH {ATR_SQL}, f AS (SELECT symbol, t, {r('(c / lag(c) OVER w - 1) * 100')} AS change, {r('atr_pct')} AS atr_pct, {r('CASE WHEN v >= 50 THEN v END')} AS volume, CAST(trades AS DOUBLE) AS trades FROM p WINDOW w AS (PARTITION BY symbol ORDER BY t))
-SELECT symbol, t, change, atr_pct, volume, trades, concat_ws(',', CASE WHEN change IS NULL THEN 'change' END, CASE WHEN atr_pct IS NULL THEN 'atr_pct' END, CASE WHEN volume IS NULL THEN 'volume' END) AS missing FROM f""")
+@query("win_40_feature_vector")
 def win_40(t):
-    """Features in fixed order, null where missing, with the list of the missing ones."""
-    x = with_atr(h4(t))
-    values = {"change": r6(change(col("c"), F.lag("c").over(w.by_time()))), "atr_pct": r6(col("atr_pct")), "volume": r6(F.when(col("v") >= 50, col("v"))), "trades": col("trades").cast("double")}
-    x = x.select("symbol", "t", *(values[k].alias(k) for k in FEATURES))
-    return x.withColumn("missing", F.concat_ws(",", *(F.when(col(k).isNull(), k) for k in FEATURES)))
+    """The 21 features of every symbol at midnight, in fixed order, null where missing, with the missing ones, why, and the version of the rules."""
+    from .sequences import settlements
+
+    hourly_bars, four = b.from_events(t.events, HOUR_MS), h4(t)
+    market = b.from_events(t.events, HOUR_MS, F.lit("ALL"))
+    x = fe.feature_vectors(hourly_bars, four, market, settlements(t), floor=0.01, least_coins=LEAST).where((col("t") + HOUR_MS) % DAY_MS == 0)
+    return x.select("symbol", "t", *(r6(col(c)).alias(c) for c in fe.FEATURES), F.array_join("missing", ",").alias("missing"), "reasons", "version")
 
 
 @query("win_49_rolling_cost", """SELECT event_id, CAST(sum(k) OVER (PARTITION BY event_type ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS BIGINT) AS spent
