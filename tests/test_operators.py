@@ -251,8 +251,9 @@ def test_softmax_finds_the_minimum(spark):
 
 def test_isotonic_rises(spark):
     df = spark.createDataFrame([(p / 100, float(p % 3 == 0 or p > 60), 1.0) for p in range(100)], "p double, y double, w double")
-    xs, ys = modelling.isotonic(df)
-    assert xs == sorted(xs) and ys == sorted(ys) and ys[0] < 0.5 < ys[-1]
+    blocks = modelling.isotonic(df)
+    ys = [sy / w for _, _, sy, w in blocks]
+    assert [a for a, *_ in blocks] == sorted(a for a, *_ in blocks) and ys == sorted(ys) and ys[0] < 0.5 < ys[-1]
 
 
 def test_block_shift_keeps_the_labels_of_a_group(spark):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .rules import present
 
 #: Fixed thresholds; those that are None have to be set before anything passes.
-THRESHOLDS = {"ece_max": None, "min_class_samples": None, "min_folds": 3, "min_effective_n": 20 * 2 * 22, "min_effective_test_n": 500, "min_test_span_days": 60, "min_regime_days": 30, "min_delisted_coverage": 0.9}
+THRESHOLDS = {"ece_max": None, "min_class_samples": None, "min_folds": 3, "min_effective_n": 20 * 2 * 22, "min_effective_test_n": 250, "min_test_span_days": 60, "min_regime_days": 30, "min_delisted_coverage": 0.9}
 
 
 def _number(x) -> bool:
@@ -84,7 +84,7 @@ def reasons(thresholds: dict | None = None) -> Column:
     Columns: ``bss, random_p95, residual_bss, ece, class_counts`` and ``folds`` (arrays), ``effective_n, effective_test_n, test_span_days, same_cutpoints, sampling_days``, the
     days of ``REGIMES``, ``identified, obtained, listed`` and ``unexplained`` delisted contracts, and ``leak``. What is null or NaN counts as missing.
     """
-    t = THRESHOLDS | {"min_effective_test_n": 250} | (thresholds or {})
+    t = THRESHOLDS | (thresholds or {})
     c = lambda name: F.when(~F.isnan(name), F.col(name))
     unset = [(F.lit(not _number(v)), f"threshold {k} not configured") for k, v in t.items()]
     limit = {k: F.lit(v if _number(v) else None).cast("double") for k, v in t.items()}
