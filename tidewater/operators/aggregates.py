@@ -47,7 +47,8 @@ def _between(v: Column, rn: Column, n: Column, p: float) -> Column:
     h = (n - 1) * F.lit(p)
     low, high = F.floor(h), F.ceil(h)
     a, b = F.max(F.when(rn == low + 1, v)), F.max(F.when(rn == high + 1, v))
-    return a + (b - a) * F.max(h - low)
+    part = F.max(h - low)
+    return a * (1 - part) + b * part
 
 
 def global_quantile(df: DataFrame, value: str, p: float, *tie: str) -> DataFrame:

@@ -232,8 +232,8 @@ def rul_19(t):
 
 
 #: What an evaluation reports of each head, made of a supplier's line items; some of it missing.
-REPORT_SQL = """rep AS (SELECT l_suppkey AS head, avg(l_discount) - 0.03 AS bss, CASE WHEN l_suppkey % 17 <> 0 THEN 0.01 + l_suppkey % 5 / 200.0 END AS random_p95, CASE WHEN l_suppkey % 13 <> 0 THEN avg(l_tax) - 0.035 END AS residual_bss, CASE WHEN l_suppkey % 19 <> 0 THEN stddev_samp(l_tax) - 0.007 END AS ece, count(*) FILTER (l_returnflag = 'A') AS class_a, count(*) FILTER (l_returnflag = 'N') AS class_b, count(*) FILTER (l_returnflag = 'R') AS class_c,
- CASE WHEN l_suppkey % 11 = 0 THEN 2 ELSE 3 END AS folds, CASE WHEN l_suppkey % 23 <> 0 THEN avg(l_discount) FILTER (l_linenumber = 1) - 0.045 END AS worst_fold, sum(l_quantity) / 12 AS effective_n, sum(l_quantity) / 40 AS effective_test_n, count(DISTINCT l_shipdate) / 4 AS test_span_days, l_suppkey % 7 <> 3 AS same_cutpoints, CASE WHEN l_suppkey % 29 = 0 THEN 2 ELSE 1 END AS sampling_days,
+REPORT_SQL = """rep AS (SELECT l_suppkey AS head, (floor((avg(l_discount) - 0.03) * 1e6 + 0.5) / 1e6) AS bss, CASE WHEN l_suppkey % 17 <> 0 THEN 0.01 + l_suppkey % 5 / 200.0 END AS random_p95, CASE WHEN l_suppkey % 13 <> 0 THEN (floor((avg(l_tax) - 0.035) * 1e6 + 0.5) / 1e6) END AS residual_bss, CASE WHEN l_suppkey % 19 <> 0 THEN (floor((stddev_samp(l_tax) - 0.007) * 1e6 + 0.5) / 1e6) END AS ece, count(*) FILTER (l_returnflag = 'A') AS class_a, count(*) FILTER (l_returnflag = 'N') AS class_b, count(*) FILTER (l_returnflag = 'R') AS class_c,
+ CASE WHEN l_suppkey % 11 = 0 THEN 2 ELSE 3 END AS folds, CASE WHEN l_suppkey % 23 <> 0 THEN (floor((avg(l_discount) FILTER (l_linenumber = 1) - 0.045) * 1e6 + 0.5) / 1e6) END AS worst_fold, sum(l_quantity) / 12 AS effective_n, sum(l_quantity) / 40 AS effective_test_n, count(DISTINCT l_shipdate) / 4 AS test_span_days, l_suppkey % 7 <> 3 AS same_cutpoints, CASE WHEN l_suppkey % 29 = 0 THEN 2 ELSE 1 END AS sampling_days,
  count(*) FILTER (l_linenumber = 1) / 3 AS trend_low, count(*) FILTER (l_linenumber = 2) / 3 AS trend_high, count(*) FILTER (l_linenumber = 3) / 3 AS vol_low, CASE WHEN l_suppkey % 31 <> 0 THEN count(*) FILTER (l_linenumber = 4) / 2 END AS vol_high, CASE WHEN l_suppkey % 37 <> 0 THEN 100 END AS identified, 88 + l_suppkey % 14 AS obtained, 12 - l_suppkey % 14 + (l_suppkey % 41 = 0)::INT AS listed, (l_suppkey % 43 = 0)::INT AS unexplained,
  CASE WHEN l_suppkey % 8 = 5 THEN 'leak_suspected' WHEN l_suppkey % 8 = 6 THEN 'inconclusive' ELSE 'clean' END AS leak FROM lineitem GROUP BY l_suppkey)"""
 REASONS = {
@@ -252,11 +252,11 @@ def rul_20(t):
     line = lambda i: F.count_if(col("l_linenumber") == i)
     flag = lambda f: F.count_if(col("l_returnflag") == f)
     g = t.lineitem.groupBy("l_suppkey").agg(
-        (F.avg(d) - 0.03).alias("bss"), F.avg("l_tax").alias("tax"), F.stddev_samp("l_tax").alias("sd"), flag("A").alias("class_a"), flag("N").alias("class_b"), flag("R").alias("class_c"), (F.avg(F.when(col("l_linenumber") == 1, d)) - 0.045).alias("fold"),
+        r6(F.avg(d) - 0.03).alias("bss"), F.avg("l_tax").alias("tax"), F.stddev_samp("l_tax").alias("sd"), flag("A").alias("class_a"), flag("N").alias("class_b"), flag("R").alias("class_c"), r6(F.avg(F.when(col("l_linenumber") == 1, d)) - 0.045).alias("fold"),
         (F.sum("l_quantity") / 12).alias("effective_n"), (F.sum("l_quantity") / 40).alias("effective_test_n"), (F.countDistinct("l_shipdate") / 4).alias("test_span_days"), (line(1) / 3).alias("trend_low"), (line(2) / 3).alias("trend_high"), (line(3) / 3).alias("vol_low"), (line(4) / 2).alias("vol_4"), n.alias("n"),
     )
     report = g.select(
-        k.alias("head"), "bss", F.when(k % 17 != 0, 0.01 + k % 5 / 200).alias("random_p95"), F.when(k % 13 != 0, col("tax") - 0.035).alias("residual_bss"), F.when(k % 19 != 0, col("sd") - 0.007).alias("ece"), F.array("class_a", "class_b", "class_c").alias("class_counts"),
+        k.alias("head"), "bss", F.when(k % 17 != 0, 0.01 + k % 5 / 200).alias("random_p95"), F.when(k % 13 != 0, r6(col("tax") - 0.035)).alias("residual_bss"), F.when(k % 19 != 0, r6(col("sd") - 0.007)).alias("ece"), F.array("class_a", "class_b", "class_c").alias("class_counts"),
         F.when(k % 11 == 0, F.array(F.when(k % 23 != 0, col("fold")), F.lit(1.0))).otherwise(F.array(F.when(k % 23 != 0, col("fold")), F.lit(1.0), F.lit(1.0))).alias("folds"), "effective_n", "effective_test_n", "test_span_days", (k % 7 != 3).alias("same_cutpoints"), F.when(k % 29 == 0, 2).otherwise(1).alias("sampling_days"),
         "trend_low", "trend_high", "vol_low", F.when(k % 31 != 0, col("vol_4")).alias("vol_high"), F.when(k % 37 != 0, 100).alias("identified"), (88 + k % 14).alias("obtained"), (12 - k % 14 + (k % 41 == 0).cast("int")).alias("listed"), (k % 43 == 0).cast("int").alias("unexplained"),
         F.when(k % 8 == 5, "leak_suspected").when(k % 8 == 6, "inconclusive").otherwise("clean").alias("leak"),
