@@ -285,3 +285,48 @@ def test_streamed_positions_close_and_expire(spark, tmp_path):
         q.awaitTermination()
     assert [x for x in out if x[0] == 1] == [(1, "opened"), (1, "increased"), (1, "closed")] and [x for x in out if x[0] == 2] == [(2, "opened"), (2, "expired")]
     assert (3, "opened") in out
+
+
+# --- votes, settlements, grids
+
+
+def test_votes_of_positions_and_flows(spark):
+    from tidewater.operators import cycles as cy
+
+    held = spark.createDataFrame([(1, "A", "LONG", 75.0), (1, "A", "SHORT", 0.0), (1, "B", "SHORT", 25.0), (2, "A", "SHORT", 10.0)], "trader long, symbol string, side string, cost double")
+    orders = spark.createDataFrame(
+        [(1, "A", "LONG", True, 10.0, 6.0, 5), (1, "A", "LONG", False, 10.0, 2.0, 6), (1, "C", "SHORT", True, 20.0, 1.0, 7), (1, "C", "SHORT", True, 99.0, 9.0, 1), (1, "C", "SHORT", True, 99.0, 9.0, 20)],
+        "trader long, symbol string, side string, opens boolean, qty double, price double, time long",
+    )
+    got = {(r.trader, r.symbol): r for r in cy.votes(held, orders, 5, 10).collect()}
+    assert got[1, "A"].holding == pytest.approx(math.sqrt(0.75)) and got[1, "B"].holding == pytest.approx(-0.5) and got[2, "A"].holding == -1.0
+    # 60 bought and 20 sold of A, 20 sold of C: 80 and 20 of 100
+    assert got[1, "A"].flow == pytest.approx(0.5 * math.sqrt(0.8)) and got[1, "C"].flow == pytest.approx(-math.sqrt(0.2)) and (got[1, "C"].orders, got[1, "C"].holding) == (1, None)
+
+
+def test_intervals_against_the_truth(spark):
+    from tidewater.operators.funding import interval_check
+
+    hours = [0, 8, 16, 24, 28, 32, 33.5, 37.5, 41.5]
+    truth = [8, 8, 8, 8, 4, 8, 4, 4, 4]
+    r = interval_check(spark.createDataFrame([("X", int(h * H), t) for h, t in zip(hours, truth)], "symbol string, time long, truth int")).first()
+    # kept are 8, 16, 28 and both 4-hour rows at the end: 24 is followed by another interval, 32 by none, 33.5 fits none
+    assert (r.compared, r.matched, r.lagging, r.refused) == (5, 5, 0, 3)
+    assert (r.refused_by_next, r.longer, r.shorter, r.broken) == (1, 0, 1, 1)
+
+
+def test_points_of_a_grid_are_those_of_range_detection(spark):
+    from tidewater.operators.structure import range_points
+
+    rng = random.Random(8)
+    c = [100 + 5 * math.sin(2 * math.pi * i / 40) + rng.uniform(-0.3, 0.3) for i in range(240)]
+    h, l = [x + 0.5 for x in c], [x - 0.5 for x in c]
+    x = spark.createDataFrame([("X", i * H, h[i], l[i], c[i]) for i in range(240)], "symbol string, t long, h double, l double, c double")
+    atr = s.atr_series(h, l, c, 14)
+    got = {(r.t // H, r.mult, r.tol): r for r in range_points(x, 84, 20, [1.5, 2.0], [0.5, 1.0]).collect()}
+    assert len(got) == 4 * len(range(98, 240, 20))
+    for (at, mult, tol), r in got.items():
+        want = s.range_at(at, h, l, c, atr, s.swings_of(h, l, atr, mult), s.PARAMS | {"lookback": 84, "tol_atr": tol, "max_height_atr": math.inf})
+        assert r.state == want["state"] and (r.height_atr, r.containment) == (want.get("height_atr"), want.get("containment"))
+        assert r.touches == (min(want["top_touches"], want["bottom_touches"]) if want["state"] == "range" else None)
+    assert any(r.state == "range" for r in got.values())
