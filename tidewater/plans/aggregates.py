@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import DAY_MS, HOUR_MS, brier_term, clamp, ratio, round_half_up
+from ..functions.scalars import DAY_MS, HOUR_MS, brier_term, ratio, round_half_up
 from ..operators import aggregates as a
 from ..operators import bars as b
 from ..operators import ranking as k

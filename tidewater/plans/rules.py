@@ -9,7 +9,6 @@ from ..functions.windows import by_time, ema
 from ..operators import gate
 from ..operators import rules as u
 from . import windows as wq
-from .joins import snapshot, snapshot_sql
 from .registry import K, query, r
 
 col = F.col

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import HOUR_MS, round_half_up, to_number
 from ..operators import bars as b
+from ..operators.scale import shared_folder
 from ..sources import files as f
 from .registry import bars_sql, query, r
 
@@ -27,7 +28,7 @@ def raw_rows(t, every: bool = False):
 
 @query("src_1_klines_csv", f"WITH {bars_sql(H4, every=True)} SELECT t, o, h, l, c, trades FROM bars")
 def src_1(t):
-    path = f.shared_folder(t.spark)
+    path = shared_folder(t.spark)
     raw_rows(t, every=True).drop("symbol").write.option("header", True).csv(path)
     x = f.klines_csv(t.spark, path)
     return x.select(col("open_time").cast("long").alias("t"), *(col(n).cast("double").alias(k) for n, k in (("open", "o"), ("high", "h"), ("low", "l"), ("close", "c"))), col("trades").cast("long"))
@@ -35,7 +36,7 @@ def src_1(t):
 
 @query("src_2_funding_csv", f"WITH {bars_sql(H4, every=True)} SELECT t AS time, 4 AS hours, {r('(c - 50) / 100000', 9)} AS rate FROM bars")
 def src_2(t):
-    path = f.shared_folder(t.spark)
+    path = shared_folder(t.spark)
     b.from_events(t.events, H4, F.lit("ALL")).select(col("t").alias("calc_time"), F.lit(4).alias("hours"), ((col("c") - 50) / 100_000).alias("rate")).write.option("header", True).csv(path)
     return f.funding_csv(t.spark, path).withColumn("rate", r6(col("rate"), 9))
 
@@ -55,7 +56,7 @@ def write_series(t, path: str) -> None:
 
 @query("src_3_series_json", f"WITH {BARS4} SELECT symbol, t, o, c, row_number() OVER (PARTITION BY symbol, t // {BLOCK_MS} ORDER BY t) - 1 AS i FROM bars")
 def src_3(t):
-    path = f.shared_folder(t.spark)
+    path = shared_folder(t.spark)
     write_series(t, path)
     series = f.series_rows(f.series_json(t.spark, path))
     return series.select("symbol", col("open_time").cast("long").alias("t"), col("open").cast("double").alias("o"), col("close").cast("double").alias("c"), col("i").cast("long"))
@@ -64,7 +65,7 @@ def src_3(t):
 @query("src_4_tolerant_scan", "SELECT count(*) AS readable, count(*) AS named, (SELECT count(*) FROM nation WHERE n_nationkey % 5 = 0) AS unreadable FROM nation WHERE n_nationkey % 5 <> 0")
 def src_4(t):
     """Documents that can't be read are counted."""
-    path = f.shared_folder(t.spark)
+    path = shared_folder(t.spark)
     text = F.when(col("n_nationkey") % 5 == 0, '{"symbol": "broken').otherwise(F.to_json(F.struct(col("n_name").alias("symbol"))))
     t.nation.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return f.series_json(t.spark, path).agg(F.count_if(col("_corrupt").isNull()).alias("readable"), F.count("symbol").alias("named"), F.count_if(col("_corrupt").isNotNull()).alias("unreadable"))
@@ -72,7 +73,7 @@ def src_4(t):
 
 @query("src_5_latest_run", "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
 def src_5(t):
-    folder = f.shared_folder(t.spark)
+    folder = shared_folder(t.spark)
     for region in (1, 2):
         f.publish(t.nation.where(col("n_regionkey") == region).select("n_nationkey", "n_name"), folder, f"run-{region}")
     return f.latest(t.spark, folder)
@@ -81,7 +82,7 @@ def src_5(t):
 @query("snk_1_publish", "SELECT count(*) AS n, 2 AS pointers FROM nation WHERE n_regionkey = 2")
 def snk_1(t):
     """Two runs published one after the other: readers are at the second, and the pointer to the first was never taken away."""
-    folder = f.shared_folder(t.spark)
+    folder = shared_folder(t.spark)
     for region in (1, 2):
         f.publish(t.nation.where(col("n_regionkey") == region).select("n_nationkey"), folder, f"run-{region}")
     pointers = t.spark.read.schema("run string").json(f"{folder}/latest-*.json").agg(F.count("*").cast("int").alias("pointers"))  # one row
@@ -94,7 +95,7 @@ SNAPSHOT = "id string, cutoff long, contracts array<struct<symbol:string,family:
 @query("src_6_snapshot_ingest", f"""SELECT p_brand AS id, p_partkey AS symbol, CASE WHEN p_partkey % 7 <> 0 THEN {r('p_retailprice', 4)} END AS last, CASE WHEN p_partkey % 5 <> 0 THEN {r('p_retailprice * 0.999::DOUBLE', 4)} END AS bid FROM part""")
 def src_6(t):
     """Landed documents of a collector, one for each run, with what each endpoint gave for each contract; absent answers stay null."""
-    path = f.shared_folder(t.spark)
+    path = shared_folder(t.spark)
     text = lambda c, on: F.when(on, c.cast("string"))
     last, bid = r6(col("p_retailprice"), 4), r6(col("p_retailprice") * 0.999, 4)
     contract = F.struct(
@@ -120,7 +121,7 @@ def src_7(t):
 
 @query("src_8_ndjson", "SELECT n_nationkey, n_name FROM nation")
 def src_8(t):
-    path = f.shared_folder(t.spark)
+    path = shared_folder(t.spark)
     f.append_ndjson(t.nation.where("n_nationkey < 10").select("n_nationkey", "n_name"), path)
     f.append_ndjson(t.nation.where("n_nationkey >= 10").select("n_nationkey", "n_name"), path)
     return f.ndjson(t.spark, path, "n_nationkey int, n_name string")
@@ -138,7 +139,7 @@ def src_9(t):
 
 @query("snk_4_insert", "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1")
 def snk_4(t):
-    path = f.shared_folder(t.spark)
+    path = shared_folder(t.spark)
     for half in (0, 1):
         f.append_rows(t.nation.where(col("n_nationkey") % 2 == half), path)
     return t.spark.read.parquet(path).groupBy("n_regionkey").agg(F.count("*").alias("n"))
@@ -161,7 +162,7 @@ def src_11(t):
 
 @query("src_12_verified_read", "SELECT status, count(*) AS n FROM (SELECT CASE WHEN n_nationkey = 24 THEN 'missing' WHEN n_nationkey % 6 = 0 THEN 'mismatch' ELSE 'ok' END AS status FROM nation) GROUP BY 1")
 def src_12(t):
-    path = f.shared_folder(t.spark)
+    path = shared_folder(t.spark)
     t.nation.where("n_nationkey < 24").select("n_name", col("n_nationkey").alias("k")).repartition(24, "k").write.partitionBy("k").text(path)
     published = f.manifest(t.spark, path)
     changed = F.regexp_extract("name", "k=([0-9]+)", 1).cast("int") % 6 == 0
@@ -178,7 +179,7 @@ def src_13(t):
 
 @query("snk_2_quoted_csv", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
 def snk_2(t):
-    path = f.shared_folder(t.spark)
+    path = shared_folder(t.spark)
     f.write_quoted_csv(t.customer.select("c_custkey", "c_name", "c_mktsegment"), path)
     return t.spark.read.schema("c_custkey long, c_name string, c_mktsegment string").option("header", True).option("escape", '"').csv(path)
 
@@ -186,7 +187,7 @@ def snk_2(t):
 @query("snk_6_manifest")
 def snk_6(t):
     """Sizes and checksums of a run's files, with a written report on its first rows and the counts of its summary."""
-    folder = f.shared_folder(t.spark)
+    folder = shared_folder(t.spark)
     f.publish(t.region.coalesce(1), folder, "run-1")
     summary = t.region.agg(F.count("*").alias("rows"), F.countDistinct("r_name").alias("names"))  # one row
     f.write_text(t.spark, f.report(t.region.orderBy("r_regionkey").limit(10).collect(), "Regions"), f"{folder}/runs/report.md")
@@ -197,7 +198,7 @@ def snk_6(t):
 @query("snk_7_run_lock")
 def snk_7(t):
     """A second run under the same lock stops."""
-    path, states = f"{f.shared_folder(t.spark)}/run.lock", []
+    path, states = f"{shared_folder(t.spark)}/run.lock", []
     with f.RunLock(t.spark, path):
         states.append("first runs")
         try:

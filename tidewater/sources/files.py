@@ -13,9 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.scalars import csv_quoted, to_number
 from ..operators.bars import RAW
 from ..operators.rules import present
-from ..operators.scale import shared_folder
-
-__all__ = ["shared_folder"]
 
 
 def _fs(spark: SparkSession, path: str):
