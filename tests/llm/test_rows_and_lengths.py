@@ -3,7 +3,6 @@
 import collections
 import math
 import random
-import re
 import string
 import time
 
