@@ -50,6 +50,17 @@ def rows_in(df: DataFrame, each: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // each))
 
 
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], matches: str, most: int = 10_000) -> DataFrame:
+    """``rows``, which are stored, left-joined with ``table``, which is stored too, has a row for each key and in ``matches`` how many rows have it.
+
+    Keys that one in ``most`` rows or more have, of which there are ``most`` at the utmost, are broadcast, so that their rows stay where they are; only the others meet by key.
+    """
+    bound = max(rows.count() // most, 1_000)
+    hot, rest = F.broadcast(table.where(F.col(matches) > bound)), table.where(F.col(matches) <= bound)
+    met = rows.join(hot.drop(matches), keys)
+    return met.unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest.drop(matches), keys, "left"))
+
+
 def with_row_ids(docs: DataFrame, name: str) -> DataFrame:
     """``docs`` stored with an id for each row, repeated ones too, that stays the same whenever the table is read."""
     return stored(docs.withColumn(name, F.monotonically_increasing_id()))

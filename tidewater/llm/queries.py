@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import backoff, decontaminate, gif, language, mixing, quality, secrets, simhash, toxicity, warc
+from . import audit, backoff, decontaminate, gif, language, mixing, packing, quality, secrets, simhash, toxicity, trie, warc
 from .common import table
 
 
@@ -52,10 +52,24 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(simhash.near_duplicates(table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.digest(table(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality, op2_backoff, op2_backoff_trigrams, op3_decontaminate, op4_mixing, op5_secrets, op6_gif, op7_toxicity, op8_warc, op9_language, op10_simhash)
+    for f in (op1_quality, op2_backoff, op2_backoff_trigrams, op3_decontaminate, op4_mixing, op5_secrets, op6_gif, op7_toxicity, op8_warc, op9_language, op10_simhash, op11_prefix_trie, op12_filter_audit, op13_packing)
 }
 
 #: Models, images, fingerprints, schedules and spans are tested against brute force instead.
-ORACLE_SQL = {"op2_backoff": backoff.ORACLE_SQL, "op2_backoff_trigrams": backoff.TRIGRAM_SQL, "op3_decontaminate": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL}
+ORACLE_SQL = {"op2_backoff": backoff.ORACLE_SQL, "op2_backoff_trigrams": backoff.TRIGRAM_SQL, "op3_decontaminate": decontaminate.ORACLE_SQL, "op8_warc": warc.ORACLE_SQL, "op11_prefix_trie": trie.ORACLE_SQL, "op12_filter_audit": audit.ORACLE_SQL}
