@@ -429,8 +429,8 @@ def test_warc(spark, tmp_path):
 def test_warc_parts_may_be_missing_and_damage_is_seen(spark):
     record = b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: <%s>\r\nWARC-Concurrent-To: <r>\r\nContent-Length: 2\r\n\r\nok\r\n\r\n"
     assert [r["type"] for r in warc.parse(record % (b"request", b"q") + record % (b"metadata", b"m"))] == ["request", "metadata"]
-    with pytest.raises(ValueError):
-        list(warc.parse(b"x" + record % (b"request", b"q")))
+    odd = list(warc.parse(b"x" + record % (b"request", b"q") + b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: many\r\n\r\n" + record % (b"metadata", b"m")))
+    assert [(r["type"], r["error"]) for r in odd[:2]] == [(None, "no record at byte 0"), ("request", None)] and odd[2]["error"] and odd[3]["type"] == "metadata" and len(odd) == 4
 
 
 # --- classifiers

@@ -12,6 +12,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,7 @@ LEAST_BYTES = 1000
 _DATE = "2024-01-01T00:00:00Z"
 RECORDS = (
     "record_id string, concurrent_to array<string>, type string, refers_to string, target_uri string, digest string, "
-    "block_bytes long, payload_bytes long, payload_digest string, intact boolean, body binary"
+    "block_bytes long, payload_bytes long, payload_digest string, intact boolean, error string, body binary"
 )
 
 
@@ -33,10 +34,11 @@ def _tag(salt: Column, copy: Column) -> Column:
 
 
 def plan(pages: DataFrame, least_bytes: int = LEAST_BYTES, every_page: DataFrame | None = None) -> DataFrame:
-    """``page_id``, ``url``, ``html``, its UTF-8 size and SHA-1, ``tag``, and ``same_as``, ``same_tag``: for payloads of ``least_bytes`` and more the largest page of that payload.
+    """``page_id``, ``url``, ``html``, its UTF-8 size and SHA-1, ``tag``, and where a payload of ``least_bytes`` and more occurs more than once ``shared``, ``same_as`` and ``same_tag``: the one row that stands for it.
 
-    Null html counts as empty. The largest page of a digest is a maximum that tasks combine before it is shuffled; what is joined
-    back are the digests that occur more than once, and Spark splits those that hold many pages.
+    That is the row with the largest page_id, of several with that id the one of the greatest tag; rows without an id stand for a payload only where no other has it. Null html counts as
+    empty. The row of a digest is a maximum that tasks combine before it is shuffled; what is joined back are the digests that occur more than once, and Spark splits those that hold
+    many pages. ``pages`` are read twice and should come from files or be stored, so that both readings deal rows to tasks alike.
 
     ``tag`` is null where a page_id occurs once. Other rows, those without an id too, are numbered among their equals, which tasks count before
     they are shuffled; rows without an id are counted by the task that reads them, so that they stay spread. ``every_page`` are the rows among which
@@ -53,11 +55,9 @@ def plan(pages: DataFrame, least_bytes: int = LEAST_BYTES, every_page: DataFrame
     copies = more.groupBy("page_id", "url", "n", "sha1", "salt").agg(F.first("html").alias("html"), F.count("*").alias("copies"))
     numbered = copies.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).withColumn("tag", _tag(F.col("salt"), F.col("copy")))
     each = once.unionByName(numbered.drop("salt", "copies", "copy"))
-    # of the largest page, the first of the rows with the greatest url stands for the payload
-    largest = F.max(F.struct("page_id", "url"))
-    large = p.where(F.col("n") >= least_bytes).groupBy("sha1").agg(largest.alias("x"), F.count("*").alias("copies")).where("copies > 1").select("sha1", F.col("x.page_id").alias("same_as"), "x.url")
-    large = large.join(repeated.withColumn("again", F.lit(True)), F.col("same_as") == F.col("page_id"), "left")
-    large = large.select("sha1", "same_as", F.when(F.col("again"), _tag(F.lit(0), F.lit(1))).alias("same_tag"))
+    one = F.max(F.struct("page_id", "tag"))  # nulls come first
+    large = each.where(F.col("n") >= least_bytes).groupBy("sha1").agg(one.alias("x"), F.count("*").alias("copies")).where("copies > 1")
+    large = large.select("sha1", F.lit(True).alias("shared"), F.col("x.page_id").alias("same_as"), F.col("x.tag").alias("same_tag"))
     # payloads that occur once need no join: only the digests of the others are kept
     return each.join(large, "sha1", "left")
 
@@ -79,7 +79,7 @@ def records(planned: DataFrame) -> DataFrame:
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
     uri = F.concat(F.lit("WARC-Target-URI: "), url)
     with_main = F.concat(F.lit("WARC-Concurrent-To: <"), main, F.lit(">"))
-    revisit = F.coalesce(F.col("same_as") != page, F.lit(False))
+    revisit = F.coalesce(F.col("shared"), F.lit(False)) & ~(F.col("same_as").eqNullSafe(page) & F.col("same_tag").eqNullSafe(tag))
     head = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("sha1"))
     refers = F.when(revisit, F.concat(F.lit("WARC-Refers-To: <"), _urn(F.col("same_as"), F.col("same_tag"), "response"), F.lit(">")))
@@ -110,31 +110,47 @@ def write(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES, records_p
         records(plan(some, least_bytes, pages)).write.option("lineSep", "\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(f"{path}/{k}")
 
 
-def _unpacked(content: bytes) -> bytes:
-    """An archive's bytes; gzip members, of which there may be one for each record, are unpacked and joined."""
+def _unpacked(content: bytes) -> tuple[bytes, str | None]:
+    """An archive's bytes, and what is wrong with its compression; gzip members, of which there may be one for each record, are unpacked and joined as far as they can be."""
     if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
+        return content, None
+    out, error = [], None
+    while content and not error:
         d = zlib.decompressobj(31)
-        out += [d.decompress(content), d.flush()]
-        content = d.unused_data
-    return b"".join(out)
+        try:
+            for i in range(0, len(content), 1 << 20):  # what comes before the damage stays
+                out.append(d.decompress(content[i : i + (1 << 20)]))
+                if d.eof:
+                    content = d.unused_data + content[i + (1 << 20) :]
+                    break
+            else:
+                content, error = b"", "compressed data end early"
+        except zlib.error as e:
+            error = f"compressed data are damaged: {e}"
+    return b"".join(out), error
 
 
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)+)\r\n")
+NOTHING = dict.fromkeys(c.split()[0] for c in RECORDS.split(", ")) | {"concurrent_to": [], "intact": False}
 
 
 def parse(data: bytes) -> Iterator[dict]:
-    """The records of an uncompressed archive, cut by Content-Length; raises ValueError where a record doesn't begin."""
+    """The records of an uncompressed archive, cut by Content-Length.
+
+    Where no whole header begins there is a row with an ``error`` and no type, and reading goes on at the next header, if any. A block that the archive's end cuts off isn't ``intact``.
+    """
     at = 0
     while at < len(data):
         m = _HEADER.match(data, at)
-        if not m:
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = [(k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in m[1].decode().split("\r\n"))]
+        lines = [(k.strip().lower(), v.strip()) for k, _, v in (line.partition(":") for line in m[1].decode(errors="replace").split("\r\n"))] if m else []
         h = dict(lines)
-        start, size = m.end(), int(h["content-length"])
+        length = h.get("content-length", "")
+        if not m or "warc-type" not in h or not re.fullmatch("[0-9]+", length):
+            after = _HEADER.search(data, at + 1)
+            yield NOTHING | {"record_id": h.get("warc-record-id", "").strip("<>") or None, "error": f"no record at byte {at}"}
+            at = after.start() if after else len(data)
+            continue
+        start, size = m.end(), int(length)
         block, at = data[start : start + size], start + size + 4
         body = block.partition(b"\r\n\r\n")[2] if h["warc-type"] in ("response", "revisit") else block
         ident = {k: h.get(f"warc-{k}", "").strip("<>") or None for k in ("record-id", "refers-to", "target-uri")}
@@ -143,14 +159,14 @@ def parse(data: bytes) -> Iterator[dict]:
         yield {
             "record_id": ident["record-id"], "concurrent_to": [v.strip("<>") for k, v in lines if k == "warc-concurrent-to"], "type": h["warc-type"], "refers_to": ident["refers-to"],
             "target_uri": ident["target-uri"], "digest": digest, "block_bytes": size, "payload_bytes": len(body), "payload_digest": sha,
-            "intact": len(block) == size and (sha is None or digest in (None, sha)), "body": body,
+            "intact": len(block) == size and (sha is None or digest in (None, sha)), "error": None, "body": body,
         }
 
 
 def read(spark, path: str, bodies: bool = True) -> DataFrame:
-    """The records of all archives under ``path``, gzip-compressed or not; ``body`` is null unless ``bodies``."""
+    """The records of all archives under ``path``, gzip-compressed or not; ``body`` is null unless ``bodies``. What can't be read is a row with an ``error``, and the job goes on."""
     names = [c.split()[0] for c in RECORDS.split(", ")]
-    kind = pa.struct([*((k, pa.string()) for k in ("record_id", "type", "refers_to", "target_uri", "digest")), ("concurrent_to", pa.list_(pa.string())), ("block_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("intact", pa.bool_()), ("body", pa.binary())])
+    kind = pa.struct([*((k, pa.string()) for k in ("record_id", "type", "refers_to", "target_uri", "digest")), ("concurrent_to", pa.list_(pa.string())), ("block_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("intact", pa.bool_()), ("error", pa.string()), ("body", pa.binary())])
 
     def batch_of(some: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_struct_array(pa.array(some, kind)).select(names)
@@ -159,7 +175,8 @@ def read(spark, path: str, bodies: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 some: list[dict] = []
-                for record in parse(_unpacked(content)):
+                data, error = _unpacked(content)
+                for record in chain(parse(data), [NOTHING | {"error": error}] if error else []):
                     if not bodies or record["type"] == "request":
                         record["body"] = record["body"] if record["type"] == "metadata" else None
                     some.append(record)
@@ -258,10 +275,10 @@ def digest(pages: DataFrame) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
-d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest,
-             max(page_id) OVER (PARTITION BY sha1(body)) AS last FROM p)
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest, max(page_id) OVER (PARTITION BY sha1(body)) AS largest,
+             row_number() OVER (PARTITION BY sha1(body) ORDER BY page_id DESC NULLS LAST) AS place FROM p)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= {LEAST_BYTES} AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= {LEAST_BYTES} AND last <> page_id THEN last END AS refers_to
+       CASE WHEN payload_bytes >= {LEAST_BYTES} AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= {LEAST_BYTES} AND place > 1 THEN largest END AS refers_to
 FROM d
 """
