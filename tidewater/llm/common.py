@@ -101,30 +101,35 @@ def per_batch(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
     return df.mapInArrow(run, schema)
 
 
-def summed(parts: DataFrame, fan_in: int = 8) -> DataFrame:
-    """Element-wise sums of float64 vectors, in two levels.
+def summed(parts: DataFrame) -> DataFrame:
+    """Element-wise sums of float64 vectors, in levels.
 
-    ``parts`` has ``key`` (string) and ``vec`` (binary, float64, one length per key), a row per key and task.
-    Tasks stream the rows and hold one vector per key, so the memory needed doesn't grow with the input.
+    ``parts`` has ``key`` (string) and ``vec`` (binary, float64, one length per key), a row per key and task. A key's rows are dealt by task to as many
+    partitions as a shuffle has, their sums to the square root of that, and so on. Tasks stream rows that are sorted by key and hold one vector.
     """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        row = lambda k, v: pa.RecordBatch.from_arrays([pa.array([k]), pa.array([v.tobytes()], pa.binary())], ["key", "vec"])
+        now, total = None, None
+        for batch in slices(batches):
             for key, vec in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 v = np.frombuffer(vec)
-                if key in sums:
-                    sums[key] += v
+                if key == now:
+                    total += v
                 else:
-                    sums[key] = v.copy()
-        for key in sorted(sums):
-            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([sums[key].tobytes()], pa.binary())], ["key", "vec"])
-
-    schema = "key string, vec binary"
-    level = parts.select("key", "vec").repartition(fan_in, "key", F.spark_partition_id() % fan_in).mapInArrow(add, schema)
-    return level.repartition(fan_in, "key").mapInArrow(add, schema)
+                    if total is not None:
+                        yield row(now, total)
+                    now, total = key, v.copy()
+        if total is not None:
+            yield row(now, total)
+
+    level, width = parts.select("key", "vec"), int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while width > 8:
+        level = level.repartition("key", F.spark_partition_id() % width).sortWithinPartitions("key").mapInArrow(add, "key string, vec binary")
+        width = int(width**0.5)
+    return level.repartition("key").sortWithinPartitions("key").mapInArrow(add, "key string, vec binary")
 
 
 def with_text(found: DataFrame, docs: DataFrame, changed: Column, text: Column) -> DataFrame:
