@@ -568,7 +568,9 @@ def test_pipeline(spark, sf, docs):
     a, b = seen["secret_scan"]
     assert ids(a) == ids(b) and not any(base_spans(r.text) for r in b.collect())
     a, b = seen["source_mix"]
-    assert b.columns == [*a.columns, "size", "source_size", "target", "taken", "first_slot"]
-    drawn = mixing.mix(a)
-    assert sorted(map(tuple, b.select(drawn.columns).collect())) == sorted(tuple(r) for r in drawn.collect() if r.taken)
-    assert sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) == sorted(map(tuple, b.collect()))
+    assert b.columns == [*a.columns, "size", "source_size", "target", "again", "taken", "slots"]
+    drawn, used = {r.doc_id: r.taken for r in mixing.mix(a).collect()}, collections.Counter()
+    for r in b.collect():
+        used[r.doc_id] += len(tokens(r.text))
+    assert used == collections.Counter({i: n for i, n in drawn.items() if n})
+    assert sorted(map(str, corpus_pipeline.run(spark, sf).collect())) == sorted(map(str, b.collect()))

@@ -131,7 +131,7 @@ def test_pages_of_every_size_and_repeated_ids(spark):
     rows = [(1, "u", "x" * 1200), (2, "u", big), (3, "u", big), (3, "v", "y" * 70_000), (None, "u", big), (4, "w", None), (4, "w", None)]
     got = collections.Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.digest(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
     n = len(big.encode())
-    assert got == collections.Counter([(1, 1200, "response", None), (2, n, "revisit", 3), (3, n, "response", None), (3, 70_000, "response", None), (None, n, "response", None), (4, 0, "response", None), (4, 0, "response", None)])
+    assert got == collections.Counter([(1, 1200, "response", None), (2, n, "revisit", 3), (3, n, "response", None), (3, 70_000, "response", None), (None, n, "revisit", 3), (4, 0, "response", None), (4, 0, "response", None)])
 
 
 # --- the pipeline
@@ -139,20 +139,63 @@ def test_pages_of_every_size_and_repeated_ids(spark):
 
 def test_the_mix_keeps_rows_and_columns(odd):
     got = mixing.mixed(odd)
-    assert got.columns == [*odd.columns, "_size", "source_size", "target", "_taken", "first_slot"]
+    assert got.columns == [*odd.columns, "_size", "source_size", "target", "again", "_taken", "slots"]
     rows = got.collect()
     assert {r.doc_id for r in rows} <= {i for i, t in ROWS if (t or "").strip()} and sum(r._taken for r in rows) == sum(round(t) for t in {r.source: r.target for r in rows}.values())
-    assert all(r._taken <= 2 * r._size and r._size == len(r.text.split()) for r in rows)
+    assert all(r._taken <= r._size and r._taken == len(r.text.split()) == sum(s.words for s in r.slots) for r in rows)
+
+
+@pytest.mark.parametrize("block", [7, 50, 2048])
+def test_the_mix_is_the_targets(spark, block):
+    """What is written out: the words of each source, whole texts but for the last of a pass, each slot filled once and by one source."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(40))), rng.choice(["a", "a", "a", "b", "c", None]), 3) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    mixed = mixing.mixed(docs, block_words=block).collect()
+    again = mixing.mixed(docs.orderBy(F.rand(3)), block_words=block).collect()
+    assert sorted(map(str, mixed)) == sorted(map(str, again))
+    by = {r.doc_id: r for r in mixing.mix(docs, block_words=block).collect()}
+    words, slots, passes = collections.Counter(), collections.defaultdict(list), collections.Counter()
+    for r in mixed:
+        whole = rows[r.doc_id][1].split()
+        assert r.text.split() == whole[: r.taken] and r.n_chars == (3 if r.taken == r.size else len(r.text))
+        words[r.source] += r.taken
+        passes[r.doc_id] += r.taken
+        for s in r.slots:
+            slots[s.slot].append((r.source, s.words))
+    assert words == collections.Counter({r.source: round(r.target) for r in by.values() if round(r.target)})
+    assert passes == collections.Counter({i: r.taken for i, r in by.items() if r.taken})
+    assert all(len({x for x, _ in v}) == 1 and sum(n for _, n in v) <= block for v in slots.values())
+    cut = [r for r in mixed if r.taken < r.size]
+    assert max(collections.Counter((r.source, r.again) for r in cut).values(), default=0) <= 1
 
 
 def test_stages_on_odd_and_empty_tables(spark, sf, odd):
+    """Stages keep the columns; each result is what its operator says of the rows before, repeated rows included."""
     for rows in (odd, odd.limit(0)):
         now = rows
         for name, stage in corpus_pipeline.STAGES:
-            now = common.stored(stage(spark, now, sf))
-            assert now.columns[: len(odd.columns)] == odd.columns and now.count() <= rows.count(), name
-    texts = {r.text for r in now.collect()}
-    assert texts <= {t for _, t in ROWS}
+            before, now = now, common.stored(stage(spark, now, sf))
+            assert now.columns[: len(odd.columns)] == odd.columns, name
+            ids = lambda df: collections.Counter(r.doc_id for r in df.select("doc_id").collect())
+            if name == "source_mix":
+                want = mixing.mix(before.select("doc_id", "text", "source")).agg(F.sum("taken")).first()[0] or 0
+                assert (now.agg(F.sum(now.columns[-2])).first()[0] or 0) == want and set(ids(now)) <= set(ids(before))
+            elif name == "secret_scan":
+                assert ids(now) == ids(before)
+            else:
+                assert ids(now) <= ids(before)
+        assert {r.text if r[-2] == r[-6] else None for r in now.collect()} <= {t for _, t in ROWS}
+
+
+def test_the_whole_pipeline_on_odd_and_empty_tables(spark, sf, odd, tmp_path):
+    for name, rows in (("odd", odd), ("empty", odd.limit(0))):
+        for table in ("benchmark", "labels"):
+            spark.read.parquet(f"{sf}/{table}.parquet").limit(0 if name == "empty" else 99).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        rows.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert got.columns[: len(odd.columns)] == odd.columns
+        assert bool(got.count()) == (name == "odd")
 
 
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):

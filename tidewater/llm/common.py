@@ -132,10 +132,10 @@ def summed(parts: DataFrame) -> DataFrame:
     return level.repartition("key").sortWithinPartitions("key").mapInArrow(add, "key string, vec binary")
 
 
-def with_text(found: DataFrame, docs: DataFrame, changed: Column, text: Column) -> DataFrame:
-    """The columns of ``docs`` from the struct ``row`` of ``found``, with another text where it changed; ``n_chars``, if there is one, follows."""
+def with_text(found: DataFrame, docs: DataFrame, changed: Column, text: Column, more: list[str] | None = None) -> DataFrame:
+    """The columns of ``docs`` from the struct ``row`` of ``found``, with another text where it changed; ``n_chars``, if there is one, follows, and then the columns ``more``."""
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
     old = {c: F.col(f"row.`{c}`") for c in docs.columns}
-    return found.select(*(F.when(changed, new[c]).otherwise(old[c]).alias(c) if c in new else old[c].alias(c) for c in docs.columns))
+    return found.select(*(F.when(changed, new[c]).otherwise(old[c]).alias(c) if c in new else old[c].alias(c) for c in docs.columns), *(more or []))

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, free_name, stored, with_row_ids
+from .common import BLANKS, free_name, stored, with_row_ids, with_text
 
 #: By rank of the source. Fixed values of the contract, as the share of all words and the most that a document may be used.
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
@@ -96,6 +96,22 @@ def _streams(sizes: DataFrame, aims: DataFrame, key: list[str]) -> DataFrame:
     return keyed.join(before, ["rank", "bin"]).withColumn("at", F.col("_before") + F.sum("size").over(w) - F.col("size")).drop("_before", "bin", "h", "n_docs")
 
 
+def _laid_out(docs: DataFrame, weights: tuple[int, ...], share: float, slots: int | None, seed: int, block_words: int, keys: list[Column]) -> tuple[DataFrame, ...]:
+    """Sizes of all rows, aims of the sources, streams of the documents with words, and what is laid into slots: ``words`` of the document ``at`` in its source, on its first pass or ``again``."""
+    sizes = stored(docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *keys))
+    aims = stored(targets(sizes, weights, share))
+    total = aims.agg(F.sum("target")).first()[0] or 0.0
+    block = max(1, round(total / slots)) if slots else block_words
+    slots = slots or max(1, math.ceil(total / block))
+    streams = stored(_streams(sizes, aims, ["key"] if keys else []))
+    quota = F.round("target").cast("long")
+    passes = streams.select("*", F.posexplode(F.array(F.col("at"), F.col("at") + F.col("source_size"))).alias("again", "start")).withColumn("end", F.least(F.col("start") + F.col("size"), quota))
+    pieces = passes.where("start < end").withColumn("nth", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
+    nth = F.col("nth")
+    pieces = pieces.select("rank", "at", "again", "nth", (F.least("end", (nth + 1) * block) - F.greatest("start", nth * block)).alias("words"))
+    return sizes, aims, streams, pieces.join(schedule(aims, slots, block), ["rank", "nth"])
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, slots: int | None = None, seed: int = 1, block_words: int = 2048, key: str | None = None) -> DataFrame:
     """``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``taken``, ``first_slot`` for every row of ``docs`` (``doc_id``, ``text``, ``source``).
 
@@ -104,19 +120,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     own; repeated rows are documents of their own. Reruns agree, whatever the order of rows. An empty table gives no rows. Texts are counted
     whole. A slot has ``block_words`` words, or what makes ``slots`` slots. ``key`` names a column that is carried along, other columns are ignored.
     """
-    keys = [F.col(key).alias("key")] if key else []
-    sizes = stored(docs.select(F.col("doc_id").cast("long"), "source", n_words(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), *keys))
-    aims = stored(targets(sizes, weights, share))
-    total = aims.agg(F.sum("target")).first()[0] or 0.0
-    block = max(1, round(total / slots)) if slots else block_words
-    slots = slots or max(1, math.ceil(total / block))
-    streams = stored(_streams(sizes, aims, ["key"] if key else []))
-    quota = F.round("target").cast("long")
-    pieces = streams.withColumn("start", F.explode(F.array(F.col("at"), F.col("at") + F.col("source_size")))).withColumn("end", F.least(F.col("start") + F.col("size"), quota))
-    pieces = pieces.where("start < end").withColumn("nth", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))))
-    nth = F.col("nth")
-    pieces = pieces.select("rank", "at", "nth", (F.least("end", (nth + 1) * block) - F.greatest("start", nth * block)).alias("words"))
-    placed = pieces.join(schedule(aims, slots, block), ["rank", "nth"]).groupBy("rank", "at").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
+    sizes, aims, streams, placed = _laid_out(docs, weights, share, slots, seed, block_words, [F.col(key).alias("key")] if key else [])
+    placed = placed.groupBy("rank", "at").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"))
     names = aims.select("rank", "source")
     taken = streams.join(placed, ["rank", "at"], "left").join(names, "rank")
     columns = ["doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot", *([F.col("key").alias(key)] if key else [])]
@@ -124,17 +129,30 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     return taken.select(*columns).unionByName(blank.withColumns({"taken": F.lit(0), "first_slot": F.lit(None).cast("long")}).select(*columns))
 
 
-def mixed(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the mix takes words from, with all their columns and, after them, what ``mix`` says of each.
+def first_words(text: Column, n: Column) -> Column:
+    """The first n words of a text, a blank between them."""
+    trimmed = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.array_join(F.slice(F.split(trimmed, BLANKS, -1), 1, n.cast("int")), " ")
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, slots: int | None = None, seed: int = 1, block_words: int = 2048) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each pass in which it is used, with its columns and the text that is used there.
 
-    Those columns are ``size``, ``source_size``, ``target``, ``taken`` and ``first_slot``, with underscores before a name that ``docs`` has already. Rows
-    get an id of their own, so repeated ones are told apart and the join has no large key.
+    A source beyond whose size its target lies is used a second time (``again`` 1); the text at which a pass ends is cut to the words that are ``taken`` of it, joined by blanks, and
+    ``n_chars``, if there is one, follows. So the words of a source add up to its rounded target. ``slots`` lists the slots that the text is laid into, in its order, with the words in each. The other
+    added columns are ``size``, ``source_size`` and ``target``; names that ``docs`` has already get underscores before them. Rows without words are not part of the mix. Rows get an id of their
+    own, so repeated ones are told apart and the join has no large key. An empty table gives no rows.
     """
     key = free_name(docs, "row_id")
     keyed = with_row_ids(docs, key)
-    names = {c: free_name(docs, c) for c in ("size", "source_size", "target", "taken", "first_slot")}
-    drawn = mix(keyed, key=key).where("taken > 0").select(key, *(F.col(c).alias(n) for c, n in names.items()))
-    return keyed.join(drawn.hint("shuffle_hash"), key).select(*(f"`{c}`" for c in docs.columns), *names.values())
+    _, _, streams, placed = _laid_out(keyed, weights, share, slots, seed, block_words, [F.col(key).alias("key")])
+    laid = F.transform(F.array_sort(F.collect_list(F.struct("nth", "slot", "words"))), lambda x: F.struct(x["slot"].alias("slot"), x["words"].alias("words")))
+    used = placed.groupBy("rank", "at", "again").agg(F.sum("words").alias("taken"), laid.alias("slots"))
+    names = {c: free_name(docs, c) for c in ("size", "source_size", "target", "again", "taken", "slots")}
+    drawn = streams.join(used, ["rank", "at"]).select(F.col("key").alias(key), *(F.col(c).alias(n) for c, n in names.items()))
+    rows = keyed.join(drawn.hint("shuffle_hash"), key).select(F.struct(*(f"`{c}`" for c in docs.columns)).alias("row"), *names.values())
+    text = F.col("row.text")
+    return with_text(rows, docs, F.col(names["taken"]) < F.col(names["size"]), first_words(text, F.col(names["taken"])), list(names.values()))
 
 
 def digest(docs: DataFrame) -> DataFrame:
