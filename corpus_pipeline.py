@@ -27,19 +27,27 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that ``benchmark`` covers to a twentieth or more go; shorter matches are cut out of the others. Null texts have none."""
+    """Documents that ``benchmark`` covers to a twentieth or more go; shorter matches are cut out of the others.
+
+    Null and empty texts have none and stay, repeated rows are judged alike, texts are read whole; an empty table stays empty, and without items nothing changes. Columns keep
+    their names and order, whatever they are called.
+    """
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by their kind; null texts stay null."""
+    """All documents, with secrets replaced by their kind.
+
+    Null texts stay null, repeated rows are scanned alike, texts are read whole; an empty table stays empty. Columns keep their names and order, whatever they are called.
+    """
     return secrets.redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed corpus: the documents that the mix takes words from, with their text, how many words it takes and the first slot that does.
+    """The mixed corpus: a row for each pass in which a document is used, with the text that is used there, how many words that are and the slots that they are laid into.
 
-    Documents without words are not part of it. A null source is one of its own.
+    A source that has to give more words than it has is used twice; the document at which a pass ends is cut. Documents without words are not part of it. A null source is one of its
+    own, repeated rows are documents of their own, and an empty table gives no rows. Added columns get underscores before names that ``docs`` has.
     """
     return mixing.mixed(docs)
 
