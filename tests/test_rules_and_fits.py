@@ -130,7 +130,7 @@ def test_feature_vector_of_long_series(spark):
         run += 1
     assert r.d3_compression_bars == run and r.d2_volume_dryup_pct is not None and r.c1_effort_vs_result is not None
     broken = got["C", 379]
-    assert broken.reasons["d1_vol_squeeze_pct"] == "gap inside the trailing window" and broken.reasons["c2_sell_absorbed"] == "gap inside the trailing window"
+    assert broken.reasons["d1_vol_squeeze_pct"] == "bars missing between the first and the last of the window" and broken.reasons["c2_sell_absorbed"] == "bars missing between the first and the last of the window"
     assert got["A", 100].reasons["d1_vol_squeeze_pct"].startswith("history too short: needs 14.5 days (349 bars), has 4.2 days (101 bars)")
     assert r.reasons["g2_btc_vol_regime"].startswith("history too short") and "a3_funding_z" in r.reasons
 

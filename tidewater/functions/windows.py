@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .scalars import change, finite, round_half_up, utc_hour
+from .scalars import change, finite
 
 #: Bars of the trailing window, with those that the mean range before it needs, and the longest run that is counted. Fixed values.
 TRAIL, NEED, RUN = 336, 349, 168
@@ -54,12 +54,6 @@ def midrank(c: str, n: int, w: WindowSpec | None = None, step_ms: int | None = N
     return F.when(full(F.col(c), n, w, step_ms), 100.0 * (below + 0.5 * same) / n)
 
 
-def share_at_most(c: str, n: int, least: int = 8, w: WindowSpec | None = None) -> Column:
-    """Percent of up to n earlier values that are at most the current one, one decimal; at least ``least`` of them."""
-    x, v = F.collect_list(c).over(frame(-n, -1, w)), F.col(c)
-    return F.when(F.size(x) >= least, round_half_up(100.0 * F.size(F.filter(x, lambda y: y <= v)) / F.size(x), 1))
-
-
 def ema(c: str, period: int, n: int, w: WindowSpec | None = None, step_ms: int | None = None) -> Column:
     """Exponential mean over the last n values, seeded by the mean of the first ``period`` of them."""
     x = F.collect_list(finite(F.col(c))).over(frame(-(n - 1), 0, w))
@@ -102,36 +96,3 @@ def streak(c: str, n: int, w: WindowSpec | None = None) -> Column:
     now = F.signum(F.col(c))
     run = F.aggregate(x, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, v: F.struct((s["n"] + F.when(s["on"] & (v == now), 1).otherwise(0)).alias("n"), (s["on"] & (v == now)).alias("on")), lambda s: s["n"])
     return F.when(now.isNull(), None).otherwise((run * now).cast("int"))
-
-
-def run_below(c: str, limit: Column, n: int, w: WindowSpec | None = None) -> Column:
-    """How many of the last n values, from the current one back, are below a limit without a break; 0 is a true value."""
-    x = F.reverse(F.collect_list(c).over(frame(-(n - 1), 0, w)))
-    run = F.aggregate(x, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, v: F.struct((s["n"] + F.when(s["on"] & (v < limit), 1).otherwise(0)).alias("n"), (s["on"] & (v < limit)).alias("on")), lambda s: s["n"])
-    return F.when(limit.isNotNull() & full(F.col(c), n, w), run)
-
-
-def dry_up_ratios(whole: Column) -> Column:
-    """The window's volumes over the median of their hour of day there (8 samples at least, above 0); null unless the window is whole."""
-    x = F.collect_list(F.struct(utc_hour(F.col("t")).alias("slot"), finite(F.col("v")).alias("v"))).over(frame(-(TRAIL - 1)))
-
-    def median(a: Column) -> Column:
-        k = F.size(a)
-        m = (F.element_at(a, F.floor((k + 1) / 2).cast("int")) + F.element_at(a, F.floor((k + 2) / 2).cast("int"))) / 2
-        return F.when((k >= 8) & (m > 0), m)
-
-    by_slot = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda s: F.array_sort(F.transform(F.filter(x, lambda e: e["slot"] == s), lambda e: e["v"])))
-    medians = F.transform(by_slot, lambda a: F.when(F.size(a) > 0, median(a)))
-    return F.when(whole & full(F.col("v"), TRAIL), F.element_at(F.transform(F.array(medians), lambda m: F.transform(x, lambda e: e["v"] / F.get(m, e["slot"].cast("int")))), 1))
-
-
-def dry_up(q: Column) -> Column:
-    """The mid-rank of the last of those ratios; null if one is missing."""
-    now = F.try_element_at(q, F.lit(-1))
-    below, same = F.size(F.filter(q, lambda y: y < now)), F.size(F.filter(q, lambda y: y == now))
-    return F.when(q.isNotNull() & F.forall(q, lambda y: y.isNotNull()), 100.0 * (below + 0.5 * same) / TRAIL)
-
-
-def compression_limit(whole: Column) -> Column:
-    """The median range of the window, in percent."""
-    return F.when(whole & full(F.col("atr_pct"), TRAIL), F.percentile("atr_pct", F.lit(0.5)).over(frame(-(TRAIL - 1))))

@@ -14,6 +14,7 @@ from ..functions.scalars import DAY_MS, HOUR_MS, change, history_too_short, utc_
 from . import funding as fu
 from . import structure as st
 from .joins import as_of
+from .sliding import dry_up, mid_rank, run_below_median, sliding
 
 VERSION = "features-v1"
 #: In the order of the vector. Fixed values.
@@ -52,8 +53,8 @@ def market_regime(market: DataFrame) -> DataFrame:
     """``t`` and g2: the rank of the market's volatility over a month among its values at the same hour of a year of days."""
     lr = F.when(col("t") - F.lag("t").over(w.by_time()) == HOUR_MS, F.log(col("c") / F.lag("c").over(w.by_time())))
     x = market.withColumn("lr", lr).withColumn("sd", F.when(w.full(col("lr"), REGIME), F.stddev_samp("lr").over(w.frame(-(REGIME - 1))))).withColumn("slot", utc_hour(col("t")))
-    same_hour = Window.partitionBy("symbol", "slot").orderBy("t")
-    return x.select("t", w.midrank("sd", SAMPLES, same_hour, DAY_MS).alias("g2_btc_vol_regime"), F.row_number().over(w.by_time()).alias("market_have"), col("c").alias("mc"))
+    x = x.select("symbol", "t", "slot", (col("t") - col("slot") * HOUR_MS).alias("day"), "sd", F.row_number().over(w.by_time()).alias("market_have"), col("c").alias("mc"))
+    return sliding(x, {"g2_btc_vol_regime": mid_rank("sd", SAMPLES)}, DAY_MS, ("symbol", "slot"), "day").select("t", "g2_btc_vol_regime", "market_have", "mc")
 
 
 def breadth(hourly: DataFrame, least: int) -> DataFrame:
@@ -84,17 +85,19 @@ def feature_vectors(hourly: DataFrame, four: DataFrame, market: DataFrame, fundi
         "span": F.when(col("atr") > 0, (col("h") - col("l")) / col("atr")), "ret": change(col("c"), F.lag("c").over(by)), "mret": change(col("mc"), F.lag("mc").over(by)),
         "r24": F.when(day, change(col("c"), F.lag("c", 24).over(by))), "m24": F.when(day, change(col("mc"), F.lag("mc", 24).over(by))),
         "week": w.contiguous(col("t"), WEEK + 1, HOUR_MS) & w.full(col("mc"), WEEK + 1), "short": w.contiguous(col("t"), 15, HOUR_MS), "move": F.abs(col("c") - F.lag("c").over(by)),
-        "q": w.dry_up_ratios(col("whole")), "m": w.compression_limit(col("whole")),
     })
+    ranks = {f"_{c}": mid_rank(c, w.TRAIL) for c in ("v", "span", "atr_pct")} | {"_dry": dry_up("v", w.TRAIL), "_below": run_below_median("atr_pct", w.TRAIL, w.RUN)}
+    x = sliding(x, ranks, HOUR_MS).withColumns({c: F.when(col("whole"), col(c)) for c in ranks})
     sold = F.when(col("v") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), (col("v") - col("tb")) / col("v")))
     beta = F.least(F.lit(3.0), F.greatest(F.lit(0.0), w.slope("ret", "mret", WEEK)))
     x = x.withColumns({
-        "c1_effort_vs_result": F.when(col("whole"), w.midrank("v", w.TRAIL) - w.midrank("span", w.TRAIL)), "c2_sell_absorbed": F.when(col("short") & (col("atr") > 0), sold * (1 - F.least(F.lit(1.0), col("move") / col("atr")))),
-        "d1_vol_squeeze_pct": F.when(col("whole"), w.midrank("atr_pct", w.TRAIL)), "d2_volume_dryup_pct": w.dry_up(col("q")), "d3_compression_bars": w.run_below("atr_pct", col("m"), w.RUN).cast("double"),
+        "c1_effort_vs_result": col("_v") - col("_span"), "c2_sell_absorbed": F.when(col("short") & (col("atr") > 0), sold * (1 - F.least(F.lit(1.0), col("move") / col("atr")))),
+        "d1_vol_squeeze_pct": col("_atr_pct"), "d2_volume_dryup_pct": col("_dry"), "d3_compression_bars": col("_below"),
         "e1_rel_btc_24h": F.when(col("week"), (col("r24") - beta * col("m24")) / (col("atr_pct") * F.sqrt(F.lit(24.0)))),
     })
     x = _cross_section(x, least_coins).join(breadth(hourly, least_coins), "t", "left").join(_structure(hourly, WEEK, 48, HOUR_MS, ""), ["symbol", "t"], "left")
-    slow = with_range(four, H4).select("symbol", "t", "c", F.when(col("whole"), w.midrank("atr_pct", w.TRAIL)).alias("d4_vol_squeeze_4h"), col("have").alias("have_4h"), col("whole").alias("whole_4h"))
+    slow = sliding(with_range(four, H4), {"_rank": mid_rank("atr_pct", w.TRAIL)}, H4)
+    slow = slow.select("symbol", "t", "c", F.when(col("whole"), col("_rank")).alias("d4_vol_squeeze_4h"), col("have").alias("have_4h"), col("whole").alias("whole_4h"))
     slow = slow.join(_structure(four, 84, 24, H4, "_4h"), ["symbol", "t"]).drop("c").withColumn("closed", col("t") + H4).drop("t")
     x = as_of(x.withColumn("at", col("t") + HOUR_MS), slow, "symbol", "at", "closed", [c for c in slow.columns if c not in ("symbol", "closed")])
     z = fu.z_scores(x.select("symbol", (col("at") - 1).alias("at")), fu.normalised(funding), floor)
@@ -114,7 +117,7 @@ def _reasons(least_coins: int) -> dict[str, Column]:
 
     def windowed(need: int, gap: Column, step: int = HOUR_MS, have: str = "have", other: str = "value missing in the window") -> Column:
         n = F.coalesce(col(have), F.lit(0))
-        return F.when(n < need, history_too_short(n, F.lit(need), step)).when(~F.coalesce(gap, F.lit(False)), "gap inside the trailing window").otherwise(other)
+        return F.when(n < need, history_too_short(n, F.lit(need), step)).when(~F.coalesce(gap, F.lit(False)), "bars missing between the first and the last of the window").otherwise(other)
 
     whole, coins = windowed(w.NEED, col("whole")), f"fewer than {least_coins} coins at this time"
     out = {c: whole for c in ("c1_effort_vs_result", "d1_vol_squeeze_pct", "d2_volume_dryup_pct", "d3_compression_bars")}

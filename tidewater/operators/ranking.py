@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scale import checkpointed
+from .scale import by_ranges, carried, checkpointed, with_carried
 
 
 def top_per(df: DataFrame, key: str, n: int, *order: Column | str, rank: str | None = None) -> DataFrame:
@@ -15,17 +15,17 @@ def top_per(df: DataFrame, key: str, n: int, *order: Column | str, rank: str | N
     return x if rank else x.drop(name)
 
 
-def keyed_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank", parts: int = 32) -> DataFrame:
+def keyed_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
     """Positions from 1 within each key, and no task that holds all rows of a large one.
 
     Rows are dealt to ranges of (key, order), so that a large key is spread over several; each ranks its own rows of a key and adds those
-    of the ranges before, of which there is one count for each range and key.
+    of the ranges before. Only keys that begin in an earlier range need any: at most one for each range. There are as many ranges as the rows fill partitions of a shuffle, or ``parts``. A null key is a key.
     """
-    ranged = checkpointed(df.repartitionByRange(parts, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    ranged = checkpointed(by_ranges(df, parts, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy(key, "_part").agg(F.count("*").alias("_n"))
-    before = counts.select(key, "_part", (F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")).alias("_before"))
+    before = carried(counts, key, F.sum("_n"))
     rn = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
-    return ranged.withColumn("_rn", rn).join(before, [key, "_part"]).withColumn(name, F.col("_before") + F.col("_rn")).drop("_part", "_before", "_rn")
+    return with_carried(ranged.withColumn("_rn", rn), before, key).withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_rn")).drop("_part", "_before", "_rn")
 
 
 def ranked(df: DataFrame, *order: Column | str, by: tuple[str, ...], rank: str = "rank") -> DataFrame:
@@ -35,13 +35,13 @@ def ranked(df: DataFrame, *order: Column | str, by: tuple[str, ...], rank: str =
     return df.withColumn(rank, F.row_number().over(w)).withColumn("percentile", F.when(n == 1, 0.0).otherwise((F.col(rank) - 1) / (n - 1)))
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank", parts: int = 32) -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank", parts: int | None = None) -> DataFrame:
     """Positions from 1 over the whole table, with ``_rows``, the number of rows, and no task that holds all of them.
 
     Rows are dealt to ranges of the order; each range ranks its own, and adds the rows of the ranges before, of which there
-    are ``parts`` counts. The ranges are written to the checkpoint folder, so that both uses see the same ones.
+    is one count each: as many as the rows fill partitions of a shuffle, or ``parts``. The ranges are written to the checkpoint folder, so that both uses see the same ones.
     """
-    ranged = checkpointed(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    ranged = checkpointed(by_ranges(df, parts, *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
     w = Window.orderBy("_part")  # over one row for each range
     before = counts.select("_part", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_rows"))
@@ -49,7 +49,7 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", parts: i
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + rn).drop("_part", "_before")
 
 
-def global_bins(df: DataFrame, bins: int, order: list[Column], name: str = "bin", parts: int = 32) -> DataFrame:
+def global_bins(df: DataFrame, bins: int, order: list[Column], name: str = "bin", parts: int | None = None) -> DataFrame:
     """Bins of equal frequency over the whole table, by ``global_rank``; the edges are floor(b * n / bins)."""
     x = global_rank(df, order, "_rank", parts)
     return x.withColumn(name, F.floor((F.col("_rank") * bins - 1) / F.col("_rows")).cast("int")).drop("_rank", "_rows")

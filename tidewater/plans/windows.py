@@ -9,6 +9,7 @@ from ..functions import windows as w
 from ..functions.scalars import DAY_MS, HOUR_MS, change, ratio, round_half_up, utc_hour
 from ..operators import bars as b
 from ..operators import features as fe
+from ..operators import sliding as sl
 from .registry import bars_sql, query, r
 
 H4 = 4 * HOUR_MS
@@ -93,14 +94,14 @@ def win_2(t):
 
 @query("win_3_midrank", f"WITH {BARS1} SELECT symbol, t, {r('mr')} AS midrank FROM {midrank_sql('c', TRAIL, 'bars', HOUR_MS)}")
 def win_3(t):
-    return h1(t).select("symbol", "t", r6(w.midrank("c", TRAIL, step_ms=HOUR_MS)).alias("midrank"))
+    return sl.sliding(h1(t).select("symbol", "t", "c"), {"mr": sl.mid_rank("c", TRAIL)}, HOUR_MS).select("symbol", "t", r6(col("mr")).alias("midrank"))
 
 
 @query("win_4_share_at_most", f"""WITH {BARS4}, x AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM bars)
 SELECT x.symbol, x.t, CASE WHEN count(y.c) >= 8 THEN {r('100.0::DOUBLE * count(*) FILTER (y.c <= x.c) / count(y.c)', 1)} END AS pct
 FROM x LEFT JOIN x y ON x.symbol = y.symbol AND y.rn BETWEEN x.rn - {RANK} AND x.rn - 1 GROUP BY 1, 2""")
 def win_4(t):
-    return h4(t).select("symbol", "t", w.share_at_most("c", RANK).alias("pct"))
+    return sl.sliding_rows(h4(t).select("symbol", "t", "c"), {"share": sl.share_at_most("c", RANK)}, "symbol", [col("t")]).select("symbol", "t", r6(col("share"), 1).alias("pct"))
 
 
 def fold_sql(n: int, source: str = "bars", c: str = "c") -> str:
@@ -151,7 +152,8 @@ def win_9(t):
 SELECT symbol, t, CASE WHEN whole THEN {r('v.mr - s.mr')} END AS effort FROM e JOIN {midrank_sql('v', TRAIL, 'e')} v USING (symbol, t) JOIN {midrank_sql('span', TRAIL, 'e')} s USING (symbol, t)""")
 def win_10(t):
     x = hourly(t).withColumn("span", F.when(col("atr") > 0, (col("h") - col("l")) / col("atr")))
-    return x.select("symbol", "t", F.when(col("whole"), r6(w.midrank("v", TRAIL) - w.midrank("span", TRAIL))).alias("effort"))
+    x = sl.sliding(x.select("symbol", "t", "v", "span", "whole"), {"v_rank": sl.mid_rank("v", TRAIL), "span_rank": sl.mid_rank("span", TRAIL)}, HOUR_MS)
+    return x.select("symbol", "t", F.when(col("whole"), r6(col("v_rank") - col("span_rank"))).alias("effort"))
 
 
 @query("win_11_sell_absorbed", f"""WITH {ATR1_SQL} SELECT symbol, t, CASE WHEN t - lag(t, 14) OVER w = 14 * {HOUR_MS} THEN {r('CASE WHEN v = 0 THEN 0 ELSE greatest(0, (v - tb) / v) END * (1 - least(1, abs(c - lag(c) OVER w) / atr))')} END AS absorbed FROM p WINDOW w AS (PARTITION BY symbol ORDER BY t)""")
@@ -163,7 +165,8 @@ def win_11(t):
 
 @query("win_12_squeeze", f"WITH {WHOLE_SQL} SELECT symbol, t, CASE WHEN whole THEN {r('mr')} END AS squeeze FROM q JOIN {midrank_sql('atr_pct', TRAIL, 'q')} USING (symbol, t)")
 def win_12(t):
-    return hourly(t).select("symbol", "t", F.when(col("whole"), r6(w.midrank("atr_pct", TRAIL))).alias("squeeze"))
+    x = sl.sliding(hourly(t).select("symbol", "t", "atr_pct", "whole"), {"mr": sl.mid_rank("atr_pct", TRAIL)}, HOUR_MS)
+    return x.select("symbol", "t", F.when(col("whole"), r6(col("mr"))).alias("squeeze"))
 
 
 @query("win_13_volume_dry_up", f"""WITH {WHOLE_SQL}, x AS (SELECT *, t // {HOUR_MS} % 24 AS slot, row_number() OVER (PARTITION BY symbol ORDER BY t) AS rn FROM q),
@@ -173,7 +176,8 @@ d AS (SELECT symbol, t, CASE WHEN count(q) = {TRAIL} THEN {r(f'100.0::DOUBLE * (
 SELECT symbol, t, dry FROM q LEFT JOIN d USING (symbol, t)""")
 def win_13(t):
     """Volume against the median of its hour of day within the window (8 samples at least, above 0), mid-ranked there; hours are fixed per window."""
-    return hourly(t).withColumn("q", w.dry_up_ratios(col("whole"))).select("symbol", "t", r6(w.dry_up(col("q"))).alias("dry"))
+    x = sl.sliding(hourly(t).select("symbol", "t", "v", "whole"), {"rank": sl.dry_up("v", TRAIL)}, HOUR_MS)
+    return x.select("symbol", "t", F.when(col("whole"), r6(col("rank"))).alias("dry"))
 
 
 #: The longest run that is counted.
@@ -186,7 +190,8 @@ k AS (SELECT m.symbol, m.t, CAST(any_value(m.rn) - coalesce(max(y.rn) FILTER (y.
 SELECT symbol, t, run FROM q LEFT JOIN k USING (symbol, t)""")
 def win_14(t):
     """Bars back from the current one whose range is below the median of the window, 168 at most."""
-    return hourly(t).withColumn("m", w.compression_limit(col("whole"))).select("symbol", "t", w.run_below("atr_pct", col("m"), RUN).alias("run"))
+    x = sl.sliding(hourly(t).select("symbol", "t", "atr_pct", "whole"), {"below": sl.run_below_median("atr_pct", TRAIL, RUN)}, HOUR_MS)
+    return x.select("symbol", "t", F.when(col("whole"), col("below").cast("int")).alias("run"))
 
 
 BENCH = f"{ATR_SQL}, {bars_sql(H4, every=True, name='market')}"
@@ -319,8 +324,9 @@ def win_19(t):
     lr = F.when(col("t") - F.lag("t").over(w.by_time()) == HOUR_MS, F.log(col("c") / F.lag("c").over(w.by_time())))
     x = h1(t).withColumn("lr", lr).withColumn("slot", utc_hour(col("t")))
     x = x.withColumns({f"sd{n}": F.when(w.full(col("lr"), n), F.stddev_samp("lr").over(w.frame(-(n - 1)))) for n, _ in REGIMES.values()})
-    same_hour = Window.partitionBy("symbol", "slot").orderBy("t")
-    return x.select("symbol", "t", *(r6(w.midrank(f"sd{n}", days, same_hour, DAY_MS)).alias(name) for name, (n, days) in REGIMES.items()))
+    x = x.select("symbol", "t", (col("t") - col("slot") * HOUR_MS).alias("day"), "slot", *(f"sd{n}" for n, _ in REGIMES.values()))
+    x = sl.sliding(x, {name: sl.mid_rank(f"sd{n}", days) for name, (n, days) in REGIMES.items()}, DAY_MS, ("symbol", "slot"), "day")
+    return x.select("symbol", "t", *(r6(col(name)).alias(name) for name in REGIMES))
 
 
 @query("win_24_oi_acceleration", f"""WITH {BARS1}, x AS (SELECT symbol, t, v, (v / lag(v) OVER w - 1) * 100 AS ch, t - lag(t, 5) OVER w = {5 * HOUR_MS} AS whole FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY t))
