@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import scalars as s
 from tidewater.functions import windows as w
 from tidewater.functions.random import Mulberry32
-from tidewater.operators import aggregates, bars, cycles, dedup, funding, joins, labels, modelling, ranking, rules
+from tidewater.operators import aggregates, bars, cycles, dedup, funding, joins, labels, modelling, ranking, rules, selection
 from tidewater.operators.gate import evaluate_gate
 
 H, D = s.HOUR_MS, s.DAY_MS
@@ -162,7 +162,7 @@ def test_global_rank_is_the_order(spark):
     got = ranking.global_rank(x, [F.col("v"), F.col("id")], parts=7).orderBy("rank").collect()
     assert [r.rank for r in got] == list(range(1, 1001)) and got[0]._rows == 1000
     assert [(r.v, r.id) for r in got] == sorted((r.v, r.id) for r in got)
-    sizes = ranking.global_bins(x, 7, [F.col("v"), F.col("id")]).groupBy("bin").count().collect()
+    sizes = selection.equal_bins(x, 7, "v", "id").groupBy("bin").count().collect()
     assert sorted(r["count"] for r in sizes) == [142, 143, 143, 143, 143, 143, 143]
 
 
@@ -233,7 +233,7 @@ def test_triple_barrier(spark):
 
 def test_uniqueness_weights(spark):
     x = spark.createDataFrame([(1, "g", 0, 4), (2, "g", 2, 4), (3, "h", 0, 4)], "id long, group string, time long, end long")
-    assert dict(values(labels.uniqueness(x, 1), "id", "weight")) == {1: 0.75, 2: 0.5, 3: 1.0}
+    assert dict(values(labels.uniqueness(x), "id", "weight")) == {1: 0.75, 2: 0.5, 3: 1.0}
 
 
 def test_softmax_finds_the_minimum(spark):

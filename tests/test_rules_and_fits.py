@@ -162,7 +162,7 @@ def test_gate_rows_fail_closed(spark):
     schema = "bss double, random_p95 double, residual_bss double, ece double, class_counts array<long>, folds array<double>, effective_n double, effective_test_n double, test_span_days double, same_cutpoints boolean, sampling_days int, trend_low double, trend_high double, vol_low double, vol_high double, identified int, obtained int, listed int, unexplained int, leak string"
     limits = {"ece_max": 0.02, "min_class_samples": 100}
     why = lambda t=limits, **x: spark.createDataFrame([tuple((good | x).values())], schema).select(gate.reasons(t).alias("r")).first().r
-    assert why() == [] and why({}) == ["threshold ece_max not configured", "threshold min_class_samples not configured"]
+    assert why() == [] and why({}) == ["limit ece_max has no number", "limit min_class_samples has no number"]
     assert why(bss=float("nan")) == ["skill missing"] and why(bss=0.005) == ["skill below baseline"] and why(random_p95=None) == ["baseline missing"] and why(folds=[0.1, None, 0.2]) == ["fold skill missing"]
     assert why(class_counts=[0, 5, 5]) == ["class without samples"] and why(vol_low=29.0) == ["regime vol low thin"] and why(leak=None) == ["control not clean"] and why(identified=None) == ["universe not stated"]
     assert why(obtained=80, listed=20) == ["delisted too few"] and why(listed=4) == ["unobtained not listed"] and why(unexplained=1) == ["unobtained unexplained"] and why(sampling_days=2) == ["test days not daily"]
@@ -205,7 +205,7 @@ def test_ranks_and_quantiles_of_large_keys(spark):
     for r in a.quantiles(x, "k", "v", low=0.1, mid=0.5, top=1.0).collect():
         v = [q[1] for q in rows if q[0] == r.k and q[1] is not None]
         assert (r.low, r.mid, r.top) == tuple(pytest.approx(np.quantile(v, p)) for p in (0.1, 0.5, 1.0))
-    assert a.global_quantile(x, "v", 0.3, "i").first().v == pytest.approx(np.quantile([q[1] for q in rows if q[1] is not None], 0.3))
+    assert a.global_quantile(x, "v", 0.3).first().v == pytest.approx(np.quantile([q[1] for q in rows if q[1] is not None], 0.3))
 
 
 # --- fits

@@ -99,4 +99,4 @@ def test_spark_forms_agree_with_the_kernel(spark):
     f = {(r.symbol, r.t): r for r in features(bars, 168, 48, 10).collect()}
     assert f["X", 2190].state == "range" and f["X", 2190].f1 is not None
     assert f["X", 1000].state == "unavailable" and f["X", 1000].f1 is None
-    assert f["Y", 2190].reason == "gap inside the structure window"
+    assert f["Y", 2190].reason == "bars missing where the structure is looked for"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .selection import LARGE, at_ranks
+
 
 def sum_if_all(c: Column) -> Column:
     """The sum, or null if any member is missing."""
@@ -22,41 +24,32 @@ def weighted_mean(c: Column, w: Column) -> Column:
     return F.coalesce(F.sum(c * w) / F.nullif(F.sum(w), F.lit(0.0)), F.lit(0.0))
 
 
-def floor_quantile(df: DataFrame, key: str, value: str, p: float) -> DataFrame:
-    """``key`` and ``value``: the value at floor(p * n) of each key's sorted ones, without interpolation.
-
-    By ranks, so that a large key is sorted with spilling instead of being held as a list.
-    """
-    by = Window.partitionBy(key)
-    x = df.where(F.col(value).isNotNull()).select(key, value, F.row_number().over(by.orderBy(value)).alias("_rn"), F.count("*").over(by).alias("_n"))
-    return x.where(F.col("_rn") == F.least(F.col("_n"), F.floor(F.col("_n") * p) + 1)).select(key, value)
+def floor_quantile(df: DataFrame, key: str, value: str, p: float, large: int = LARGE) -> DataFrame:
+    """``key`` and ``value``: the value at floor(p * n) of each key's sorted ones, without interpolation. Keys of ``large`` rows and more are counted, not sorted."""
+    x = at_ranks(df, F.col(key), F.col(value), {"at": F.least(F.col("n") - 1, F.floor(F.col("n") * p))}, large)
+    return x.select(F.col("key").alias(key), F.col("at").cast(df.schema[value].dataType).alias(value))
 
 
-def quantiles(df: DataFrame, key: str, value: str, **at: float) -> DataFrame:
+def quantiles(df: DataFrame, key: str, value: str, large: int = LARGE, **at: float) -> DataFrame:
     """``key`` and for each name in ``at`` the quantile there of the key's values, interpolated between neighbours; keys without a value are out.
 
-    By ranks: of a large key the values are sorted, with spilling, and two of them kept for each quantile, where ``percentile`` would hold all.
+    Keys of ``large`` rows and more are counted, not sorted.
     """
-    by = Window.partitionBy(key)
-    x = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(key, F.col(value).cast("double").alias("_v"))
-    x = x.select(key, "_v", F.row_number().over(by.orderBy("_v")).alias("_rn"), F.count("*").over(by).alias("_n"))
-    return x.groupBy(key).agg(*(_between(F.col("_v"), F.col("_rn"), F.col("_n"), p).alias(name) for name, p in at.items()))
-
+    v = F.col(value).cast("double")
+    x = at_ranks(df.where(~F.isnan(v)), F.col(key), v, {f"{name}_{side}": f((F.col("n") - 1) * F.lit(p)) for name, p in at.items() for side, f in (("low", F.floor), ("high", F.ceil))}, large)
+    return x.select(F.col("key").alias(key), *(_between(name, p).alias(name) for name, p in at.items()))
 
-def _between(v: Column, rn: Column, n: Column, p: float) -> Column:
-    h = (n - 1) * F.lit(p)
-    low, high = F.floor(h), F.ceil(h)
-    a, b = F.max(F.when(rn == low + 1, v)), F.max(F.when(rn == high + 1, v))
-    part = F.max(h - low)
-    return a * (1 - part) + b * part
 
+def _between(name: str, p: float) -> Column:
+    h = (F.col("n") - 1) * F.lit(p)
+    part = h - F.floor(h)
+    return F.col(f"{name}_low") * (1 - part) + F.col(f"{name}_high") * part
 
-def global_quantile(df: DataFrame, value: str, p: float, *tie: str) -> DataFrame:
-    """One row with ``value``: the interpolated quantile of a whole table, by ranks over ranges; null for an empty table."""
-    from .ranking import global_rank
 
-    x = global_rank(df.where(F.col(value).isNotNull()), [F.col(value), *map(F.col, tie)], "_rn")
-    return x.agg(_between(F.col(value), F.col("_rn"), F.col("_rows"), p).alias(value))
+def global_quantile(df: DataFrame, value: str, p: float, large: int = LARGE) -> DataFrame:
+    """One row with ``value``: the interpolated quantile of a whole table; null for an empty one."""
+    x = quantiles(df.select(F.lit(0).alias("_k"), F.col(value)), "_k", value, large, at=p)
+    return x.agg(F.max("at").alias(value))
 
 
 def modal_gap(df: DataFrame, key: str, time: str) -> DataFrame:

@@ -23,15 +23,15 @@ def evaluate_gate(report: dict | None, thresholds: dict | None = None) -> tuple[
     try:
         reasons = _reasons(report, t)
     except Exception as e:  # noqa: BLE001 - a broken report must not pass
-        reasons = [f"evaluation error: {e}"]
+        reasons = [f"report could not be judged: {e}"]
     return not reasons, reasons
 
 
 def _reasons(report: dict | None, t: dict) -> list[str]:
     if not report or not isinstance(report.get("pooled"), dict) or not isinstance(report.get("folds"), list):
-        return ["no evaluation report"]
+        return ["report absent or incomplete"]
     p, p95 = report["pooled"], report.get("random_p95")
-    out = [f"threshold {k} not configured" for k, v in t.items() if not _number(v)]
+    out = [f"limit {k} has no number" for k, v in t.items() if not _number(v)]
 
     def check(name: str, ok) -> None:
         value = p.get(name)
@@ -67,7 +67,7 @@ def _reasons(report: dict | None, t: dict) -> list[str]:
         out.append("training universe not stated")
     else:
         if got == 0 or got / known < (t["min_delisted_coverage"] or math.inf):
-            out.append("survivors only")
+            out.append("too few delisted contracts")
         if not isinstance(gone, list) or len(gone) != known - got or any(not g.get("symbol") or not (g.get("reason") or "").strip() for g in gone):
             out.append("unobtained contracts not explained")
     if report.get("leak") != "clean":
@@ -86,7 +86,7 @@ def reasons(thresholds: dict | None = None) -> Column:
     """
     t = THRESHOLDS | (thresholds or {})
     c = lambda name: F.when(~F.isnan(name), F.col(name))
-    unset = [(F.lit(not _number(v)), f"threshold {k} not configured") for k, v in t.items()]
+    unset = [(F.lit(not _number(v)), f"limit {k} has no number") for k, v in t.items()]
     limit = {k: F.lit(v if _number(v) else None).cast("double") for k, v in t.items()}
 
     def needed(name: str, text: str, low: str, ok: Column) -> list[tuple[Column, str]]:

@@ -5,19 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scale import by_ranges, carried, checkpointed, with_carried
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str]) -> DataFrame:
+
+def as_of(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, values: list[str], parts: int | None = None) -> DataFrame:
     """Each left row with the ``values`` of the last right row of its key that is not later; null if there is none.
 
-    Both sides are put in one order by (key, time), and the last right row is carried forward: one shuffle and one sort, linear in
-    the rows, where a range join would pair each left row with all earlier right ones. At the same time right rows come first; among
-    right rows of one time the one with the largest values wins.
+    Both sides are put in one order by (key, time), and the last right row is carried forward: linear in the rows, where a range join would pair each left row
+    with all earlier right ones. Rows are dealt to ranges of that order, so a key with most of the rows is spread over several; a range that goes on with a key gets the last right row of
+    the ranges before, of which there is one for each range. At the same time right rows come first; among right rows of one time the one with the largest values wins. A null key is a key.
     """
     packed = F.struct(F.col(right_time).alias("_at"), *values)
     l = left.select("*", F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(_type(right, right_time, values)).alias("_r"))
     r = right.select(*(F.col(c) if c == key else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns), F.col(right_time).alias("_t"), F.lit(0).alias("_side"), packed.alias("_r"))
-    w = Window.partitionBy(key).orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
-    found = l.unionByName(r).withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1")
+    ranged = checkpointed(by_ranges(l.unionByName(r), parts, F.col(key), F.col("_t"), F.col("_side")).withColumn("_part", F.spark_partition_id()))
+    last = ranged.groupBy(key, "_part").agg(F.max("_r").alias("_last"))  # the latest, and of one time the largest
+    before = carried(last, key, _before=F.last("_last", ignorenulls=True))
+    w = Window.partitionBy(key, "_part").orderBy("_t", "_side", "_r").rowsBetween(Window.unboundedPreceding, 0)
+    found = with_carried(ranged.withColumn("_r", F.last("_r", ignorenulls=True).over(w)).where("_side = 1"), before, key).withColumn("_r", F.coalesce("_r", "_before"))
     return found.select(*left.columns, *(F.col(f"_r.{v}").alias(v) for v in values))
 
 
@@ -49,17 +54,28 @@ def position_changes(before: DataFrame, after: DataFrame, threshold: float = 0.3
     return x.withColumn("type", kind).where("type is not null")
 
 
-def overlap_counts(spans: DataFrame, step_ms: int) -> DataFrame:
-    """``group, slot, n``: how many spans (``group, time, end``, half-open) cover each slot of time that any covers.
+def overlaps(spans: DataFrame, parts: int | None = None) -> DataFrame:
+    """``group, since, at, n, area``: from ``since`` to ``at`` there are ``n`` spans (``group, time, end``, half-open), and the integral of 1/n up to ``at`` is ``area``.
 
-    A span adds one where it begins and takes one where it ends; running sums over the ends replace pairs of spans.
+    A span adds one where it begins and takes one where it ends, so there is a row for each time at which any does; where there is none the integral stands still. Running sums
+    over the ends replace pairs of spans. Ends are dealt to ranges of (group, time), and what a group has before a range is added, so a large group is spread over several.
     """
     ends = spans.select("group", F.explode(F.array(F.struct(F.col("time").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("e"))
     ends = ends.select("group", "e.at", "e.d").groupBy("group", "at").agg(F.sum("d").alias("d"))
-    by = Window.partitionBy("group").orderBy("at")
-    runs = ends.withColumn("n", F.sum("d").over(by)).withColumn("until", F.lead("at").over(by)).where("n > 0")
-    slots = F.sequence(F.col("at"), F.col("until") - step_ms, F.lit(step_ms))
-    return runs.where(F.col("until") > F.col("at")).select("group", F.explode(slots).alias("slot"), "n")
+    ranged = checkpointed(by_ranges(ends, parts, F.col("group"), F.col("at")).withColumn("_part", F.spark_partition_id()))
+    here = Window.partitionBy("group", "_part").orderBy("at")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    before = carried(ranged.groupBy("group", "_part").agg(F.sum("d").alias("d"), F.max("at").alias("last")), "group", _n0=F.sum("d"), _last=F.max("last"))
+    x = with_carried(ranged, before, "group").select("group", "_part", "at", F.coalesce(F.lag("at").over(here), "_last").alias("since"), (zero(F.col("_n0")) + F.sum("d").over(here) - F.col("d")).alias("n"))
+    x = x.withColumn("piece", F.when(F.col("n") > 0, (F.col("at") - F.col("since")) / F.col("n")).otherwise(0.0))
+    before = carried(x.groupBy("group", "_part").agg(F.sum("piece").alias("piece")), "group", _area=F.sum("piece"))
+    return with_carried(x, before, "group").select("group", "since", "at", "n", (zero(F.col("_area")) + F.sum("piece").over(here)).alias("area"))
+
+
+def overlap_counts(spans: DataFrame, step_ms: int) -> DataFrame:
+    """``group, slot, n``: how many spans (``group, time, end``, half-open) cover each slot of time that any covers."""
+    slots = F.sequence(F.col("since"), F.col("at") - step_ms, F.lit(step_ms))
+    return overlaps(spans).where("n > 0").select("group", F.explode(slots).alias("slot"), "n")
 
 
 def reconciled(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], tolerance: float) -> DataFrame:

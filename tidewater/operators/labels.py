@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import overlap_counts
+from .joins import overlaps
 
 CLASSES = ("down", "flat", "up")
 
@@ -75,8 +75,15 @@ def fold_violations(x: DataFrame, embargo: int) -> DataFrame:
     return each.unionByName(both.select("fold", "id", F.lit("in both train and test").alias("violation")))
 
 
-def uniqueness(spans: DataFrame, step_ms: int) -> DataFrame:
-    """``id, weight`` of spans (``id, group, time, end``): the mean over a span's slots of one over the spans of its group there."""
-    n = overlap_counts(spans.select("group", "time", "end"), step_ms)
-    slots = spans.select("id", "group", F.explode(F.sequence(F.col("time"), F.col("end") - step_ms, F.lit(step_ms))).alias("slot"))
-    return slots.join(n, ["group", "slot"]).groupBy("id").agg(F.avg(1 / F.col("n")).alias("weight"))
+def uniqueness(spans: DataFrame, parts: int | None = None) -> DataFrame:
+    """``id, group, weight`` of spans (``id, group, time, end``): the mean over a span's time of one over the spans of its group there; null for one without a length.
+
+    The integral of one over the spans is known wherever a span begins or ends, so a span reads it at both of its ends: as many rows as spans, however long they are.
+    """
+    at = overlaps(spans.select("group", "time", "end"), parts)
+    x = spans.select("id", F.col("group"), "time", "end")
+    for side in ("time", "end"):
+        y = at.select(F.col("group").alias("_g"), F.col("at").alias("_at"), F.col("area").alias(f"_{side}"))
+        x = x.join(y, F.col("group").eqNullSafe(F.col("_g")) & (F.col(side) == F.col("_at")), "left").drop("_g", "_at")
+    length = F.col("end") - F.col("time")
+    return x.select("id", "group", F.when(length > 0, (F.col("_end") - F.col("_time")) / length).alias("weight"))

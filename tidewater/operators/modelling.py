@@ -72,11 +72,14 @@ def fit_softmax(df: DataFrame, k: int, l2: float = 1.0, rounds: int = 25, tolera
     """Weighted multinomial regression of ``y`` (0 to k - 1) on ``x`` (array<double>, no missing values) with weights ``w``.
 
     Features are standardised by weighted mean and deviation (1 if that is 0); biases carry no penalty. The loss is convex, so Newton steps, halved
-    while they don't lower it, reach the same weights as any descent.
+    while they don't lower it, reach the same weights as any descent. An empty table gives a model without features, for which all classes are alike.
     """
     df = df.select("x", "y", "w").persist()
     try:
-        d = len(df.first().x)
+        one = df.first()
+        if one is None:
+            return Softmax(np.zeros(0), np.ones(0), np.zeros((k, 1)))
+        d = len(one.x)
         m = df.agg(F.sum("w").alias("n"), *(F.sum(F.col("w") * F.col("x")[i]).alias(f"a{i}") for i in range(d)), *(F.sum(F.col("w") * F.col("x")[i] * F.col("x")[i]).alias(f"b{i}") for i in range(d))).first()
         mean = np.array([m[f"a{i}"] for i in range(d)]) / m.n
         var = np.array([m[f"b{i}"] for i in range(d)]) / m.n - mean**2
@@ -240,17 +243,17 @@ def gaussians(ids: np.ndarray, seed: int, width: int) -> np.ndarray:
     return np.sqrt(-2 * np.log(np.maximum(u[:, :width], 1e-300))) * np.cos(2 * np.pi * u[:, width:])
 
 
-def lift_draws(rows: DataFrame, draws: int, seed: int = 21, parts: int = 32) -> tuple[tuple[float, float], list[tuple[float, float]]]:
+def lift_draws(rows: DataFrame, draws: int, seed: int = 21, parts: int | None = None) -> tuple[tuple[float, float], list[tuple[float, float]]]:
     """(lift of all rows, lifts of draws): how far the rate of ``hit`` in the top tenth by ``p`` is above that of all, and above that of the bottom tenth.
 
     ``rows`` are ``id, p, hit`` (0 or 1), ``w`` and ``day``. Each draw takes whole days with replacement and sorts what it has anew. That needs no sort:
     rows are in ranges of p once, and of each range and day the counts are known, so a draw knows in which range its tenths end; only that range is walked,
     by the task that has it, for all draws that end there. The driver holds sums by range and day, and how often each draw has a day.
     """
-    from .scale import checkpointed
+    from .scale import by_ranges, checkpointed
 
     order = [F.col("p").desc(), F.col("id")]
-    ranged = checkpointed(rows.select("id", "p", "hit", "w", "day").repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    ranged = checkpointed(by_ranges(rows.select("id", "p", "hit", "w", "day"), parts, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
     sums = ranged.groupBy("part", "day").agg(F.count("*").alias("n"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("hit")).alias("h")).collect()
     days = sorted({r.day for r in sums})
     at, which = {day: i for i, day in enumerate(days)}, sorted({r.part for r in sums})
@@ -277,19 +280,28 @@ def lift_draws(rows: DataFrame, draws: int, seed: int = 21, parts: int = 32) ->
                     jobs.setdefault(which[q], []).append((t, side, int(left)))
                 left -= n
 
+    held = {q: by_part[:, i, 0] for i, q in enumerate(which)}
+
     def walk(batches: Iterator) -> Iterator:
         import pandas as pd
 
-        pdf = pd.concat(list(batches), ignore_index=True)  # one range
-        if len(pdf) and (of := jobs.get(int(pdf.part.iloc[0]))):
-            day, w, h = pdf.day.map(at).to_numpy(), pdf.w.to_numpy(), (pdf.w * pdf.hit).to_numpy()
-            out = []
-            for t, side, need in of:
-                turn = slice(None, None, -1 if side else 1)
-                m = times[t][day[turn]]
-                m = np.minimum(m, np.maximum(0, need - (np.cumsum(m) - m)))
-                out.append((t, side, float((m * w[turn]).sum()), float((m * h[turn]).sum())))
-            yield pd.DataFrame(out, columns=["t", "side", "w", "h"])
+        got: dict[tuple[int, int], np.ndarray] = {}
+        seen, part = np.zeros(len(times)), None  # of each draw, the rows of this range so far
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            part = int(pdf.part.iloc[0])
+            day, w = pdf.day.map(at).to_numpy(), pdf.w.to_numpy()
+            h = w * pdf.hit.to_numpy()
+            for t, side, need in jobs.get(part, []):
+                m = times[t][day]
+                upto = seen[t] + np.cumsum(m)
+                # the first ``need`` rows of the range, or the last
+                used = np.clip(need - (upto - m), 0, m) if side == 0 else np.clip(upto - (held[part][t] - need), 0, m)
+                got[t, side] = got.get((t, side), np.zeros(2)) + [(used * w).sum(), (used * h).sum()]
+            for t in {t for t, _, _ in jobs.get(part, [])}:
+                seen[t] += times[t][day].sum()
+        yield pd.DataFrame([(t, side, *v) for (t, side), v in got.items()], columns=["t", "side", "w", "h"])
 
     if jobs:
         for r in ranged.mapInPandas(walk, "t long, side long, w double, h double").collect():  # a row for each tenth

@@ -23,7 +23,7 @@ def keyed_rank(df: DataFrame, key: str, order: list[Column], name: str = "rank",
     """
     ranged = checkpointed(by_ranges(df, parts, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
     counts = ranged.groupBy(key, "_part").agg(F.count("*").alias("_n"))
-    before = carried(counts, key, F.sum("_n"))
+    before = carried(counts, key, _before=F.sum("_n"))
     rn = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
     return with_carried(ranged.withColumn("_rn", rn), before, key).withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_rn")).drop("_part", "_before", "_rn")
 
@@ -47,9 +47,3 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank", parts: i
     before = counts.select("_part", (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_rows"))
     rn = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return ranged.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + rn).drop("_part", "_before")
-
-
-def global_bins(df: DataFrame, bins: int, order: list[Column], name: str = "bin", parts: int | None = None) -> DataFrame:
-    """Bins of equal frequency over the whole table, by ``global_rank``; the edges are floor(b * n / bins)."""
-    x = global_rank(df, order, "_rank", parts)
-    return x.withColumn(name, F.floor((F.col("_rank") * bins - 1) / F.col("_rows")).cast("int")).drop("_rank", "_rows")

@@ -36,16 +36,16 @@ def by_ranges(df: DataFrame, parts: int | None, *order: Column) -> DataFrame:
     return df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)
 
 
-def carried(parts: DataFrame, key: str, what: Column) -> DataFrame:
-    """``_key``, ``_of`` and ``_before``: the aggregate ``what`` over the ranges before, for keys that lie in several; ``parts`` has a row for each ``key`` and range ``_part``.
+def carried(parts: DataFrame, key: str, **what: Column) -> DataFrame:
+    """``_key``, ``_of`` and the aggregates ``what`` over the ranges before, for keys that lie in several; ``parts`` has a row for each ``key`` and range ``_part``.
 
     Rows are in ranges of (key, ...), so a range goes on with at most one key of those before it, and there are fewer rows than ranges.
     """
     w = Window.partitionBy(key).orderBy("_part")
     earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    return parts.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), what.over(earlier).alias("_before"), F.row_number().over(w).alias("_n")).where("_n > 1").drop("_n")
+    return parts.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), *(c.over(earlier).alias(name) for name, c in what.items()), F.row_number().over(w).alias("_n")).where("_n > 1").drop("_n")
 
 
 def with_carried(ranged: DataFrame, before: DataFrame, key: str) -> DataFrame:
-    """``ranged`` with ``_before`` from ``carried``, null where a key begins in its range; broadcast, as it has fewer rows than there are ranges."""
+    """``ranged`` with what ``carried`` found, null where a key begins in its range; broadcast, as it has fewer rows than there are ranges."""
     return ranged.join(F.broadcast(before), (F.col("_part") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")), "left").drop("_of", "_key")

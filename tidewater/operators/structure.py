@@ -47,7 +47,7 @@ def features(bars: DataFrame, lookback: int, sweep_window: int, step_ms: int, ev
             if at + 1 < need:
                 x = {"state": "unavailable", "reason": f"history too short: {need} bars needed"}
             elif t[at] - t[at - need + 1] != (need - 1) * step_ms:
-                x = {"state": "unavailable", "reason": "gap inside the structure window"}
+                x = {"state": "unavailable", "reason": "bars missing where the structure is looked for"}
             else:
                 x = s.features_at(at, h, l, c, atr, known, p, sweep_window)
             f1 = x.get("f1")

@@ -10,6 +10,8 @@ from ..operators import aggregates as a
 from ..operators import bars as b
 from ..operators import ranking as k
 from ..operators import structure as st
+from ..operators.scale import checkpointed
+from ..operators.selection import equal_bins
 from .dedup import CLEAN_SQL, NOW, clean
 from .joins import snapshot, snapshot_sql
 from .registry import bars_sql, query, r
@@ -124,10 +126,11 @@ def agg_14(t):
     """Gaps between confidence and hit rate in bins of equal frequency, of at least 50 rows; null with rows for fewer than two."""
     top = F.array_max("p")
     x = forecast(t).select("vec_id", top.alias("conf"), F.when(F.array_position("p", top) - 1 == col("y"), 1.0).otherwise(0.0).alias("hit"))
-    x = k.global_rank(x, [col("conf"), col("vec_id")])
-    bins = F.least(F.lit(10), F.floor(col("_rows") / 50))
-    x = x.where(bins >= 2)
-    e = x.groupBy(F.floor((col("rank") * bins - 1) / col("_rows")).alias("bin")).agg(F.count("*").alias("k"), F.abs(F.avg("conf") - F.avg("hit")).alias("gap"))
+    x = checkpointed(x)
+    bins = min(10, x.count() // 50)
+    if bins < 2:
+        return x.agg(F.lit(None).cast("double").alias("ece"), F.lit(None).cast("double").alias("mce"))
+    e = equal_bins(x, bins, "conf", "vec_id").groupBy("bin").agg(F.count("*").alias("k"), F.abs(F.avg("conf") - F.avg("hit")).alias("gap"))
     return e.agg(r6(F.sum(col("k") * col("gap")) / F.sum("k")).alias("ece"), r6(F.max("gap")).alias("mce"))
 
 
@@ -297,7 +300,7 @@ def agg_35(t):
 @query("agg_36_scale_floor", f"WITH i AS (SELECT quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25) AS q FROM orders GROUP BY o_custkey) SELECT {r('quantile_cont(q, 0.1)', 4)} AS floor FROM i WHERE q > 0")
 def agg_36(t):
     """The tenth percentile of the spreads that are not zero."""
-    return a.global_quantile(spreads(t).where("q > 0"), "q", 0.1, "o_custkey").select(r6(col("q"), 4).alias("floor"))
+    return a.global_quantile(spreads(t).where("q > 0"), "q", 0.1).select(r6(col("q"), 4).alias("floor"))
 
 
 @query("agg_37_series_facts", f"""WITH {bars_sql(HOUR_MS)}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS gap FROM bars)

@@ -8,6 +8,8 @@ from ..functions.random import Mulberry32
 from ..functions.scalars import DAY_MS, HOUR_MS, brier_term, round_half_up
 from ..operators import labels as la
 from ..operators import modelling as m
+from ..operators.scale import checkpointed
+from ..operators.selection import equal_bins
 from ..operators import ranking as k
 from ..operators.gate import evaluate_gate
 from .joins import spans
@@ -47,7 +49,7 @@ def mdl_2(t):
 @query("mdl_3_uniqueness", f"""WITH s AS (SELECT event_id AS id, event_type AS g, (epoch_us(ts) // 1000) // {HOUR_MS} * {HOUR_MS} AS a, (epoch_us(ts) // 1000) // {HOUR_MS} * {HOUR_MS} + (user_id % 5 + 1) * {HOUR_MS} AS z FROM events),
 e AS (SELECT id, g, unnest(range(a, z, {HOUR_MS})) AS slot FROM s), n AS (SELECT g, slot, count(*) AS n FROM e GROUP BY 1, 2) SELECT id, {r('avg(1.0::DOUBLE / n)')} AS weight FROM e JOIN n USING (g, slot) GROUP BY 1""")
 def mdl_3(t):
-    return la.uniqueness(spans(t).withColumnRenamed("event_id", "id"), HOUR_MS).select("id", r6(col("weight")).alias("weight"))
+    return la.uniqueness(spans(t).withColumnRenamed("event_id", "id")).select("id", r6(col("weight")).alias("weight"))
 
 
 @query("agg_18_effective_n", f"""WITH s AS (SELECT event_id AS id, event_type AS g, (epoch_us(ts) // 1000) // {HOUR_MS} * {HOUR_MS} AS a, (epoch_us(ts) // 1000) // {HOUR_MS} * {HOUR_MS} + (user_id % 5 + 1) * {HOUR_MS} AS z FROM events),
@@ -56,8 +58,7 @@ SELECT g AS symbol, count(*) AS n, {r('sum(weight)', 4)} AS effective_n FROM u G
 def agg_18(t):
     """How many samples those are worth whose labels overlap: the sum of their weights."""
     x = spans(t).withColumnRenamed("event_id", "id")
-    u = la.uniqueness(x, HOUR_MS).join(x.select("id", "group"), "id")
-    return u.groupBy(col("group").alias("symbol")).agg(F.count("*").alias("n"), r6(F.sum("weight"), 4).alias("effective_n"))
+    return la.uniqueness(x).groupBy(col("group").alias("symbol")).agg(F.count("*").alias("n"), r6(F.sum("weight"), 4).alias("effective_n"))
 
 
 def training(t):
@@ -158,9 +159,11 @@ def mdl_12(t):
 def calibration_error(x):
     """The expected gap between confidence and hit rate over bins of equal frequency (``vec_id, p, y``), as ``agg_14`` has it."""
     top = F.array_max("p")
-    x = k.global_rank(x.select("vec_id", top.alias("conf"), F.when(F.array_position("p", top) - 1 == col("y"), 1.0).otherwise(0.0).alias("hit")), [col("conf"), col("vec_id")])
-    bins = F.least(F.lit(10), F.floor(col("_rows") / 50))
-    e = x.where(bins >= 2).groupBy(F.floor((col("rank") * bins - 1) / col("_rows")).alias("bin")).agg(F.count("*").alias("n"), F.abs(F.avg("conf") - F.avg("hit")).alias("gap"))
+    x = checkpointed(x.select("vec_id", top.alias("conf"), F.when(F.array_position("p", top) - 1 == col("y"), 1.0).otherwise(0.0).alias("hit")))
+    bins = min(10, x.count() // 50)
+    if bins < 2:
+        return None
+    e = equal_bins(x, bins, "conf", "vec_id").groupBy("bin").agg(F.count("*").alias("n"), F.abs(F.avg("conf") - F.avg("hit")).alias("gap"))
     return e.agg((F.sum(col("n") * col("gap")) / F.sum("n")).alias("ece")).first().ece
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import round_half_up
 from ..operators import ranking as k
+from ..operators.scale import checkpointed
+from ..operators.selection import equal_bins
 from . import windows as wq
 from .registry import query, r
 from .scalars import FORECAST_SQL, forecast
@@ -103,6 +105,6 @@ def rnk_3(t):
     f = forecast(t)
     share = lambda i: F.sum(F.when(col("y") == i, col("w")).otherwise(0.0)) / F.sum("w")
     base = f.agg(r6(share(2)).alias("base_rate"))  # one row
-    x = k.global_bins(f.select("vec_id", col("p")[2].alias("p"), "y", "w"), 10, [col("p").desc(), col("vec_id")], name="decile")
+    x = equal_bins(checkpointed(f.select("vec_id", col("p")[2].alias("p"), "y", "w")), 10, "p", "vec_id", descending=True, name="decile")
     x = x.groupBy("decile").agg(F.count("*").alias("n"), r6(F.sum(col("w") * col("p")) / F.sum("w")).alias("mean_p"), *(r6(share(i)).alias(c) for i, c in enumerate(("down", "flat", "up"))))
     return x.join(F.broadcast(base))
