@@ -6,6 +6,7 @@ Plain functions on lists, so that they can be tested without Spark and used by b
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
 
 #: Fixed values of the production rule; the four-hour series uses half the look-back.
@@ -64,6 +65,89 @@ class Zigzag:
         return swing
 
 
+class Stretch:
+    """What a stretch of bars does to a zigzag that enters it with a direction: its state at the end, from the price of the extreme that it has.
+
+    A rising zigzag with extreme H goes on unchanged until the first bar that is higher, from where on H doesn't matter, or the first that is low enough to turn it, which the lowest price
+    that a bar turns tells. Only bars that are higher than all before, or turn a lower extreme than all before, can be the first of their kind, so the answer for every H
+    is in two sorted lists; what follows is the same for all that come to a bar in the same direction, and is walked once. Stretches are put one behind the other by looking up.
+    """
+
+    def __init__(self, at: list[int], h: list[float], l: list[float], c: list[float], atr: list[float | None], mult: float, pct: bool = False):
+        self.at, self.h, self.l, self.atr, self.mult, self.pct = at, h, l, atr, mult, pct
+        self.whole = [all(map(known, x)) for x in zip(h, l, c)]
+        self._ends: dict[tuple[int, int], tuple[int, int]] = {}
+
+    def _turns(self, d: int, price: float, j: int) -> bool:
+        moved = price - self.l[j] if d == 1 else self.h[j] - price
+        needed = abs(price) * self.mult / 100 if self.pct else self.mult * self.atr[j] if known(self.atr[j]) else math.inf
+        return moved >= needed
+
+    def _limit(self, d: int, j: int) -> float | None:
+        """The lowest high, or highest low, that bar j turns, to the last bit."""
+        if not self.pct and not known(self.atr[j]):
+            return None
+        m = self.mult / 100
+        x = self.l[j] if d == 1 else self.h[j]
+        guess = x + d * self.mult * self.atr[j] if not self.pct else x / (1 - d * m) if x >= 0 else x / (1 + d * m)
+        inward, outward = (-math.inf, math.inf) if d == 1 else (math.inf, -math.inf)
+        while not self._turns(d, guess, j):
+            guess = math.nextafter(guess, outward)
+        while self._turns(d, math.nextafter(guess, inward), j):
+            guess = math.nextafter(guess, inward)
+        return guess
+
+    def _next(self, d: int, i: int) -> tuple[int, int] | None:
+        price = self.h[i] if d == 1 else self.l[i]
+        for j in range(i + 1, len(self.at)):
+            if self.whole[j]:
+                if (self.h[j] > price) if d == 1 else (self.l[j] < price):
+                    return d, j
+                if self._turns(d, price, j):
+                    return -d, j
+        return None
+
+    def _end(self, d: int, i: int) -> tuple[int, int, float]:
+        path, now = [], (d, i)
+        while now not in self._ends:
+            path.append(now)
+            following = self._next(*now)
+            if following is None:
+                self._ends[now] = now
+                break
+            now = following
+        end = self._ends[now]
+        self._ends |= dict.fromkeys(path, end)
+        return end[0], self.at[end[1]], self.h[end[1]] if end[0] == 1 else self.l[end[1]]
+
+    def summary(self) -> dict[str, list]:
+        """For each direction, in order of the bars: (price, bar, end) of new extremes, and of the limits at which a turn begins. Prices are negated for the falling one, so that both are alike."""
+        out = {}
+        for d in (1, -1):
+            beyond, turn = [], []
+            for j in range(len(self.at)):
+                if not self.whole[j]:
+                    continue
+                price = d * (self.h[j] if d == 1 else self.l[j])
+                if not beyond or price > beyond[-1][0]:
+                    beyond.append((price, j, self._end(d, j)))
+                if (limit := self._limit(d, j)) is not None and (not turn or d * limit < turn[-1][0]):
+                    turn.append((d * limit, j, self._end(-d, j)))
+            out[str(d)] = [beyond, turn]
+        return out
+
+
+def after(summary: dict[str, list], d: int, at: int, price: float) -> tuple[int, int, float]:
+    """The state (direction, bar of the extreme, its price) behind a stretch with this summary."""
+    beyond, turn = summary[str(d)]
+    i = bisect_right(beyond, d * price, key=lambda x: x[0])
+    j = bisect_left(turn, -d * price, key=lambda x: -x[0])
+    first = min((x for x in (beyond[i] if i < len(beyond) else None, turn[j] if j < len(turn) else None) if x), key=lambda x: x[1], default=None)
+    if first and i < len(beyond) and beyond[i][1] == first[1]:
+        first = beyond[i]  # a bar that is higher doesn't turn
+    return tuple(first[2]) if first else (d, at, price)
+
+
 def known(x: float | None) -> bool:
     return x is not None and math.isfinite(x)
 
@@ -84,13 +168,18 @@ def swings_of(h: list[float], l: list[float], atr: list[float | None], mult: flo
 
 def levels(swings: list[tuple[int, float, str, int]], side: str, tol: float, min_touches: int) -> list[dict]:
     """Swings of one side, chained by price while the next is within ``tol`` of the last member."""
+    return chained(sorted((s[1], s[0]) for s in swings if s[2] == side), tol, min_touches)
+
+
+def chained(touches: list[tuple[float, int]], tol: float, min_touches: int) -> list[dict]:
+    """Levels of (price, bar) in order of price."""
     chains: list[list] = []
-    for s in sorted((s for s in swings if s[2] == side), key=lambda s: s[1]):
-        if chains and s[1] - chains[-1][-1][1] <= tol:
-            chains[-1].append(s)
+    for x in touches:
+        if chains and x[0] - chains[-1][-1][0] <= tol:
+            chains[-1].append(x)
         else:
-            chains.append([s])
-    return [{"high": g[-1][1], "low": g[0][1], "touches": len(g), "last": max(s[0] for s in g)} for g in chains if len(g) >= min_touches]
+            chains.append([x])
+    return [{"high": g[-1][0], "low": g[0][0], "touches": len(g), "last": max(i for _, i in g)} for g in chains if len(g) >= min_touches]
 
 
 def in_window(swings: list[tuple[int, float, str, int]], at: int, lookback: int) -> list[tuple[int, float, str, int]]:
@@ -99,17 +188,24 @@ def in_window(swings: list[tuple[int, float, str, int]], at: int, lookback: int)
 
 
 def range_at(at: int, h, l, c, atr, swings, p: dict) -> dict:
-    """``state`` (range, no_range or unavailable) with a reason, or the boundaries and how well closes stay within them.
-
-    Of each side's levels that with the most touches counts, of equals the one touched last; its outermost swing is the boundary.
-    """
-    if at + 1 < p["lookback"]:
-        return {"state": "unavailable", "reason": f"look-back of {p['lookback']} bars not filled"}
+    """``state`` (range, no_range or unavailable) with a reason, or the boundaries and how well closes stay within them, as of a bar."""
     unit = atr[at]
-    if not known(unit) or unit <= 0:
-        return {"state": "unavailable", "reason": "no mean range"}
+    if blocked := unready(at, unit, p):
+        return blocked
     seen = in_window(swings, at, p["lookback"])
     highs, lows = (levels(seen, side, p["tol_atr"] * unit, p["min_touches"]) for side in ("high", "low"))
+    closes = c[at - p["lookback"] + 1 : at + 1]
+    return ranged(unit, seen, highs, lows, lambda bottom, top: sum(bottom <= x <= top for x in closes) / len(closes), p)
+
+
+def unready(at: int, unit: float | None, p: dict) -> dict | None:
+    if at + 1 < p["lookback"]:
+        return {"state": "unavailable", "reason": f"look-back of {p['lookback']} bars not filled"}
+    return None if known(unit) and unit > 0 else {"state": "unavailable", "reason": "no mean range"}
+
+
+def ranged(unit: float, seen: list, highs: list[dict], lows: list[dict], within, p: dict) -> dict:
+    """Of each side's levels that with the most touches counts, of equals the one touched last; its outermost swing is the boundary. ``within`` gives the share of closes between two prices."""
     strongest = lambda of: max(of, key=lambda v: (v["touches"], v["last"]), default=None)
     roof, floor = strongest(highs), strongest(lows)
     why = None
@@ -128,9 +224,8 @@ def range_at(at: int, h, l, c, atr, swings, p: dict) -> dict:
     if why:
         return {"state": "no_range", "reason": why, "known": seen}
     top, bottom = roof["high"], floor["low"]
-    closes = c[at - p["lookback"] + 1 : at + 1]
     return {
-        "state": "range", "reason": None, "top": top, "bottom": bottom, "containment": sum(bottom <= x <= top for x in closes) / len(closes), "known": seen,
+        "state": "range", "reason": None, "top": top, "bottom": bottom, "containment": within(bottom, top), "known": seen,
         "height_atr": (top - bottom) / unit, "top_touches": roof["touches"], "bottom_touches": floor["touches"],
     }
 
@@ -151,14 +246,18 @@ def trend_of(seen: list[tuple[int, float, str, int]]) -> tuple[int, int] | None:
 
 
 def features_at(at: int, h, l, c, atr, swings, p: dict, sweep_window: int) -> dict:
-    """Sweep strength below the range (f1), whether there was one, rising and falling structure (f2), and containment (f3). Without a range f1 and f3 are truly 0."""
-    found = range_at(at, h, l, c, atr, swings, p)
+    """Sweep strength below the range (f1), whether there was one, rising and falling structure (f2), and containment (f3), as of a bar."""
+    return features_of(range_at(at, h, l, c, atr, swings, p), in_window(swings, at, p["lookback"]), lambda bottom: sweep(at, l, c, bottom, atr[at], sweep_window))
+
+
+def features_of(found: dict, seen: list, swept) -> dict:
+    """Without a range f1 and f3 are truly 0."""
     out: dict = {"state": found["state"], "reason": found["reason"], "f1": None, "f2_up": None, "f2_down": None, "f3": None}
     if found["state"] == "no_range":
         out |= {"f1": 0.0, "f3": 0.0}
     elif found["state"] == "range":
-        out |= {"f1": sweep(at, l, c, found["bottom"], atr[at], sweep_window), "f3": found["containment"], "top": found["top"], "bottom": found["bottom"]}
-    if turn := trend_of(in_window(swings, at, p["lookback"])):
+        out |= {"f1": swept(found["bottom"]), "f3": found["containment"], "top": found["top"], "bottom": found["bottom"]}
+    if turn := trend_of(seen):
         out |= {"f2_up": turn[0], "f2_down": turn[1]}
     return out
 

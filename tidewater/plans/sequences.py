@@ -120,6 +120,12 @@ def win_34(t):
     return st.swings(wq.h4(t), mult=2.0)
 
 
+@query("win_34_zigzag_percent")
+def win_34_percent(t):
+    """Turns by a part of the extreme's price instead of mean ranges."""
+    return st.swings(wq.h4(t), mult=40.0, pct=True)
+
+
 @query("win_37_range_detection")
 def win_37(t):
     return st.features(wq.h4(t), 84, 24, H4).select("symbol", "t", "state", "reason", r6(col("top")).alias("top"), r6(col("bottom")).alias("bottom"))
