@@ -1,13 +1,9 @@
 """Files that are damaged or half there, and streams that arrive in pieces."""
 
-import random
-
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.functions.structure import Zigzag
 from tidewater.sources import files as f
-from tidewater.streaming import jobs as s
 
 
 def test_klines_csv_leaves_out_what_is_no_candle(spark, tmp_path):
@@ -52,22 +48,3 @@ def test_provenance_stops_the_job(spark):
 def test_symbol_lists(spark):
     text = spark.createDataFrame([("BTC,ETH # all, of, it\nBTC  x\n币安币 bad-name",)], "t string")
     assert text.select(f.symbols(F.col("t")).alias("s")).first().s == ["BTC", "ETH", "币安币"]
-
-
-def test_streamed_swings_are_those_of_the_whole_series(spark, tmp_path):
-    rng = random.Random(4)
-    price, rows = 100.0, []
-    for i in range(120):
-        price += rng.gauss(0, 1)
-        rows.append(("X", i, price + 0.5, price - 0.5))
-    z = Zigzag(1.0)
-    for _, _, h, l in rows:
-        z.feed(h, l, 3.0)
-    schema, path = "symbol string, t long, h double, l double", f"{tmp_path}/in"
-    out = []
-    for a, b in ((0, 50), (50, 51), (51, 120)):
-        spark.createDataFrame(rows[a:b], schema).coalesce(1).write.mode("append").parquet(path)
-        stream = s.swings(spark.readStream.schema(schema).parquet(path), threshold=3.0)
-        q = stream.writeStream.foreachBatch(lambda batch, _: out.extend(batch.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert sorted((r.i, r.price, r.type, r.confirmed) for r in out) == sorted(z.swings)

@@ -20,7 +20,6 @@ from tidewater.operators import ranking as k
 from tidewater.operators import traders as tr
 from tidewater.operators.structure import features, snapshots
 from tidewater.sources import files as f
-from tidewater.streaming import jobs
 
 H = 3_600_000
 
@@ -260,33 +259,6 @@ def test_there_is_a_pointer_at_every_moment(spark, tmp_path):
     assert sorted(q.name for q in (tmp_path / "p").glob("latest-*.json")) == [f"latest-{i:09d}.json" for i in (1, 2, 3)] and f.latest(spark, folder).count() == 5
 
 
-def test_upserts_are_compacted(spark, tmp_path):
-    write = jobs.upsert_into(f"{tmp_path}/u", ["k"], "at", every=3)
-    for n in range(8):
-        write(spark.createDataFrame([(n % 4, n, f"v{n}"), (9, n, f"w{n}")], "k int, at int, v string"), n)
-    assert {(r.k, r.v) for r in write.current(spark).collect()} == {(0, "v4"), (1, "v5"), (2, "v6"), (3, "v7"), (9, "w7")}
-    names = {q.name for q in (tmp_path / "u").iterdir()}
-    assert {"base=2", "base=5", "batch=6", "batch=7"} <= names and not {"batch=0", "batch=2"} & names
-
-
-def test_streamed_positions_close_and_expire(spark, tmp_path):
-    day = 86_400
-
-    def tick(i, at, user, value, k):
-        return (i, 10**9 + at, user, "view", value, f'{{"k": {k}}}')
-
-    batches = [[tick(1, 0, 1, 10.0, 60), tick(2, 10, 2, 5.0, 60), tick(3, 20, 1, 20.0, 60)], [tick(4, day, 1, 0.0, 60), tick(5, day + 1, 3, 1.0, 10)], [tick(6, 5 * day, 3, 1.0, 90)], [tick(7, 6 * day, 3, 1.0, 90)]]
-    out = []
-    for rows in batches:
-        x = spark.createDataFrame(rows, "event_id long, at long, user_id long, event_type string, value double, props string").withColumn("ts", F.timestamp_seconds("at").cast("timestamp_ntz")).drop("at")
-        x.select("event_id", "ts", "user_id", "event_type", "value", "props").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
-        stream = jobs.position_changes(jobs.ticks(spark, f"{tmp_path}/in"), idle_ms=2 * day * 1000)
-        q = stream.writeStream.foreachBatch(lambda batch, _: out.extend((r.user_id, r.type) for r in batch.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
-        q.awaitTermination()
-    assert [x for x in out if x[0] == 1] == [(1, "opened"), (1, "increased"), (1, "closed")] and [x for x in out if x[0] == 2] == [(2, "opened"), (2, "expired")]
-    assert (3, "opened") in out
-
-
 # --- votes, settlements, grids
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import dedup as d
+from ..operators.scale import shared_folder
+from ..sources.bucketed import BucketedTable
 from .registry import query
 
 col = F.col
@@ -63,7 +65,11 @@ POSTS_SQL = f"""posts AS (SELECT doc_id AS ordinal, doc_id // 2 AS id, source AS
 
 
 def posts(t):
-    return t.documents.select(
+    return as_posts(t.documents)
+
+
+def as_posts(documents):
+    return documents.select(
         col("doc_id").alias("ordinal"), F.floor(col("doc_id") / 2).alias("id"), col("source").alias("author"), col("lang").alias("symbol"), "text",
         (NOW - col("doc_id") % 30 * 3_600_000).alias("at"), F.when(col("doc_id") % 17 == 0, 1).alias("duplicate_of"), col("n_chars").alias("likes"),
     )
@@ -89,7 +95,10 @@ def snk_5(t):
     day = F.expr("TIMESTAMP_NTZ '1997-01-01'")
     old = t.orders.where(col("o_orderdate") < day).select(col("o_custkey").alias("k"), col("o_totalprice").alias("v"), col("o_orderkey").alias("n"))
     new = t.orders.where(col("o_orderdate") >= day).select(col("o_custkey").alias("k"), (-col("o_totalprice")).alias("v"), col("o_orderkey").alias("n"))
-    return d.upsert(old, new, ["k"], "n").select("k", "v")
+    table = BucketedTable(t.spark, f"{shared_folder(t.spark)}/upserts", ["k"], "n")
+    table.update(old)
+    table.update(new)
+    return table.read().select("k", "v")
 
 
 @query("snk_9_merge_batch", """SELECT c_custkey, coalesce(b.v, c_acctbal) AS balance, CASE WHEN b.v IS NULL THEN 'ordinary' ELSE 'quality' END AS pool, CASE WHEN c_custkey % 3 = 0 THEN 1700000000000 + c_custkey END AS quality_at, CASE WHEN c_custkey % 4 = 0 THEN 1700000000000 - c_custkey END AS ordinary_at

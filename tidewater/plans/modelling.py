@@ -8,7 +8,8 @@ from ..functions.random import Mulberry32
 from ..functions.scalars import DAY_MS, HOUR_MS, brier_term, round_half_up
 from ..operators import labels as la
 from ..operators import modelling as m
-from ..operators.scale import checkpointed
+from ..operators.draws import DrawStore, permuted_agreement
+from ..operators.scale import checkpointed, shared_folder
 from ..operators.selection import equal_bins
 from ..operators import ranking as k
 from ..operators.gate import evaluate_gate
@@ -206,6 +207,15 @@ def snk_8(t):
     return m.missing_draws(done.unionByName(other), t.spark.range(1, 101).toDF("seed"), {"horizon": 24})
 
 
+@query("snk_8_stored_draws")
+def snk_8_stored(t):
+    """A null distribution whose run was stopped and resumed: how well labels agree with those of permuted days, for each seed."""
+    store, seeds = DrawStore(t.spark, f"{shared_folder(t.spark)}/draws"), t.spark.range(1, 41).toDF("seed")
+    draw, settings = permuted_agreement(labelled_days(t), block=3), {"block": 3, "statistic": "agreement"}
+    store.fill(settings, seeds, draw, block=15, most_blocks=1)
+    return store.fill(settings, seeds, draw, block=15).select("seed", r6(col("value")).alias("value"))
+
+
 @query("mdl_gate_report")
 def gate_report(t):
     """The gate over a report of the forecasts: what it lacks is listed."""

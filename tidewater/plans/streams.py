@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import HOUR_MS
 from ..operators import bars as b
 from ..operators.scale import shared_folder
+from ..sources.bucketed import BucketedTable
 from ..streaming import jobs as s
+from ..streaming import posts as po
+from ..streaming import stateful as sp
+from .dedup import POSTS_SQL, as_posts
 from .registry import bars_sql, query
 
 H4 = 4 * HOUR_MS
@@ -21,12 +25,12 @@ def ticks(t):
 @query("stm_1_incremental_upsert", "SELECT user_id, last(value ORDER BY ts, event_id) AS value FROM events GROUP BY 1")
 def stm_1(t):
     path = shared_folder(t.spark)
-    write = s.upsert_into(f"{path}/out", ["user_id"], "ts")
-    newest = ticks(t).select("user_id", "ts", "event_id", "value")
-    reduce = lambda batch, i: write(batch.groupBy("user_id").agg(F.max_by(F.struct("ts", "event_id", "value"), F.struct("ts", "event_id")).alias("x")).select("user_id", "x.*"), i)
+    table = BucketedTable(t.spark, f"{path}/out", ["user_id"], "at")
+    newest = ticks(t).select("user_id", F.struct("ts", "event_id").alias("at"), "value")
+    reduce = lambda batch, i: table.update(batch.groupBy("user_id").agg(F.max("at").alias("at"), F.max_by("value", "at").alias("value")), i)
     q = newest.writeStream.foreachBatch(reduce).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return write.current(t.spark).select("user_id", "value")
+    return table.read().select("user_id", "value")
 
 
 @query("stm_2_closed_bars", f"WITH {bars_sql(H4)} SELECT symbol, t, o, h, l, c, trades FROM bars WHERE (t + {H4}) * 1000 <= (SELECT max(epoch_us(ts)) FROM events) // 1000 * 1000 - 600000000")
@@ -36,7 +40,7 @@ def stm_2(t):
 
 @query("stm_3_position_changes")
 def stm_3(t):
-    return s.to_the_end(s.position_changes(ticks(t))).groupBy("type").agg(F.count("*").alias("n"))
+    return s.to_the_end(sp.position_changes(ticks(t))).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("stm_4_swings")
@@ -44,7 +48,19 @@ def stm_4(t):
     path = shared_folder(t.spark)
     b.from_events(t.events, H4).select("symbol", "t", "h", "l").write.parquet(path)
     bars = t.spark.readStream.schema("symbol string, t long, h double, l double").parquet(path)
-    return s.to_the_end(s.swings(bars, threshold=120.0))
+    return s.to_the_end(sp.swings(bars, threshold=120.0))
+
+
+POSTS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@query("stm_5_clean_posts", rf"""WITH {POSTS_SQL}, n AS (SELECT *, lower(regexp_replace(trim(text), '\s+', ' ', 'g')) AS norm, unnest(range(posted // 3600000 + 1, posted // 3600000 + 25)) * 3600000 AS cutoff FROM posts WHERE duplicate_of IS NULL),
+i AS (SELECT * FROM n WHERE norm <> '' AND cutoff <= (SELECT max(posted) FROM posts) - 600000 QUALIFY row_number() OVER (PARTITION BY cutoff, id ORDER BY ordinal) = 1)
+SELECT cutoff, ordinal, id, author, symbol, posted AS "at" FROM i QUALIFY row_number() OVER (PARTITION BY cutoff, author, symbol, norm ORDER BY ordinal) = 1""")
+def stm_5_posts(t):
+    """The clean posts of the day before each full hour."""
+    docs = t.spark.readStream.schema(POSTS).parquet(f"{t.folder}/documents.parque[t]")
+    return s.to_the_end(po.clean_posts(as_posts(docs).withColumn("at", F.timestamp_millis("at"))))
 
 
 @query("stm_5_first_sightings", "SELECT event_type, user_id FROM events GROUP BY 1, 2")

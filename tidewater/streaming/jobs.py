@@ -6,14 +6,11 @@ streaming DataFrame. State is keyed and expires by watermark or is a few numbers
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..functions.structure import Zigzag
 from ..operators.scale import shared_folder
+from .stateful import state_in_rocksdb
 
 TICKS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -42,74 +39,6 @@ def runs(events: DataFrame, gap: str, late: str) -> DataFrame:
     return s.select("user_id", F.unix_millis("session_window.start").alias("start"), F.unix_millis("session_window.end").alias("end"), "n")
 
 
-def position_changes(events: DataFrame, threshold: float = 0.3, idle_ms: int = 30 * 86_400_000, late: str = "10 minutes") -> DataFrame:
-    """Changes of each user's position in each symbol between one tick and the next: the last one is the state.
-
-    A tick of value 0 or less closes the position; a position that no tick has touched for ``idle_ms`` of event time is given out as "expired" and forgotten, so
-    that state is kept only of who is active.
-    """
-
-    def step(key: tuple, batches: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        before = state.get if state.exists else None
-        out = []
-        if state.hasTimedOut:
-            state.remove()
-            yield pd.DataFrame([(*key, "expired", pd.Timestamp(before[2], unit="ms"))] if before else [], columns=["user_id", "symbol", "type", "ts"])
-            return
-        for value, side, at in pd.concat(list(batches)).sort_values(["ts", "event_id"])[["value", "side", "ts"]].itertuples(index=False):
-            ms = at.value // 1_000_000
-            if value <= 0:
-                kind, now = ("closed" if before else None), None
-            else:
-                now = (side, value, ms)
-                if before is None:
-                    kind = "opened"
-                elif before[0] != side:
-                    kind = "reversed"
-                elif abs(value - before[1]) / before[1] >= threshold:
-                    kind = "increased" if value > before[1] else "reduced"
-                else:
-                    kind = None
-            if kind:
-                out.append((*key, kind, at))
-            before = now
-        if before:
-            state.update(before)
-            state.setTimeoutTimestamp(max(before[2] + idle_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["user_id", "symbol", "type", "ts"])
-
-    sided = events.withWatermark("ts", late).select("user_id", F.col("event_type").alias("symbol"), "ts", "event_id", "value", F.when(F.get_json_object("props", "$.k").cast("int") >= 50, "LONG").otherwise("SHORT").alias("side"))
-    return sided.groupBy("user_id", "symbol").applyInPandasWithState(step, "user_id long, symbol string, type string, ts timestamp", "side string, notional double, at long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def swings(bars: DataFrame, threshold: float) -> DataFrame:
-    """Zigzag swings of each symbol's bars (``symbol, t, h, l``) as they are confirmed; the state is the direction and both extremes.
-
-    Within a micro-batch bars are taken in order of time; later batches must be later, as closed bars are.
-    """
-
-    def step(key: tuple, batches: Iterator, state) -> Iterator:
-        import pandas as pd
-
-        z = Zigzag(1.0)
-        if state.exists:
-            z.direction, hi, h, lo, l, z.n = state.get
-            z.high, z.low = (hi, h), (lo, l)
-        out = []
-        for bar in pd.concat(list(batches)).sort_values("t").itertuples(index=False):
-            if swing := z.feed(bar.h, bar.l, threshold):
-                out.append((key[0], int(swing[0]), float(swing[1]), swing[2], int(bar.t)))
-        state.update((z.direction, *z.high, *z.low, z.n))
-        yield pd.DataFrame(out, columns=["symbol", "i", "price", "type", "confirmed"])
-
-    schema = "direction int, hi long, high double, lo long, low double, n long"
-    return bars.groupBy("symbol").applyInPandasWithState(step, "symbol string, i long, price double, type string, confirmed long", schema, "append", GroupStateTimeout.NoTimeout)
-
-
 def provisional(events: DataFrame, bucket: str = "1 day", late: str = "2 days") -> DataFrame:
     """For update mode: each user's newest tick of a bucket of time, given out again when a newer one arrives, until the watermark has passed the bucket and its
     state is dropped. The newest bucket of a user has the row that no successor has replaced yet."""
@@ -118,59 +47,14 @@ def provisional(events: DataFrame, bucket: str = "1 day", late: str = "2 days")
     return x.select(F.col("window.start").alias("bucket"), "user_id", "ts", "value", "n")
 
 
-def upsert_into(path: str, keys: list[str], order: str, every: int = 16):
-    """A ``foreachBatch`` function that keeps the last row of each key.
-
-    Batches are appended with their number, and a batch that is run again replaces itself. After ``every`` batches what is there is written as one table of
-    last rows under the number of its newest batch; later reads start from it, and the batches that it holds are deleted by the compaction after.
-    """
-
-    def folders(spark: SparkSession, kind: str) -> list[int]:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        fs = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
-        done = [n for n in names if n.startswith(f"{kind}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
-        return sorted(int(n.partition("=")[2]) for n in done)
-
-    def drop(spark: SparkSession, names: list[str]) -> None:
-        for name in names:
-            p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-    def last_rows(spark: SparkSession) -> DataFrame:
-        bases, batches = folders(spark, "base"), folders(spark, "batch")
-        base = bases[-1] if bases else None
-        parts = [spark.read.parquet(f"{path}/base={base}")] if base is not None else []
-        for n in batches:
-            if base is None or n > base:
-                parts.append(spark.read.parquet(f"{path}/batch={n}").withColumn("_batch", F.lit(n).cast("long")))
-        rows = parts[0]
-        for more in parts[1:]:
-            rows = rows.unionByName(more)
-        values = [c for c in rows.columns if c not in keys]
-        last = rows.groupBy(*keys).agg(F.max_by(F.struct(*(F.col(c) for c in values)), F.struct("_batch", order)).alias("x"))
-        return last.select(*keys, "x.*")
-
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        spark = batch.sparkSession
-        if (number + 1) % every == 0:
-            old = folders(spark, "base")
-            last_rows(spark).write.mode("overwrite").parquet(f"{path}/base={number}")
-            # what the base before holds is read by no one any more; what this one holds may still be, by who began before it
-            drop(spark, [f"batch={n}" for n in folders(spark, "batch") if old and n <= old[-1]] + [f"base={n}" for n in old[:-1]])
-
-    write.current = lambda spark: last_rows(spark).drop("_batch")
-    return write
-
-
 def to_the_end(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what there is, with its checkpoint and output in the shared folder, and read the output."""
     spark = stream.sparkSession
     path = shared_folder(spark)
-    if mode == "append":
-        q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
-    else:
-        q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out/batch={i}")).trigger(availableNow=True).start()
+    with state_in_rocksdb(spark):
+        if mode == "append":
+            q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/state").option("path", f"{path}/out").trigger(availableNow=True).start()
+        else:
+            q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out/batch={i}")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out") if mode == "append" else spark.read.parquet(f"{path}/out")
