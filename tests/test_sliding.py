@@ -116,3 +116,35 @@ def test_nothing_and_rows_without_a_time(spark):
     assert sl.sliding(df, {"r": sl.mid_rank("x", 3)}, STEP).collect() == []
     df = spark.createDataFrame([("a", None, 1.0), ("a", 0, 1.0)], "symbol string, t long, x double")
     assert [(r.t, r.r) for r in sl.sliding(df, {"r": sl.mid_rank("x", 1)}, STEP).collect()] == [(0, 50.0)]
+
+
+@pytest.mark.parametrize("tile_days", [None, 1])
+def test_funding_z_like_brute_force(spark, tile_days):
+    """Decisions over many tiles, rows whose interval changes at the next, gaps, and decisions at settlements' own times."""
+    from tidewater.operators import funding
+
+    rng = random.Random(11)
+    rows, at = [], []
+    for s in ("A", "B"):
+        t = -40 * 24
+        for _ in range(500):
+            t += rng.choice([4, 4, 4, 4, 8, 3, 30] if rng.random() < 0.1 else [4])
+            rows.append((s, t * STEP, rng.gauss(0, 1e-4)))
+        at += [(s, rng.randrange(-40 * 24, 50 * 24) * STEP) for _ in range(80)] + [(s, rows[-7][1])]
+    normal = funding.normalised(spark.createDataFrame(rows, "symbol string, time long, rate double"))
+    of = [r.asDict() for r in normal.collect()]
+    days, least, span = 10, 20, 8
+    got = {(r.symbol, r.at): r.z for r in funding.z_scores(spark.createDataFrame(at + at[:5], "symbol string, at long"), normal, 1e-9, days, least, span, tile_days=tile_days).collect()}
+    assert set(got) == set(at)
+    some = 0
+    for s, a in at:
+        seen = sorted((r["time"], r["daily"]) for r in of if r["symbol"] == s and a - days * 24 * STEP < r["time"] <= a and (r["next_time"] is None or r["next_time"] > a or r["next_hours"] == r["hours"]))
+        if len(seen) < least or seen[-1][0] - seen[0][0] < span * 24 * STEP or a - seen[-1][0] > 9 * STEP:
+            assert got[s, a] is None
+            continue
+        v = sorted(x for _, x in seen)
+        q = lambda p: v[int((len(v) - 1) * p)] + ((len(v) - 1) * p % 1) * (v[min(len(v) - 1, int((len(v) - 1) * p) + 1)] - v[int((len(v) - 1) * p)])  # noqa: B023, E731
+        z = (seen[-1][1] - q(0.5)) / max(q(0.75) - q(0.25), 1e-9)
+        assert got[s, a] == pytest.approx(max(-5, min(5, z)))
+        some += 1
+    assert some > 40

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOUR_MS = 3_600_000
@@ -207,3 +207,14 @@ def request_cost(url: Column) -> tuple[Column, Column]:
 def redacted_key(text: Column, key: Column) -> Column:
     """``text`` without a key that must not leave; as it is where there is none."""
     return F.when(F.coalesce(F.length(key), F.lit(0)) > 0, F.replace(text, key, F.lit("***"))).otherwise(text)
+
+
+def prompts(turns: DataFrame, keys: DataFrame, by: str, order: str) -> DataFrame:
+    """``by`` and ``prompt``: the lines ``role: text`` of ``turns`` in order of (``order``, role, text), without the ``key`` that ``keys`` has for them. Null role or text is empty.
+
+    A prompt is bounded by what a model takes, so its lines are one group.
+    """
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    line = F.struct(F.col(order).alias("at"), role.alias("role"), text.alias("text"), F.concat(role, F.lit(": "), redacted_key(text, F.col("key"))).alias("line"))
+    lines = turns.join(keys.select(by, "key"), by, "left").groupBy(by).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return lines.select(by, F.array_join("lines.line", "\n").alias("prompt"))

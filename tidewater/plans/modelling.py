@@ -190,13 +190,14 @@ def mdl_13(t):
 
 @query("prj_21_generator")
 def prj_21(t):
-    """Gaussian draws and a shuffle for each seed."""
+    """A Gaussian draw and a shuffle for each customer, whose key is the seed."""
 
-    def draw(seed: int) -> float:
-        g = Mulberry32(seed)
-        return g.gaussian() + g.shuffled(list(range(10)))[0]
+    def draw(batches):
+        for pdf in batches:
+            of = [Mulberry32(int(seed)) for seed in pdf.seed]
+            yield pdf.assign(value=[g.gaussian() + g.shuffled(list(range(10)))[0] for g in of])
 
-    return m.per_seed(t.spark, list(range(1, 21)), draw).select("seed", r6(col("value")).alias("value"))
+    return t.customer.select(col("c_custkey").cast("long").alias("seed")).mapInPandas(draw, "seed long, value double").select("seed", r6(col("value")).alias("value"))
 
 
 @query("snk_8_resumed_draws", "SELECT CAST(s AS BIGINT) AS seed FROM (SELECT unnest(range(1, 101)) AS s) WHERE s NOT IN (SELECT event_id FROM events WHERE event_type = 'view')")

@@ -60,17 +60,21 @@ def prj_6(t):
     return t.lineitem.withColumn("flow", flow).select(*LINE, *(s.round_half_up(col(f"flow.{k}")).alias(k) for k in ("inflow", "outflow", "net")))
 
 
-BASES = "(VALUES ('1000PEPE'), ('1MBABYDOGE'), ('1000000MOG'), ('1INCH'), ('BTC'), ('100X'), ('1000')) b(base)"
 
 
 def bases(t: Tables):
-    return t.spark.createDataFrame([(b,) for b in ("1000PEPE", "1MBABYDOGE", "1000000MOG", "1INCH", "BTC", "100X", "1000")], "base string")
+    """Contract names: parts' names without blanks, with the multipliers that some contracts carry."""
+    prefix = F.element_at(F.array(*map(F.lit, ("1000", "1M", "1000000", "", "1"))), (col("p_partkey") % 5 + 1).cast("int"))
+    return t.part.select("p_partkey", F.concat(prefix, F.upper(F.regexp_replace("p_name", "[^A-Za-z0-9]", ""))).alias("base"))
 
 
-@query("prj_7_token_identity", f"""SELECT base, CASE WHEN regexp_matches(base, '^(1000000|1000|1M)([A-Z][A-Z0-9]*)$') THEN regexp_extract(base, '^(1000000|1000|1M)([A-Z][A-Z0-9]*)$', 2) ELSE base END AS token,
+BASES = "(SELECT p_partkey, ['1000', '1M', '1000000', '', '1'][p_partkey % 5 + 1] || upper(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS base FROM part)"
+
+
+@query("prj_7_token_identity", f"""SELECT p_partkey, base, CASE WHEN regexp_matches(base, '^(1000000|1000|1M)([A-Z][A-Z0-9]*)$') THEN regexp_extract(base, '^(1000000|1000|1M)([A-Z][A-Z0-9]*)$', 2) ELSE base END AS token,
        CASE regexp_extract(base, '^(1000000|1000|1M)([A-Z][A-Z0-9]*)$', 1) WHEN '1M' THEN 1e6 WHEN '1000' THEN 1e3 WHEN '1000000' THEN 1e6 ELSE 1e0 END AS multiplier FROM {BASES}""")
 def prj_7(t):
-    return bases(t).select("base", s.token(col("base")).alias("token"), s.multiplier(col("base")).alias("multiplier"))
+    return bases(t).select("p_partkey", "base", s.token(col("base")).alias("token"), s.multiplier(col("base")).alias("multiplier"))
 
 
 @query("prj_8_unscaled_coin", "SELECT p_partkey, coin, CASE WHEN regexp_matches(coin, '^k[A-Z]') THEN substring(coin, 2) ELSE coin END AS token FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'k' || upper(p_name) WHEN 1 THEN 'k' || lower(p_name) ELSE upper(p_name) END AS coin FROM part)")
@@ -271,9 +275,9 @@ def str_1(t):
     return t.pages.select("page_id", F.md5(s.plain_text(col("html"))).alias("digest"))
 
 
-@query("str_2_mentions", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[\n。.!！]'), lambda x: regexp_matches(x, '(?i)(^|[^A-Za-z0-9])\$?the([^A-Za-z0-9]|$)')), ' ') AS local FROM documents WHERE lang = 'en'")
+@query("str_2_mentions", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(text, '[\n。.!！]'), lambda x: regexp_matches(x, '(?i)(^|[^A-Za-z0-9])\$?the([^A-Za-z0-9]|$)')), ' ') AS local FROM documents")
 def str_2(t):
-    return t.documents.where("lang = 'en'").select("doc_id", s.mentions(col("text"), "the").alias("local"))
+    return t.documents.select("doc_id", s.mentions(col("text"), "the").alias("local"))
 
 
 BULL, BEAR, UNCLEAR = (x.replace("(?i)", "") for x in (s.BULLISH, s.BEARISH, s.UNCLEAR))
@@ -319,13 +323,13 @@ def str_9(t):
     return t.pages.groupBy(s.digits_masked(col("url")).alias("shape")).agg(F.count("*").alias("n"))
 
 
-@query("str_10_prompt_text", "SELECT conv_id, string_agg(role || ': ' || n || ' ' || h, ' | ' ORDER BY turn, role, n, h) AS prompt FROM (SELECT conv_id, turn, role, length(x) AS n, left(md5(x), 6) AS h FROM (SELECT *, replace(text, 'the', '***') AS x FROM conversations)) GROUP BY 1")
+@query("str_10_prompt_text", r"""WITH k AS (SELECT conv_id, max(regexp_extract(text, '[A-Za-z]{6,}')) AS key FROM conversations WHERE turn = 0 GROUP BY 1)
+SELECT c.conv_id, string_agg(coalesce(role, '') || ': ' || CASE WHEN coalesce(key, '') = '' THEN coalesce(text, '') ELSE replace(coalesce(text, ''), key, '***') END, chr(10) ORDER BY turn, coalesce(role, ''), coalesce(text, '')) AS prompt
+FROM conversations c LEFT JOIN k USING (conv_id) GROUP BY 1""")
 def str_10(t):
-    """The lines of a conversation in order of its turns, without a secret that must not go out; of each line its size and the start of its digest."""
-    text = s.redacted_key(col("text"), F.lit("the"))
-    lines = t.conversations.select("conv_id", "turn", "role", F.length(text).alias("n"), F.left(F.md5(text.cast("binary")), F.lit(6)).alias("h"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "n", "h"))), lambda x: F.concat(x["role"], F.lit(": "), x["n"].cast("string"), F.lit(" "), x["h"])), " | ")
-    return lines.groupBy("conv_id").agg(joined.alias("prompt"))
+    """The text that goes out for a conversation: its turns in order, a line each, without the key of that conversation, which a table of keys has (here a word of the first turn)."""
+    keys = t.conversations.where("turn = 0").groupBy("conv_id").agg(F.max(F.regexp_extract("text", "[A-Za-z]{6,}", 0)).alias("key"))
+    return s.prompts(t.conversations, keys, "conv_id", "turn")
 
 
 @query("dat_1_floor", "SELECT event_id, (epoch_us(ts) // 1000) // 3600000 * 3600000 AS hour, (epoch_us(ts) // 1000) // 14400000 * 14400000 AS h4, (epoch_us(ts) // 1000) // 86400000 * 86400000 AS day FROM events")
@@ -410,9 +414,9 @@ def arr_3(t):
     return m.select("c_nationkey", s.round_half_up(F.try_element_at("m", F.lit("BUILDING"))).alias("building"), F.size(F.map_keys("m")).cast("long").alias("segments"))
 
 
-@query("arr_4_explode", f"SELECT vec_id, CAST(i - 1 AS INT) AS i, {r('embedding[i]::DOUBLE')} AS x FROM (SELECT vec_id, embedding, unnest(range(1, 5)) AS i FROM embeddings)")
+@query("arr_4_explode", f"SELECT vec_id, CAST(i - 1 AS INT) AS i, {r('embedding[i]::DOUBLE')} AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def arr_4(t):
-    return t.embeddings.select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("i", "x")).withColumn("x", s.round_half_up(col("x").cast("double")))
+    return t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "x")).withColumn("x", s.round_half_up(col("x").cast("double")))
 
 
 @query("map_1_entries", "SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS entries FROM (SELECT user_id, event_type, 10 * count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")

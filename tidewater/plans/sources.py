@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import HOUR_MS, round_half_up, to_number
@@ -195,18 +196,26 @@ def snk_6(t):
     return m.select(F.regexp_extract("name", "([^.]+)$", 1).alias("kind"), "bytes", "sha256").join(F.broadcast(summary))
 
 
-@query("snk_7_run_lock")
+@query("snk_7_run_lock", "SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1")
 def snk_7(t):
-    """A second run under the same lock stops."""
-    path, states = f"{shared_folder(t.spark)}/run.lock", []
-    with f.RunLock(t.spark, path):
-        states.append("first runs")
+    """Two runs that would append the same counts: the second stops at the lock of the first, so they are there once."""
+    folder = shared_folder(t.spark)
+
+    def run(inside=None):
+        with f.RunLock(t.spark, f"{folder}/run.lock"):
+            t.orders.groupBy("o_orderpriority").agg(F.count("*").alias("n")).write.mode("append").parquet(f"{folder}/out")
+            if inside:
+                inside()
+
+    def second():
         try:
-            with f.RunLock(t.spark, path):
-                states.append("second runs")
+            run()
         except Exception:  # noqa: BLE001 - the file system's own
-            states.append("second stopped")
-    return t.spark.createDataFrame([(s,) for s in states], "state string")
+            return
+        raise RuntimeError("two runs at once")
+
+    run(second)
+    return t.spark.read.schema("o_orderpriority string, n long").parquet(f"{folder}/out")
 
 
 #: Files of delisted contracts, made of bars and orders: candles by the hour and by four, settlements, and what the plan says of each.
@@ -222,12 +231,25 @@ PROBLEMS = {
 
 @query("flt_15_batch_verification", f"WITH {BATCH_SQL} SELECT k AS symbol, concat_ws(',', {', '.join(f'CASE WHEN {c} THEN {chr(39)}{k}{chr(39)} END' for k, c in PROBLEMS.items())}) AS problems FROM p")
 def flt_15(t):
-    """What is wrong with the files of each delisted contract, one condition for each check."""
-    k = col("k")
-    f1 = t.orders.select((col("o_custkey") % 60).alias("k"), "o_orderkey").groupBy("k").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
-    x = f1.select(
-        "k", "n", "last", F.when(k % 11 == 4, 1).otherwise(0).alias("unordered"), F.when(k % 13 == 5, "aggregated").otherwise("native").alias("source"), F.when(k % 3 == 0, col("last") - 1).alias("delivery"),
-        F.when(k % 7 == 0, "signature").when(k % 7 == 1, "trailing").when(k % 7 == 2, None).otherwise("delivery").alias("cut_by"), F.when(k % 10 == 0, col("last") - 4).when(k % 5 == 0, col("last")).alias("partial"), ((k % 10 == 5) & (k % 15 == 5)).alias("partial_eligible"),
-        F.when(k % 4 != 1, F.when(k % 17 == 2, 0).otherwise(F.floor(col("n") / 4))).alias("n4"), F.when(k % 19 == 3, "aggregated").otherwise("native").alias("source4"), (k % 23 == 6).alias("partial4"), F.when(k % 9 != 2, col("last") - F.when(k % 8 == 3, 0).otherwise(2)).alias("funding_last"),
-    )
-    return x.select(k.alias("symbol"), F.array_join(f.batch_problems(step_ms=1), ",").alias("problems"))
+    """What is wrong with the files of each delisted contract, one condition for each check; the files are written of orders first, some of them wrong."""
+    k, folder = col("symbol"), shared_folder(t.spark)
+    rows = t.orders.select((col("o_custkey") % 60).alias("symbol"), col("o_orderkey").alias("t"))
+    facts = rows.groupBy("symbol").agg(F.max("t").alias("last"), F.count("*").alias("n"))
+    x = rows.join(F.broadcast(facts), "symbol")  # sixty rows
+    place = F.row_number().over(Window.partitionBy("symbol").orderBy("t"))
+
+    def write(rows, name, *order):
+        rows.repartition("symbol").sortWithinPartitions("symbol", *order).write.parquet(f"{folder}/{name}")
+
+    partial = F.when(k % 10 == 0, col("last") - 4).when(k % 5 == 0, col("last"))
+    hours = x.select("symbol", F.explode(F.when((col("t") == col("last")) & (partial != col("last")), F.array("t", partial)).otherwise(F.array("t"))).alias("t"), "last")
+    hours = hours.select("symbol", "t", F.when(k % 13 == 5, "aggregated").otherwise("native").alias("source"), F.coalesce(col("t") == partial, F.lit(False)).alias("partial"), ((k % 10 == 5) & (k % 15 == 5)).alias("eligible"))
+    write(hours, "hours", F.when(k % 11 == 4, -col("t")).otherwise(col("t")))
+    four = x.withColumn("place", place).where((k % 4 != 1) & (k % 17 != 2) & (col("place") % 4 == 0))
+    four = four.select("symbol", "t", F.when(k % 19 == 3, "aggregated").otherwise("native").alias("source"), ((k % 23 == 6) & (col("place") + 4 > col("n"))).alias("partial"), F.lit(False).alias("eligible"))
+    write(four, "four_hours", "t")
+    late = F.when(k % 8 == 3, 0).otherwise(2)
+    write(facts.where(k % 9 != 2).select("symbol", F.explode(F.sequence(col("last") - late - 16, col("last") - late, F.lit(8))).alias("t")), "settlements", "t")
+    plan = facts.select("symbol", F.when(k % 3 == 0, col("last") - 1).alias("delivery"), F.when(k % 7 == 0, "signature").when(k % 7 == 1, "trailing").when(k % 7 == 2, None).otherwise("delivery").alias("cut_by"), (k % 4 != 1).alias("four"))
+    judged = f.batch_facts(t.spark, folder, plan)
+    return judged.select("symbol", F.array_join(f.batch_problems(step_ms=1), ",").alias("problems"))

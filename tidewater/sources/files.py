@@ -209,3 +209,34 @@ def batch_problems(step_ms: int) -> Column:
         (c("n4") == 0, "no candles of four hours"), (four & (c("source4") != "native"), "source of the candles of four hours"), (four & c("partial4"), "partial bar of four hours"),
         (~(c("funding_last") < F.coalesce("delivery", c("last") + step_ms)), "settlement after the cut"), (c("funding_last").isNull(), "no settlements"),
     )
+
+
+CANDLE_ROWS = "symbol long, t long, source string, partial boolean, eligible boolean"
+
+
+def candle_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Of each ``symbol`` what the candle files under ``path`` (Parquet, ``CANDLE_ROWS``) say: ``n`` rows, how many are ``unordered`` (not later than the row of their symbol before them in the file), the ``last`` time, the ``source``
+    (of several the one that isn't native), the time of a ``partial`` bar, and whether one is ``partial_eligible`` for decisions.
+
+    A file is in the order that it was written in; its rows are told apart by their number there.
+    """
+    rows = spark.read.schema(CANDLE_ROWS).parquet(path).select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    before = F.lag("t").over(Window.partitionBy("file", "symbol").orderBy("row"))
+    x = rows.withColumn("unordered", F.coalesce(F.col("t") <= before, F.lit(False)))
+    return x.groupBy("symbol").agg(
+        F.count("*").alias("n"), F.count_if("unordered").alias("unordered"), F.max("t").alias("last"), F.min_by("source", F.struct(F.col("source") == "native", F.col("source"))).alias("source"),
+        F.max(F.when(F.col("partial"), F.col("t"))).alias("partial"), F.bool_or(F.col("partial") & F.col("eligible")).alias("partial_eligible"),
+    )
+
+
+def batch_facts(spark: SparkSession, folder: str, plan: DataFrame) -> DataFrame:
+    """The columns that ``batch_problems`` judges, by ``symbol``, from the files under ``folder`` (``hours``, ``four_hours`` and ``settlements`` of ``symbol, t``) and the plan (``symbol, delivery, cut_by, four``: whether there is a file of four-hour candles).
+
+    What belongs together is paired by a full join, so a contract that only some of the files or only the plan has is judged too.
+    """
+    one = candle_facts(spark, f"{folder}/hours")
+    four = candle_facts(spark, f"{folder}/four_hours").select("symbol", F.col("n").alias("found4"), F.col("source").alias("source4"), F.col("partial").isNotNull().alias("partial4"))
+    settled = spark.read.schema("symbol long, t long").parquet(f"{folder}/settlements").groupBy("symbol").agg(F.max("t").alias("funding_last"))
+    x = one.join(four, "symbol", "full_outer").join(settled, "symbol", "full_outer").join(plan, "symbol", "full_outer")
+    zero = F.lit(0).cast("long")
+    return x.withColumns({"n": F.coalesce("n", zero), "unordered": F.coalesce("unordered", zero), "n4": F.when(F.col("four") | F.col("found4").isNotNull(), F.coalesce("found4", zero))}).drop("four", "found4")
