@@ -203,3 +203,18 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
         with pytest.raises(RuntimeError):
             common.shared_folder(spark)
+
+
+# --- damaged images
+
+
+def test_damaged_images_keep_what_comes_before(spark):
+    """A table with whole, cut, foreign and oversized images is read to its end."""
+    two = gif.encode(bytes(range(64)) * 4)
+    assert two.endswith(b"\x3b")
+    twice = two[:-1] + two[two.index(b"\x21\xf9") :]  # a second frame
+    huge = b"GIF89a" + (65_535).to_bytes(2, "little") * 2 + b"\0\0\0;"
+    rows = [(1, two), (2, twice), (3, twice[:-40]), (4, b"not a GIF at all"), (5, huge), (6, None), (7, b""), (7, b"")]
+    got = [(r.doc_id, None if r.frames is None else len(r.frames), r.error) for r in gif.frames(spark.createDataFrame(rows, "doc_id long, media binary")).collect()]
+    assert [x[:2] for x in sorted(got, key=lambda x: x[0])] == [(1, 1), (2, 2), (3, 1), (4, 0), (5, 0), (6, None), (7, 0), (7, 0)]
+    assert {i for i, _, e in got if e} == {3, 4, 5, 7} and any("65535" in (e or "") for _, _, e in got)

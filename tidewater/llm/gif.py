@@ -251,12 +251,12 @@ def _few(batch: pa.RecordBatch, rows: int = 500) -> Iterator[tuple[pa.Array, lis
 
 
 def frames(media: DataFrame) -> DataFrame:
-    """``doc_id`` and the nested ``frames`` of every image (``doc_id``, ``media``).
+    """``doc_id``, the nested ``frames`` of every image (``doc_id``, ``media``), and ``error``: what is wrong with a damaged one, or one whose canvas is over ``MAX_PIXELS``; its frames are those before the damage.
 
     Each frame has its time, its place, the histogram of the canvas shown, and that canvas: ``pixels``, red, green and blue by row, of
-    ``canvas_width`` x ``canvas_height``. Null media have no frames (null); damaged ones raise. Repeated rows come back as often as they occur.
+    ``canvas_width`` x ``canvas_height``. Null media have no frames (null) and no error. Repeated rows come back as often as they occur.
     """
-    return media.select("doc_id", "media").mapInArrow(lambda it: _read(it, False), f"doc_id long, frames {FRAMES % PIXELS}")
+    return media.select("doc_id", "media").mapInArrow(lambda it: _read(it, False), f"doc_id long, frames {FRAMES % PIXELS}, error string")
 
 
 def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.RecordBatch]:
@@ -269,15 +269,21 @@ def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Recor
     step = 500 if payload else 8
     for whole in batches:
         for batch in (whole.slice(i, step) for i in range(0, whole.num_rows, step)):
-            rows, digests = [], []
+            rows, digests, errors = [], [], []
             for media in batch.column(batch.schema.get_field_index("media")).to_pylist():
-                of, data = [], []
-                for f in decode(media) if media is not None else ():
-                    of.append({"histogram": histogram(f.canvas)} | {k: getattr(f, k) for k in numbers})
-                    if payload:
-                        data.append(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
-                    else:
-                        of[-1] |= {"canvas_width": f.canvas.shape[1], "canvas_height": f.canvas.shape[0], "pixels": f.canvas.tobytes()}
+                of, data, error = [], [], None
+                try:
+                    for f in decode(media) if media is not None else ():
+                        of.append({"histogram": histogram(f.canvas)} | {k: getattr(f, k) for k in numbers})
+                        if payload:
+                            data.append(f.canvas[f.top : f.top + f.height, f.left : f.left + f.width, 0].tobytes())
+                        else:
+                            of[-1] |= {"canvas_width": f.canvas.shape[1], "canvas_height": f.canvas.shape[0], "pixels": f.canvas.tobytes()}
+                except ValueError as e:
+                    if payload:  # an image that was stored here
+                        raise
+                    error = str(e)
+                errors.append(error)
                 for f, t in zip(of, itertools.accumulate((f["delay_ms"] for f in of), initial=0)):
                     f["at_ms"] = t
                 rows.append(of if media is not None else None)
@@ -285,8 +291,8 @@ def _read(batches: Iterator[pa.RecordBatch], payload: bool) -> Iterator[pa.Recor
                 if payload:
                     digests.append((len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-UNIT:]), len(media), hashlib.sha256(media).hexdigest()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *([batch.column(1), *map(pa.array, zip(*digests))] if payload else []), pa.array(rows, kind)],
-                ["doc_id", *(["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"] if payload else []), "frames"],
+                [batch.column(0), *([batch.column(1), *map(pa.array, zip(*digests))] if payload else []), pa.array(rows, kind), *([] if payload else [pa.array(errors, pa.string())])],
+                ["doc_id", *(["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"] if payload else []), "frames", *([] if payload else ["error"])],
             )
 
 
