@@ -9,6 +9,7 @@ from ..functions.scalars import HOUR_MS, round_half_up, to_number
 from ..operators import bars as b
 from ..operators.scale import shared_folder
 from ..sources import files as f
+from ..sources import pages
 from .registry import bars_sql, query, r
 
 H4 = 4 * HOUR_MS
@@ -120,6 +121,19 @@ def src_7(t):
     return rows.join(requests, ["symbol", "page"]).select("symbol", "t", "from", "fetched", col("place").cast("long"))
 
 
+@query("src_7_collected_pages", f"WITH {bars_sql(HOUR_MS)} SELECT symbol, t, c AS v FROM bars")
+def src_7_pages(t):
+    """Bars that landed as pages with repeated edges, read as a stream that is stopped and started: each once."""
+    folder = shared_folder(t.spark)
+    bars = b.from_events(t.events, HOUR_MS).select("symbol", "t", col("c").alias("v"))
+    pages.register(t.spark)
+    for since, until in ((0, 3), (3, None)):  # the first run ends after three pages of a hundred hours
+        pages.land(bars, f"{folder}/pages", 100, HOUR_MS, since, until)
+        q = t.spark.readStream.format("pages").load(f"{folder}/pages").writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
+        q.awaitTermination()
+    return t.spark.read.schema(pages.SCHEMA).parquet(f"{folder}/out")
+
+
 @query("src_8_ndjson", "SELECT n_nationkey, n_name FROM nation")
 def src_8(t):
     path = shared_folder(t.spark)
