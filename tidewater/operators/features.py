@@ -101,7 +101,7 @@ def feature_vectors(hourly: DataFrame, four: DataFrame, market: DataFrame, fundi
     slow = slow.join(_structure(four, 84, 24, H4, "_4h"), ["symbol", "t"]).drop("c").withColumn("closed", col("t") + H4).drop("t")
     x = as_of(x.withColumn("at", col("t") + HOUR_MS), slow, "symbol", "at", "closed", [c for c in slow.columns if c not in ("symbol", "closed")])
     z = fu.z_scores(x.select("symbol", (col("at") - 1).alias("at")), fu.normalised(funding), floor)
-    x = x.join(z.select("symbol", (col("at") + 1).alias("at"), col("z").alias("a3_funding_z")), ["symbol", "at"], "left")
+    x = x.join(z.select("symbol", (col("at") + 1).alias("at"), col("z").alias("a3_funding_z"), col("why").alias("_a3")), ["symbol", "at"], "left")
     why = _reasons(least_coins)
     missing = F.filter(F.array(*(F.when(_absent(c), c) for c in FEATURES)), lambda v: v.isNotNull())
     reasons = F.map_from_entries(F.filter(F.array(*(F.when(_absent(c), F.struct(F.lit(c).alias("key"), why[c].alias("value"))) for c in FEATURES)), lambda e: e.isNotNull()))
@@ -127,5 +127,5 @@ def _reasons(least_coins: int) -> dict[str, Column]:
         blocked = F.coalesce(F.when(col(f"state{s}") == "unavailable", col(f"structure{s}")), F.when(col(f"state{s}").isNull(), F.lit("no bars of this step")))
         out |= {f"{c}{s}": F.coalesce(blocked, F.lit("range unavailable")) for c in ("f1_sweep_reclaim", "f1_occurred", "f3_range_containment")}
         out |= {f"{c}{s}": F.coalesce(blocked, F.lit("too few confirmed swings")) for c in ("f2_up", "f2_down")}
-    out |= {"g1_breadth_ema60": F.lit(f"fewer than {least_coins} coins with a whole mean"), "g2_btc_vol_regime": windowed(LONG, F.lit(True), have="market_have"), "a3_funding_z": F.lit("settlements too few, too short or stale")}
+    out |= {"g1_breadth_ema60": F.lit(f"fewer than {least_coins} coins with a whole mean"), "g2_btc_vol_regime": windowed(LONG, F.lit(True), have="market_have"), "a3_funding_z": F.coalesce(col("_a3"), F.lit("no settlements of this symbol"))}
     return out

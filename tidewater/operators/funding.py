@@ -87,7 +87,7 @@ class _Seen:
 
 
 def z_scores(decisions: DataFrame, normal: DataFrame, floor: float, days: int = 30, least: int = 60, span_days: int = 25, stale_ms: int = 9 * HOUR_MS, tile_days: int | None = None) -> DataFrame:
-    """``symbol, at, z``: the last rate against median and spread of those in the ``days`` before ``at``, clipped at 5; a row for each decision, equal ones once.
+    """``symbol, at, z, why`` (why z is missing, where it is): the last rate against median and spread of those in the ``days`` before ``at``, clipped at 5; a row for each decision, equal ones once.
 
     The window is by time and ends at the decision: a row that is the last one visible then is kept though its successor may later show that its
     interval changed. Settlements and decisions are put in one order by tiles of time, eight windows wide unless ``tile_days`` says otherwise; a settlement that the next tile looks back to is in both, so what is
@@ -122,7 +122,11 @@ def z_scores(decisions: DataFrame, normal: DataFrame, floor: float, days: int =
     g = ordered.mapInArrow(run, f"symbol {kind}, at long, n long, m double, iqr double, now double, last long, first long")
     ok = (F.col("n") >= least) & (F.col("last") - F.col("first") >= span_days * DAY_MS) & (F.col("at") - F.col("last") <= stale_ms)
     z = (F.col("now") - F.col("m")) / F.greatest("iqr", F.lit(floor))
-    return g.select("symbol", "at", F.when(ok, F.greatest(F.lit(-5.0), F.least(F.lit(5.0), z))).alias("z"))
+    why = (
+        F.when(F.col("n") == 0, f"no settlement in {days} days").when(F.col("n") < least, f"fewer than {least} settlements in {days} days")
+        .when(F.col("last") - F.col("first") < span_days * DAY_MS, f"settlements of less than {span_days} days").when(~ok, f"last settlement more than {stale_ms // HOUR_MS} hours before")
+    )
+    return g.select("symbol", "at", F.when(ok, F.greatest(F.lit(-5.0), F.least(F.lit(5.0), z))).alias("z"), why.alias("why"))
 
 
 def interval_check(funding: DataFrame) -> DataFrame:
