@@ -54,7 +54,7 @@ def tokens(text):
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows_as_sql(spark, sf, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages", "labels"):
+    for t in ("documents", "benchmark", "pages", "labels", "conversations"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     got, want = QUERIES[name](spark, sf), c.sql(ORACLE_SQL[name])
     order = sorted(got.columns)

@@ -119,7 +119,7 @@ def test_pixels_of_frames_and_headers_that_claim_too_much(spark):
 
 def test_parts_are_linked_over_any_records_and_headers(spark):
     rows = [("m1", [], "response"), ("q1", ["m1"], "request"), ("i1", ["q1"], "metadata"), ("m2", ["q2"], "revisit"), ("q2", [], "request"), ("i2", ["a", "q2", "m2"], "metadata"), ("q9", ["gone"], "request"), ("i9", ["q9"], "metadata"), ("w", [], "warcinfo")]
-    df = spark.createDataFrame([(r, c, t, None, "u", None, 1, 1, None, True, None) for r, c, t in rows], warc.RECORDS)
+    df = spark.createDataFrame([(r, c, t, None, "u", None, 1, 1, None, True, None, None) for r, c, t in rows], warc.RECORDS)
     got = {r.capture_id: tuple(x and x.record_id for x in (r.response, r.request, r.metadata)) for r in warc.assemble(df).collect()}
     assert got == {"m1": ("m1", "q1", "i1"), "m2": ("m2", "q2", "i2"), "gone": (None, "q9", None), "q9": (None, None, "i9")}
     data = b"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <i>\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
