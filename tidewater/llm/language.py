@@ -80,8 +80,9 @@ class LanguageModel:
         out, n = np.zeros(self.code.shape[1]), 0
         for g in ngrams(text):
             n += len(g)
-            if len(g) <= BLOCK:
-                out += self.ratio[g].sum(axis=0, dtype=float)
+            if len(g) <= BUCKETS:  # cheaper than to go through all buckets
+                for at in range(0, len(g), BLOCK):
+                    out += self.ratio[g[at : at + BLOCK]].sum(axis=0, dtype=float)
             else:
                 c = np.bincount(g, minlength=BUCKETS)
                 for at in range(0, BUCKETS, BLOCK):
