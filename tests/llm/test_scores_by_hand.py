@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from tidewater.llm import language, quality, toxicity
+from tidewater.llm.labelled import training_rows
 
 RUDE = ["blargh", "snorf", "blarghish"]
 
@@ -107,20 +108,32 @@ def test_quality(tables, rows):
 
 def buckets(text):
     """The n-grams themselves, and only then their numbers."""
-    t = re.sub(rb"[^a-z0-9\x80-\xff]+", b" ", b" " + text.encode().lower() + b" ")
-    t += b" " * 6 if len(t) < 6 else b""
+    t = re.sub("[^a-z0-9\x80-\U0010ffff]+", " ", f" {text.encode().lower().decode()} ")
+    t += " " * 6 if len(t) < 6 else ""
     found = set()
     for n in (4, 5, 6):
         for i in range(len(t) - n + 1):
             g = t[i : i + n]
-            if b" " not in g[1:-1]:
-                h = int.from_bytes(g[:4], "big")
-                for c, factor in zip(g[4:], (2246822519, 3266489917)):
-                    h = (h * factor + c) % 2**32
+            if " " not in g[1:-1]:
+                h = 0
+                for c in g:
+                    h = (h * 2246822519 + ord(c)) % 2**32
                 found.add((h * 2654435761 % 2**32) >> 14)
     return found
 
 
+@pytest.mark.parametrize("text", ["", "Aé", "naïve Ünïcode 😀😀😀😀 words", "日本語のテキスト、です", "a--b  c", "İSTANBUL"])
+def test_ngrams_are_of_characters(text):
+    assert set(toxicity.ngrams(text.encode()).tolist()) == buckets(text)
+
+
+def test_a_repeated_id_is_learnt_from_once(spark):
+    docs = spark.createDataFrame([(1, "a")] * 500 + [(1, "b"), (1, None), (2, None), (3, ""), (5, "x")], "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 1), (3, 0), (4, 1)], "doc_id long, toxic int")
+    got = sorted((r.doc_id, r.text, r.y) for r in training_rows(docs, labels, "toxic", 100).collect())
+    assert got == [x for x in [(1, "b", 0.5), (2, None, 1.0), (3, "", 0.0)] if crc(x[0], 5)]
+
+
 def test_toxicity(tables, rows):
     docs, labels = tables
     model = toxicity.fit(docs, labels)

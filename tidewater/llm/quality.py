@@ -94,8 +94,8 @@ def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, features: int = 256, ridge: float = 1e-3, seed: int = 7) -> QualityModel | None:
     """A model of ``labels.quality`` from at most ``sample`` labelled rows that are not held out; None if there is none.
 
-    Folds are by crc32 of the id modulo 5, of which 0 is held out. Null and empty texts are learnt from like any other, and repeated rows count as
-    often as they occur.
+    Folds are by crc32 of the id modulo 5, of which 0 is held out. Null and empty texts are learnt from like any other, and an id that is repeated is
+    learnt from once.
     """
     # dealt by a remainder that holds that of the fold: there are at most 32 sums, one fold each, however many tasks
     rows = training_rows(docs, labels, "quality", sample, crc_mod(F.col("doc_id"), 40)).select("text", "y", crc_mod(F.col("doc_id"), 5).cast("string").alias("fold"))

@@ -20,21 +20,23 @@ from .common import forget, stored, summed, texts
 from .labelled import TASKS, held_out, training_rows
 
 BITS = 18
-#: A-Z are lower-cased; other ASCII than letters and digits is a blank; bytes above 0x7F stay.
-_FOLD = np.array([b if b >= 0x80 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint32)
+#: A-Z are lower-cased; other ASCII than letters and digits is a blank; characters above 0x7F stay.
+_FOLD = np.array([c if 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(128)], np.uint32)
+_STEP = np.uint32(2246822519)
 
 
 def ngrams(text: bytes | None) -> np.ndarray:
-    """The distinct buckets of a text's n-grams, of 4 to 6 bytes, which may begin or end in a blank but have none inside."""
-    b = _FOLD[np.frombuffer(b" " + (text or b"") + b" ", np.uint8)]
-    blank = b == 32
+    """The distinct buckets of a text's n-grams, of 4 to 6 characters (code points), which may begin or end in a blank but have none inside."""
+    c = np.frombuffer(f" {(text or b'').decode('utf-8', 'replace')} ".encode("utf-32-le"), np.uint32)
+    c = np.where(c < 128, _FOLD[np.minimum(c, 127)], c)
+    blank = c == 32
     keep = np.concatenate([[True], ~(blank[1:] & blank[:-1])])
-    b, blank = b[keep], blank[keep]
-    if len(b) < 6:
-        b, blank = np.concatenate([b, np.full(6, 32, np.uint32)]), np.concatenate([blank, np.full(6, True)])
-    h4, in4 = b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:], blank[1:-2] | blank[2:-1]
-    h5, in5 = h4[:-1] * np.uint32(2246822519) + b[4:], in4[:-1] | blank[3:-1]
-    h6, in6 = h5[:-1] * np.uint32(3266489917) + b[5:], in5[:-1] | blank[4:-1]
+    c, blank = c[keep], blank[keep]
+    if len(c) < 6:
+        c, blank = np.concatenate([c, np.full(6, 32, np.uint32)]), np.concatenate([blank, np.full(6, True)])
+    h4, in4 = ((c[:-3] * _STEP + c[1:-2]) * _STEP + c[2:-1]) * _STEP + c[3:], blank[1:-2] | blank[2:-1]
+    h5, in5 = h4[:-1] * _STEP + c[4:], in4[:-1] | blank[3:-1]
+    h6, in6 = h5[:-1] * _STEP + c[5:], in5[:-1] | blank[4:-1]
     seen = np.zeros(1 << BITS, bool)
     for h, inner in ((h4, in4), (h5, in5), (h6, in6)):
         seen[h[~inner] * np.uint32(2654435761) >> (32 - BITS)] = True
@@ -72,7 +74,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 16_000, features: int
     """A model of ``labels.toxic`` from at most ``sample`` labelled rows that are not held out; None if a class is missing.
 
     The weights are those of the ``features`` buckets on which the classes differ most for their standard error, among those that ``min_count``
-    texts have. An id whose labels disagree counts as toxic from a mean of a half.
+    texts have. An id whose labels disagree counts as toxic from a mean of a half, and one that is repeated is learnt from once.
     """
     rows = stored(training_rows(docs, labels, "toxic", sample))  # read twice
     p, q, n_p, n_q = _counts(rows)
