@@ -301,7 +301,7 @@ def test_schedule_is_even(docs):
 
 def test_backoff_against_a_loop(spark, odd, none):
     rng = random.Random(5)
-    rows = [(100 + i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(30)))) for i in range(40)]
+    rows = [(100 + i, " ".join(rng.choice("abcde") for _ in range(rng.randrange(30)))) for i in range(40)] + [(99, "a b c a b")] * 60 + [(98, None)] * 20
     df = odd.select("doc_id", "text").where("doc_id not in (7, 8)").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
     all_rows = df.collect()
     for order in (2, 3):
@@ -325,7 +325,7 @@ def test_backoff_against_a_loop(spark, odd, none):
             return s
 
         want = sorted((str(r.doc_id), len(w), round(score(w), 5)) for r, w in zip(all_rows, words))
-        for options in ({}, {"chunk_bytes": 100, "partition_grams": 50}):
+        for options in ({}, {"chunk_bytes": 100, "partition_grams": 50}, {"chunk_bytes": 100, "partition_grams": 50, "chunks_at_once": 3}):
             got = sorted((str(r.doc_id), r.n_words, round(r.log10_score, 5)) for r in backoff.backoff_scores(df, order=order, **options).collect())
             assert [g[:2] for g in got] == [w[:2] for w in want] and [g[2] for g in got] == pytest.approx([w[2] for w in want], abs=2e-5)
     assert backoff.digest(none).count() == 0

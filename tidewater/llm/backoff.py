@@ -16,6 +16,7 @@ Counts are exact but for n-grams, of whatever length, that share all 64 bits of
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,17 +62,17 @@ def _grams(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray,
     return n, position, grams
 
 
-def _distinct(position: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """The sorted distinct n-grams, their counts, and where to find that of each word and order."""
+def _distinct(position: np.ndarray, grams: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sorted distinct n-grams, and where to find that of each word and order."""
     valid = [position >= k for k in range(len(grams))]
-    every, inverse, counts = np.unique(np.concatenate([g[v] for g, v in zip(grams, valid)]), return_inverse=True, return_counts=True)
+    every, inverse = np.unique(np.concatenate([g[v] for g, v in zip(grams, valid)]), return_inverse=True)
     at, start = [], 0
     for v in valid:
         index = np.zeros(len(v), np.int64)
         index[v] = inverse[start : start + v.sum()]
         start += int(v.sum())
         at.append(index)
-    return every, counts, at
+    return every, at
 
 
 def _parts(every: np.ndarray, bits: int) -> tuple[np.ndarray, list[int]]:
@@ -81,6 +82,16 @@ def _parts(every: np.ndarray, bits: int) -> tuple[np.ndarray, list[int]]:
     return part[edges[:-1]], edges
 
 
+def _narrow(numbers: np.ndarray) -> tuple[int, bytes]:
+    """Most counts are small: numbers as narrow as the largest of them needs, and how wide that is."""
+    x = numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+    return x.itemsize, x.tobytes()
+
+
+def _wide(widths: list[int], data: list[bytes]) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x, f"u{w}") for w, x in zip(widths, data)] or [np.zeros(0)]).astype(float)
+
+
 def _packed(rising: np.ndarray) -> bytes:
     """Sorted hashes as the steps between them, all first bytes first: the high ones are mostly zero, and Spark compresses them."""
     return np.diff(rising, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -90,7 +101,58 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel())
 
 
-def backoff_scores(docs: DataFrame, order: int = 2, min_count: int = 2, factor: float = 0.4, chunk_bytes: int = 4 << 20, partition_grams: int = 1_000_000) -> DataFrame:
+def _columns(t: pa.Table, *names: str) -> list[list]:
+    return [t.column(name).to_pylist() for name in names]
+
+
+def _added(grams: list[bytes], widths: list[int], counts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of each row, the distinct ones of all rows, their sums, and where each row's n-grams are among those, row after row."""
+    of = [_unpacked(g) for g in grams]
+    every, inverse = np.unique(np.concatenate(of), return_inverse=True)
+    return of, every, np.bincount(inverse, _wide(widths, counts)), inverse
+
+
+def _corpus_counts(rows: DataFrame, by: str) -> DataFrame:
+    """For each row of ``by``, ``part`` and n-grams with counts the sums over all rows of the part, in the order of its n-grams."""
+
+    def total(t: pa.Table) -> pa.Table:
+        of, _, sums, inverse = _added(*_columns(t, "grams", "width", "counts"))
+        narrow = [_narrow(x) for x in np.split(sums[inverse], np.cumsum([len(x) for x in of])[:-1])]
+        return pa.table({by: t.column(by), "part": t.column("part"), "width": pa.array([w for w, _ in narrow], pa.int32()), "totals": pa.array([x for _, x in narrow], pa.binary())})
+
+    return rows.groupBy("part").applyInArrow(total, f"{by} long, part long, width int, totals binary")
+
+
+def _by_groups(rows: DataFrame, at_once: int) -> DataFrame:
+    """The same for ``chunk``: groups of about ``at_once`` chunks are added up, then the groups, and a group's answers go to its chunks."""
+    rows = rows.withColumn("team", F.floor(F.col("chunk") / at_once))
+
+    def subtotal(t: pa.Table) -> pa.Table:
+        _, every, sums, _ = _added(*_columns(t, "grams", "width", "counts"))
+        width, counts = _narrow(sums)
+        return pa.table({"team": t.column("team")[:1], "part": t.column("part")[:1], "grams": pa.array([_packed(every)], pa.binary()), "width": pa.array([width], pa.int32()), "counts": pa.array([counts], pa.binary())})
+
+    def dealt_out(t: pa.Table, answers: pa.Table) -> pa.Table:
+        of, _, _, inverse = _added(*_columns(t, "grams", "width", "counts"))
+        sums = _wide(*_columns(answers, "width", "totals"))
+        narrow = [_narrow(x) for x in np.split(sums[inverse], np.cumsum([len(x) for x in of])[:-1])]
+        return pa.table({"chunk": t.column("chunk"), "part": t.column("part"), "width": pa.array([w for w, _ in narrow], pa.int32()), "totals": pa.array([x for _, x in narrow], pa.binary())})
+
+    teams = rows.groupBy("part", "team").applyInArrow(subtotal, "team long, part long, grams binary, width int, counts binary")
+    answers = _corpus_counts(teams, "team")
+    return rows.groupBy("part", "team").cogroup(answers.groupBy("part", "team")).applyInArrow(dealt_out, "chunk long, part long, width int, totals binary")
+
+
+def _copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that are equal in id and text as one with their number; only those of a batch, so that nothing is moved."""
+    for batch in batches:
+        t = pa.Table.from_batches([batch]).group_by(["doc_id", "text", "chunk"]).aggregate([([], "count_all")])
+        yield from t.select(["doc_id", "text", "chunk", "count_all"]).rename_columns(["doc_id", "text", "chunk", "copies"]).combine_chunks().to_batches()
+
+
+def backoff_scores(
+    docs: DataFrame, order: int = 2, min_count: int = 2, factor: float = 0.4, chunk_bytes: int = 4 << 20, partition_grams: int = 1_000_000, chunks_at_once: int = 1_024
+) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_seen`` (words scored with a context) and ``log10_score`` of every row, over whole texts.
 
     A-Z are lower-cased and words are runs of anything but 0x20 and 0x09-0x0D. Null and blank texts have no words and score 0. Repeated rows
@@ -99,31 +161,25 @@ def backoff_scores(docs: DataFrame, order: int = 2, min_count: int = 2, factor:
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, math.ceil(n_bytes / chunk_bytes))
     bits = max(0, math.ceil(math.log2(max(1.0, order * n_bytes / 7 / partition_grams))))  # one number of partitions for the job
-    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"))
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk")).mapInArrow(_copies, "doc_id long, text string, chunk long, copies long")
 
     def counted(t: pa.Table) -> pa.Table:
         chunk = t.column("chunk")[0].as_py()
-        _, position, grams = _grams(t.column("text"), order)
-        every, counts, _ = _distinct(position, grams)
+        n, position, grams = _grams(t.column("text"), order)
+        every, at = _distinct(position, grams)
+        copies, counts = np.repeat(t.column("copies").to_numpy(), n), np.zeros(len(every))
+        for k, where in enumerate(at):
+            counts += np.bincount(where[position >= k], copies[position >= k], len(every))
         full, edges = _parts(every, bits)
-        parts = [(_packed(every[a:b] - (p << np.uint64(64 - bits) if bits else p)), counts[a:b].astype(np.uint32).tobytes()) for p, a, b in zip(full, edges, edges[1:])]
-        return pa.table({"part": pa.array(full.astype(np.int64)), "chunk": pa.array([chunk] * len(full), pa.int64()), "grams": pa.array([g for g, _ in parts], pa.binary()), "counts": pa.array([c for _, c in parts], pa.binary())})
-
-    def added(t: pa.Table) -> pa.Table:
-        of = [_unpacked(g) for g in t.column("grams").to_pylist()]
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in t.column("counts").to_pylist()])
-        _, inverse = np.unique(np.concatenate(of), return_inverse=True)
-        total = np.bincount(inverse, counts)[inverse].astype(np.uint64)
-        ends = np.cumsum([len(x) for x in of])
-        # most counts are small; a row's are stored as narrow as its largest
-        narrow = [x.astype(np.min_scalar_type(int(x.max()))) for x in np.split(total, ends[:-1])]
-        return pa.table({"chunk": t.column("chunk"), "part": t.column("part"), "width": pa.array([x.itemsize for x in narrow], pa.int32()), "totals": pa.array([x.tobytes() for x in narrow], pa.binary())})
+        narrow = [_narrow(counts[a:b]) for a, b in zip(edges, edges[1:])]
+        packed = [_packed(every[a:b] - (p << np.uint64(64 - bits) if bits else p)) for p, a, b in zip(full, edges, edges[1:])]
+        return pa.table({"part": pa.array(full.astype(np.int64)), "chunk": pa.array([chunk] * len(full), pa.int64()), "grams": pa.array(packed, pa.binary()), "width": pa.array([w for w, _ in narrow], pa.int32()), "counts": pa.array([c for _, c in narrow], pa.binary())})
 
     def scored(t: pa.Table, answers: pa.Table) -> pa.Table:
         n, position, grams = _grams(t.column("text"), order)
-        every, _, at = _distinct(position, grams)
-        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("part", "width", "totals"))))
-        total = np.concatenate([np.frombuffer(x, f"u{w}") for _, w, x in rows] or [np.zeros(0)]).astype(float)
+        every, at = _distinct(position, grams)
+        rows = sorted(zip(*_columns(answers, "part", "width", "totals")))
+        total = _wide([w for _, w, _ in rows], [x for _, _, x in rows])
         if len(total) != len(every):
             raise RuntimeError("a chunk changed while it was scored")
         seen = [total[a] if len(total) else np.zeros(0) for a in at]
@@ -137,13 +193,14 @@ def backoff_scores(docs: DataFrame, order: int = 2, min_count: int = 2, factor:
         doc = np.repeat(np.arange(len(n)), n)
         return pa.table({
             "doc_id": t.column("doc_id"), "n_words": pa.array(n), "n_seen": pa.array(np.bincount(doc, depth > 0, len(n)).astype(np.int64)),
-            "log": pa.array(np.bincount(doc, log, len(n))),
+            "log": pa.array(np.bincount(doc, log, len(n))), "copies": t.column("copies"),
         })
 
-    rows = dealt.groupBy("chunk").applyInArrow(counted, "part long, chunk long, grams binary, counts binary")
-    answers = rows.groupBy("part").applyInArrow(added, "chunk long, part long, width int, totals binary")
-    out = stored(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, n_words long, n_seen long, log double"))
-    words = out.agg(F.sum("n_words")).first()[0] or 1
+    rows = dealt.groupBy("chunk").applyInArrow(counted, "part long, chunk long, grams binary, width int, counts binary")
+    answers = _corpus_counts(rows, "chunk") if chunks <= chunks_at_once else _by_groups(rows, chunks_at_once)
+    out = stored(dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, "doc_id long, n_words long, n_seen long, log double, copies long"))
+    words = out.agg(F.sum(F.col("n_words") * F.col("copies"))).first()[0] or 1
+    out = out.where("copies = 1").unionByName(out.where("copies > 1").withColumn("copy", F.explode(F.expr("sequence(1, copies)"))).drop("copy"))
     # words without a context were left undivided
     log10_score = F.col("log") - (F.col("n_words") - F.col("n_seen")) * math.log10(words)
     return out.select("doc_id", "n_words", "n_seen", log10_score.alias("log10_score"))
