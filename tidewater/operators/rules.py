@@ -109,7 +109,8 @@ def effective_pool(quality: Column, now: Column, observed: Column, history: Colu
 
 
 def capped_composite(public: Column, risk: Column) -> tuple[Column, Column]:
-    score = F.when(risk.isNull(), F.least(public, F.lit(89.0))).when(risk >= 60, F.least(public, F.lit(49.0))).otherwise(round_half_up(public * 0.7 + (100 - risk) * 0.3, 1))
+    safe = (100 - risk) * 3 / 10  # 0.3 is not a binary number: a product with it can fall short of a half that is to be rounded up
+    score = F.when(risk.isNull(), F.least(public, F.lit(89.0))).when(risk >= 60, F.least(public, F.lit(49.0))).otherwise(round_half_up(public * 0.7 + safe, 1))
     return score, F.when(risk.isNull(), "pending").when(risk >= 60, "flagged").otherwise("verified")
 
 
