@@ -1,8 +1,13 @@
 """Queries against their SQL on rows that the small tables don't have: halves and thresholds, letters beyond ASCII."""
 
+import functools
+import random
+
 import duckdb
+from pyspark.sql import functions as F
 
 from tidewater.catalog import ORACLE_SQL, QUERIES
+from tidewater.operators.aggregates import exact_mean
 
 
 def both(spark, folder, name, **tables):
@@ -28,3 +33,20 @@ def test_words_end_at_letters_beyond_ascii(spark, tmp_path):
     docs = [(i, x) for i, x in enumerate(texts)]
     got, want = both(spark, tmp_path, "str_3_direction", documents=(docs, "doc_id long, text string"), conversations=([(i, 1, x) for i, x in docs], "conv_id long, turn int, text string"))
     assert got == want and {r[3] for r in got} == {-1, 0, 1, None}
+
+
+def test_a_mean_at_a_threshold_does_not_depend_on_the_order(spark, tmp_path):
+    cents = [(4500 + d) / 100 for d in (-3, 7, -12, 31, -23, 5, -5, 41, -41, 13, -13)]
+    rng, sums = random.Random(1), set()
+    for _ in range(200):
+        rng.shuffle(cents)
+        sums.add(functools.reduce(float.__add__, cents) / len(cents))
+    assert len(sums) > 1 and max(sums) > 45  # the order matters for doubles
+    high = max((rng.sample(cents, len(cents)) for _ in range(200)), key=lambda x: functools.reduce(float.__add__, x))
+    clicks = [(i, user, "click", x, '{"k": 1}') for user, order in enumerate((high, sorted(cents))) for i, x in enumerate(order)]
+    spark.createDataFrame(clicks, "event_id long, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert [r.indicators_direction for r in QUERIES["rul_18_module_availability"](spark, str(tmp_path)).collect()] == [-1, -1]
+    rows = [(0, x) for x in high] + [(1, 1e300), (1, 1.0), (2, float("inf")), (3, None), (4, 0.1), (4, 0.2), (4, None), (5, 9e18), (5, 9e18), (6, 1e-9)]
+    x = spark.createDataFrame(rows, "k int, v double").repartition(1).groupBy("k").agg(exact_mean(F.col("v")).alias("m"))
+    got = {r.k: r.m for r in x.collect()}
+    assert got == {0: 45.0, 1: 5e299, 2: float("inf"), 3: None, 4: 0.15, 5: 9e18, 6: 1e-9}

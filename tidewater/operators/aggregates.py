@@ -24,6 +24,17 @@ def weighted_mean(c: Column, w: Column) -> Column:
     return F.coalesce(F.sum(c * w) / F.nullif(F.sum(w), F.lit(0.0)), F.lit(0.0))
 
 
+def exact_mean(c: Column) -> Column:
+    """The mean of numbers as they are written, whatever order they are added in; that of doubles can pass a threshold or not with the order.
+
+    Sums have 18 decimals and 20 digits before; with a number that is not finite or too large for that the mean is that of the doubles.
+    """
+    number = c.cast("double")
+    decimal = F.when(F.abs(number) < 1e19, number.try_cast("decimal(38,18)"))
+    total = F.try_sum(decimal)
+    return F.coalesce(F.when(F.count(decimal) == F.count(number), total.cast("double") / F.nullif(F.count(number), F.lit(0))), F.avg(number))
+
+
 def floor_quantile(df: DataFrame, key: str, value: str, p: float, large: int = LARGE) -> DataFrame:
     """``key`` and ``value``: the value at floor(p * n) of each key's sorted ones, without interpolation. Keys of ``large`` rows and more are counted, not sorted."""
     x = at_ranks(df, F.col(key), F.col(value), {"at": F.least(F.col("n") - 1, F.floor(F.col("n") * p))}, large)

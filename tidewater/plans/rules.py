@@ -8,6 +8,7 @@ from ..functions.scalars import HOUR_MS, change, round_half_up
 from ..functions.windows import by_time, ema
 from ..operators import gate
 from ..operators import rules as u
+from ..operators.aggregates import exact_mean
 from . import windows as wq
 from .registry import K, query, r
 
@@ -211,7 +212,7 @@ def rul_18(t):
     author, up, down = col("event_id") % 7, col("k") >= 60, col("k") < 30
     posts = of("view").agg(F.countDistinct(author).alias("authors"), F.countDistinct(F.when(up | down, author)).alias("directional"), ((F.count_if(up) - F.count_if(down)) * 100.0 / F.count("*")).alias("net"))
     copy = of("purchase").agg(F.count("*").alias("addresses"), ((F.count_if(col("k") >= 50) - F.count_if(col("k") < 50)) / F.count("*")).alias("share"))
-    ind = of("click").agg((F.count("*") >= 10).alias("quality"), F.avg("value").alias("level"))
+    ind = of("click").agg((F.count("*") >= 10).alias("quality"), exact_mean(col("value")).alias("level"))
     y = x.select("coin").distinct().join(posts, "coin", "left").join(copy, "coin", "left").join(ind, "coin", "left")
     now, no = F.lit(NOW), lambda c: F.coalesce(c, F.lit(False))
     square = u.square_available(NOW - col("coin") % 8 * HOUR_MS, F.lit(ANCHOR), now, col("authors"), col("directional"))
