@@ -87,3 +87,16 @@ def test_a_hot_key_is_not_sorted(spark):
     assert "SortMergeJoin" not in plan
     want = sorted(r.v for r in df.collect())[2_500]
     assert s.at_ranks(df, F.col("key"), F.col("v"), {"m": F.lit(2_500)}, 1).first().m == want
+
+
+def test_small_keys_are_sorted_once_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(s, "SORTED", 100, raising=False)
+    df = spark.range(5_000).select((F.col("id") % 70).alias("key"), F.rand(3).alias("v"))
+    x = s.at_ranks(df, F.col("key"), F.col("v"), {"low": F.lit(0), "mid": F.floor(F.col("n") / 2)})
+    assert x.rdd.getNumPartitions() == 50
+    plan = x._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window ") == 1 and "SortAggregate" not in plan
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.key, []).append(r.v)
+    assert {(r.key, r.n, r.low, r.mid, r.mid_before) for r in x.collect()} == {(k, len(v), min(v), sorted(v)[len(v) // 2], len(v) // 2) for k, v in by.items()}

@@ -2,11 +2,13 @@
 
 A number's bits, with the sign turned round, are in the order of the numbers. Four passes over a key's rows each count 16 further bits of those that can still be
 the value looked for, for all keys and ranks at once: counts are combined by the tasks before they are moved, so a key with most of the rows is spread over all tasks, and no pass
-moves more than 65,536 counts for each task, key and rank. Keys of fewer rows than ``LARGE`` are sorted, each in one task.
+moves more than 65,536 counts for each task, key and rank. Keys of fewer rows than ``LARGE`` are sorted, in tasks of about ``SORTED`` rows however many rows there are.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +19,8 @@ from .scale import checkpointed
 
 #: Rows from which a key's values are counted instead of sorted.
 LARGE = 1 << 20
+#: Rows that a task sorts, on average.
+SORTED = 1 << 20
 _DIGIT, _LEVELS = 16, 4
 _SIGN = np.int64(np.iinfo(np.int64).max)
 
@@ -68,17 +72,21 @@ def at_ranks(df: DataFrame, key: Column, value: Column, ranks: dict[str, Column]
     exact = _whole(df.select(value.alias("v")).schema["v"].dataType)
     x = df.select(key.alias("key"), (value.cast("long") if exact else value.cast("double")).alias("v")).where("v is not null")
     counts = x.groupBy("key").agg(F.count("*").alias("n"))
-    heavy = checkpointed(counts.where(F.col("n") >= large))  # at most one key for ``large`` rows
-    by = Window.partitionBy("key")
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
 
     def light(rows: DataFrame) -> DataFrame:
-        n, rn, rank = F.count("*").over(by), F.row_number().over(by.orderBy("v")), F.rank().over(by.orderBy("v"))
-        rows = rows.select("key", "v", n.alias("n"), (rn - 1).alias("i"), (rank - 1).cast("long").alias("below"))
-        each = [F.max(F.when(F.col("i") == r, F.struct("v", "below"))).alias(name) for name, r in ranks.items()]
-        return rows.groupBy("key", "n").agg(*each).select("key", "n", *(c for name in ranks for c in (F.col(f"{name}.v").alias(name), F.col(f"{name}.below").alias(f"{name}_before"))))
-
-    if heavy.isEmpty():
+        # tasks of about a million rows, each sorted once; only the rows at a rank go on
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-(total or 0) // SORTED))
+        by = Window.partitionBy("key").orderBy("v")
+        n = F.count("*").over(by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        rows = rows.repartition(tasks, "key").select("key", "v", n.alias("n"), (F.row_number().over(by) - 1).alias("i"), (F.rank().over(by) - 1).cast("long").alias("below"))
+        at = {name: F.col("i") == r for name, r in ranks.items()}
+        each = (F.max(F.when(here, F.col(c))).alias(out) for name, here in at.items() for c, out in (("v", name), ("below", f"{name}_before")))
+        return rows.where(functools.reduce(Column.__or__, at.values())).groupBy("key", "n").agg(*each)
+
+    if most is None or most < large:
         return light(x)
+    heavy = checkpointed(counts.where(F.col("n") >= large))  # at most one key for ``large`` rows
     keys = F.broadcast(heavy.select(F.col("key").alias("k")))
     mine = checkpointed(x.join(keys, F.col("key").eqNullSafe(F.col("k"))).select("key", (F.col("v") if exact else ordered_bits("v")).alias("u")))
     wanted = heavy.select("key", "n", F.explode(F.array(*(F.struct(F.lit(name).alias("name"), r.cast("long").alias("rank")) for name, r in ranks.items()))).alias("w")).select("key", "w.name", "w.rank")
