@@ -84,6 +84,44 @@ def test_positions_in_order_close_and_expire(spark, tmp_path):
     assert of(3) == ["opened", "expired", "opened", "increased"]
 
 
+def test_positions_in_shards_are_those_of_a_walk(spark, tmp_path):
+    """Many keys in a few shards, some keys null, ticks without a value, ties in time, pauses, ticks that wait for the watermark of the next batch."""
+    rng, idle, late = random.Random(7), 2 * DAY, 600_000
+    ticks, at = [], 10**12
+    for i in range(1500):
+        at += rng.choice([0, 1, 60_000, 300_000, 3 * HOUR // 2])
+        ticks.append((i, at, rng.choice([None, 0, *range(1, 25)]), rng.choice([None, "", "view", "click"]), rng.choice([None, -1.0, 0.0, 10.0, 11.0, 14.0, 20.0]), rng.choice(["{}", '{"k": 60}', '{"k": 10}'])))
+    cut = next(i for i in range(800, 1500) if ticks[i][1] > ticks[i - 1][1])
+    early = [x for x in ticks[:cut] if x[1] > ticks[cut - 1][1] - late + 1_000][::2]  # come with the next file
+    for n, some in enumerate(([x for x in ticks[:cut] if x not in early], [*ticks[cut:], *early, ticks[-1]])):
+        rng.shuffle(some)
+        x = spark.createDataFrame(some, "event_id long, at long, user_id long, event_type string, value double, props string").withColumn("ts", F.timestamp_millis("at").cast("timestamp_ntz"))
+        x.select("event_id", "ts", "user_id", "event_type", "value", "props").coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    out = []
+    stream = st.position_changes(jobs.ticks(spark, f"{tmp_path}/in/*"), idle_ms=idle, shards=3)
+    run(stream, str(tmp_path), out)
+    safe, want, open_ = at - late, [], {}
+    for i, t, user, symbol, value, props in sorted(ticks, key=lambda x: (x[1], x[0])):
+        if t > safe:
+            continue
+        key, side, was = (user, symbol), "60" in props, open_.pop((user, symbol), None)
+        if was and t - was[2] >= idle:
+            want.append((*key, "expired", was[2]))
+            was = None
+        if value is None or value <= 0:
+            want += [(*key, "closed", t)] if was else []
+            continue
+        open_[key] = (side, value, t)
+        if was is None or was[0] != side:
+            want.append((*key, "reversed" if was else "opened", t))
+        elif abs(value - was[1]) / was[1] >= 0.3:
+            want.append((*key, "increased" if value > was[1] else "reduced", t))
+    later = {x[2:4] for x in ticks if x[1] > safe}
+    want += [(*key, "expired", was[2]) for key, was in open_.items() if was[2] + idle <= safe and key not in later]
+    assert early and {x[2] for x in want} == {"opened", "closed", "reversed", "increased", "reduced", "expired"}
+    assert sorted(out, key=str) == sorted(want, key=str)
+
+
 POSTS = "ordinal long, id long, author string, symbol string, text string, at timestamp, duplicate_of int"
 
 
